@@ -20,6 +20,9 @@ TYPED = r"(?::[^=]*)?"
 GENERIC = r"(?:<[^>]*>)?"
 TAIL = rf"{W}*(?:;[^\n]*|//[^\n]*)?\z"
 
+# Lines without any of this carry no structure.
+STRUCTURAL = rf"^(?:\}}|{W}*(?:import|export|abstract|class|const|let|var)(?:[^0-9A-Za-z_$]|\z))|\("
+
 IMPORT_FROM = rf"^{W}*import({W}[^'\"]*|[{{*][^'\"]*)from{W}*{STRING}"
 IMPORT_ONLY = rf"^{W}*import{W}*{STRING}"
 CLAUSE_DEFAULT = rf"^({I}){W}*(?:,|\z)"
@@ -27,7 +30,8 @@ CLAUSE_NAMESPACE = rf"\*{W}*as{W}+({I})"
 CLAUSE_NAMED = r"\{([^}]*)\}"
 CLAUSE_TYPE = rf"^type{W}+"
 NAMED_ITEM = rf"^(?:type{W}+)?({I})(?:{W}+as{W}+({I}))?\z"
-REQUIRE = rf"^{W}*(?:export{W}+)?(?:const|let|var){W}+({I}|\{{[^{{}}]*\}}){W}*{TYPED}={W}*require{W}*\({W}*{STRING}{W}*\){TAIL}"
+PATTERN = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*){0,50}\}"
+REQUIRE = rf"^{W}*(?:export{W}+)?(?:const|let|var){W}+({I}|{PATTERN}){W}*{TYPED}={W}*require{W}*\({W}*{STRING}{W}*\){TAIL}"
 REQUIRE_ITEM = rf"^({I}){W}*(?::{W}*({I})\z|:|=|\z)"
 
 DECLARATION = rf"^{W}*(export{W}+)?(default{W}+)?(async{W}+)?function(?:{W}*\*{W}*|{W}+)({I}){W}*{GENERIC}{W}*{PARAMS}"
@@ -46,7 +50,8 @@ EXPORT_DEFAULT_NAME = rf"^{W}*export{W}+default{W}+({I}){TAIL}"
 
 QUOTED = r"""'(?:[^'\\]|\\[^\n])*'|"(?:[^"\\]|\\[^\n])*\""""
 LINE_COMMENT = r"//[^\n]*"
-NOT_CALLED = rf"(?:function{W}*\*?|new){W}*[0-9A-Za-z_$.]*{W}*\("
+NOT_CALLED = rf"(^|[^0-9A-Za-z_$])(?:function{W}*\*?|new{W}){W}*[0-9A-Za-z_$.]*{W}*\("
+METHOD_HEAD = rf"^{W}+[^(]*\("
 CALL = rf"({I}){W}*\("
 FILE_CALL = rf"""(?:^|[^0-9A-Za-z_$])fetch{W}*\({W}*(?:'([^'\\]*)'|"([^"\\]*)"|`([^`$\\]*)`)"""
 ROUTE = rf"(?:^|[^0-9A-Za-z_$.])(?:router|app)\.(get|post|put|delete|patch|use){W}*\("
@@ -71,7 +76,7 @@ def either(line: Column, pattern: str, *groups: int) -> Column:
 
 
 def present(line: Column, pattern: str, *groups: int) -> Column:
-    return either(line, pattern, *groups).isNotNull()
+    return F.concat(*[F.regexp_extract(line, pattern, g) for g in groups]) != ""
 
 
 def items(text: Column) -> Column:
@@ -121,8 +126,8 @@ def named_pairs(list_text: Column, pattern: str = NAMED_ITEM) -> Column:
 def called_names(line: Column) -> Column:
     """Names in call position, in text order: the last name of a member chain."""
     code = F.regexp_replace(F.regexp_replace(line, QUOTED, "''"), LINE_COMMENT, "")
-    code = F.when(is_method_header(line), F.regexp_replace(code, rf"^{W}+[^(]*\(", "(")).otherwise(code)
-    code = F.regexp_replace(code, NOT_CALLED, "(")
+    code = F.when(is_method_header(line), F.regexp_replace(code, METHOD_HEAD, ";(")).otherwise(code)
+    code = F.regexp_replace(code, NOT_CALLED, "$1;(")
     names = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
     return F.filter(names, lambda n: ~n.isin(*NOT_A_CALL))
 

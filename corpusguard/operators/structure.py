@@ -30,11 +30,13 @@ def code_files(files: DataFrame) -> DataFrame:
 
 
 def _import_struct(line: Column) -> Column:
-    clause = L.import_clause(line)
-    default = T.first_group(clause, L.CLAUSE_DEFAULT)
-    namespace = T.first_group(clause, L.CLAUSE_NAMESPACE)
-    named = L.named_pairs(T.first_group(clause, L.CLAUSE_NAMED))
+    """Reads the staged columns _clause, _default, _namespace and _named."""
+    default, namespace, named = F.col("_default"), F.col("_namespace"), F.col("_named")
     locals_ = F.transform(named, lambda p: F.coalesce(p["second"], p["first"]))
+
+    def one(test, imported, local):
+        return F.when(test.isNotNull(), F.array(F.struct(imported.alias("imported"), local.alias("local")))).otherwise(
+            F.array().cast(BINDING))
     return F.struct(
         L.either(line, L.IMPORT_FROM, 2, 3).alias("source"),
         F.coalesce(namespace, default, F.get(locals_, F.lit(0))).alias("alias"),
@@ -44,15 +46,21 @@ def _import_struct(line: Column) -> Column:
             F.array(default, F.when(namespace.isNotNull(), F.lit("*"))),
             F.transform(named, lambda p: p["first"]))).alias("specifiers"),
         F.concat(
-            F.when(default.isNotNull(), F.array(F.struct(F.lit("default").alias("imported"), default.alias("local"))))
-            .otherwise(F.array().cast(BINDING)),
-            F.when(namespace.isNotNull(), F.array(F.struct(F.lit("*").alias("imported"), namespace.alias("local"))))
-            .otherwise(F.array().cast(BINDING)),
+            one(default, F.lit("default"), default), one(namespace, F.lit("*"), namespace),
             F.transform(named, lambda p: F.struct(p["first"].alias("imported"),
                                                   F.coalesce(p["second"], p["first"]).alias("local"))),
         ).cast(BINDING).alias("bindings"))
 
 
+def _stage_imports(lines: DataFrame) -> DataFrame:
+    """Import clauses in parts; each step is computed once and read by the next."""
+    line, clause = F.col("line"), F.col("_clause")
+    return (lines.withColumn("_clause", F.when(line.contains("import") & line.rlike(L.IMPORT_FROM), L.import_clause(line)))
+            .withColumn("_default", T.first_group(clause, L.CLAUSE_DEFAULT))
+            .withColumn("_namespace", T.first_group(clause, L.CLAUSE_NAMESPACE))
+            .withColumn("_named", F.when(clause.isNotNull(), L.named_pairs(F.regexp_extract(clause, L.CLAUSE_NAMED, 1)))))
+
+
 def _side_effect_struct(line: Column) -> Column:
     return F.struct(
         L.either(line, L.IMPORT_ONLY, 1, 2).alias("source"), F.lit(None).cast("string").alias("alias"),
@@ -64,7 +72,7 @@ def _require_struct(line: Column) -> Column:
     target = F.regexp_extract(line, L.REQUIRE, 1)
     whole = ~target.startswith("{")
     # a property without a new name is bound under its own; one with a default is not bound
-    inner = F.regexp_replace(target, r"^\{|\}\z", "")
+    inner = F.regexp_replace(F.regexp_replace(target, r"^\{|\}\z", ""), r"\{[^{}]*\}", L.BRACES)
     keys = F.filter(L.items(inner), lambda p: p.rlike(L.REQUIRE_ITEM))
     pairs = F.transform(keys, lambda p: F.struct(
         F.regexp_extract(p, L.REQUIRE_ITEM, 1).alias("imported"),
@@ -148,17 +156,20 @@ def _route_struct(line: Column) -> Column:
 
 
 def line_facts(files: DataFrame) -> DataFrame:
-    """Structure-bearing lines of code files: one narrow pass, extracted fields only."""
+    """Structure-bearing lines of code files: one narrow pass, extracted fields only.
+
+    Lines are picked with one cheap pattern. The picked rows are not filtered on
+    the extracted fields again: Spark would push such a filter below the
+    projection and extract everything twice.
+    """
     line = F.col("line")
-    exploded = (code_files(files)
-                .select(*FILE, F.posexplode(T.split_lines(F.col("content"))).alias("_pos", "line"))
-                .where(line.contains("(") | line.startswith("}") | line.contains("=>")
-                       | line.contains("import") | line.contains("export") | line.contains("class")))
-    facts = exploded.select(
+    picked = (code_files(files)
+              .select(*FILE, F.posexplode_outer(T.split_lines(F.col("content"))).alias("_pos", "line"))
+              .where(line.rlike(L.STRUCTURAL)))
+    return _stage_imports(picked).select(
         *FILE, (F.col("_pos") + 1).alias("line_no"),
-        F.when(line.contains("import"),
-               F.when(line.rlike(L.IMPORT_FROM), _import_struct(line))
-               .when(line.rlike(L.IMPORT_ONLY), _side_effect_struct(line))).alias("imported"),
+        F.when(F.col("_clause").isNotNull(), _import_struct(line))
+        .when(line.contains("import") & line.rlike(L.IMPORT_ONLY), _side_effect_struct(line)).alias("imported"),
         F.when(line.contains("require") & line.rlike(L.REQUIRE), _require_struct(line)).alias("required"),
         F.when(line.contains("export"), _export_items(line)).alias("exports"),
         F.when(line.contains("function") | line.contains("=>"), _function_struct(line)).alias("fn"),
@@ -168,10 +179,6 @@ def line_facts(files: DataFrame) -> DataFrame:
         F.when(line.contains("fetch"), L.file_endpoint(line)).alias("file_call"),
         F.when(line.contains("router.") | line.contains("app."), _route_struct(line)).alias("route"),
         line.rlike(L.OPENS).alias("opens"), line.rlike(L.BODY_END).alias("ends"))
-    return facts.where(
-        F.col("imported").isNotNull() | F.col("required").isNotNull() | F.col("exports").isNotNull()
-        | F.col("fn").isNotNull() | F.col("cls").isNotNull() | F.col("method").isNotNull()
-        | (F.size("calls") > 0) | F.col("route").isNotNull() | F.col("ends"))
 
 
 def scoped(facts: DataFrame) -> DataFrame:
