@@ -8,21 +8,35 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 1000
 
 
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, most frequent first, at most MAX_HOT_KEYS; None if there are none.
+
+    Counts are combined on the map side, so even the hottest key costs one row
+    per task. The answer is bounded and read at once, which keeps the plan of
+    the join that asks for it free of copies of ``df``.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    for c in on:
+        counts = counts.where(F.col(c).isNotNull())
+    rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*on).collect()
+    return df.sparkSession.createDataFrame(rows, df.select(*on).schema).withColumn("_hot", F.lit(True)) if rows else None
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``on``) with the hot keys of ``left`` spread out.
+    """Join ``left`` to ``right`` (unique on ``on``), spreading keys that are hot on the left.
 
-    Keys with more than ``hot_rows`` rows on the left are found with a counted
-    aggregate (map-side combined, so a hot key costs one row per task). The list
-    is cut at MAX_HOT_KEYS, which bounds its broadcast; keys beyond it are simply
-    joined unsalted. Only hot rows of ``right`` are repeated, so the result is
-    the plain join in every case.
+    Without hot keys this is the plain join. With them, the rows of a hot key are
+    dealt to ``salts`` tasks and its one row on the right is repeated for each;
+    all other rows join as before. The result is the plain join in every case.
+    Keys beyond MAX_HOT_KEYS are joined unsalted and left to adaptive execution.
     """
-    hot = (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-           .orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts))
+    hot = hot_keys(left, on, hot_rows)
+    if hot is None:
+        return left.join(right, on, how)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]), F.lit(salts)).cast("int")
     salted_left = (left.join(F.broadcast(hot), on, "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), spread.cast("int")).otherwise(0)).drop("_hot"))
+                   .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot"))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = (right.join(F.broadcast(hot), on, "left")
                     .withColumn("_salt", F.explode(copies)).drop("_hot"))

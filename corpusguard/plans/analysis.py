@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,42 +11,51 @@ from corpusguard.operators import aggregate as A, payload as P, prepare, rank, r
 from corpusguard.plans.findings import build_findings
 from corpusguard.plans.metadata import build_metadata
 from corpusguard.rules import RuleSet
-from corpusguard.session import checkpointed
+from corpusguard.session import materialized
 
 
 @dataclass(frozen=True)
 class AnalysisResult:
+    """Findings and structure lines of a corpus, and the summaries over them, planned on first use."""
+
+    input_counts: DataFrame
+    files: DataFrame
     findings: DataFrame
-    metadata: DataFrame
-    profiles: DataFrame
-    modules: DataFrame
-    repos: DataFrame
-    hotspots: DataFrame
+    events: DataFrame
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return roles.profiles(self.files, self.events)
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return build_metadata(self.files, self.findings, self.events)
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return rank.modules_in_order(A.modules(self.profiles, self.findings, self.events))
+
+    @cached_property
+    def repos(self) -> DataFrame:
+        return A.repo_totals(self.input_counts, self.profiles, self.findings, self.events)
+
+    @cached_property
+    def hotspots(self) -> DataFrame:
+        return rank.hotspots(A.file_risk(self.findings))
 
 
-def analyze(corpus: DataFrame, rules: RuleSet | None = None, materialize: bool = False) -> AnalysisResult:
+def analyze(corpus: DataFrame, rules: RuleSet | None = None, materialize: bool = True) -> AnalysisResult:
     """Analyze a corpus of (repo, file, content, seq).
 
-    With ``materialize`` the findings and the structure lines, which all
-    summaries read, are written once to shared storage.
+    The findings and the structure lines, which all summaries read, are written
+    once to shared storage unless ``materialize`` is off.
     """
     rules = rules or RuleSet()
     files = prepare.analyzable(corpus, rules.extensions)
     findings, events = build_findings(corpus, rules), S.events(files)
     if materialize:
-        findings, events = checkpointed(findings), checkpointed(events)
-    return summarize(A.input_counts(corpus), files, findings, events)
-
-
-def summarize(input_counts: DataFrame, files: DataFrame, findings: DataFrame, events: DataFrame) -> AnalysisResult:
-    profiles = roles.profiles(files, events)
-    return AnalysisResult(
-        findings=findings,
-        metadata=build_metadata(files, findings, events),
-        profiles=profiles,
-        modules=rank.modules_in_order(A.modules(profiles, findings, events)),
-        repos=A.repo_totals(input_counts, profiles, findings, events),
-        hotspots=rank.hotspots(A.file_risk(findings)))
+        findings, events = materialized(findings, "findings"), materialized(events, "events")
+    return AnalysisResult(A.input_counts(corpus), files, findings, events)
 
 
 def compact_payloads(result: AnalysisResult) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from corpusguard.operators import graph as G, resolve as R, structure as S
+from corpusguard.session import materialized
 
 
 @dataclass(frozen=True)
@@ -19,11 +20,15 @@ class CallFlow:
 
 
 def build_call_flow(files: DataFrame, known: DataFrame, events: DataFrame | None = None) -> CallFlow:
-    """``files`` are analyzed files, ``known`` the (repo, file) paths that exist."""
-    events = S.events(files) if events is None else events
+    """``files`` are analyzed files, ``known`` the (repo, file) paths that exist.
+
+    The structure lines and the links are written once: nodes, edges and the
+    joins that build them all read them.
+    """
+    events = materialized(S.events(files), "events") if events is None else events
     functions = S.functions(events, "detail")
     imports = R.resolve_imports(S.all_imports(events), known)
     calls = R.resolve_calls(S.call_edges(events, "detail"), functions, imports, S.exports(events, "detail"))
     requests = R.resolve_file_calls(S.file_calls(events), known)
-    links = G.call_links(calls, functions).unionByName(G.file_links(requests, functions, files))
+    links = materialized(G.call_links(calls, functions).unionByName(G.file_links(requests, functions, files)), "links")
     return CallFlow(functions, calls, requests, G.nodes(functions, links), G.edges(links))

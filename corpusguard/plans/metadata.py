@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.operators import roles, structure as S
+from corpusguard.session import materialized
 
 FILE = S.FILE
 
@@ -26,8 +27,11 @@ def titles_per_file(findings: DataFrame) -> DataFrame:
 
 def build_metadata(files: DataFrame, findings: DataFrame, events: DataFrame | None = None,
                    variant: str = "summary") -> DataFrame:
-    """``files`` are analyzable files. Every join is by file key; contents are never shuffled."""
-    events = S.events(files) if events is None else events
+    """``files`` are analyzable files. Every join is by file key; contents are never shuffled.
+
+    ``events`` is read by nine branches, so pass a materialized one or let it be written here.
+    """
+    events = materialized(S.events(files), "events") if events is None else events
     edges = S.call_edges(events, variant)
     functions = S.backfill_calls(S.functions(events, variant), edges)
     hints = S.framework_hints(S.framework_signals(events, variant), variant)

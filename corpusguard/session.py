@@ -18,6 +18,8 @@ def build_session(app: str = "corpusguard", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a skewed join even where the next step could have reused its partitioning
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # checkpoints of finished loops are removed with their DataFrames
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -49,6 +51,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` once to shared storage and read it back.
+
+    For results that several branches of a plan read: each branch then prunes the
+    columns of a table instead of repeating the scan of the corpus.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage on shared storage, so that a lost executor costs no replay."""
     shared_dir(df.sparkSession)

@@ -1 +1,232 @@
+"""SQL equivalents of the registered queries, for the embedded checker database.
+
+Each query is a list of named common table expressions and a final select. The
+patterns and texts are the fixed values of the rule module; everything
+relational is written here on its own.
+"""
+
+from __future__ import annotations
+
+from corpusguard.functions import lexical as L
+from corpusguard.operators import aggregate as A, payload as P
+from corpusguard.operators.graph import COLUMN_WIDTH, EDGE_CAP, NODE_CAP, ROW_HEIGHT
+from corpusguard.operators.resolve import IMPORT_SUFFIXES
+from corpusguard.operators.roles import ENTRY_HINT
+from corpusguard.rules import (
+    ALLOWED_EXTENSIONS, API, AUTH, COMMENT_MARKERS, DATA, DEFAULT_SOURCE, ENTRY_LADDER, FRAMEWORKS, FUNCTION_HEADER, GENERAL,
+    IGNORED_SEGMENTS, JS, LB, RB, RESPONSIBILITIES, RULES, SERVICE, SEVERITY_WEIGHTS, SINK, SOURCES, STATUS_EXTENSIONS, UI,
+    W, RuleSet, SCENARIOS,
+)
+from corpusguard.sources import readers
+from registry import probes
+from registry.corpora import code_corpus_sql, line_corpus_sql, q
+
 ORACLE: dict[str, str] = {}
+KEY = "repo, file, seq"
+
+
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, {q(f'^{W}+|{W}+' + chr(92) + 'z')}, '', 'g')"
+
+
+def hits(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {q(pattern)})"
+
+
+def ext(x: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({x}, {q(pattern)}, {group})"
+
+
+def in_list(values) -> str:
+    return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+def array(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def text(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+def word(x: str, *words: str) -> str:
+    return hits(x, LB + "(?:" + "|".join(words) + ")" + RB)
+
+
+def joined(x: str, sep: str = "|") -> str:
+    return f"coalesce(array_to_string({x}, {q(sep)}), '')"
+
+
+def fold(path: str) -> str:
+    """Path segments folded one by one."""
+    return f"""array_to_string(list_reduce(list_transform(string_split(replace({path}, '\\', '/'), '/'), lambda p: [p]),
+      lambda acc, p: CASE WHEN p[1] IN ('', '.') THEN acc WHEN p[1] = '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, p) END,
+      CAST([] AS VARCHAR[])), '/')"""
+
+
+def parent(path: str) -> str:
+    return f"array_to_string(string_split(replace({path}, '\\', '/'), '/')[:-2], '/')"
+
+
+RULE_ROWS = ", ".join(
+    f"({r.rule_id}, {i}, {q(r.title)}, {q(r.severity)}, {SEVERITY_WEIGHTS[r.severity]}, {array(r.story)}, {q(SCENARIOS[r.scenario])}, "
+    f"{q(r.why)}, {q(r.impact)}, {q(r.fix)})" for i, r in enumerate(RULES, start=1))
+RULE_EXT_ROWS = ", ".join(f"({q(e)}, {r.rule_id})" for r in RULES for e in r.extensions)
+
+
+def hit_selects() -> str:
+    parts = []
+    for r in RULES:
+        extra = ""
+        if r.unless_pattern:
+            extra = (f" AND len(regexp_extract_all(line, {q(r.pattern)})) > len(regexp_extract_all(line, {q(r.unless_pattern)}))")
+        parts.append(f"SELECT {KEY}, file_type, line_no, line, {r.rule_id} AS rule_id, {trim(ext('line', r.pattern))} AS matched "
+                     f"FROM active WHERE file_type IN {in_list(r.extensions)} AND {hits('line', r.pattern)}{extra}")
+    return " UNION ALL ".join(parts)
+
+
+def source_case(context: str, matched: str) -> str:
+    whens = " ".join(f"WHEN {hits(c, p)} THEN {ext(c, p)}" for c in (context, matched) for p in SOURCES)
+    return f"CASE {whens} END"
+
+
+def entry_case(source: str) -> str:
+    return "CASE " + f"WHEN {source} IS NULL THEN 'User Input' " + " ".join(
+        f"WHEN {hits(source, '(?i)' + p)} THEN {q(e)}" for p, e, _ in ENTRY_LADDER) + " ELSE 'User Input' END"
+
+
+def evidence_case(source: str) -> str:
+    return "CASE " + " ".join(f"WHEN {hits(source, '(?i)' + p)} THEN {q(v)}" for p, _, v in ENTRY_LADDER) + f" ELSE {source} END"
+
+
+def sink(matched: str) -> str:
+    return f"nullif({ext(matched, SINK)}, '')"
+
+
+def level_case(title: str, source: str, context: str) -> str:
+    return (f"CASE WHEN {source} IS NOT NULL THEN 'High' WHEN {hits(context, FUNCTION_HEADER)} THEN 'Medium' "
+            f"WHEN {title} = 'Hardcoded Secret' OR contains({title}, 'Insecure Deserialization') OR contains({title}, 'Local File Inclusion') "
+            f"THEN 'Medium' ELSE 'Low' END")
+
+
+def scenario_text(template: str, story: str, source: str) -> str:
+    return (f"replace(replace(replace({template}, '{{sink}}', {story}[2]), '{{outcome}}', lower({story}[3])), '{{src}}', "
+            f"coalesce({source}, {q(DEFAULT_SOURCE)}))")
+
+
+def story_text(story: str, source: str) -> str:
+    return f"coalesce({source}, {story}[1]) || '|' || {story}[2] || '|' || {story}[3]"
+
+
+def file_type(path: str) -> str:
+    return f"CASE WHEN contains({path}, '.') THEN lower({ext(path, r'(\.[^.]*)' + chr(92) + 'z')}) ELSE 'unknown' END"
+
+
+NOT_BLANK = r"[^\t-\r\p{Z}\x{FEFF}]"
+SEGMENTS = "string_split(replace(lower(file), '\\', '/'), '/')"
+
+CTE = {
+    "line_corpus": line_corpus_sql(),
+    "code_corpus": code_corpus_sql(),
+    "probes": probes.probes_sql(),
+    "urls": probes.urls_sql(),
+    "files": f"""files AS MATERIALIZED (SELECT *, {file_type('file')} AS file_type FROM corpus
+      WHERE file IS NOT NULL AND content IS NOT NULL AND {hits('file', NOT_BLANK)} AND {file_type('file')} IN {in_list(ALLOWED_EXTENSIONS)}
+      AND NOT list_has_any({SEGMENTS}, {array(IGNORED_SEGMENTS)}))""",
+    "lines": f"""lines AS MATERIALIZED (SELECT {KEY}, file_type, unnest(generate_series(1, len(ls))) AS line_no, unnest(ls) AS line
+      FROM (SELECT *, string_split_regex(content, {q(chr(92) + 'r?' + chr(92) + 'n')}) AS ls FROM files))""",
+    "active": f"""active AS MATERIALIZED (SELECT * FROM lines WHERE NOT contains(line, 'scan-ignore')
+      AND NOT {hits('line', f'^{W}*(?:' + '|'.join(m.replace('/', '/').replace('*', chr(92) + '*').replace('{', chr(92) + '{') for m in COMMENT_MARKERS) + ')')})""",
+    "context": """context AS MATERIALIZED (SELECT repo, file, seq, line_no, string_agg(line, chr(10)) OVER (PARTITION BY repo, file, seq
+      ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM lines)""",
+    "rules": f"rules(rule_id, rule_ord, title, severity, weight, story, template, why, impact, fix) AS (VALUES {RULE_ROWS})",
+    "rule_ext": f"rule_ext(file_type, rule_id) AS (VALUES {RULE_EXT_ROWS})",
+    "raw_hits": f"raw_hits AS MATERIALIZED ({hit_selects()})",
+    "hits": """hits AS MATERIALIZED (SELECT h.* FROM raw_hits h JOIN rules r USING (rule_id) WHERE NOT (r.title IN ('JS/TS Command Injection', 'Python Command Injection')
+      AND EXISTS (SELECT 1 FROM raw_hits o JOIN rules x USING (rule_id) WHERE o.repo = h.repo AND o.file = h.file AND o.seq = h.seq
+        AND o.line_no = h.line_no AND contains(x.title, 'Command Injection ('))))""",
+    "findings": f"""findings AS MATERIALIZED (SELECT h.repo, h.file, h.seq, h.file_type, h.line_no AS line, r.rule_ord, r.severity, r.weight, r.title, h.matched,
+      h.file || ':' || h.line_no || ':' || r.title || ':' || h.matched AS id,
+      CASE WHEN length({trim('h.line')}) > 120 THEN substr({trim('h.line')}, 1, 120) || '... [truncated]' ELSE {trim('h.line')} END AS code,
+      c.context, {source_case('c.context', 'h.matched')} AS source, r.story, r.template
+      FROM hits h JOIN rules r USING (rule_id) JOIN context c ON c.repo = h.repo AND c.file = h.file AND c.seq = h.seq AND c.line_no = h.line_no)""",
+}
+LINE = ["line_corpus", "files", "lines"]
+CODE = ["code_corpus", "files", "lines"]
+FIND = ["active", "context", "rules", "raw_hits", "hits", "findings"]
+
+
+def add(name: str, ctes: list[str], select: str, recursive: bool = False) -> None:
+    used = [CTE[c] for c in ctes]
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(c.strip() for c in used) + "\n" if used else ""
+    ORACLE[name] = head + select
+
+
+# --- sources --------------------------------------------------------------------
+add("src_corpus", ["line_corpus"], "SELECT repo, file, seq, md5(content) AS content_md5 FROM corpus")
+add("src_tree", ["line_corpus"], "SELECT repo, seq, file AS path FROM corpus WHERE seq % 9 <> 4 AND seq % 11 <> 3")
+add("src_decode", [], f"""SELECT doc_id, CASE WHEN ok THEN text END AS content, CASE WHEN NOT ok THEN {q(readers.NOT_DECODABLE)} END AS error
+  FROM (SELECT *, doc_id % 13 <> 5 AND doc_id % 7 <> 2 AND doc_id % 17 <> 8 AS ok FROM documents)""")
+SEGS = f"""segs AS (SELECT *, string_split(regexp_replace(regexp_replace({ext('trimmed', r'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)')}, '^/', ''), {q(chr(92) + '.git' + chr(92) + 'z')}, ''), '/') AS parts,
+  lower({ext('trimmed', r'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)')}) AS host FROM (SELECT *, {trim('url')} AS trimmed FROM urls))"""
+CTE["segs"] = SEGS
+GOOD_URL = "(host IN ('github.com', 'www.github.com') AND len(parts) >= 2)"
+add("src_repo_url", ["urls", "segs"], f"""SELECT page_id, CASE WHEN {GOOD_URL} THEN parts[1] END AS owner,
+  CASE WHEN {GOOD_URL} THEN parts[2] END AS repo_name FROM segs""")
+BLANK_URL = f"(url IS NULL OR NOT {hits('url', NOT_BLANK)})"
+add("src_validate", ["urls", "segs"], f"""SELECT page_id, CASE WHEN {BLANK_URL} THEN {q(readers.NO_URL)}
+  WHEN path IS NULL OR NOT {hits('path', NOT_BLANK)} THEN {q(readers.NO_PATH)} WHEN NOT {GOOD_URL} THEN {q(readers.BAD_URL)} ELSE '' END AS reason FROM segs""")
+add("src_validate_payload", ["urls"], f"""SELECT page_id, 'insight' AS kind, reason IS NULL AS ok, reason FROM (SELECT page_id, CASE WHEN {BLANK_URL} THEN {q(readers.NO_SOURCE_URL)}
+    WHEN page_id % 4 IN (1, 3) THEN {q(readers.NO_ANALYSIS)} END AS reason FROM urls)
+  UNION ALL SELECT page_id, 'explain', reason IS NULL, reason FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 OR coalesce(url, '') = '' OR page_id % 6 = 0
+    THEN {q(readers.NO_EXPLAIN)} END AS reason FROM urls)""")
+add("src_default_path", [], """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a.js' WHEN 2 THEN 'b.ts' ELSE 'pasted-file.js' END AS path, doc_id % 6 <> 5 AS ok FROM documents""")
+add("snk_results", LINE + FIND, "SELECT repo, id, seq, CAST(line AS BIGINT) AS line, severity FROM findings")
+
+# --- filters and projections -------------------------------------------------------
+add("flt_blank", [], """SELECT doc_id AS seq, 'f' || doc_id AS file, CAST(CASE WHEN doc_id % 5 = 1 THEN 0 ELSE length(text) END AS BIGINT) AS n_chars
+  FROM documents WHERE doc_id % 7 > 1 AND doc_id % 5 <> 0""")
+add("prj_file_type", [], f"""SELECT seq, file, {file_type('file')} AS file_type FROM (SELECT doc_id AS seq,
+  source || '/f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.JS' WHEN 1 THEN '' WHEN 2 THEN '.d.Ts' ELSE '.x/y' END AS file FROM documents)""")
+add("flt_extension", ["code_corpus"], f"SELECT repo, file, seq FROM corpus WHERE {file_type('file')} IN {in_list(ALLOWED_EXTENSIONS)}")
+add("flt_ignored_path", ["line_corpus"], f"SELECT repo, file, seq FROM corpus WHERE NOT list_has_any({SEGMENTS}, {array(IGNORED_SEGMENTS)})")
+add("prj_lines", LINE, "SELECT repo, file, line_no, md5(line) AS line_md5 FROM lines")
+add("prj_loc", LINE, f"SELECT repo, file, count(*) FILTER ({hits('line', NOT_BLANK)}) AS loc FROM lines GROUP BY ALL")
+add("flt_suppressed", LINE, "SELECT repo, file, line_no FROM lines WHERE line NOT LIKE '%scan-ignore%'")
+add("flt_comment", LINE, "SELECT repo, file, line_no FROM (SELECT *, " + f"regexp_replace(line, {q(f'^{W}+')}, '')" + " AS t FROM lines) WHERE NOT ("
+    + " OR ".join(f"starts_with(t, {q(m)})" for m in COMMENT_MARKERS) + ")")
+add("prj_snippet", LINE, f"""SELECT repo, file, line_no, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '... [truncated]' ELSE t END AS code
+  FROM (SELECT *, {trim('line')} AS t FROM lines)""")
+add("prj_context", LINE + ["context"], "SELECT repo, file, line_no, md5(context) AS context_md5 FROM context")
+
+# --- scan ------------------------------------------------------------------------------
+add("scn_route", LINE + ["rules", "rule_ext"], """SELECT repo, file, CAST(rule_id AS BIGINT) AS rule_id, CAST(rule_ord AS BIGINT) AS rule_ord
+  FROM files JOIN rule_ext USING (file_type) JOIN rules USING (rule_id)""")
+add("scn_rules", LINE + ["active", "raw_hits"], "SELECT repo, file, line_no AS line, CAST(rule_id AS BIGINT) AS rule_id, matched FROM raw_hits")
+add("scn_secret", [], f"""SELECT doc_id, line_no, {trim(ext('line', RULES[0].pattern))} AS matched,
+  CASE WHEN length({trim('line')}) > 120 THEN substr({trim('line')}, 1, 120) || '... [truncated]' ELSE {trim('line')} END AS code
+  FROM (SELECT doc_id, unnest(generate_series(1, len(ls))) AS line_no, unnest(ls) AS line FROM
+    (SELECT doc_id, string_split_regex(text, {q(chr(92) + 'r?' + chr(92) + 'n')}) AS ls FROM documents))
+  WHERE {hits('line', RULES[0].pattern)} AND NOT contains(line, 'scan-ignore')
+    AND NOT list_contains(list_transform({array(COMMENT_MARKERS)}, lambda m: starts_with({trim('line')}, m)), true)""")
+add("scn_suppress", LINE + ["active", "rules", "raw_hits", "hits"], "SELECT repo, file, line_no AS line, CAST(rule_id AS BIGINT) AS rule_id, matched FROM hits")
+add("scn_finding_id", LINE + FIND, "SELECT repo, seq, id FROM findings")
+add("scn_order", LINE + FIND, "SELECT repo, seq, CAST(line AS BIGINT) AS line, CAST(rule_ord AS BIGINT) AS rule_ord, id FROM findings ORDER BY repo, seq, line, rule_ord")
+add("scn_findings", LINE + FIND, f"""SELECT repo, file, seq, id, CAST(line AS BIGINT) AS line, CAST(rule_ord AS BIGINT) AS rule_ord, severity, title, matched, code,
+  md5(context) AS context_md5, {story_text('story', 'source')} AS security_story, {level_case('title', 'source', 'context')} AS story_confidence,
+  {scenario_text('template', 'story', 'source')} AS scenario, {entry_case('source')} AS chain_entry, {evidence_case('source')} AS chain_entry_evidence,
+  story[2] AS chain_sink, {sink('matched')} AS chain_sink_evidence, story[3] AS chain_impact, file || ':' || line AS chain_location FROM findings""")
+
+# --- enrichment -------------------------------------------------------------------------
+PROBE_RULES = ["probes", "rules"]
+add("enr_source", ["probes"], f"SELECT doc_id, {source_case('context', 'matched')} AS source FROM probes")
+add("enr_entry", ["probes"], f"SELECT doc_id, {entry_case('source')} AS entry, {evidence_case('source')} AS evidence FROM probes")
+add("enr_sink", ["probes"], f"SELECT doc_id, {sink('matched')} AS sink_evidence FROM probes")
+add("enr_confidence", ["probes"], f"SELECT doc_id, {level_case('title', 's', 'context')} AS level FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN source END AS s FROM probes)")
+add("enr_story", PROBE_RULES, f"SELECT doc_id, {story_text('story', 'source')} AS story FROM probes JOIN rules USING (title)")
+add("enr_scenario", PROBE_RULES, f"SELECT doc_id, {scenario_text('template', 'story', 'source')} AS scenario FROM probes JOIN rules USING (title)")
+add("enr_chain", PROBE_RULES, f"""SELECT doc_id, {entry_case('source')} AS entry, {evidence_case('source')} AS entry_evidence, story[2] AS sink,
+  {sink('matched')} AS sink_evidence, story[3] AS impact, title || ':' || doc_id AS location FROM probes JOIN rules USING (title)""")
+add("enr_explain", PROBE_RULES, "SELECT doc_id, title, why, impact, fix FROM probes LEFT JOIN rules USING (title)")
+add("enr_weight", [], """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CAST(CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM documents""")

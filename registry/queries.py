@@ -17,7 +17,7 @@ from corpusguard.plans.callflow import build_call_flow
 from corpusguard.plans.findings import build_findings
 from corpusguard.plans.metadata import build_metadata
 from corpusguard.rules import RULES, RuleSet, severity_table
-from corpusguard.session import scratch_path
+from corpusguard.session import materialized, scratch_path
 from corpusguard.sources import readers, writers
 from corpusguard.streaming import incremental
 from registry import corpora, probes as probe_data
@@ -56,7 +56,8 @@ def code_facts(spark, d):
 
 
 def code_events(spark, d):
-    return S.events(code_files(spark, d))
+    """Written once, for queries that read it several times."""
+    return materialized(S.events(code_files(spark, d)), "events")
 
 
 def findings(spark, d):
@@ -318,7 +319,7 @@ def ext_requires(spark, d):
 
 
 def export_rows(spark, d, build):
-    facts = code_facts(spark, d)
+    facts = materialized(code_facts(spark, d), "facts")
     both = [build(facts, v).withColumn("variant", F.lit(v)) for v in S.VARIANTS]
     return both[0].unionByName(both[1]).select("variant", "repo", "file", *big("line_no"), "name", "type", "alias")
 
@@ -357,26 +358,26 @@ def ext_methods(spark, d):
 
 @query
 def ext_classes(spark, d):
-    return S.classes(code_events(spark, d), "detail").select(
+    return S.classes(S.events(code_files(spark, d)), "detail").select(
         "repo", "file", *big("line_no"), "name", "extends", "exported", joined("methods").alias("methods"))
 
 
 @query
 def ext_params(spark, d):
-    rows = S.function_rows(code_events(spark, d), "detail")
+    rows = S.function_rows(S.events(code_files(spark, d)), "detail")
     return rows.select("repo", "file", *big("line_no"), "name", F.posexplode("params").alias("pos", "param")).select(
         "repo", "file", "line_no", "name", *big("pos"), "param")
 
 
 @query
 def ext_calls(spark, d):
-    return S.call_edges(code_events(spark, d)).select(
+    return S.call_edges(S.events(code_files(spark, d))).select(
         "repo", "file", "caller", "callee", *big("ord.line_no", "ord.pos"))
 
 
 @query
 def ext_file_calls(spark, d):
-    return S.file_calls(code_events(spark, d)).select("repo", "file", "caller", "path", *big("line_no"), "type")
+    return S.file_calls(S.events(code_files(spark, d))).select("repo", "file", "caller", "path", *big("line_no"), "type")
 
 
 @query
@@ -405,7 +406,7 @@ def ext_deps(spark, d):
 
 @query
 def ext_frameworks(spark, d):
-    facts = code_facts(spark, d)
+    facts = materialized(code_facts(spark, d), "facts")
     rows = [S.framework_signals(facts, v).withColumn("variant", F.lit(v)) for v in S.VARIANTS]
     return rows[0].unionByName(rows[1]).select("variant", "repo", "file", *big("line_no"), "framework",
                                                F.round("weight", 6).alias("weight"), "reason")
@@ -512,7 +513,7 @@ def jn_binding(spark, d):
 
 @query
 def jn_default_export(spark, d):
-    facts = code_facts(spark, d)
+    facts = materialized(code_facts(spark, d), "facts")
     bound = R.first_bindings(R.resolve_imports(S.all_imports(facts), code_known(spark, d)))
     return R.with_exported_name(bound.where(F.col("imported") == "default"), S.exports(facts, "detail")).select(
         "repo", "file", "local", "target", "exported_name")
@@ -793,7 +794,7 @@ def pay_listing(spark, d):
 def document_stream(spark, d, path=None):
     """The line corpus over a stream of ``documents``."""
     schema = docs(spark, d).schema
-    return corpora.line_corpus_from(spark.readStream.schema(schema).parquet(f"{d}/documents.parquet"))
+    return corpora.line_corpus_from(spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]"))
 
 
 @query
