@@ -230,3 +230,194 @@ add("enr_chain", PROBE_RULES, f"""SELECT doc_id, {entry_case('source')} AS entry
 add("enr_explain", PROBE_RULES, "SELECT doc_id, title, why, impact, fix FROM probes LEFT JOIN rules USING (title)")
 add("enr_weight", [], """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   CAST(CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM documents""")
+
+# --- structure ------------------------------------------------------------------------------
+BIND = 'STRUCT(imported VARCHAR, "local" VARCHAR)[]'
+NO_TEXTS, NO_BINDINGS = "CAST([] AS VARCHAR[])", f"CAST([] AS {BIND})"
+
+
+def items(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, ','), lambda p: {trim('p')}), lambda p: p <> '')"
+
+
+def named(x: str) -> str:
+    good = f"list_filter({items(x)}, lambda p: {hits('p', L.NAMED_ITEM)})"
+    return (f"list_transform({good}, lambda p: {{'imported': {ext('p', L.NAMED_ITEM, 1)}, "
+            f"'local': coalesce(nullif({ext('p', L.NAMED_ITEM, 2)}, ''), {ext('p', L.NAMED_ITEM, 1)})}})")
+
+
+def params(x: str) -> str:
+    flat = x
+    for pattern, mark, times in ((r"\{[^{}]*\}", "chr(1)", 3), (r"\[[^\[\]]*\]", "chr(2)", 3), (r"\([^()]*\)", "''", 2), ("<[^<>]*>", "''", 1)):
+        for _ in range(times):
+            flat = f"regexp_replace({flat}, {q(pattern)}, {mark}, 'g')"
+    name = (f"CASE WHEN {hits('p', L.PARAM_NAME)} THEN {ext('p', L.PARAM_NAME)} WHEN {hits('p', L.PARAM_REST)} THEN '...' || {ext('p', L.PARAM_REST, 2)} "
+            f"WHEN starts_with(p, chr(1)) AND NOT contains(p, '=') THEN '{{...}}' WHEN starts_with(p, chr(2)) AND NOT contains(p, '=') THEN '[...]' ELSE '' END")
+    return f"list_filter(list_transform({items(flat)}, lambda p: {name}), lambda p: p <> '')"
+
+
+FN_EXPORTED = f"({hits('line', L.DECLARATION)} AND {ext('line', L.DECLARATION, 1)} <> '')"
+CLASS_NAME = f"CASE WHEN {hits('line', L.CLASS)} AND {ext('line', L.CLASS, 3)} NOT IN {in_list(L.NOT_A_NAME)} THEN {ext('line', L.CLASS, 3)} END"
+CLASS_EXPORTED = f"({CLASS_NAME} IS NOT NULL AND {ext('line', L.CLASS, 1)} <> '')"
+CALLED = (f"regexp_replace(regexp_replace(line, {q(L.QUOTED)}, '''''', 'g'), {q(L.LINE_COMMENT)}, '', 'g')")
+ENDPOINT = " || ".join(ext("line", L.FILE_CALL, g) for g in (1, 2, 3))
+
+CTE.update({
+    "js": f"js AS MATERIALIZED (SELECT * FROM lines WHERE file_type IN {in_list(JS)})",
+    "imports": f"""import_parts AS (SELECT *, nullif({ext('clause', L.CLAUSE_DEFAULT)}, '') AS d, nullif({ext('clause', L.CLAUSE_NAMESPACE)}, '') AS ns,
+        {named(ext('clause', L.CLAUSE_NAMED))} AS names
+      FROM (SELECT *, regexp_replace({trim(ext('line', L.IMPORT_FROM, 1))}, {q(L.CLAUSE_TYPE)}, '') AS clause,
+        {ext('line', L.IMPORT_FROM, 2)} || {ext('line', L.IMPORT_FROM, 3)} AS source FROM js WHERE {hits('line', L.IMPORT_FROM)})),
+    require_parts AS (SELECT *, starts_with(target, '{{') AS is_pattern,
+        list_filter({items("regexp_replace(trim(target, '{}'), " + q('{[^{}]*}') + ", chr(1), 'g')")}, lambda p: {hits('p', L.REQUIRE_ITEM)}) AS props
+      FROM (SELECT *, {ext('line', L.REQUIRE, 1)} AS target, {ext('line', L.REQUIRE, 2)} || {ext('line', L.REQUIRE, 3)} AS source FROM js WHERE {hits('line', L.REQUIRE)})),
+    imports AS MATERIALIZED (
+      SELECT {KEY}, line_no, 'import' AS kind, source, coalesce(ns, d, names[1]."local") AS alias,
+        CASE WHEN ns IS NOT NULL THEN 'namespace' WHEN d IS NOT NULL THEN 'default' WHEN len(names) > 0 THEN 'named' ELSE 'side-effect' END AS type,
+        list_concat(CASE WHEN d IS NULL THEN {NO_TEXTS} ELSE [d] END, CASE WHEN ns IS NULL THEN {NO_TEXTS} ELSE ['*'] END, list_transform(names, lambda n: n.imported)) AS specifiers,
+        list_concat(CASE WHEN d IS NULL THEN {NO_BINDINGS} ELSE [{{'imported': 'default', 'local': d}}] END,
+          CASE WHEN ns IS NULL THEN {NO_BINDINGS} ELSE [{{'imported': '*', 'local': ns}}] END, names) AS bindings FROM import_parts
+      UNION ALL SELECT {KEY}, line_no, 'import', {ext('line', L.IMPORT_ONLY, 1)} || {ext('line', L.IMPORT_ONLY, 2)}, NULL, 'side-effect', {NO_TEXTS}, {NO_BINDINGS}
+        FROM js WHERE {hits('line', L.IMPORT_ONLY)} AND NOT {hits('line', L.IMPORT_FROM)}
+      UNION ALL SELECT {KEY}, line_no, 'require', source, CASE WHEN NOT is_pattern THEN target END, 'require',
+        CASE WHEN is_pattern THEN list_transform(props, lambda p: {ext('p', L.REQUIRE_ITEM)}) ELSE [target] END,
+        CASE WHEN is_pattern THEN list_filter(list_transform(props, lambda p: {{'imported': {ext('p', L.REQUIRE_ITEM)}, 'local':
+          CASE WHEN NOT contains(p, ':') AND NOT contains(p, '=') THEN {ext('p', L.REQUIRE_ITEM)} ELSE nullif({ext('p', L.REQUIRE_ITEM, 2)}, '') END}}), lambda b: b."local" IS NOT NULL)
+        ELSE [{{'imported': 'default', 'local': target}}] END FROM require_parts)""",
+    "exports": f"""export_rows AS (
+      SELECT {KEY}, line_no, 0 AS pos, {ext('line', L.DECLARATION, 4)} AS name, CASE WHEN {ext('line', L.DECLARATION, 2)} <> '' THEN 'default' ELSE 'named' END AS type,
+        CAST(NULL AS VARCHAR) AS alias, ['summary', 'detail'] AS vs FROM js WHERE {FN_EXPORTED}
+      UNION ALL SELECT {KEY}, line_no, 0, {CLASS_NAME}, CASE WHEN {ext('line', L.CLASS, 2)} <> '' THEN 'default' ELSE 'named' END, NULL, ['summary', 'detail'] FROM js WHERE {CLASS_EXPORTED}
+      UNION ALL SELECT {KEY}, line_no, 0, CASE WHEN ok THEN n ELSE 'default' END, 'default', NULL, CASE WHEN ok THEN ['summary', 'detail'] ELSE ['summary'] END
+        FROM (SELECT *, n <> '' AND n NOT IN {in_list(L.NOT_A_NAME)} AS ok FROM (SELECT *, {ext('line', L.EXPORT_DEFAULT_NAME)} AS n FROM js
+          WHERE {hits('line', L.EXPORT_DEFAULT)} AND NOT {FN_EXPORTED} AND NOT {CLASS_EXPORTED}))
+      UNION ALL SELECT {KEY}, line_no, 0, {ext('line', L.EXPORT_VARIABLE)}, 'named', NULL, ['detail'] FROM js WHERE {hits('line', L.EXPORT_VARIABLE)}
+      UNION ALL SELECT {KEY}, line_no, i - 1, n[i]."local", 'named', n[i].imported, ['summary', 'detail'] FROM (SELECT *, unnest(generate_series(1, len(n))) AS i
+          FROM (SELECT *, {named(ext('line', L.EXPORT_LIST))} AS n FROM js WHERE {hits('line', L.EXPORT_LIST)}))
+      UNION ALL SELECT {KEY}, line_no, 0, {ext('line', L.EXPORT_NAMESPACE)}, 'named', NULL, ['summary', 'detail'] FROM js WHERE {hits('line', L.EXPORT_NAMESPACE)}),
+    exports AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE (vs), unnest(vs) AS variant FROM export_rows)
+      QUALIFY variant = 'summary' OR row_number() OVER (PARTITION BY {KEY}, line_no, name, variant ORDER BY pos) = 1)""",
+    "scoped": f"""headers AS (SELECT *, {hits('line', L.OPENS)} AS opens, {hits('line', L.BODY_END)} AS ends, {CLASS_NAME} AS cls,
+        CASE WHEN {hits('line', L.DECLARATION)} THEN 'declaration' WHEN {hits('line', L.ARROW)} THEN 'arrow' WHEN {hits('line', L.FUNCTION_VALUE)} THEN 'value' END AS fn_kind,
+        CASE WHEN {hits('line', L.METHOD)} AND {ext('line', L.METHOD, 2)} NOT IN {in_list(L.NOT_A_METHOD)} THEN {ext('line', L.METHOD, 2)} END AS method FROM js),
+    named_headers AS (SELECT *, CASE fn_kind WHEN 'declaration' THEN {ext('line', L.DECLARATION, 4)} WHEN 'arrow' THEN {ext('line', L.ARROW, 2)}
+        WHEN 'value' THEN {ext('line', L.FUNCTION_VALUE, 2)} END AS fn,
+        nullif(last_value(CASE WHEN cls IS NOT NULL AND opens THEN cls WHEN ends THEN '' END IGNORE NULLS) OVER (PARTITION BY {KEY} ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS class_name FROM headers),
+    owned AS (SELECT *, coalesce(fn, CASE WHEN method IS NOT NULL THEN coalesce(class_name || '.', '') || method END) AS own FROM named_headers),
+    scoped AS MATERIALIZED (SELECT *, coalesce(own, nullif(last_value(CASE WHEN own IS NOT NULL AND opens THEN own WHEN cls IS NOT NULL AND opens THEN '' WHEN ends THEN '' END IGNORE NULLS)
+        OVER (PARTITION BY {KEY} ORDER BY line_no ROWS UNBOUNDED PRECEDING), ''), 'root') AS caller FROM owned)""",
+    "functions": f"""function_rows AS MATERIALIZED (
+      SELECT {KEY}, line_no, fn AS name, CASE fn_kind WHEN 'declaration' THEN {params(ext('line', L.DECLARATION, 5))}
+          WHEN 'arrow' THEN {params(ext('line', L.ARROW, 4) + ' || ' + ext('line', L.ARROW, 6))} ELSE {params(ext('line', L.FUNCTION_VALUE, 4))} END AS params,
+        CASE fn_kind WHEN 'declaration' THEN {ext('line', L.DECLARATION, 1)} <> '' AND (variant = 'detail' OR {ext('line', L.DECLARATION, 2)} = '')
+          WHEN 'arrow' THEN variant = 'detail' AND {ext('line', L.ARROW, 1)} <> '' ELSE variant = 'detail' AND {ext('line', L.FUNCTION_VALUE, 1)} <> '' END AS exported,
+        CASE fn_kind WHEN 'declaration' THEN {ext('line', L.DECLARATION, 3)} <> '' WHEN 'arrow' THEN {ext('line', L.ARROW, 3)} || {ext('line', L.ARROW, 5)} <> ''
+          ELSE {ext('line', L.FUNCTION_VALUE, 3)} <> '' END AS is_async, fn_kind = 'arrow' AS is_arrow,
+        CASE WHEN fn_kind = 'arrow' OR (fn_kind = 'value' AND variant = 'detail' AND {ext('line', L.FUNCTION_VALUE, 1)} <> '') THEN 'arrow' ELSE 'function' END AS type, variant
+        FROM scoped, (VALUES ('summary'), ('detail')) v(variant) WHERE fn IS NOT NULL
+      UNION ALL SELECT {KEY}, line_no, own, {params(ext('line', L.METHOD, 3))}, false, contains({ext('line', L.METHOD, 1)}, 'async'), false, 'method', variant
+        FROM scoped, (VALUES ('summary'), ('detail')) v(variant) WHERE fn IS NULL AND method IS NOT NULL AND (variant = 'detail' OR class_name IS NOT NULL)),
+    functions AS MATERIALIZED (SELECT {KEY}, variant, name, min(line_no) AS line_no, bool_or(exported) AS exported,
+        CASE WHEN variant = 'detail' THEN bool_or(is_async) ELSE arg_min(is_async, line_no) END AS is_async, arg_min(is_arrow, line_no) AS is_arrow, arg_min(type, line_no) AS type,
+        CASE WHEN variant = 'detail' THEN list_distinct_ordered(list(params ORDER BY line_no)) ELSE arg_min(params, line_no) END AS params
+      FROM function_rows GROUP BY {KEY}, variant, name)""",
+    "classes": f"""class_rows AS (SELECT {KEY}, cls AS name, line_no, nullif({ext('line', L.CLASS, 4)}, '') AS super, {ext('line', L.CLASS, 1)} <> '' AS exported FROM scoped WHERE cls IS NOT NULL),
+    class_methods AS (SELECT {KEY}, class_name AS name, method, min(line_no) AS line_no FROM scoped WHERE method IS NOT NULL AND fn IS NULL AND class_name IS NOT NULL GROUP BY ALL),
+    classes AS (SELECT c.*, (SELECT list(m.method ORDER BY m.line_no) FROM class_methods m WHERE m.repo = c.repo AND m.file = c.file AND m.seq = c.seq AND m.name = c.name) AS methods
+      FROM (SELECT {KEY}, name, min(line_no) AS line_no, arg_min(coalesce(super, ''), line_no) AS extends, bool_or(exported) AS exported FROM class_rows GROUP BY {KEY}, name) c)""",
+    "edges": f"""call_lists AS (SELECT {KEY}, line_no, caller, {ENDPOINT} AS endpoint,
+        list_filter(regexp_extract_all(regexp_replace(CASE WHEN method IS NOT NULL THEN regexp_replace({CALLED}, {q(L.METHOD_HEAD)}, ';(') ELSE {CALLED} END,
+          {q(L.NOT_CALLED)}, {q(chr(92) + '1;(')}, 'g'), {q(L.CALL)}, 1), lambda n: n NOT IN {in_list(L.NOT_A_CALL)}) AS names FROM scoped),
+    edges AS MATERIALIZED (SELECT {KEY}, variant, caller, callee, min({{'l': line_no, 'p': pos}}) AS ord FROM (
+        SELECT {KEY}, line_no, variant, caller, unnest(names) AS callee, unnest(generate_series(0, len(names) - 1)) AS pos,
+          variant = 'detail' AND {hits('endpoint', L.SOURCE_ENDING)} AS is_request FROM call_lists, (VALUES ('summary'), ('detail')) v(variant) WHERE len(names) > 0)
+      WHERE caller <> callee AND NOT (is_request AND callee = 'fetch') GROUP BY {KEY}, variant, caller, callee),
+    file_calls AS MATERIALIZED (SELECT {KEY}, caller, endpoint AS path, min(line_no) AS line_no FROM call_lists WHERE {hits('endpoint', L.SOURCE_ENDING)} GROUP BY {KEY}, caller, endpoint)""",
+    "routes": f"""routes AS (SELECT {KEY}, line_no, method, CASE WHEN h NOT IN {in_list(L.NOT_A_NAME)} THEN h END AS handler FROM (SELECT *, {ext('line', L.ROUTE)} AS method,
+      nullif(coalesce(nullif({ext('line', L.ROUTE_SECOND)}, ''), {ext('line', L.ROUTE_ONLY)}), '') AS h FROM js WHERE {hits('line', L.ROUTE)}))""",
+    "deps": f"""deps AS (SELECT {KEY}, regexp_replace(regexp_replace(regexp_replace(source, '(?i)[.][tj]sx?$', ''), '^[.]/', ''), '^/', '') AS dependency, min(line_no) AS line_no
+      FROM imports WHERE source LIKE '.%' OR source LIKE '/%' GROUP BY ALL)""",
+    "signals": f"""frameworks(pos, word, framework, weight) AS (VALUES {", ".join(f"({i}, {q(w)}, {q(f)}, {x})" for i, (w, f, x) in enumerate(FRAMEWORKS))}),
+    signals AS MATERIALIZED (SELECT {KEY}, line_no, pos, framework, weight, word || CASE kind WHEN 'require' THEN ' require' ELSE ' import' END AS reason, variant
+        FROM imports JOIN frameworks ON contains(source, word), (VALUES ('summary'), ('detail')) v(variant) WHERE variant = 'summary' OR kind = 'import' OR word = 'express'
+      UNION ALL SELECT {KEY}, line_no, 99, 'Express', 0.2, 'router.' || method || ' usage', variant FROM routes, (VALUES ('summary'), ('detail')) v(variant))""",
+    "hints": f"""hints AS (SELECT {KEY}, variant, framework, min({{'l': line_no, 'p': pos}}) AS ord, list(reason ORDER BY line_no, pos) AS reasons,
+      least(1.0, CAST(arg_min(weight, {{'l': line_no, 'p': pos}}) AS DOUBLE) * 0.4 + 0.6 * sum(CAST(weight AS DOUBLE))) AS confidence FROM signals GROUP BY {KEY}, variant, framework)""",
+    "entries": f"""entries AS MATERIALIZED (SELECT {KEY}, variant, name, min(line_no) AS line_no FROM (SELECT {KEY}, variant, name, line_no FROM exports WHERE type = 'default'
+      UNION ALL SELECT {KEY}, variant, handler, line_no FROM routes, (VALUES ('summary'), ('detail')) v(variant) WHERE handler IS NOT NULL) GROUP BY {KEY}, variant, name)""",
+})
+
+
+def any_of(x: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({x}, {q(w)})" for w in words) + ")"
+
+
+LOWER_PATH = "lower(f.file)"
+CTE["profiles"] = f"""facts AS (SELECT f.*, v.variant,
+    (SELECT count(*) FROM imports i WHERE i.repo = f.repo AND i.file = f.file AND i.seq = f.seq) AS import_count,
+    (SELECT count(*) FROM exports e WHERE e.repo = f.repo AND e.file = f.file AND e.seq = f.seq AND e.variant = v.variant) AS export_count,
+    (SELECT count(*) FROM functions e WHERE e.repo = f.repo AND e.file = f.file AND e.seq = f.seq AND e.variant = v.variant) AS function_count,
+    (SELECT count(*) FROM classes e WHERE e.repo = f.repo AND e.file = f.file AND e.seq = f.seq) AS class_count,
+    coalesce((SELECT bool_or(contains(source, 'jsonwebtoken')) FROM imports i WHERE i.repo = f.repo AND i.file = f.file AND i.seq = f.seq), false) AS jwt,
+    coalesce((SELECT bool_or(contains(source, 'bcrypt')) FROM imports i WHERE i.repo = f.repo AND i.file = f.file AND i.seq = f.seq), false) AS bcrypt,
+    coalesce((SELECT bool_or(contains(source, 'express')) FROM imports i WHERE i.repo = f.repo AND i.file = f.file AND i.seq = f.seq), false) AS express,
+    coalesce((SELECT list(h.framework ORDER BY h.ord) FROM hints h WHERE h.repo = f.repo AND h.file = f.file AND h.seq = f.seq AND h.variant = v.variant), {NO_TEXTS}) AS frameworks,
+    coalesce((SELECT list(e.name ORDER BY e.line_no) FROM entries e WHERE e.repo = f.repo AND e.file = f.file AND e.seq = f.seq AND e.variant = v.variant), {NO_TEXTS}) AS entry_names
+    FROM files f, (VALUES ('summary'), ('detail')) v(variant)),
+  roles AS (SELECT f.*, CASE
+    WHEN {any_of(LOWER_PATH, 'auth', 'login', 'session')} OR jwt OR bcrypt OR {word('lower(content)', 'jwt', 'token')} THEN {q(AUTH)}
+    WHEN {any_of(LOWER_PATH, 'controller', 'route')} OR (list_contains(frameworks, 'Express') AND {word('lower(content)', 'router')}) THEN {q(API)}
+    WHEN {any_of(LOWER_PATH, 'service')} OR {word('lower(content)', 'service')} THEN {q(SERVICE)}
+    WHEN {any_of(LOWER_PATH, 'repository', 'repo')} OR {word('lower(content)', 'schema', 'model')} THEN {q(DATA)}
+    WHEN list_contains(frameworks, 'React') OR {LOWER_PATH} LIKE '%.tsx' OR {LOWER_PATH} LIKE '%.jsx' OR {word('content', 'useState', 'useEffect')} THEN {q(UI)}
+    WHEN len(list_filter(entry_names, lambda e: {hits('e', ENTRY_HINT)})) > 0 THEN {q(AUTH)}
+    WHEN variant = 'detail' AND len(entry_names) > 0 AND contains({LOWER_PATH}, 'page') THEN {q(UI)} ELSE {q(GENERAL)} END AS module_purpose FROM facts f),
+  tags(module_purpose, tag_list) AS (VALUES {", ".join(f"({q(k)}, {array(v)})" for k, v in RESPONSIBILITIES.items())}),
+  profiles AS MATERIALIZED (SELECT f.* EXCLUDE (content), least(100, 40 + least(50, 8 * import_count + 4 * function_count + 6 * len(frameworks))) AS confidence,
+    list_concat(tag_list, CASE WHEN variant = 'detail' AND f.module_purpose = {q(AUTH)} AND bcrypt THEN ['Password Verification'] ELSE {NO_TEXTS} END,
+      CASE WHEN variant = 'detail' AND f.module_purpose = {q(AUTH)} AND jwt THEN ['Token Generation', 'Token Validation'] ELSE {NO_TEXTS} END,
+      CASE WHEN express AND NOT list_contains(tag_list, 'Routing') THEN ['Routing'] ELSE {NO_TEXTS} END,
+      CASE WHEN list_contains(frameworks, 'Next.js') THEN ['Page Rendering'] ELSE {NO_TEXTS} END) AS responsibilities FROM roles f JOIN tags USING (module_purpose))"""
+# distinct in first-seen order over a list of lists
+CTE["functions"] = CTE["functions"].replace(
+    "list_distinct_ordered(list(params ORDER BY line_no))",
+    "list_reduce(flatten(list(params ORDER BY line_no)), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[]))"
+    .replace("flatten(list(params ORDER BY line_no))", "list_transform(flatten(list(params ORDER BY line_no)), lambda x: [x])"))
+
+JSC = CODE + ["js"]
+SCOPED = JSC + ["scoped"]
+PROFILE = ["imports", "exports", "scoped", "functions", "classes", "routes", "signals", "hints", "entries", "profiles"]
+IMPORT_COLUMNS = f"repo, file, line_no, source, alias, type, {joined('specifiers')} AS specifiers"
+
+add("ext_imports", JSC + ["imports"], f"SELECT {IMPORT_COLUMNS} FROM imports WHERE kind = 'import'")
+add("ext_requires", JSC + ["imports"], f"SELECT {IMPORT_COLUMNS} FROM imports WHERE kind = 'require'")
+add("ext_bindings", JSC + ["imports"], """SELECT repo, file, line_no, pos, source, b.imported AS imported, b."local" AS "local"
+  FROM (SELECT *, unnest(bindings) AS b, unnest(generate_series(0, len(bindings) - 1)) AS pos FROM imports WHERE len(bindings) > 0)""")
+add("ext_exports", JSC + ["exports"], "SELECT variant, repo, file, line_no, name, type, alias FROM exports WHERE type = 'named'")
+add("ext_default_export", JSC + ["exports"], "SELECT variant, repo, file, line_no, name, type, alias FROM exports WHERE type = 'default'")
+FN_COLUMNS = f"variant, repo, file, line_no, name, {joined('params')} AS params, exported, is_async, is_arrow, type"
+add("ext_functions", SCOPED + ["functions"], f"SELECT {FN_COLUMNS} FROM function_rows WHERE type <> 'method'")
+add("ext_methods", SCOPED + ["functions"], f"SELECT variant, repo, file, line_no, name, {joined('params')} AS params, is_async FROM function_rows WHERE type = 'method'")
+add("ext_classes", SCOPED + ["classes"], f"SELECT repo, file, line_no, name, nullif(extends, '') AS extends, exported, {joined('methods')} AS methods FROM classes")
+add("ext_params", SCOPED + ["functions"], """SELECT repo, file, line_no, name, unnest(generate_series(0, len(params) - 1)) AS pos, unnest(params) AS param
+  FROM function_rows WHERE variant = 'detail' AND len(params) > 0""")
+add("ext_calls", SCOPED + ["edges"], "SELECT repo, file, caller, callee, ord.l AS line_no, ord.p AS pos FROM edges WHERE variant = 'summary'")
+add("ext_file_calls", SCOPED + ["edges"], "SELECT repo, file, caller, path, line_no, 'http' AS type FROM file_calls")
+add("ext_routes", JSC + ["routes"], "SELECT repo, file, line_no, method, handler FROM routes")
+add("ext_merge_symbols", SCOPED + ["functions"], f"SELECT {FN_COLUMNS} FROM functions")
+add("ext_backfill_calls", SCOPED + ["functions", "edges"], f"""SELECT f.repo, f.file, f.name, {joined('list(e.callee ORDER BY e.ord) FILTER (e.callee IS NOT NULL)')} AS calls
+  FROM functions f LEFT JOIN edges e ON e.repo = f.repo AND e.file = f.file AND e.seq = f.seq AND e.variant = 'summary' AND e.caller = f.name
+  WHERE f.variant = 'summary' GROUP BY f.repo, f.file, f.seq, f.name""")
+add("ext_deps", JSC + ["imports", "deps"], "SELECT repo, file, dependency, line_no FROM deps")
+add("ext_frameworks", JSC + ["imports", "routes", "signals"],
+    "SELECT variant, repo, file, line_no, framework, round(CAST(weight AS DOUBLE), 6) AS weight, reason FROM signals")
+add("ext_hint_score", JSC + ["imports", "routes", "signals", "hints"], f"""SELECT repo, file, framework, round(confidence, 6) AS confidence,
+  {joined("list_reduce(list_transform(reasons, lambda x: [x]), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[]))")} AS reason FROM hints WHERE variant = 'summary'""")
+add("ext_responsibilities", JSC + PROFILE, f"SELECT variant, repo, file, {joined('responsibilities')} AS responsibilities FROM profiles")
+add("ext_confidence", JSC + PROFILE, "SELECT variant, repo, file, CAST(confidence AS BIGINT) AS confidence FROM profiles")
+add("ext_status", ["code_corpus"], f"SELECT repo, file, CASE WHEN {file_type('file')} IN {in_list(STATUS_EXTENSIONS)} THEN 'analyzed' ELSE 'unsupported' END AS ast_status FROM corpus")
+# roles of both corpora: the second one gets its own names
+_ROLE_CODE = ",\n".join(CTE[c].strip() for c in JSC + PROFILE)
+_ROLE_LINE = ",\n".join(CTE[c].strip() for c in LINE + ["js"] + PROFILE)
+ORACLE["ext_role"] = (f"SELECT variant, repo, file, module_purpose FROM (WITH {_ROLE_CODE} SELECT * FROM profiles) a UNION ALL "
+                      f"SELECT 'lines', repo, file, module_purpose FROM (WITH {_ROLE_LINE} SELECT * FROM profiles WHERE variant = 'summary') b")
