@@ -421,3 +421,234 @@ _ROLE_CODE = ",\n".join(CTE[c].strip() for c in JSC + PROFILE)
 _ROLE_LINE = ",\n".join(CTE[c].strip() for c in LINE + ["js"] + PROFILE)
 ORACLE["ext_role"] = (f"SELECT variant, repo, file, module_purpose FROM (WITH {_ROLE_CODE} SELECT * FROM profiles) a UNION ALL "
                       f"SELECT 'lines', repo, file, module_purpose FROM (WITH {_ROLE_LINE} SELECT * FROM profiles WHERE variant = 'summary') b")
+
+# --- metadata, joins --------------------------------------------------------------------------
+def per_file(columns: str, table: str, where: str = "true") -> str:
+    """Correlated list over one file of ``f``."""
+    return f"(SELECT {columns} FROM {table} x WHERE x.repo = f.repo AND x.file = f.file AND x.seq = f.seq AND {where})"
+
+
+CTE["titles"] = """titles AS (SELECT repo, file, list(title ORDER BY first) AS names FROM (
+    SELECT repo, file, title, min({'l': line, 'r': rule_ord}) AS first FROM findings GROUP BY ALL) GROUP BY repo, file)"""
+S = "x.variant = 'summary'"
+add("ext_metadata", CODE + FIND + ["js"] + PROFILE + ["edges", "deps", "titles"], f"""SELECT f.repo, f.file, f.file_type, f.module_purpose, CAST(f.confidence AS BIGINT) AS confidence,
+  {per_file('count(*)', 'lines', hits('x.line', NOT_BLANK))} AS lines_of_code, f.function_count, f.class_count, f.import_count, f.export_count,
+  {joined(per_file("list(source || ':' || type ORDER BY line_no)", 'imports'))} AS imports,
+  {joined(per_file("list(name || ':' || type ORDER BY line_no, pos)", 'exports', S))} AS exports,
+  {joined(per_file("list(name || ':' || " + joined("(SELECT list(e.callee ORDER BY e.ord) FROM edges e WHERE e.repo = x.repo AND e.file = x.file AND e.seq = x.seq AND e.variant = 'summary' AND e.caller = x.name)", ",") + " ORDER BY line_no)", 'functions', S))} AS functions,
+  {joined(per_file("list(name || ':' || " + joined('methods', ',') + " ORDER BY line_no)", 'classes'))} AS classes,
+  {joined(per_file("list(caller || '>' || callee ORDER BY ord)", 'edges', S))} AS call_graph,
+  {joined('f.frameworks')} AS frameworks, {joined('t.names')} AS finding_titles, {joined('f.entry_names')} AS entry_points,
+  {joined(per_file('list(dependency ORDER BY line_no)', 'deps'))} AS dependencies
+  FROM profiles f LEFT JOIN titles t ON t.repo = f.repo AND t.file = f.file WHERE f.variant = 'summary'""")
+
+add("jn_file_findings", LINE + FIND, f"""SELECT f.repo, f.file, f.seq, count(x.id) AS finding_count,
+  {joined("list(x.line || ':' || x.title ORDER BY x.line, x.rule_ord) FILTER (x.id IS NOT NULL)")} AS findings
+  FROM files f LEFT JOIN findings x ON x.repo = f.repo AND x.file = f.file GROUP BY f.repo, f.file, f.seq""")
+add("jn_select_file", LINE + FIND, """SELECT 'one' AS pick, repo, id FROM findings WHERE file = 'src/f1.ts'
+  UNION ALL SELECT 'list', repo, id FROM findings WHERE file_type = '.php'""")
+
+SUFFIX_ROWS = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(("",) + IMPORT_SUFFIXES))
+CTE["known"] = "known AS MATERIALIZED (SELECT DISTINCT repo, file FROM corpus)"
+CTE["targets"] = f"""suffixes(n, suffix) AS (VALUES {SUFFIX_ROWS}),
+  bases AS (SELECT *, CASE WHEN source LIKE '/%' THEN {fold('source')} WHEN source LIKE '.%' THEN {fold(parent('file') + " || '/' || source")} END AS base FROM imports),
+  targets AS MATERIALIZED (SELECT b.* , t.target FROM bases b LEFT JOIN (SELECT DISTINCT ON (repo, base) repo, base, target FROM (
+      SELECT c.repo, c.base, c.n, c.base || c.suffix AS target FROM (SELECT DISTINCT repo, base, n, suffix FROM bases, suffixes WHERE base IS NOT NULL) c
+      JOIN (SELECT DISTINCT repo, replace(file, '\\', '/') AS path FROM known) k ON k.repo = c.repo AND k.path = c.base || c.suffix) ORDER BY repo, base, n) t USING (repo, base))"""
+CTE["bound"] = f"""binding_rows AS (SELECT {KEY}, line_no, pos, target, b.imported AS imported, b."local" AS bound_name FROM (
+      SELECT *, unnest(bindings) AS b, unnest(generate_series(0, len(bindings) - 1)) AS pos FROM targets WHERE target IS NOT NULL AND len(bindings) > 0)),
+  bound AS MATERIALIZED (SELECT DISTINCT ON ({KEY}, bound_name) * FROM binding_rows ORDER BY {KEY}, bound_name, line_no, pos),
+  default_names AS (SELECT DISTINCT ON (repo, path) repo, replace(file, '\\', '/') AS path, name FROM exports WHERE type = 'default' AND variant = 'detail' ORDER BY repo, path, line_no, pos)"""
+CTE["calls"] = """detail_functions AS MATERIALIZED (SELECT repo, file, seq, name, line_no FROM functions WHERE variant = 'detail'),
+  call_targets AS (SELECT e.repo, e.file, e.seq, e.caller, e.callee, e.ord, l.name IS NOT NULL AS is_local,
+      CASE WHEN l.name IS NULL THEN b.target END AS target_file, CASE WHEN l.name IS NULL THEN CASE WHEN b.imported = 'default' THEN dn.name ELSE b.imported END END AS wanted
+    FROM (SELECT * FROM edges WHERE variant = 'detail') e
+    LEFT JOIN detail_functions l ON l.repo = e.repo AND l.file = e.file AND l.seq = e.seq AND l.name = e.callee
+    LEFT JOIN bound b ON b.repo = e.repo AND b.file = e.file AND b.seq = e.seq AND b.bound_name = e.callee
+    LEFT JOIN default_names dn ON dn.repo = e.repo AND dn.path = b.target),
+  calls AS MATERIALIZED (SELECT t.*, CASE WHEN r.name IS NOT NULL THEN wanted ELSE callee END AS target_name, is_local OR r.name IS NOT NULL AS resolved
+    FROM call_targets t LEFT JOIN (SELECT DISTINCT repo, file, name FROM detail_functions) r ON r.repo = t.repo AND r.file = t.target_file AND r.name = t.wanted)"""
+CUT = ext("path", "^[^?#]*", 0)
+CTE["requests"] = f"""asked AS (SELECT *, {fold("CASE WHEN bare LIKE '/%' THEN bare ELSE " + parent('file') + " || '/' || bare END")} AS candidate FROM (SELECT *,
+      CASE WHEN lower({CUT}) LIKE 'http://%' OR lower({CUT}) LIKE 'https://%' THEN '/' || regexp_replace({CUT}, '(?i)^https?://[^/]*/?', '') ELSE {CUT} END AS bare FROM file_calls)),
+  paths AS MATERIALIZED (SELECT repo, {fold('file')} AS path FROM known),
+  ends AS (SELECT repo, path, array_to_string(string_split(path, '/')[i:], '/') AS ending FROM (SELECT *, unnest(generate_series(2, len(string_split(path, '/')))) AS i FROM paths)),
+  single AS (SELECT repo, ending, min(path) AS path FROM ends GROUP BY ALL HAVING count(*) = 1),
+  requests AS MATERIALIZED (SELECT a.*, coalesce(p.path, s.path) AS target FROM asked a LEFT JOIN (SELECT DISTINCT repo, path FROM paths) p ON p.repo = a.repo AND p.path = a.candidate
+    LEFT JOIN single s ON s.repo = a.repo AND s.ending = a.candidate)"""
+JOINS = ["imports", "exports", "scoped", "functions", "edges", "known", "targets", "bound", "calls", "requests"]
+add("jn_import_path", JSC + ["imports", "known", "targets"], "SELECT repo, file, line_no, source, target FROM targets")
+add("jn_binding", JSC + JOINS, "SELECT repo, file, caller, callee, is_local, target_file, target_name, resolved FROM calls")
+add("jn_default_export", JSC + JOINS, """SELECT b.repo, b.file, b.bound_name AS "local", b.target, d.name AS exported_name FROM bound b
+  LEFT JOIN default_names d ON d.repo = b.repo AND d.path = b.target WHERE b.imported = 'default'""")
+
+
+def over_both(name: str, ctes: list[str], select: str, recursive: bool = False) -> None:
+    """The same select over both corpora, told apart by ``corpus``."""
+    parts = []
+    for corpus in ("code", "line"):
+        head = ",\n".join(CTE[c].strip() for c in [f"{corpus}_corpus", "files", "lines", "js"] + ctes)
+        parts.append(f"SELECT {q(corpus)} AS corpus, z.* FROM (WITH {'RECURSIVE ' if recursive else ''}{head} {select}) z")
+    ORACLE[name] = " UNION ALL ".join(parts)
+
+
+over_both("jn_file_call", ["scoped", "edges", "known", "requests"], "SELECT repo, file, caller, path, target FROM requests")
+
+# --- aggregates, ranks -----------------------------------------------------------------------------
+LEVELS = ", ".join(f"count(*) FILTER (severity = {q(s)}) AS {s.lower()}" for s in SEVERITY_WEIGHTS)
+add("agg_severity", LINE + FIND, f"SELECT repo, {LEVELS} FROM findings GROUP BY repo")
+add("agg_risk", LINE + FIND, "SELECT count(*) AS finding_count, CAST(coalesce(sum(weight), 0) AS BIGINT) AS risk_score FROM findings")
+CTE["file_risk"] = 'file_risk AS (SELECT repo, file, count(*) AS "count", CAST(sum(weight) AS BIGINT) AS risk_score, min(seq) AS first_seq FROM findings GROUP BY repo, file)'
+add("agg_file_risk", LINE + FIND + ["file_risk"], 'SELECT repo, file, "count", risk_score FROM file_risk')
+RESULT = CODE + FIND + ["js"] + PROFILE + ["deps"]
+CTE["summary"] = "summary AS (SELECT * FROM profiles WHERE variant = 'summary')"
+
+
+def first_seen(value: str, order: str, rows: str, limit: int, key: str = "repo, module_purpose") -> str:
+    return (f"(SELECT {key}, list({value} ORDER BY o)[1:{limit}] AS v FROM (SELECT {key}, {value}, min({order}) AS o FROM {rows} GROUP BY ALL) GROUP BY {key})")
+
+
+CTE["modules"] = f"""module_titles AS (SELECT p.repo, p.module_purpose, p.seq, f.title, f.line, f.rule_ord FROM summary p JOIN findings f USING (repo, file)),
+  module_deps AS (SELECT p.repo, p.module_purpose, p.seq, d.dependency, d.line_no FROM summary p JOIN deps d USING (repo, file, seq)),
+  module_frameworks AS (SELECT p.repo, p.module_purpose, p.seq, h.framework, h.ord FROM summary p JOIN hints h USING (repo, file, seq) WHERE h.variant = 'summary'),
+  module_base AS (SELECT p.repo, p.module_purpose, count(DISTINCT p.file) AS file_count, count(f.id) AS finding_count, CAST(coalesce(sum(f.weight), 0) AS BIGINT) AS risk_score, min(p.seq) AS first_seq
+    FROM summary p LEFT JOIN findings f ON f.repo = p.repo AND f.file = p.file GROUP BY p.repo, p.module_purpose),
+  modules AS MATERIALIZED (SELECT b.*, t.v AS top_findings, d.v AS dependencies, w.v AS frameworks,
+      row_number() OVER (PARTITION BY repo ORDER BY risk_score DESC, finding_count DESC, first_seq) AS rank FROM module_base b
+    LEFT JOIN {first_seen('title', "{'s': seq, 'l': line, 'r': rule_ord}", 'module_titles', A.MODULE_TITLES)} t USING (repo, module_purpose)
+    LEFT JOIN {first_seen('dependency', "{'s': seq, 'l': line_no}", 'module_deps', A.MODULE_DEPS)} d USING (repo, module_purpose)
+    LEFT JOIN {first_seen('framework', "{'s': seq, 'o': ord}", 'module_frameworks', A.MODULE_FRAMEWORKS)} w USING (repo, module_purpose))"""
+CTE["repos"] = f"""repos AS MATERIALIZED (SELECT c.repo, c.n AS file_count, coalesce(s.n, 0) AS scanned_file_count, coalesce(f.n, 0) AS finding_count, coalesce(f.risk, 0) AS risk_score,
+      coalesce(f.critical, 0) AS critical, coalesce(f.high, 0) AS high, coalesce(f.medium, 0) AS medium, coalesce(f.low, 0) AS low, w.v AS frameworks, d.v AS dependencies
+    FROM (SELECT repo, count(*) AS n FROM corpus GROUP BY repo) c LEFT JOIN (SELECT repo, count(*) AS n FROM summary GROUP BY repo) s USING (repo)
+    LEFT JOIN (SELECT repo, count(*) AS n, CAST(sum(weight) AS BIGINT) AS risk, {LEVELS} FROM findings GROUP BY repo) f USING (repo)
+    LEFT JOIN {first_seen('framework', "{'s': seq, 'o': ord}", "(SELECT * FROM hints WHERE variant = 'summary')", A.REPO_FRAMEWORKS, 'repo')} w USING (repo)
+    LEFT JOIN {first_seen('dependency', "{'s': seq, 'l': line_no}", 'deps', A.REPO_DEPS, 'repo')} d USING (repo))"""
+ROLLUP = RESULT + ["summary", "modules", "repos"]
+LISTS = f"{joined('dependencies')} AS dependencies, {joined('frameworks')} AS frameworks"
+add("agg_module", ROLLUP, f"SELECT repo, module_purpose, file_count, finding_count, risk_score, {joined('top_findings')} AS top_findings, {LISTS} FROM modules")
+add("agg_module_files", RESULT + ["summary"], "SELECT repo, module_purpose, seq, file FROM summary")
+add("agg_ordered_distinct", LINE + FIND, f"SELECT repo, {joined('v')} AS titles FROM {first_seen('title', chr(123) + chr(39) + 's' + chr(39) + ': seq, ' + chr(39) + 'l' + chr(39) + ': line, ' + chr(39) + 'r' + chr(39) + ': rule_ord}', 'findings', 7, 'repo')}")
+add("agg_repo", ROLLUP, f"SELECT repo, file_count, scanned_file_count, finding_count, risk_score, critical, high, medium, low, {LISTS} FROM repos")
+add("agg_overview", ROLLUP, f"""SELECT repo, pos, label, value, subtext FROM (
+  SELECT repo, CAST(1 AS BIGINT) AS pos, 'Files opened' AS label, scanned_file_count AS value, file_count || ' discovered' AS subtext FROM repos
+  UNION ALL SELECT repo, 2, 'Risk score', risk_score, {q(A.WEIGHTS_TEXT)} FROM repos
+  UNION ALL SELECT repo, 3, 'Findings', finding_count, critical || ' critical, ' || high || ' high' FROM repos
+  UNION ALL SELECT r.repo, 4, 'Modules', (SELECT count(*) FROM modules m WHERE m.repo = r.repo), coalesce(nullif({joined('frameworks[1:3]', ', ')}, ''), {q(A.NO_FRAMEWORK_TEXT)}) FROM repos r)""")
+add("agg_titles", LINE + FIND + ["titles"], f"SELECT repo, file, {joined('names')} AS finding_titles FROM titles")
+add("rnk_hotspots", LINE + FIND + ["file_risk"], """SELECT * FROM (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY risk_score DESC, first_seq, file) AS rank, file, "count", risk_score FROM file_risk) WHERE rank <= 5""")
+add("rnk_modules", ROLLUP, "SELECT repo, rank, module_purpose, risk_score, finding_count FROM modules")
+CTE["payload_files"] = f"""payload_files AS MATERIALIZED (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.repo ORDER BY f.seq, f.file) AS rank,
+      (SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) FROM findings x WHERE x.repo = f.repo AND x.file = f.file) AS risk,
+      (SELECT list(x.line || ':' || x.title ORDER BY x.line, x.rule_ord)[1:8] FROM findings x WHERE x.repo = f.repo AND x.file = f.file) AS items,
+      {per_file('list(dependency ORDER BY line_no)[1:5]', 'deps')} AS dependencies, {per_file('count(*)', 'lines', hits('x.line', NOT_BLANK))} AS loc FROM summary f) WHERE rank <= 25)"""
+add("rnk_payload_caps", ROLLUP + ["payload_files"], f"""SELECT repo, file, rank, risk, module_purpose, {joined('entry_names[1:5]')} AS entry_points,
+  {joined('frameworks[1:5]')} AS frameworks, {joined('dependencies')} AS dependencies, {joined('items')} AS findings FROM payload_files""")
+add("rnk_listing", ["line_corpus"], "SELECT * FROM (SELECT repo, file, seq, row_number() OVER (PARTITION BY repo ORDER BY seq, file) AS rank FROM corpus) WHERE rank <= 80")
+add("rnk_selected_first", LINE, "SELECT repo, file, seq FROM files ORDER BY file <> 'src/f1.ts', repo, seq")
+
+# --- merge --------------------------------------------------------------------------------------------
+add("set_known_files", ["code_corpus", "files"], "SELECT repo, file FROM corpus WHERE seq % 3 = 0 UNION SELECT repo, file FROM files")
+add("set_merge_metadata", LINE, f"""SELECT repo, file, CASE WHEN seq % 4 <> 0 AND seq % 3 = 0 THEN 1 ELSE count(*) FILTER ({hits('line', NOT_BLANK)}) END AS loc,
+  CAST(CASE WHEN seq % 4 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS version, CAST(0 AS BIGINT) AS first_version, seq AS first_seq FROM lines GROUP BY repo, file, seq""")
+add("set_merge_findings", LINE + FIND, """SELECT 'keep' AS mode, repo, id, CAST(CASE WHEN seq % 4 <> 0 AND seq % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS version FROM findings
+  UNION ALL SELECT 'replace', repo, id, CASE WHEN seq % 4 <> 0 THEN 1 ELSE 0 END FROM findings WHERE seq % 4 = 0 OR seq % 3 <> 0""")
+add("set_merge_summary", LINE + FIND, f"""SELECT r.repo, CASE WHEN r.repo = 'repo3' THEN 1 ELSE c.n END AS file_count, r.n AS scanned_file_count, coalesce(f.finding_count, 0) AS finding_count,
+  coalesce(f.risk_score, 0) AS risk_score, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low
+  FROM (SELECT repo, count(*) AS n FROM files GROUP BY repo) r JOIN (SELECT repo, count(*) AS n FROM corpus GROUP BY repo) c USING (repo)
+  LEFT JOIN (SELECT repo, count(*) AS finding_count, CAST(sum(weight) AS BIGINT) AS risk_score, {LEVELS} FROM findings GROUP BY repo) f USING (repo)""")
+
+# --- graph ------------------------------------------------------------------------------------------------
+CTE["graph"] = """links AS MATERIALIZED (
+    SELECT c.repo, c.seq, c.file, 1 AS phase, c.ord.l AS line, c.ord.p AS pos, 'function:' || c.file || ':' || CASE WHEN d.name IS NULL THEN '<module>' ELSE c.caller END AS source, d.name IS NULL AS from_module,
+      CASE WHEN c.resolved THEN 'function:' ELSE 'external:' END || coalesce(c.target_file, c.file) || ':' || c.target_name AS target, c.target_name AS name, coalesce(c.target_file, c.file) AS file_path,
+      CASE WHEN c.resolved THEN 'function' ELSE 'external' END AS kind, CAST(NULL AS VARCHAR) AS label, c.resolved
+    FROM calls c LEFT JOIN detail_functions d ON d.repo = c.repo AND d.file = c.file AND d.seq = c.seq AND d.name = c.caller WHERE d.name IS NOT NULL OR c.caller = 'root'
+    UNION ALL SELECT r.repo, r.seq, r.file, 2, r.line_no, 0, 'function:' || r.file || ':' || CASE WHEN d.name IS NULL THEN '<module>' ELSE r.caller END, d.name IS NULL,
+      CASE WHEN r.target IS NULL THEN 'external:' || r.file || ':' || r.path ELSE 'file:' || r.target END, string_split(coalesce(r.target, r.path), '/')[-1], coalesce(r.target, r.path),
+      CASE WHEN a.path IS NULL THEN 'external' ELSE 'file' END, 'HTTP', a.path IS NOT NULL
+    FROM requests r LEFT JOIN detail_functions d ON d.repo = r.repo AND d.file = r.file AND d.seq = r.seq AND d.name = r.caller
+    LEFT JOIN (SELECT DISTINCT repo, replace(file, '\\', '/') AS path FROM files) a ON a.repo = r.repo AND a.path = r.target WHERE d.name IS NOT NULL OR r.caller = 'root'),
+  mentions AS (SELECT repo, 'function:' || file || ':' || name AS id, name, file AS file_path, 'function' AS kind, {'p': 0, 's': seq, 'f': file, 'l': line_no, 'o': 0, 'u': 0} AS node_ord FROM detail_functions
+    UNION ALL SELECT repo, source, 'module', file, 'function', {'p': phase, 's': seq, 'f': file, 'l': line, 'o': pos, 'u': 0} FROM links WHERE from_module
+    UNION ALL SELECT repo, target, name, file_path, kind, {'p': phase, 's': seq, 'f': file, 'l': line, 'o': pos, 'u': 1} FROM links),
+  nodes AS MATERIALIZED (SELECT DISTINCT ON (repo, id) * FROM mentions ORDER BY repo, id, node_ord),
+  graph_edges AS MATERIALIZED (SELECT DISTINCT ON (repo, source, target) * FROM links ORDER BY repo, source, target, phase, seq, file, line, pos)"""
+GRAPH = JOINS + ["graph"]
+over_both("gr_nodes", GRAPH, "SELECT repo, id, name, file_path, kind FROM nodes")
+over_both("gr_call_edges", GRAPH, "SELECT repo, source, target, resolved FROM graph_edges WHERE label IS NULL")
+over_both("gr_file_edges", GRAPH, "SELECT repo, source, target, label, resolved FROM graph_edges WHERE label = 'HTTP'")
+DEPTH = 64
+CTE["walk"] = f"""walk(repo, id, depth) AS (SELECT repo, id, 0 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM graph_edges e WHERE e.repo = n.repo AND e.target = n.id)
+    UNION SELECT w.repo, e.target, w.depth + 1 FROM walk w JOIN graph_edges e ON e.repo = w.repo AND e.source = w.id WHERE w.depth < {DEPTH}),
+  reached AS (SELECT repo, id, min(depth) AS rank FROM walk GROUP BY repo, id),
+  ranks AS MATERIALIZED (SELECT n.repo, n.id, n.node_ord, CAST(coalesce(r.rank, coalesce(m.deepest, 0) + 1) AS BIGINT) AS rank FROM nodes n LEFT JOIN reached r USING (repo, id)
+    LEFT JOIN (SELECT repo, max(rank) AS deepest FROM reached GROUP BY repo) m USING (repo))"""
+over_both("gr_rank", GRAPH + ["walk"], "SELECT repo, id, rank FROM ranks", recursive=True)
+LINE_GRAPH = LINE + ["js"] + GRAPH
+add("gr_layout", LINE_GRAPH + ["walk"], f"""SELECT repo, id, rank * {COLUMN_WIDTH} AS x, (row_number() OVER (PARTITION BY repo, rank ORDER BY node_ord, id) - 1) * {ROW_HEIGHT} AS y FROM ranks""", recursive=True)
+add("agg_graph", LINE_GRAPH, """SELECT n.repo, coalesce(f.n, 0) AS total_functions, n.n AS node_count, coalesce(e.n, 0) AS edge_count, n.entry_nodes, n.max_in_degree
+  FROM (SELECT repo, count(*) AS n, count(*) FILTER (d = 0) AS entry_nodes, max(d) AS max_in_degree FROM (SELECT n.repo, n.id, count(e.source) AS d FROM nodes n
+      LEFT JOIN graph_edges e ON e.repo = n.repo AND e.target = n.id GROUP BY n.repo, n.id) GROUP BY repo) n
+  LEFT JOIN (SELECT repo, count(*) AS n FROM graph_edges GROUP BY repo) e USING (repo) LEFT JOIN (SELECT repo, count(*) AS n FROM detail_functions GROUP BY repo) f USING (repo)""")
+add("gr_caps", LINE_GRAPH, f"""SELECT repo, count(DISTINCT n.id) > {NODE_CAP} OR count(DISTINCT e.eid) > {EDGE_CAP} AS truncated, least(count(DISTINCT n.id), {NODE_CAP}) AS nodes,
+    least(count(DISTINCT e.eid) FILTER (e.inside), {EDGE_CAP}) AS edges
+  FROM (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY node_ord, id) AS r FROM nodes) n LEFT JOIN (SELECT g.repo, g.source || '->' || g.target AS eid, s.r <= {NODE_CAP} AND t.r <= {NODE_CAP} AS inside
+    FROM graph_edges g JOIN (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY node_ord, id) AS r FROM nodes) s ON s.repo = g.repo AND s.id = g.source
+    JOIN (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY node_ord, id) AS r FROM nodes) t ON t.repo = g.repo AND t.id = g.target) e USING (repo) GROUP BY repo""")
+
+# --- payloads ---------------------------------------------------------------------------------------------------
+add("pay_compact", ROLLUP + ["payload_files", "file_risk"], f"""SELECT repo, 'repo|' || file_count || '|' || risk_score || '|' || {joined('frameworks', ',')} AS item FROM repos
+  UNION ALL SELECT repo, 'hotspot|' || file || '|' || risk_score FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY risk_score DESC, first_seq, file) AS r FROM file_risk) WHERE r <= 5
+  UNION ALL SELECT repo, 'module|' || module_purpose || '|' || finding_count || '|' || {joined('dependencies[1:5]', ',')} FROM modules WHERE rank <= 8
+  UNION ALL SELECT repo, 'file|' || file || '|' || risk || '|' || loc || '|' || {joined('items', ',')} FROM payload_files""")
+add("pay_key", [], """SELECT doc_id, length(text) || ':' || list_reduce(list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT)),
+    lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, CAST(0 AS BIGINT)) AS key FROM documents""")
+add("pay_cache", LINE + FIND, "SELECT repo, seq, id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM findings c WHERE c.code = f.code AND c.seq % 2 = 0)")
+
+
+def filled(template: str, **values: str) -> str:
+    out = q(template)
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+add("pay_prompt_repo", [], "SELECT page_id, " + filled(
+    P.REPO_PROMPT, mode=f"CASE WHEN page_id % 2 = 0 THEN {q(P.MODE_TEXT['dev'])} ELSE {q(P.MODE_TEXT['repo'])} END", url="url",
+    payload="'{\"id\":' || page_id || '}'") + " AS prompt FROM pages")
+add("pay_prompt_finding", LINE + FIND, "SELECT repo, id, md5(" + filled(
+    P.FINDING_PROMPT, title="title", file="file", line="line", code="code", snippet="context") + ") AS prompt_md5 FROM findings")
+D = "x.variant = 'detail'"
+FN_TEXT = "name || '() · line ' || line_no || CASE WHEN is_async THEN ' · async' ELSE '' END"
+CLASS_TEXT = "name || CASE WHEN extends <> '' THEN ' extends ' || extends ELSE '' END || ' · ' || coalesce(len(methods), 0) || ' methods'"
+BIND_TEXT = "CASE WHEN len(bindings) = 0 THEN 'side effect' ELSE array_to_string(list_transform(bindings, lambda b: b.imported || ' as ' || b.\"local\"), ', ') END"
+add("pay_listing", JSC + PROFILE, f"""SELECT f.repo, f.file,
+  {joined(per_file(f"list({FN_TEXT} ORDER BY line_no)", 'functions', D))} AS functions,
+  {joined(per_file("list(name || ' · ' || type || ' · line ' || line_no ORDER BY line_no, pos)", 'exports', D))} AS exports,
+  {joined(per_file(f"list({CLASS_TEXT} ORDER BY line_no)", 'classes'))} AS classes,
+  {joined(per_file("list(framework || ' · ' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '% confidence' ORDER BY ord)", 'hints', D))} AS frameworks,
+  {joined(per_file(f"list(source || ' → ' || {BIND_TEXT} ORDER BY line_no)", 'imports'))} AS imports
+  FROM profiles f WHERE f.variant = 'detail'""")
+
+# --- streaming: the same rows as a batch run --------------------------------------------------------------------------
+add("str_scan", LINE + FIND, f"SELECT repo, id, seq, CAST(line AS BIGINT) AS line, severity, {level_case('title', 'source', 'context')} AS story_confidence FROM findings")
+LINE_RESULT = LINE + FIND + ["js"] + PROFILE + ["summary"]
+add("str_merge", LINE_RESULT, """SELECT 'finding' AS kind, repo, id AS key, severity AS value FROM findings
+  UNION ALL SELECT 'file', repo, file, module_purpose FROM summary""")
+add("str_summary", LINE_RESULT + ["deps", "repos"], "SELECT repo, file_count, scanned_file_count, finding_count, risk_score, critical, high, medium, low FROM repos")
+
+# --- metrics --------------------------------------------------------------------------------------------------------------
+CTE["outcome"] = f"""doc_lines AS (SELECT doc_id, unnest(string_split_regex(text, {q(chr(92) + 'r?' + chr(92) + 'n')})) AS line FROM documents),
+  outcome AS (SELECT l.doc_id, count(*) FILTER ({hits('line', NOT_BLANK)}) AS loc, l.quality = 0 AS vulnerable,
+      bool_or({hits('line', RULES[0].pattern)} AND NOT contains(line, 'scan-ignore') AND NOT list_contains(list_transform({array(COMMENT_MARKERS)}, lambda m: starts_with({trim('line')}, m)), true)) AS alert
+    FROM labels l JOIN doc_lines d USING (doc_id) GROUP BY l.doc_id, l.quality)"""
+add("ev_scores", ["outcome"], """SELECT *, CASE WHEN true_alerts + false_alerts > 0 THEN round(true_alerts / (true_alerts + false_alerts), 6) ELSE 0.0 END AS precision,
+  CASE WHEN true_alerts + missed > 0 THEN round(true_alerts / (true_alerts + missed), 6) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * true_alerts + missed + false_alerts > 0 THEN round(2 * true_alerts / (2 * true_alerts + missed + false_alerts), 6) ELSE 0.0 END AS f1
+  FROM (SELECT count(*) FILTER (alert AND vulnerable) AS true_alerts, count(*) FILTER (vulnerable AND NOT alert) AS missed, count(*) FILTER (alert AND NOT vulnerable) AS false_alerts FROM outcome)""")
+add("ev_density", ["outcome"], """SELECT false_alerts, "lines", round(1000 * false_alerts / "lines", 6) AS per_thousand_lines FROM (
+  SELECT count(*) FILTER (alert AND NOT vulnerable) AS false_alerts, CAST(sum(loc) AS BIGINT) AS "lines" FROM outcome)""")
+add("ev_by_group", LINE + FIND, """SELECT g.file_type, g.title, t.n AS files, g.n AS files_hit, round(g.n / t.n, 6) AS rate FROM (
+    SELECT file_type, title, count(DISTINCT repo || ':' || file) AS n FROM findings GROUP BY GROUPING SETS ((file_type, title), (file_type), (title), ())) g
+  JOIN (SELECT file_type, count(*) AS n FROM files GROUP BY ROLLUP (file_type)) t ON g.file_type IS NOT DISTINCT FROM t.file_type""")
