@@ -22,7 +22,7 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.select(*on).schema).withColumn("_hot", F.lit(True)) if rows else None
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows_at_most: int | None = None,
                 hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
     """Join ``left`` to ``right`` (unique on ``on``), spreading keys that are hot on the left.
 
@@ -30,8 +30,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     dealt to ``salts`` tasks and its one row on the right is repeated for each;
     all other rows join as before. The result is the plain join in every case.
     Keys beyond MAX_HOT_KEYS are joined unsalted and left to adaptive execution.
+    ``rows_at_most`` is a proven bound on the rows of ``left``: with no more rows
+    than ``hot_rows`` no key can be hot and the search is skipped.
     """
-    hot = hot_keys(left, on, hot_rows)
+    small = rows_at_most is not None and rows_at_most <= hot_rows
+    hot = None if small else hot_keys(left, on, hot_rows)
     if hot is None:
         return left.join(right, on, how)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]), F.lit(salts)).cast("int")

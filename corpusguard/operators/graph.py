@@ -49,10 +49,11 @@ def call_links(resolved_calls: DataFrame, functions: DataFrame) -> DataFrame:
         F.lit(1).alias("phase"), F.col("ord.line_no").alias("line"), F.col("ord.pos").alias("pos"))
 
 
-def file_links(resolved_file_calls: DataFrame, functions: DataFrame, analyzed: DataFrame) -> DataFrame:
+def file_links(resolved_file_calls: DataFrame, functions: DataFrame, analyzed: DataFrame,
+               rows_at_most: int | None = None) -> DataFrame:
     """HTTP edges; they count as resolved when the target file is analyzed."""
     done = analyzed.select("repo", T.forward_slashes(F.col("file")).alias("target"), F.lit(True).alias("_done")).distinct()
-    rows = lookup_join(with_caller(resolved_file_calls, functions), done, ["repo", "target"])
+    rows = lookup_join(with_caller(resolved_file_calls, functions), done, ["repo", "target"], rows_at_most=rows_at_most)
     hit = F.coalesce("_done", F.lit(False))
     shown = F.coalesce("target", "path")
     return rows.select(

@@ -40,10 +40,10 @@ def import_keys(known: DataFrame) -> DataFrame:
             .groupBy("repo", "base").agg(F.min_by("_path", "pos").alias("target")))
 
 
-def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, known: DataFrame, rows_at_most: int | None = None) -> DataFrame:
     """Add ``target``: the known file an import refers to, or null."""
     based = imports.withColumn("base", import_base(F.col("file"), F.col("source")))
-    return lookup_join(based, import_keys(known), ["repo", "base"]).drop("base")
+    return lookup_join(based, import_keys(known), ["repo", "base"], rows_at_most=rows_at_most).drop("base")
 
 
 def first_bindings(resolved_imports: DataFrame) -> DataFrame:
@@ -63,31 +63,39 @@ def default_export_names(exports: DataFrame) -> DataFrame:
             .agg(F.min_by("name", F.struct("line_no", "pos")).alias("default_name")))
 
 
-def with_exported_name(bound: DataFrame, exports: DataFrame) -> DataFrame:
+def with_exported_name(bound: DataFrame, exports: DataFrame, rows_at_most: int | None = None) -> DataFrame:
     """Name under which a bound target exports: ``default`` goes through its default export."""
-    joined = lookup_join(bound, default_export_names(exports), ["repo", "target"])
+    joined = lookup_join(bound, default_export_names(exports), ["repo", "target"], rows_at_most=rows_at_most)
     return (joined.withColumn("exported_name", F.when(F.col("imported") == "default", F.col("default_name"))
                               .otherwise(F.col("imported"))).drop("default_name"))
 
 
-def resolve_calls(edges: DataFrame, functions: DataFrame, resolved_imports: DataFrame, exports: DataFrame) -> DataFrame:
+def resolve_bindings(resolved_imports: DataFrame, functions: DataFrame, exports: DataFrame,
+                     rows_at_most: int | None = None) -> DataFrame:
+    """Per file and local name: target file, exported name, and whether that is a function there.
+
+    This is done once per binding, not once per call; calls then only meet their
+    own file's bindings, so a module everybody imports is no hot key for them.
+    """
+    bound = with_exported_name(first_bindings(resolved_imports), exports, rows_at_most)
+    remote = functions.select("repo", F.col("file").alias("target"), F.col("name").alias("exported_name"),
+                              F.lit(True).alias("is_remote")).distinct()
+    found = lookup_join(bound, remote, ["repo", "target", "exported_name"], rows_at_most=rows_at_most)
+    return found.select(*FILE, "local", "target", "exported_name", F.coalesce("is_remote", F.lit(False)).alias("is_remote"))
+
+
+def resolve_calls(edges: DataFrame, functions: DataFrame, resolved_bindings: DataFrame) -> DataFrame:
     """Where each call edge leads: a local function, an imported one, or an external name."""
     local = functions.select(*FILE, F.col("name").alias("callee"), F.lit(True).alias("is_local"))
-    bound = first_bindings(resolved_imports).withColumnRenamed("local", "callee")
+    bound = resolved_bindings.withColumnRenamed("local", "callee")
     placed = (edges.join(local, [*FILE, "callee"], "left").join(bound, [*FILE, "callee"], "left")
-              .withColumn("is_local", F.coalesce("is_local", F.lit(False)))
-              .withColumn("target", F.when(~F.col("is_local"), F.col("target")))
-              .withColumn("imported", F.when(~F.col("is_local"), F.col("imported"))))
-    named = with_exported_name(placed, exports)
-    remote = functions.select("repo", F.col("file").alias("target"), F.col("name").alias("exported_name"),
-                              F.lit(True).alias("is_remote")).distinct()
-    found = lookup_join(named, remote, ["repo", "target", "exported_name"])
-    is_remote = F.coalesce("is_remote", F.lit(False))
-    return found.select(
-        *FILE, "caller", "callee", "ord", "is_local",
-        F.col("target").alias("target_file"),
-        F.when(is_remote, F.col("exported_name")).otherwise(F.col("callee")).alias("target_name"),
-        (F.col("is_local") | is_remote).alias("resolved"))
+              .withColumn("is_local", F.coalesce("is_local", F.lit(False))))
+    imported = ~F.col("is_local") & F.col("target").isNotNull()
+    reached = imported & F.col("is_remote")
+    return placed.select(
+        *FILE, "caller", "callee", "ord", "is_local", F.when(imported, F.col("target")).alias("target_file"),
+        F.when(reached, F.col("exported_name")).otherwise(F.col("callee")).alias("target_name"),
+        (F.col("is_local") | reached).alias("resolved"))
 
 
 def request_path(file: Column, path: Column) -> Column:
@@ -114,7 +122,7 @@ def path_endings(known: DataFrame) -> DataFrame:
         .select("repo", "ending", F.when(F.col("_whole"), F.col("ending")).otherwise(F.col("_path")).alias("target")))
 
 
-def resolve_file_calls(file_calls: DataFrame, known: DataFrame) -> DataFrame:
+def resolve_file_calls(file_calls: DataFrame, known: DataFrame, rows_at_most: int | None = None) -> DataFrame:
     """Add ``target``: the file with exactly this path, else the only file that ends with it."""
     asked = file_calls.withColumn("ending", request_path(F.col("file"), F.col("path")))
-    return lookup_join(asked, path_endings(known), ["repo", "ending"]).drop("ending")
+    return lookup_join(asked, path_endings(known), ["repo", "ending"], rows_at_most=rows_at_most).drop("ending")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusguard.operators import graph as G, resolve as R, structure as S
 from corpusguard.session import materialized
@@ -27,8 +28,14 @@ def build_call_flow(files: DataFrame, known: DataFrame, events: DataFrame | None
     """
     events = materialized(S.events(files), "events") if events is None else events
     functions = S.functions(events, "detail")
-    imports = R.resolve_imports(S.all_imports(events), known)
-    calls = R.resolve_calls(S.call_edges(events, "detail"), functions, imports, S.exports(events, "detail"))
-    requests = R.resolve_file_calls(S.file_calls(events), known)
-    links = materialized(G.call_links(calls, functions).unionByName(G.file_links(requests, functions, files)), "links")
+    # one cheap pass over the written lines bounds the rows of every lookup below
+    imported = F.coalesce("imported", "required")
+    bounds = events.agg(F.count(imported).alias("imports"), F.coalesce(F.sum(F.size(imported["bindings"])), F.lit(0)).alias("bindings"),
+                        F.count("file_call").alias("requests")).first()
+    imports = R.resolve_imports(S.all_imports(events), known, bounds["imports"])
+    bindings = R.resolve_bindings(imports, functions, S.exports(events, "detail"), bounds["bindings"])
+    calls = R.resolve_calls(S.call_edges(events, "detail"), functions, bindings)
+    requests = R.resolve_file_calls(S.file_calls(events), known, bounds["requests"])
+    links = materialized(G.call_links(calls, functions).unionByName(
+        G.file_links(requests, functions, files, bounds["requests"])), "links")
     return CallFlow(functions, calls, requests, G.nodes(functions, links), G.edges(links))
