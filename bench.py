@@ -31,8 +31,6 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false",
         "spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1",
-        # the test tables are single small files; let the scan use all cores
-        "spark.sql.files.maxPartitionBytes": str(4 * 1024 * 1024), "spark.sql.files.openCostInBytes": "0",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).groupBy().count().collect()

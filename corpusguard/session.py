@@ -63,6 +63,21 @@ def materialized(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write ``df`` once to shared storage, bucketed by ``keys``, and read it back.
+
+    For a large side that a loop joins again and again on the same keys: only the
+    other side is shuffled from then on. One task writes each bucket, so there is
+    one file per bucket.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "buckets")
+    name = "buckets_" + path.rsplit("-", 1)[1]
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(name))
+    return spark.table(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage on shared storage, so that a lost executor costs no replay."""
     shared_dir(df.sparkSession)

@@ -22,9 +22,21 @@ NOT_DECODABLE = "Unable to decode file content"
 NO_PASTE = "Paste source code before analyzing."
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal an input of fewer splits than cores to all of them; larger inputs stay as they are.
+
+    Line work is bound by the processor, so a table in one row group would keep
+    one core busy. An input with enough splits is never shuffled here.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A corpus table: repo, file, content, seq. The schema is given, never inferred."""
-    return spark.read.schema(CORPUS_SCHEMA).format(fmt).load(path)
+    return spread(spark.read.schema(CORPUS_SCHEMA).format(fmt).load(path), "repo", "file")
 
 
 def read_tree(spark: SparkSession, root: str, repo: str, glob: str | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusguard.sources.readers import spread
+
 NBSP = " "
 
 # Sample id, extension, sample line
@@ -217,11 +219,7 @@ app.delete(removeAll)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def _block(n):
-    return F.floor(n / 50)
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def line_corpus_from(documents: DataFrame) -> DataFrame:
