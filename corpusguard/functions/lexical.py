@@ -17,7 +17,8 @@ I = r"[A-Za-z_$][0-9A-Za-z_$]*"
 STRING = r"""(?:'([^']+)'|"([^"]+)")"""
 PARAMS = r"\(([^()]*(?:\([^()]*\)[^()]*){0,200})\)"
 TYPED = r"(?::[^=]*)?"
-GENERIC = r"(?:<[^>]*>)?"
+# optional type parameters; two runs of white space never stand side by side in these patterns
+GENERIC = rf"(?:{W}*<[^>]*>)?"
 TAIL = rf"{W}*(?:;[^\n]*|//[^\n]*)?\z"
 
 # Lines without any of this carry no structure.
@@ -34,11 +35,11 @@ PATTERN = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*){0,50}\}"
 REQUIRE = rf"^{W}*(?:export{W}+)?(?:const|let|var){W}+({I}|{PATTERN}){W}*{TYPED}={W}*require{W}*\({W}*{STRING}{W}*\){TAIL}"
 REQUIRE_ITEM = rf"^({I}){W}*(?::{W}*({I})\z|:|=|\z)"
 
-DECLARATION = rf"^{W}*(export{W}+)?(default{W}+)?(async{W}+)?function(?:{W}*\*{W}*|{W}+)({I}){W}*{GENERIC}{W}*{PARAMS}"
+DECLARATION = rf"^{W}*(export{W}+)?(default{W}+)?(async{W}+)?function(?:{W}*\*{W}*|{W}+)({I}){GENERIC}{W}*{PARAMS}"
 ARROW = rf"^{W}*(export{W}+)?(?:const|let|var){W}+({I}){W}*{TYPED}={W}*(?:(async{W}*)?{PARAMS}|(async{W}+)?({I})){W}*{TYPED}=>"
-FUNCTION_VALUE = rf"^{W}*(export{W}+)?(?:const|let|var){W}+({I}){W}*{TYPED}={W}*(async{W}+)?function{W}*\*?{W}*(?:{I})?{W}*{GENERIC}{PARAMS}"
+FUNCTION_VALUE = rf"^{W}*(export{W}+)?(?:const|let|var){W}+({I}){W}*{TYPED}={W}*(async{W}+)?function(?:{W}*\*)?(?:{W}*{I})?{GENERIC}{W}*{PARAMS}"
 CLASS = rf"^{W}*(export{W}+)?(default{W}+)?(?:abstract{W}+)?class{W}+({I})(?:{W}*<[^>]*>)?(?:{W}+extends{W}+({I})(?:[^0-9A-Za-z_$.(]|\z))?"
-METHOD = rf"^{W}+((?:(?:static|async|get|set|public|private|protected|readonly|override){W}+)*)\*?{W}*({I}){W}*{GENERIC}{PARAMS}{W}*(?::[^{{]*)?\{{"
+METHOD = rf"^{W}+((?:(?:static|async|get|set|public|private|protected|readonly|override){W}+)*)(?:\*{W}*)?({I}){GENERIC}{W}*{PARAMS}{W}*(?::[^{{]*)?\{{"
 OPENS = rf"\{{{W}*(?://[^\n]*)?\z"
 BODY_END = rf"^\}};?{W}*\z"
 
@@ -48,11 +49,12 @@ EXPORT_NAMESPACE = rf"^{W}*export{W}*\*{W}*as{W}+({I}){W}+from"
 EXPORT_DEFAULT = rf"^{W}*export{W}+default(?:[^0-9A-Za-z_$]|\z)"
 EXPORT_DEFAULT_NAME = rf"^{W}*export{W}+default{W}+({I}){TAIL}"
 
-QUOTED = r"""'(?:[^'\\]|\\[^\n])*'|"(?:[^"\\]|\\[^\n])*\""""
+# Possessive loops and the look-behind keep long strings and long words linear and free of recursion.
+QUOTED = r"""'(?:[^'\\]|\\[^\n])*+'|"(?:[^"\\]|\\[^\n])*+\""""
 LINE_COMMENT = r"//[^\n]*"
-NOT_CALLED = rf"(^|[^0-9A-Za-z_$])(?:function{W}*\*?|new{W}){W}*[0-9A-Za-z_$.]*{W}*\("
+NOT_CALLED = rf"(^|[^0-9A-Za-z_$])(?:function(?:{W}*\*)?|new{W})(?:{W}*[0-9A-Za-z_$.]+)?{W}*\("
 METHOD_HEAD = rf"^{W}+[^(]*\("
-CALL = rf"({I}){W}*\("
+CALL = rf"(?<![0-9A-Za-z_$])({I}+){W}*\("
 FILE_CALL = rf"""(?:^|[^0-9A-Za-z_$])fetch{W}*\({W}*(?:'([^'\\]*)'|"([^"\\]*)"|`([^`$\\]*)`)"""
 ROUTE = rf"(?:^|[^0-9A-Za-z_$.])(?:router|app)\.(get|post|put|delete|patch|use){W}*\("
 ROUTE_SECOND = rf"(?:^|[^0-9A-Za-z_$.])(?:router|app)\.(?:get|post|put|delete|patch|use){W}*\([^,()]*,{W}*({I}){W}*[,)]"
@@ -96,7 +98,7 @@ def _flat(text: Column) -> Column:
     return F.regexp_replace(out, r"<[^<>]*>", "")
 
 
-PARAM_NAME = rf"^({I}){W}*\??{W}*(?:[:=][^\n]*)?\z"
+PARAM_NAME = rf"^({I})(?:{W}*\?)?{W}*(?:[:=][^\n]*)?\z"
 PARAM_REST = rf"^(\.\.\.){W}*({I})"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusguard.functions import text as T
 from corpusguard.functions.skew import lookup_join, number_rows
 from corpusguard.operators.structure import FILE, ROOT
-from corpusguard.session import bucketed, checkpointed
+from corpusguard.session import bucketed, checkpointed, materialized
 
 NODE_CAP, EDGE_CAP = 180, 320
 COLUMN_WIDTH, ROW_HEIGHT = 250, 105
@@ -125,16 +125,18 @@ def in_degrees(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
     return nodes_df.select("repo", "id").join(degree, ["repo", "id"], "left").fillna(0, ["in_degree"])
 
 
-def ranks(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
+def ranks(nodes_df: DataFrame, edges_df: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
     """Hops from the nearest node without incoming edges; nodes never reached come last.
 
-    The edges are bucketed by source once, so a round shuffles its frontier only.
+    More than ``bucket_rows`` edges are bucketed by source once, so that a round shuffles its frontier only.
     It joins the frontier with its out-edges, whose number one source file bounds,
     removes duplicates before the shuffle and drops what is ranked. Rounds are
     checkpointed on shared storage; the loop ends with an empty frontier.
     """
     ids = checkpointed(nodes_df.select("repo", "id"))
-    steps = bucketed(edges_df.select("repo", "source", "target"), "repo", "source")
+    steps = materialized(edges_df.select("repo", "source", "target"), "edges")
+    if steps.count() > bucket_rows:
+        steps = bucketed(steps, "repo", "source")
     targets = steps.select("repo", F.col("target").alias("id")).distinct()
     frontier = checkpointed(ids.join(targets, ["repo", "id"], "left_anti"))
     seen = frontier.withColumn("rank", F.lit(0))

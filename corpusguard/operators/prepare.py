@@ -57,7 +57,7 @@ def with_loc(files: DataFrame) -> DataFrame:
     # A line is non-blank when its first non-blank character exists; matching from there to
     # the line end makes each match exactly one line.
     return files.withColumn("loc", F.regexp_count(
-        F.col("content"), F.lit(r"[^\t-\r\p{Z}\x{FEFF}](?:[^\n])*")).cast("int"))
+        F.col("content"), F.lit(r"[^\t-\r\p{Z}\x{FEFF}][^\n]*")).cast("int"))
 
 
 def with_context(files: DataFrame) -> DataFrame:

@@ -32,9 +32,7 @@ def structure_signals(events: DataFrame, variant: str = "summary") -> DataFrame:
     export_names = F.transform(listed, lambda e: e["name"])
     if variant == "detail":
         export_names = F.array_distinct(export_names)
-    entries = F.concat(
-        F.transform(F.filter(listed, lambda e: e["type"] == "default"), lambda e: e["name"]),
-        F.array_compact(F.array(F.col("route.handler"))))
+    entries = S.entry_names(variant)
     in_class = F.col("class_name").isNotNull() if variant == "summary" else F.lit(True)
     function_name = F.coalesce("fn.name", F.when(F.col("method").isNotNull() & in_class, S.method_name()))
     frameworks = F.transform(S.signal_array(variant), lambda s: s["framework"])

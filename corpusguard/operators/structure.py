@@ -244,20 +244,28 @@ def default_exports(facts: DataFrame, variant: str = "summary") -> DataFrame:
 
 
 def function_rows(events_df: DataFrame, variant: str = "summary") -> DataFrame:
-    """Every function and method header, before same-name merging."""
-    plain = events_df.where(F.col("fn").isNotNull()).select(
-        *FILE, "line_no", "fn.name", "fn.params", F.col(f"fn.exported_{variant}").alias("exported"),
-        "fn.is_async", "fn.is_arrow", F.col(f"fn.type_{variant}").alias("type"))
-    return plain.unionByName(method_rows(events_df, variant))
+    """Every function and method header, before same-name merging; one pass over the lines."""
+    is_fn = F.col("fn").isNotNull()
+
+    def pick(of_function: Column, of_method: Column) -> Column:
+        return F.when(is_fn, of_function).otherwise(of_method)
+    return events_df.where(is_fn | _lists_method(variant)).select(
+        *FILE, "line_no", pick(F.col("fn.name"), method_name()).alias("name"),
+        pick(F.col("fn.params"), F.col("method.params")).alias("params"),
+        pick(F.col(f"fn.exported_{variant}"), F.lit(False)).alias("exported"),
+        pick(F.col("fn.is_async"), F.col("method.is_async")).alias("is_async"),
+        pick(F.col("fn.is_arrow"), F.lit(False)).alias("is_arrow"),
+        pick(F.col(f"fn.type_{variant}"), F.lit("method")).alias("type"))
+
+
+def _lists_method(variant: str) -> Column:
+    """Object methods count in the detail variant only."""
+    in_scope = F.col("class_name").isNotNull() if variant == "summary" else F.lit(True)
+    return F.col("method").isNotNull() & F.col("fn").isNull() & in_scope
 
 
 def method_rows(events_df: DataFrame, variant: str = "summary") -> DataFrame:
-    rows = events_df.where(F.col("method").isNotNull() & F.col("fn").isNull())
-    if variant == "summary":
-        rows = rows.where(F.col("class_name").isNotNull())
-    return rows.select(*FILE, "line_no", method_name().alias("name"), "method.params",
-                       F.lit(False).alias("exported"), "method.is_async", F.lit(False).alias("is_arrow"),
-                       F.lit("method").alias("type"))
+    return function_rows(events_df.where(_lists_method(variant)), variant)
 
 
 def _ordered(value: Column, order: Column) -> Column:
@@ -285,17 +293,16 @@ def functions(events_df: DataFrame, variant: str = "summary") -> DataFrame:
 
 def classes(events_df: DataFrame, variant: str = "summary") -> DataFrame:
     """Classes with their distinct method names in order; same-name classes merge."""
-    headers = events_df.where(F.col("cls").isNotNull()).select(
-        *FILE, F.col("cls.name").alias("name"), "line_no", F.col("cls.extends").alias("extends"),
-        F.col(f"cls.exported_{variant}").alias("exported"), F.lit(None).cast("string").alias("method"))
-    methods = events_df.where(F.col("method").isNotNull() & F.col("fn").isNull() & F.col("class_name").isNotNull()).select(
-        *FILE, F.col("class_name").alias("name"), "line_no", F.lit(None).cast("string").alias("extends"),
-        F.lit(False).alias("exported"), F.col("method.name").alias("method"))
-    header_line = F.when(F.col("method").isNull(), F.col("line_no"))
-    return (headers.unionByName(methods).groupBy(*FILE, "name").agg(
-        F.min(header_line).alias("line_no"), F.min_by("extends", header_line).alias("extends"),
+    is_class = F.col("cls").isNotNull()
+    is_method = _lists_method("summary")
+    members = events_df.where(is_class | is_method).select(
+        *FILE, "line_no", F.coalesce("cls.name", "class_name").alias("name"), F.col("cls.extends").alias("extends"),
+        F.coalesce(f"cls.exported_{variant}", F.lit(False)).alias("exported"),
+        F.when(is_class, F.col("line_no")).alias("_header"), F.when(~is_class, F.col("method.name")).alias("method"))
+    return members.groupBy(*FILE, "name").agg(
+        F.min("_header").alias("line_no"), F.min_by("extends", "_header").alias("extends"),
         F.bool_or("exported").alias("exported"),
-        F.array_distinct(F.array_compact(_ordered(F.col("method"), F.col("line_no")))).alias("methods")))
+        F.array_distinct(F.array_compact(_ordered(F.col("method"), F.col("line_no")))).alias("methods"))
 
 
 def call_rows(events_df: DataFrame, variant: str = "summary") -> DataFrame:
@@ -324,11 +331,19 @@ def routes(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("route").isNotNull()).select(*FILE, "line_no", "route.*")
 
 
+def entry_names(variant: str = "summary") -> Column:
+    """Entry points of one line: its default export and its route handler."""
+    default = F.filter("exports", lambda e: (e["type"] == "default") & F.array_contains(e["variants"], variant))
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(F.transform(default, lambda e: e["name"]), none),
+                    F.array_compact(F.array(F.col("route.handler"))))
+
+
 def entry_points(facts: DataFrame, variant: str = "summary") -> DataFrame:
-    """Default exports and route handlers, distinct, with the line first seen."""
-    names = default_exports(facts, variant).select(*FILE, "line_no", "name").unionByName(
-        routes(facts).where(F.col("handler").isNotNull()).select(*FILE, "line_no", F.col("handler").alias("name")))
-    return names.groupBy(*FILE, "name").agg(F.min("line_no").alias("line_no"))
+    """Distinct entry points with the line first seen."""
+    return (facts.where(F.col("exports").isNotNull() | F.col("route").isNotNull())
+            .select(*FILE, "line_no", F.explode(entry_names(variant)).alias("name"))
+            .groupBy(*FILE, "name").agg(F.min("line_no").alias("line_no")))
 
 
 def backfill_calls(functions_df: DataFrame, edges: DataFrame) -> DataFrame:

@@ -50,12 +50,14 @@ def log_batches(corpus_stream: DataFrame, log: str, checkpoint: str, rules: Rule
     rules = rules or RuleSet()
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read by three writes
         files = prepare.analyzable(batch, rules.extensions)
         parts = {"findings": build_findings(batch, rules),
                  "profiles": roles.profiles(files, S.events(files)).select(*PROFILE_COLUMNS),
                  "inputs": batch.select("repo", "file", "seq")}
         for name, df in parts.items():
             merge.versioned(df, batch_id).write.mode("overwrite").parquet(f"{log}/{name}/batch={batch_id}")
+        batch.unpersist()
     return (corpus_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True))
 

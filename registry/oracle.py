@@ -259,7 +259,10 @@ def params(x: str) -> str:
 FN_EXPORTED = f"({hits('line', L.DECLARATION)} AND {ext('line', L.DECLARATION, 1)} <> '')"
 CLASS_NAME = f"CASE WHEN {hits('line', L.CLASS)} AND {ext('line', L.CLASS, 3)} NOT IN {in_list(L.NOT_A_NAME)} THEN {ext('line', L.CLASS, 3)} END"
 CLASS_EXPORTED = f"({CLASS_NAME} IS NOT NULL AND {ext('line', L.CLASS, 1)} <> '')"
-CALLED = (f"regexp_replace(regexp_replace(line, {q(L.QUOTED)}, '''''', 'g'), {q(L.LINE_COMMENT)}, '', 'g')")
+# the same without possessive loops and look-behind, which this dialect lacks
+QUOTED = L.QUOTED.replace("*+", "*")
+CALL = rf"({L.I}){W}*\("
+CALLED = (f"regexp_replace(regexp_replace(line, {q(QUOTED)}, '''''', 'g'), {q(L.LINE_COMMENT)}, '', 'g')")
 ENDPOINT = " || ".join(ext("line", L.FILE_CALL, g) for g in (1, 2, 3))
 
 CTE.update({
@@ -327,7 +330,7 @@ CTE.update({
       FROM (SELECT {KEY}, name, min(line_no) AS line_no, arg_min(coalesce(super, ''), line_no) AS extends, bool_or(exported) AS exported FROM class_rows GROUP BY {KEY}, name) c)""",
     "edges": f"""call_lists AS (SELECT {KEY}, line_no, caller, {ENDPOINT} AS endpoint,
         list_filter(regexp_extract_all(regexp_replace(CASE WHEN method IS NOT NULL THEN regexp_replace({CALLED}, {q(L.METHOD_HEAD)}, ';(') ELSE {CALLED} END,
-          {q(L.NOT_CALLED)}, {q(chr(92) + '1;(')}, 'g'), {q(L.CALL)}, 1), lambda n: n NOT IN {in_list(L.NOT_A_CALL)}) AS names FROM scoped),
+          {q(L.NOT_CALLED)}, {q(chr(92) + '1;(')}, 'g'), {q(CALL)}, 1), lambda n: n NOT IN {in_list(L.NOT_A_CALL)}) AS names FROM scoped),
     edges AS MATERIALIZED (SELECT {KEY}, variant, caller, callee, min({{'l': line_no, 'p': pos}}) AS ord FROM (
         SELECT {KEY}, line_no, variant, caller, unnest(names) AS callee, unnest(generate_series(0, len(names) - 1)) AS pos,
           variant = 'detail' AND {hits('endpoint', L.SOURCE_ENDING)} AS is_request FROM call_lists, (VALUES ('summary'), ('detail')) v(variant) WHERE len(names) > 0)

@@ -149,6 +149,7 @@ def test_cycles_rank_last_and_caps_flag(spark):
                                   "repo string, source string, target string").withColumn("id", F.concat("source", "target"))
     ranked = G.ranks(nodes, edges)
     assert {r.id: r["rank"] for r in ranked.collect()} == {"a": 0, "b": 1, "c": 1, "x": 2, "y": 2}
+    assert sorted(G.ranks(nodes, edges, bucket_rows=0).collect()) == sorted(ranked.collect())
     places = {r.id: (r.x, r.y) for r in G.layout(nodes, ranked).collect()}
     assert places == {"a": (0, 0), "b": (250, 0), "c": (250, 105), "x": (500, 0), "y": (500, 105)}
     few, kept, flag = G.cap(nodes, edges.withColumn("edge_ord", F.col("id")), 3, 2)

@@ -75,3 +75,20 @@ def test_first_distinct(spark):
 def test_words_use_ascii_boundaries(spark):
     df = spark.createDataFrame([("a token b",), ("étoken",), ("tokens",), ("my_token",), ("token",), ("(jwt)",)], "s string")
     assert [r[0] for r in df.select(T.has_word(F.col("s"), "jwt", "token")).collect()] == [True, True, False, False, True, True]
+
+
+def test_white_space_members_match_the_class(spark):
+    from corpusguard.rules import W
+    rows = (spark.range(1, 0xD800).select(F.expr("char(id)").alias("_"), F.col("id"))
+            .select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c")))
+    by_class = {r.id for r in rows.where(F.col("c").rlike(f"^{W}$")).collect()}
+    by_trim = {r.id for r in rows.where(T.full_trim(F.col("c")) == "").collect()}
+    assert by_class == by_trim and 0xA0 in by_trim
+
+
+def test_long_lines_stay_linear(spark):
+    lines = ["a('" + "\\n" * 200_000 + "'); b(c)", "x" * 400_000 + " d(e)", " " * 400_000 + "x" + " " * 400_000, "'" + "y" * 300_000]
+    rows = spark.createDataFrame([(s,) for s in lines], "s string").select(
+        L.called_names(F.col("s")).alias("n"), F.length(T.full_trim(F.col("s"))).alias("t")).collect()
+    assert [list(r.n) for r in rows] == [["a", "b"], ["d"], [], []]
+    assert rows[2].t == 1
