@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusguard.operators import graph as G, resolve as R, structure as S
@@ -13,29 +14,56 @@ from corpusguard.session import materialized
 
 @dataclass(frozen=True)
 class CallFlow:
-    functions: DataFrame
-    calls: DataFrame
-    file_calls: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
+    """The graph over ``files``, planned on first use.
 
+    ``events`` are the written structure lines; the links, which nodes and edges
+    both read, are written once as well.
+    """
 
-def build_call_flow(files: DataFrame, known: DataFrame, events: DataFrame | None = None) -> CallFlow:
-    """``files`` are analyzed files, ``known`` the (repo, file) paths that exist.
+    files: DataFrame
+    known: DataFrame
+    events: DataFrame
 
-    The structure lines and the links are written once: nodes, edges and the
-    joins that build them all read them.
-    """
-    events = materialized(S.events(files), "events") if events is None else events
-    functions = S.functions(events, "detail")
-    # one cheap pass over the written lines bounds the rows of every lookup below
-    imported = F.coalesce("imported", "required")
-    bounds = events.agg(F.count(imported).alias("imports"), F.coalesce(F.sum(F.size(imported["bindings"])), F.lit(0)).alias("bindings"),
-                        F.count("file_call").alias("requests")).first()
-    imports = R.resolve_imports(S.all_imports(events), known, bounds["imports"])
-    bindings = R.resolve_bindings(imports, functions, S.exports(events, "detail"), bounds["bindings"])
-    calls = R.resolve_calls(S.call_edges(events, "detail"), functions, bindings)
-    requests = R.resolve_file_calls(S.file_calls(events), known, bounds["requests"])
-    links = materialized(G.call_links(calls, functions).unionByName(
-        G.file_links(requests, functions, files, bounds["requests"])), "links")
-    return CallFlow(functions, calls, requests, G.nodes(functions, links), G.edges(links))
+    @cached_property
+    def functions(self) -> DataFrame:
+        return S.functions(self.events, "detail")
+
+    @cached_property
+    def bounds(self) -> Row:
+        """One cheap pass over the written lines bounds the rows of every lookup below."""
+        imported = F.coalesce("imported", "required")
+        return self.events.agg(
+            F.count(imported).alias("imports"),
+            F.coalesce(F.sum(F.size(imported["bindings"])), F.lit(0)).alias("bindings"),
+            F.count("file_call").alias("requests")).first()
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return R.resolve_imports(S.all_imports(self.events), self.known, self.bounds["imports"])
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        bindings = R.resolve_bindings(self.imports, self.functions, S.exports(self.events, "detail"), self.bounds["bindings"])
+        return R.resolve_calls(S.call_edges(self.events, "detail"), self.functions, bindings)
+
+    @cached_property
+    def file_calls(self) -> DataFrame:
+        return R.resolve_file_calls(S.file_calls(self.events), self.known, self.bounds["requests"])
+
+    @cached_property
+    def links(self) -> DataFrame:
+        http = G.file_links(self.file_calls, self.functions, self.files, self.bounds["requests"])
+        return materialized(G.call_links(self.calls, self.functions).unionByName(http), "links")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return G.nodes(self.functions, self.links)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return G.edges(self.links)
+
+
+def build_call_flow(files: DataFrame, known: DataFrame, events: DataFrame | None = None) -> CallFlow:
+    """``files`` are analyzed files, ``known`` the (repo, file) paths that exist."""
+    return CallFlow(files, known, materialized(S.events(files), "events") if events is None else events)
