@@ -64,7 +64,7 @@ def number_rows(df: DataFrame, group: list[str], coarse: Column, order: list[Col
             .drop("_bucket", "_row", "_offset"))
 
 
-def first_distinct(df: DataFrame, group: list[str], value: str, order: list[str], limit: int | None,
+def first_distinct(df: DataFrame, group: list[str], value: str, order: list[str], limit: int,
                    name: str) -> DataFrame:
     """Distinct non-empty values per group in first-seen order, as an array of at most ``limit``.
 
@@ -73,8 +73,7 @@ def first_distinct(df: DataFrame, group: list[str], value: str, order: list[str]
     """
     seen = (df.where(F.col(value).isNotNull() & (F.col(value) != ""))
             .groupBy(*group, value).agg(F.min(F.struct(*order)).alias("_first")))
-    if limit is not None:
-        rank = Window.partitionBy(*group).orderBy("_first", value)
-        seen = seen.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= limit)
+    rank = Window.partitionBy(*group).orderBy("_first", value)
+    seen = seen.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= limit)
     pairs = F.array_sort(F.collect_list(F.struct(F.col("_first"), F.col(value).alias("_value"))))
     return seen.groupBy(*group).agg(F.transform(pairs, lambda p: p["_value"]).alias(name))

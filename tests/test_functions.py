@@ -68,7 +68,7 @@ def test_first_distinct(spark):
     df = spark.createDataFrame(rows, "g string, o int, v string")
     got = {r.g: list(r.vs) for r in skew.first_distinct(df, ["g"], "v", ["o"], 2, "vs").collect()}
     assert got == {"a": ["y", "x"], "b": ["q"]}
-    everything = {r.g: list(r.vs) for r in skew.first_distinct(df, ["g"], "v", ["o"], None, "vs").collect()}
+    everything = {r.g: list(r.vs) for r in skew.first_distinct(df, ["g"], "v", ["o"], 10, "vs").collect()}
     assert everything["a"] == ["y", "x", "z"]
 
 
