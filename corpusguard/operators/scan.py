@@ -23,11 +23,6 @@ def route(files: DataFrame, rules: RuleSet) -> DataFrame:
             .join(F.broadcast(rules.table(spark).select("rule_id", "rule_ord")), "rule_id"))
 
 
-def stem_pattern(rules) -> str | None:
-    stems = [r.stem for r in rules]
-    return "(?i)" + "|".join(dict.fromkeys(stems)) if all(stems) else None
-
-
 def by_language(rules: RuleSet, build) -> Column:
     """A case per group of file types; ``build`` makes the branch from that group's rules."""
     out = None
@@ -37,12 +32,28 @@ def by_language(rules: RuleSet, build) -> Column:
     return out
 
 
+def has_stem(text: Column, group) -> Column:
+    """Necessary condition for a hit of any rule of ``group``: plain words first, patterns only behind them."""
+    if not all(r.stem or r.stem_pattern for r in group):
+        return F.lit(True)
+
+    def any_word(rules):
+        words = dict.fromkeys(w for r in rules for w in r.stem.split("|") if w)
+        out = F.lit(False)
+        for w in words:
+            out = out | text.contains(w)
+        return out
+    test = any_word([r for r in group if not r.stem_pattern])
+    for rule in group:
+        if rule.stem_pattern:
+            found = text.rlike("(?i)" + rule.stem_pattern)
+            test = test | (any_word([rule]) & found if rule.stem else found)
+    return test
+
+
 def may_match(text: Column, rules: RuleSet) -> Column:
-    """Necessary condition for any hit in ``text``."""
-    def branch(group):
-        pattern = stem_pattern(group)
-        return F.lit(True) if pattern is None else text.rlike(pattern)
-    return F.coalesce(by_language(rules, branch), F.lit(False))
+    """``has_stem`` for the rules of the row's language."""
+    return F.coalesce(by_language(rules, lambda group: has_stem(text, group)), F.lit(False))
 
 
 def match(line: Column, rule: Rule) -> Column:
@@ -113,8 +124,7 @@ def single_rule_hits(texts: DataFrame, text: str, rule: Rule) -> DataFrame:
     keep = [c for c in texts.columns if c != text]
     body = F.col(text)
     line = F.col("line")
-    wanted = texts.where(body.rlike("(?i)" + rule.stem)) if rule.stem else texts
-    return (wanted.select(*keep, F.posexplode_outer(T.split_lines(body)).alias("_pos", "line"))
+    return (texts.where(has_stem(body, [rule])).select(*keep, F.posexplode_outer(T.split_lines(body)).alias("_pos", "line"))
             .where(~T.is_suppressed(line) & ~T.is_comment(line))
             .where(match(line, rule) != "")
             .select(*keep, (F.col("_pos") + 1).alias("line_no"), T.full_trim(match(line, rule)).alias("matched"),

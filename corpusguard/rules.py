@@ -29,8 +29,10 @@ RB = r"(?:[^0-9A-Za-z_]|\z)"
 class Rule:
     """One line rule. Group 1 of ``regex`` is the reported text.
 
-    ``stem`` is a pattern every hit must contain; it feeds the cheap prefilter.
-    An empty stem switches the prefilter off for the languages of the rule.
+    ``stem`` lists plain words, separated by ``|``, one of which every hit contains;
+    ``stem_pattern`` is a pattern every hit contains as well, ignoring case, tried
+    after the words. They feed the cheap prefilter. A rule with neither switches
+    the prefilter off for its languages.
     """
 
     rule_id: int
@@ -46,6 +48,7 @@ class Rule:
     fix: str | None = None
     #: a line stops being a hit when this pattern occurs at least as often as ``regex``
     unless: str | None = None
+    stem_pattern: str = ""
 
     @property
     def pattern(self) -> str:
@@ -84,91 +87,92 @@ SUPERGLOBAL = r"\$_(?:GET|POST|REQUEST|COOKIE)"
 RULES: tuple[Rule, ...] = (
     Rule(1, "Hardcoded Secret", "HIGH",
          r"""(?i)(?:^|[^0-9A-Za-z_])((?:secret|password|api[_-]?key|token|passwd|private[_-]?key)~W~*=~W~*['"`][A-Za-z0-9_\-.~+/]{8,}['"`])""",
-         ALLOWED_EXTENSIONS, r"secret|passw|api[_-]?key|token|private[_-]?key",
+         ALLOWED_EXTENSIONS, "=",
          ("Source Code", "Credential exposure", "Account compromise"), "default",
          "Secrets in code are exposed in version control and built artifacts.",
          "Attackers can reuse leaked credentials to access systems.",
-         "Move secrets to environment variables or a secrets manager."),
+         "Move secrets to environment variables or a secrets manager.",
+         stem_pattern=r"secret|passw|api[_-]?key|token|private[_-]?key"),
     Rule(2, "JS/TS Command Injection", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])((?:exec|execSync|spawn|spawnSync)~W~*\()",
-         JS, r"exec|spawn",
+         JS, "exec|spawn",
          ("User Input", "shell execution", "Remote Shell Access"), "shell",
          "Shell execution APIs can interpret attacker-controlled strings.",
          "A crafted value can execute arbitrary server commands.",
          "Use execFile or spawn with fixed commands and argument arrays."),
     Rule(3, "JS/TS Command Injection (shell:true)", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])(spawn~W~*\([^)]*,~W~*\{[^}]*shell~W~*:~W~*true)",
-         JS, r"spawn",
+         JS, "spawn",
          ("User Input", "shell:true", "Remote Shell Access"), "shell",
          "shell:true reintroduces shell parsing for spawned processes.",
          "Arguments can become command syntax.",
          "Remove shell:true and pass discrete arguments."),
     Rule(4, "JS/TS Command Injection (template literal)", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])(exec(?:Sync)?~W~*\(~W~*`[^`]*\$\{)",
-         JS, r"exec",
+         JS, "exec",
          ("User Input", "template shell command", "Remote Shell Access"), "shell",
          "Template literals embed input into shell strings.",
          "Attackers can append shell metacharacters.",
          "Use execFile with argument arrays."),
     Rule(5, "JS/TS Dynamic Evaluation", "HIGH",
          r"(?:^|[^0-9A-Za-z_])(eval~W~*\()",
-         JS, r"eval",
+         JS, "eval",
          ("User Input", "eval()", "Runtime Code Execution"), "code",
          "eval executes arbitrary strings as code.",
          "Input can become runtime code execution.",
          "Use JSON parsing or explicit dispatch maps."),
     Rule(6, "JS/TS Insecure InnerHTML", "HIGH",
          r"(\.innerHTML~W~*=)",
-         JS, r"innerHTML",
+         JS, "innerHTML",
          ("User Input", "innerHTML", "Cross-site Scripting"), "markup",
          "innerHTML bypasses output encoding.",
          "Unsanitized content can trigger XSS.",
          "Use textContent or sanitize HTML before insertion."),
     Rule(7, "JS/TS Insecure InnerHTML (dangerouslySetInnerHTML)", "HIGH",
          r"(dangerouslySetInnerHTML~W~*=~W~*\{~W~*\{)",
-         JS, r"innerHTML",
+         JS, "dangerouslySetInnerHTML",
          ("User Input", "dangerouslySetInnerHTML", "Cross-site Scripting"), "markup",
          "React escaping is bypassed for raw HTML.",
          "Unsanitized content can execute scripts.",
          "Sanitize with a trusted HTML sanitizer first."),
     Rule(8, "JS/TS Insecure InnerHTML (document.write)", "HIGH",
          r"""(document\.write~W~*\([^)'"`][^)]*\))""",
-         JS, r"document\.write",
+         JS, "document.write",
          ("User Input", "document.write()", "Cross-site Scripting"), "markup",
          "document.write injects raw markup.",
          "Attackers can run browser scripts.",
          "Use DOM APIs and text nodes instead."),
     Rule(9, "JS/TS Prototype Pollution", "HIGH",
          r"""(\[['"`]__proto__['"`]\]|constructor~W~*\[['"`]prototype['"`]\])""",
-         JS, r"__proto__|prototype",
+         JS, "__proto__|prototype",
          ("User Input", "__proto__ write", "Prototype Pollution"), "default",
          "Writing prototype keys changes inherited object behavior.",
          "Security checks or app logic can be bypassed globally.",
          "Block __proto__, constructor, and prototype keys before assignment."),
     Rule(10, "Python Command Injection", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])((?:os\.system|subprocess\.(?:Popen|run|call))~W~*\()",
-         PY, r"system|subprocess",
+         PY, "os.system|subprocess.",
          ("User Input", "shell execution", "Remote Shell Access"), "shell",
          "Command APIs can execute attacker-controlled strings.",
          "A crafted value can run server commands.",
          "Pass commands as lists and keep shell=False."),
     Rule(11, "Python Command Injection (shell=True)", "CRITICAL",
          r"(subprocess\.[0-9A-Za-z_]+~W~*\([^)]*shell~W~*=~W~*True)",
-         PY, r"subprocess",
+         PY, "subprocess.",
          ("User Input", "shell=True", "Remote Shell Access"), "shell",
          "shell=True sends the command through a shell.",
          "Metacharacters can execute extra commands.",
          "Remove shell=True and pass argument arrays."),
     Rule(12, "Python Insecure Deserialization", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])(pickle\.loads~W~*\()",
-         PY, r"pickle",
+         PY, "pickle.loads",
          ("Serialized Payload", "pickle.loads()", "Remote Code Execution"), "payload",
          "pickle can execute code during loading.",
          "Malicious payloads can run arbitrary code.",
          "Use JSON or a safe typed format for untrusted data."),
     Rule(13, "Python Insecure Deserialization (PyYAML)", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])(yaml\.load~W~*\()",
-         PY, r"yaml",
+         PY, "yaml.load",
          ("YAML Payload", "yaml.load()", "Remote Code Execution"), "payload",
          "yaml.load can construct unsafe Python objects.",
          "Payloads can trigger code execution.",
@@ -176,133 +180,133 @@ RULES: tuple[Rule, ...] = (
          unless=r"yaml\.load~W~*\([^)]*Loader~W~*=~W~*yaml\.SafeLoader"),
     Rule(14, "Python Dynamic Evaluation", "HIGH",
          r"(?:^|[^0-9A-Za-z_])((?:eval|exec)~W~*\()",
-         PY, r"eval|exec",
+         PY, "eval|exec",
          ("User Input", "eval()/exec()", "Runtime Code Execution"), "shell",
          "eval and exec run strings as Python code.",
          "Input can become arbitrary execution.",
          "Use parsing, validation, and explicit operations."),
     Rule(15, "Python SQL Injection Risk", "CRITICAL",
          r"""(\.execute~W~*\(~W~*(?:f['"`]|['"`][^'\"]*%[sd]))""",
-         PY, r"execute",
+         PY, ".execute",
          ("User Input", "SQL string formatting", "Data Exposure"), "sql",
          "Formatted SQL strings mix query code and data.",
          "Attackers can alter database queries.",
          "Use parameterized queries."),
     Rule(16, "Python SSTI Risk", "HIGH",
          r"(?:^|[^0-9A-Za-z_])((?:render_template_string|Environment(?:[^0-9A-Za-z_)][^)]*)?\)\.from_string)~W~*\()",
-         PY, r"render_template_string|from_string",
+         PY, "render_template_string|from_string",
          ("User Input", "template render", "SSTI / RCE"), "default",
          "Rendering user-controlled templates exposes template execution.",
          "Attackers can read data or execute server-side behavior.",
          "Render fixed templates with escaped variables."),
     Rule(17, "Python Path Traversal", "HIGH",
          r"(?:^|[^0-9A-Za-z_])(open~W~*\(~W~*(?:request\.|req\.|os\.path\.join~W~*\([^)]*request))",
-         PY, r"open",
+         PY, "open",
          ("User Input", "open(path)", "File Disclosure"), "path",
          "User-controlled paths can escape intended directories.",
          "Server files can be disclosed.",
          "Normalize paths and enforce an allowlisted base directory."),
     Rule(18, "PHP Command Injection", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])((?:exec|shell_exec|system|passthru|popen)~W~*\()",
-         PHP, r"exec|system|passthru|popen",
+         PHP, "exec|system|passthru|popen",
          ("User Input", "shell execution", "Remote Shell Access"), "shell",
          "Shell helpers execute strings in a command context.",
          "Attackers can run OS commands.",
          "Avoid shell execution or escape arguments with strict allowlists."),
     Rule(19, "PHP SQL Injection Risk", "CRITICAL",
          r"""(?:^|[^0-9A-Za-z_])(mysqli_query~W~*\(~W~*[^,]+,~W~*['"`][^\r\n\x{2028}\x{2029}]*\$[^\r\n\x{2028}\x{2029}]*['"`]~W~*\))""",
-         PHP, r"mysqli_query",
+         PHP, "mysqli_query",
          ("User Input", "SQL interpolation", "Data Exposure"), "sql",
          "Interpolated SQL mixes input and query syntax.",
          "Attackers can read or mutate data.",
          "Use prepared statements."),
     Rule(20, "PHP SQL Injection Risk (user input)", "CRITICAL",
          r"((?:query|mysqli_query)~W~*\([^)]*\$_(?:GET|POST|REQUEST|COOKIE))",
-         PHP, r"query",
+         PHP, "query",
          ("HTTP Input", "SQL query", "Data Exposure"), "sql",
          "Superglobals reach query APIs directly.",
          "HTTP input can alter SQL.",
          "Validate input and use bound parameters."),
     Rule(21, "PHP Local File Inclusion", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])((?:include|require)(?:_once)?~W~*\(~W~*\$)",
-         PHP, r"include|require",
+         PHP, "include|require",
          ("User Input", "include($path)", "File Inclusion"), "path",
          "Variable include paths load attacker-selected files.",
          "Sensitive files or uploaded code can be executed.",
          "Map route names to fixed files."),
     Rule(22, "PHP Variable Injection", "HIGH",
          r"(?:^|[^0-9A-Za-z_])(extract~W~*\(~W~*\$_(?:GET|POST|REQUEST|COOKIE))",
-         PHP, r"extract",
+         PHP, "extract",
          ("HTTP Input", "extract()", "Variable Overwrite"), "default",
          "extract imports request keys into local variables.",
          "Attackers can overwrite trusted values.",
          "Read explicit request fields."),
     Rule(23, "PHP Insecure Deserialization", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])(unserialize~W~*\(~W~*\$_(?:GET|POST|REQUEST|COOKIE))",
-         PHP, r"unserialize",
+         PHP, "unserialize",
          ("User Input", "unserialize()", "Object Injection"), "payload",
          "unserialize can instantiate attacker-controlled objects.",
          "Magic methods can trigger code paths.",
          "Use JSON or allowed_classes=false."),
     Rule(24, "PHP Dynamic Evaluation", "HIGH",
          r"(?:^|[^0-9A-Za-z_])((?:eval|assert)~W~*\()",
-         PHP, r"eval|assert",
+         PHP, "eval|assert",
          ("User Input", "eval()", "Runtime Code Execution"), "code",
          "eval/assert can run strings as PHP code.",
          "Input can execute arbitrary code.",
          "Use explicit logic instead of dynamic evaluation."),
     Rule(25, "C/C++ Buffer Overflow Risk", "HIGH",
          r"(?:^|[^0-9A-Za-z_])((?:strcpy|strcat|sprintf|gets)~W~*\()",
-         C_SOURCE + C_HEADER, r"strcpy|strcat|printf|gets",
+         C_SOURCE + C_HEADER, "strcpy|strcat|sprintf|gets",
          ("Buffer Data", "unsafe copy", "Memory Corruption"), "default",
          "Unsafe copy APIs do not enforce buffer length.",
          "Memory corruption can crash or compromise the process.",
          "Use bounded APIs and validate lengths."),
     Rule(26, "C/C++ Format String", "HIGH",
          r"""(?:^|[^0-9A-Za-z_])((?:printf|fprintf|sprintf|syslog)~W~*\()(?:[^"']|$)""",
-         C_SOURCE + C_HEADER, r"printf|syslog",
+         C_SOURCE + C_HEADER, "printf|syslog",
          ("User Input", "printf(userInput)", "Memory Read/Write"), "default",
          "User input as a format string is interpreted by printf-like APIs.",
          "Attackers can read or write memory.",
          'Use fixed format strings such as "%s".'),
     Rule(27, "C/C++ Integer Overflow Risk", "MEDIUM",
          r"(?:^|[^0-9A-Za-z_])(malloc~W~*\(~W~*[0-9A-Za-z_]+~W~*\*~W~*[0-9A-Za-z_]+~W~*\))",
-         C_SOURCE, r"malloc",
+         C_SOURCE, "malloc",
          ("Size Input", "malloc(a*b)", "Heap Overflow"), "default",
          "Unchecked multiplication can wrap before allocation.",
          "A too-small allocation can lead to heap overflow.",
          "Check multiplication overflow before allocation."),
     Rule(28, "Java/C# Command Injection", "CRITICAL",
          r"(?:^|[^0-9A-Za-z_])((?:Runtime\.getRuntime\(\)\.exec|ProcessBuilder|Process\.Start)~W~*\()",
-         JAVA + CSHARP, r"getRuntime|ProcessBuilder|Process\.Start",
+         JAVA + CSHARP, "getRuntime|ProcessBuilder|Process.Start",
          ("User Input", "process start", "Remote Shell Access"), "shell",
          "Process creation APIs can run external commands.",
          "Attacker input can become command execution.",
          "Use fixed commands, strict allowlists, and argument arrays."),
     Rule(29, "Java Path Traversal", "HIGH",
          r"""(?:^|[^0-9A-Za-z_])((?:new~W~+File|Paths\.get|new~W~+FileInputStream)~W~*\()(?:[^"']|$)""",
-         JAVA, r"File|Paths\.get",
+         JAVA, "File|Paths.get",
          ("User Input", "new File(path)", "File Disclosure"), "path",
          "User-controlled paths can escape expected roots.",
          "Sensitive files can be read.",
          "Normalize and verify paths remain under an allowed directory."),
     Rule(30, "Java SQL Injection Risk", "CRITICAL",
          r"""(\.execute(?:Query|Update)?~W~*\(~W~*[\"'][^\"']*[\"']~W~*\+)""",
-         JAVA, r"execute",
+         JAVA, ".execute",
          ("User Input", "SQL concatenation", "Data Exposure"), "sql",
          "String concatenation in SQL mixes code and data.",
          "Attackers can modify queries.",
          "Use PreparedStatement parameters."),
     Rule(31, "C# SQL Injection Risk", "CRITICAL",
          r"""(new~W~+SqlCommand~W~*\(~W~*(?:[\"'][^\"']*[\"']~W~*\+|\$[\"']))""",
-         CSHARP, r"SqlCommand",
+         CSHARP, "SqlCommand",
          ("User Input", "SqlCommand", "Data Exposure"), "sql",
          "Concatenated SQL command text mixes code and data.",
          "Attackers can access or alter database content.",
          "Use SqlParameter values."),
     Rule(32, "C# Path Traversal", "HIGH",
          r"""(?:^|[^0-9A-Za-z_])((?:Path\.Combine|File\.Open|File\.ReadAll(?:Text|Bytes))~W~*\()(?:[^"']|$)""",
-         CSHARP, r"Path\.Combine|File\.",
+         CSHARP, "Path.Combine|File.Open|File.ReadAll",
          ("User Input", "File.Open(path)", "File Disclosure"), "path",
          "User-controlled file paths can escape safe directories.",
          "Sensitive files can be exposed.",
@@ -419,11 +423,11 @@ class RuleSet:
         """Add the rows of a user rule table to ``base``.
 
         Needed columns: rule_id, title, severity, regex, extensions (array).
-        Optional: stem, story (array of 3), scenario, why, impact, fix. The
+        Optional: stem, stem_pattern, story (array of 3), scenario, why, impact, fix. The
         table is a dimension, so its size is checked before it is read.
         """
         wanted = ("rule_id", "title", "severity", "regex", "extensions",
-                  "stem", "story", "scenario", "why", "impact", "fix")
+                  "stem", "stem_pattern", "story", "scenario", "why", "impact", "fix")
         have = [c for c in wanted if c in df.columns]
         rows = df.select(*have).orderBy("rule_id").limit(MAX_RULES + 1).collect()
         added = []
