@@ -32,28 +32,26 @@ def by_language(rules: RuleSet, build) -> Column:
     return out
 
 
-def has_stem(text: Column, group) -> Column:
+def has_stem(column: str, group) -> Column:
     """Necessary condition for a hit of any rule of ``group``: plain words first, patterns only behind them."""
     if not all(r.stem or r.stem_pattern for r in group):
         return F.lit(True)
 
-    def any_word(rules):
+    def any_word(rules) -> Column:
         words = dict.fromkeys(w for r in rules for w in r.stem.split("|") if w)
-        out = F.lit(False)
-        for w in words:
-            out = out | text.contains(w)
-        return out
+        quoted = [w.replace("\\", "\\\\").replace("'", "\\'") for w in words]
+        return F.expr(" OR ".join(f"contains(`{column}`, '{w}')" for w in quoted) or "false")
     test = any_word([r for r in group if not r.stem_pattern])
     for rule in group:
         if rule.stem_pattern:
-            found = text.rlike("(?i)" + rule.stem_pattern)
+            found = F.col(column).rlike("(?i)" + rule.stem_pattern)
             test = test | (any_word([rule]) & found if rule.stem else found)
     return test
 
 
-def may_match(text: Column, rules: RuleSet) -> Column:
+def may_match(column: str, rules: RuleSet) -> Column:
     """``has_stem`` for the rules of the row's language."""
-    return F.coalesce(by_language(rules, lambda group: has_stem(text, group)), F.lit(False))
+    return F.coalesce(by_language(rules, lambda group: has_stem(column, group)), F.lit(False))
 
 
 def match(line: Column, rule: Rule) -> Column:
@@ -79,13 +77,13 @@ def is_shadowed(rules: RuleSet) -> Column:
 def candidate_lines(files: DataFrame, rules: RuleSet, prefilter: bool = True) -> DataFrame:
     """Lines the rules have to look at, with their file's line array still at hand."""
     keep = [c for c in files.columns if c != "content"]
-    wanted = files.where(may_match(F.col("content"), rules)) if prefilter else files
+    wanted = files.where(may_match("content", rules)) if prefilter else files
     # the outer form keeps Spark from testing the array first, which would split the text twice
     exploded = (wanted.select(*keep, T.split_lines(F.col("content")).alias("_lines"))
                 .select(*keep, "_lines", F.posexplode_outer("_lines").alias("_pos", "line")))
     line = F.col("line")
     if prefilter:
-        exploded = exploded.where(may_match(line, rules))
+        exploded = exploded.where(may_match("line", rules))
     return exploded.where(~T.is_suppressed(line) & ~T.is_comment(line))
 
 
@@ -124,7 +122,7 @@ def single_rule_hits(texts: DataFrame, text: str, rule: Rule) -> DataFrame:
     keep = [c for c in texts.columns if c != text]
     body = F.col(text)
     line = F.col("line")
-    return (texts.where(has_stem(body, [rule])).select(*keep, F.posexplode_outer(T.split_lines(body)).alias("_pos", "line"))
+    return (texts.where(has_stem(text, [rule])).select(*keep, F.posexplode_outer(T.split_lines(body)).alias("_pos", "line"))
             .where(~T.is_suppressed(line) & ~T.is_comment(line))
             .where(match(line, rule) != "")
             .select(*keep, (F.col("_pos") + 1).alias("line_no"), T.full_trim(match(line, rule)).alias("matched"),

@@ -105,3 +105,9 @@ def test_weights(spark):
     df = spark.createDataFrame([("CRITICAL",), ("HIGH",), ("MEDIUM",), ("LOW",)], "severity string")
     assert [r.weight for r in with_weight(df).collect()] == [10, 5, 2, 1]
     assert with_weight(df).agg(F.sum("weight")).first()[0] == 18
+
+
+def test_stem_words_may_hold_quotes(spark, corpus_of):
+    rule = Rule(200, "Quoted", "LOW", r"(it's \\ here)", (".js",), stem="it's \\ h")
+    rows = build_findings(corpus_of(("a.js", "x it's \\ here\ny"), ("b.js", "its here")), RuleSet((rule,))).collect()
+    assert [(r.file, r.line, r.title) for r in rows] == [("a.js", 1, "Quoted")]
