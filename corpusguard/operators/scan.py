@@ -49,9 +49,23 @@ def has_stem(column: str, group) -> Column:
     return test
 
 
-def may_match(column: str, rules: RuleSet) -> Column:
-    """``has_stem`` for the rules of the row's language."""
-    return F.coalesce(by_language(rules, lambda group: has_stem(column, group)), F.lit(False))
+def has_stem_at_once(text: Column, group) -> Column:
+    """The same for a whole text, as one pattern.
+
+    A text mostly holds some stem early on, so one pass that stops there is as fast
+    as the words; and a computed text is then named once, not once per word.
+    """
+    if not all(r.stem or r.stem_pattern for r in group):
+        return F.lit(True)
+    words = dict.fromkeys(w for r in group if not r.stem_pattern for w in r.stem.split("|") if w)
+    patterns = [T.alternatives(words)] if words else []
+    return text.rlike("(?i)" + "|".join(patterns + [r.stem_pattern for r in group if r.stem_pattern]))
+
+
+def may_match(column: str, rules: RuleSet, whole: bool = False) -> Column:
+    """Necessary condition for a hit of the rules of the row's language, on a line or a whole text."""
+    test = (lambda group: has_stem_at_once(F.col(column), group)) if whole else (lambda group: has_stem(column, group))
+    return F.coalesce(by_language(rules, test), F.lit(False))
 
 
 def match(line: Column, rule: Rule) -> Column:
@@ -77,7 +91,7 @@ def is_shadowed(rules: RuleSet) -> Column:
 def candidate_lines(files: DataFrame, rules: RuleSet, prefilter: bool = True) -> DataFrame:
     """Lines the rules have to look at, with their file's line array still at hand."""
     keep = [c for c in files.columns if c != "content"]
-    wanted = files.where(may_match("content", rules)) if prefilter else files
+    wanted = files.where(may_match("content", rules, whole=True)) if prefilter else files
     # the outer form keeps Spark from testing the array first, which would split the text twice
     exploded = (wanted.select(*keep, T.split_lines(F.col("content")).alias("_lines"))
                 .select(*keep, "_lines", F.posexplode_outer("_lines").alias("_pos", "line")))
@@ -122,7 +136,7 @@ def single_rule_hits(texts: DataFrame, text: str, rule: Rule) -> DataFrame:
     keep = [c for c in texts.columns if c != text]
     body = F.col(text)
     line = F.col("line")
-    return (texts.where(has_stem(text, [rule])).select(*keep, F.posexplode_outer(T.split_lines(body)).alias("_pos", "line"))
+    return (texts.where(has_stem_at_once(body, [rule])).select(*keep, F.posexplode_outer(T.split_lines(body)).alias("_pos", "line"))
             .where(~T.is_suppressed(line) & ~T.is_comment(line))
             .where(match(line, rule) != "")
             .select(*keep, (F.col("_pos") + 1).alias("line_no"), T.full_trim(match(line, rule)).alias("matched"),
