@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray([0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
+        sizes = np.asarray([0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
