@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, language, neardup
+from corpusguard.llm import common, language, neardup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,41 @@ reach(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.c FROM rea
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id, min(r.c) = s.doc_id AS kept
 FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.sh)
 """
+
+
+@query
+def op7_secret_scan(spark, d):
+    return secrets.scan_secrets(documents(spark, d))
+
+
+def _secret_sql() -> str:
+    """The same rules for DuckDB: places from list sums, the interval join as plain existence tests."""
+    def literal(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'start': list_sum(list_transform(s[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'm': m[i]}})) AS p
+            FROM (SELECT doc_id, regexp_extract_all(text, {literal(pattern)}) AS m, regexp_split_to_array(text, {literal(pattern)}) AS s
+                  FROM docs WHERE regexp_matches(text, {literal(pattern)}))""" for k, (_, _, pattern, _) in enumerate(secrets.KINDS))
+    must = " ".join(f"WHEN {k} THEN regexp_matches(p.m, {literal(must)})" for k, (_, _, _, must) in enumerate(secrets.KINDS) if must)
+    roles = " ".join(f"WHEN {k} THEN '{role}'" for k, (_, role, _, _) in enumerate(secrets.KINDS))
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _, _, _) in enumerate(secrets.KINDS))
+    apart = "greatest(a.start, b.start) - least(a.stop, b.stop)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+parts AS (SELECT doc_id, kind, CASE kind {roles} END AS role, CAST(p.start AS BIGINT) AS start, CAST(p.start + length(p.m) AS BIGINT) AS stop
+          FROM found WHERE CASE kind {must} ELSE true END),
+spans AS (SELECT * FROM parts a WHERE kind < {secrets.BASE} OR (
+  EXISTS (SELECT 1 FROM parts b WHERE a.doc_id = b.doc_id AND (a.role = 'secret') <> (b.role = 'secret') AND {apart} <= {secrets.REACH})
+  AND NOT EXISTS (SELECT 1 FROM parts b WHERE a.doc_id = b.doc_id AND b.kind < {secrets.BASE} AND {apart} < 0))),
+told AS (SELECT *, CASE kind {names} END || ':' || start || ':' || stop AS said FROM spans)
+SELECT d.doc_id, count(t.kind) FILTER (t.kind = 0) AS n_assign, count(t.kind) FILTER (t.kind = 1) AS n_access, count(t.kind) FILTER (t.kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(t.said, ',' ORDER BY t.start, t.kind) FILTER (t.kind < {secrets.BASE}), '')) AS base_sha256,
+       coalesce(string_agg(t.said, ',' ORDER BY t.start, t.kind), '') AS spans
+FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id GROUP BY d.doc_id
+"""
+
+
+ORACLE["op7_secret_scan"] = _secret_sql()
