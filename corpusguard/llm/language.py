@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.llm.common import slices
 
-DIMS = 8192
+DIMS = 4096
 GRAMS = (1, 2, 3)
 ROWS = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -45,35 +45,33 @@ class LanguageModel:
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of hashed n-grams, one row per text."""
+    """Counts of hashed n-grams, one row per text. N-grams of blanks alone share three places that have no weight."""
     parts = [b" " + (t or "").lower().encode() + b"  " for t in texts]
-    lengths = np.asarray([len(p) for p in parts])
+    ends = np.cumsum([len(p) for p in parts])
     data = FOLDED[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
-    row = np.repeat(np.arange(len(parts)) * DIMS, lengths)
-    counts = np.zeros(len(parts) * DIMS, np.int64)
-    with np.errstate(over="ignore"):
-        for n in GRAMS:
-            if len(data) < n:
-                continue
-            key = np.zeros(len(data) - n + 1, np.uint32)
-            words = np.zeros(len(key), bool)
-            for i in range(n):
-                part = data[i:len(data) - n + 1 + i]
-                key += part * PRIMES[i]
-                words |= part != 32
-            key = (key ^ np.uint32(n * 40503)) * np.uint32(2654435761) >> np.uint32(32 - DIMS.bit_length() + 1)
-            counts += np.bincount((row[:len(key)] + key)[words], minlength=len(counts))
-    return counts.reshape(len(parts), DIMS)
-
-
-def batches_of(column: pa.Array) -> Iterator[list[str | None]]:
-    texts = column.to_pylist()
-    for i in range(0, len(texts), ROWS):
-        yield texts[i:i + ROWS]
+    keys = np.zeros((len(GRAMS), len(data)), np.uint16)
+    for row, n in zip(keys, GRAMS):
+        row[:len(data) - n + 1] = gram_keys([data[i:len(data) - n + 1 + i] for i in range(n)])
+    counts = np.empty((len(parts), DIMS), np.float32)
+    for i, (lo, hi) in enumerate(zip(ends - [len(p) for p in parts], ends - 2)):
+        counts[i] = np.bincount(keys[:, lo:hi].ravel(), minlength=DIMS)
+    return counts
+
+
+def gram_keys(parts: list[np.ndarray]) -> np.ndarray:
+    """Places below DIMS of n-grams, given as one array per position."""
+    key = np.full(len(parts[0]), len(parts) * 40503, np.uint32)
+    for part, prime in zip(parts, PRIMES):
+        key += part * prime
+    key *= np.uint32(2654435769)
+    return key >> np.uint32(33 - DIMS.bit_length())
+
+
+BLANKS = [int(gram_keys([np.full(1, 32, np.uint32)] * n)[0]) for n in GRAMS]
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    vectors = np.sqrt(counts).astype(np.float32) * idf
+    vectors = np.sqrt(counts) * idf
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
@@ -123,6 +121,7 @@ def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_lan
     known = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     seen, rows = document_frequencies(known)
     idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
+    idf[BLANKS] = 0
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (known.select("doc_id", "lang").withColumn("place", F.row_number().over(lowest))
            .where(F.col("place") <= sample).select("doc_id", "lang").distinct())

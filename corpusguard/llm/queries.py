@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, language, neardup, secrets
+from corpusguard.llm import common, decontaminate, language, neardup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,12 @@ def op6_language_id(spark, d):
     return language.predict_languages(docs, model).withColumn("held_out", held_out)
 
 
+@query
+def op1_decontamination(spark, d):
+    """One row per document and benchmark item that leaks into it; clean documents have none."""
+    return decontaminate.find_leaks(documents(spark, d), common.table(spark, d, "benchmark")).drop("h").distinct()
+
+
 @query
 def op4_near_duplicates(spark, d):
     return neardup.near_duplicates(documents(spark, d))
@@ -51,6 +57,18 @@ FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.sh)
 """
 
 
+def vocabulary(name="word_bpe_49k.json"):
+    """The content of a public tokenizer's file, read on the driver."""
+    import public_tokenizers
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query
+def op9_packing(spark, d):
+    return packing.pack_documents(documents(spark, d), vocabulary())
+
+
 @query
 def op7_secret_scan(spark, d):
     return secrets.scan_secrets(documents(spark, d))
