@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, decontaminate, language, neardup, packing, secrets
+from corpusguard.llm import common, decontaminate, language, neardup, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +57,11 @@ FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.sh)
 """
 
 
+@query
+def op5_substring_dedup(spark, d):
+    return substrings.remove_repeats(documents(spark, d)).drop("spans")
+
+
 def vocabulary(name="word_bpe_49k.json"):
     """The content of a public tokenizer's file, read on the driver."""
     import public_tokenizers
