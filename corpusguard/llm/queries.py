@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, decontaminate, language, neardup, packing, secrets, substrings
+from corpusguard.llm import common, decontaminate, kneser_ney, language, neardup, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,10 @@ FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id GROUP BY d.doc_id
 
 
 ORACLE["op7_secret_scan"] = _secret_sql()
+
+
+@query
+def op10_lm_scoring(spark, d):
+    docs = documents(spark, d)
+    scores = kneser_ney.score(docs, kneser_ney.train(docs.where(common.fold("doc_id", 10) != 0)))
+    return scores.withColumn("held_out", F.coalesce(common.fold("doc_id", 10) == 0, F.lit(False)))
