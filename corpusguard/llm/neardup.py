@@ -8,11 +8,13 @@ close to their Jaccard similarity, so groups of registers serve as bands. Pairs
 that share a band are estimated from all registers by joint likelihood, with the
 exact set sizes, and what may be similar enough is confirmed on the full sets.
 
-Equal sets are one class. Only classes are compared. Within a bucket, each class is
-compared with the bucket's least class first, one such pair per class; what that
-leaves in different components is compared in pairs that lie across components, so
-a group of thousands of near copies costs one comparison per copy, and no link
-between components is left out.
+Equal sets are one class. Only classes are compared. First each class is compared
+with the most central class of its buckets, one pair per class. What that leaves in
+different components is compared across components, unless it cannot be linked: a
+class is out when no other's signature in its bucket is close enough, or when so many
+of its shingles occur in no other class still open that its overlap with any of them
+is too small. So a group of thousands of near copies costs about one comparison per
+copy, and no link between components is left out.
 
 Nulls and edges: a null text is empty; an empty set is linked with nothing. A row
 without id cannot be named and is linked with nothing: its component is null and it
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.llm.common import GOLDEN, joined_bytes, mix, multipliers, slices, word_hashes
@@ -39,7 +41,10 @@ REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, 65534
 PERCENT = 75
 #: A pair is dropped before the exact test only if its estimate is this many standard deviations too low.
-SIGMAS = 6.0
+SIGMAS = 4.5
+#: Lowest bits of the registers: two classes at the threshold differ in an eighth of them.
+SIGNATURE = 4
+DIFFERING = int(REGISTERS * (1 - PERCENT / 100) / 2 + SIGMAS * (REGISTERS * (1 - PERCENT / 100) / 2 * (1 + PERCENT / 100) / 2) ** 0.5)
 SHINGLE = multipliers(WORDS, 7)
 BAND = multipliers(PER_BAND, 11)
 
@@ -146,7 +151,7 @@ def estimated_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set), regs, keys; one row per row of ``docs``, empty sets without sketch."""
+    """doc_id, n (set size), cls (hash of the set), regs, keys, sig; one row per row of ``docs``, empty sets without sketch."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
@@ -156,13 +161,17 @@ def sketched(docs: DataFrame) -> DataFrame:
                 cls = mix(np.asarray([s.sum(dtype=np.uint64) ^ mix(s ^ GOLDEN).sum(dtype=np.uint64) * GOLDEN for s in sets], np.uint64)
                           + np.asarray([len(s) for s in sets], np.uint64)).astype(np.int64)
             full = [len(s) > 0 for s in sets]
+            bits = np.zeros((len(sets), SIGNATURE * 64), bool)
+            bits[:, :REGISTERS] = registers & 1
+            signature = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "cls": pa.array([int(c) if f else None for c, f in zip(cls, full)], pa.int64()),
                 "regs": pa.array([r.tobytes() if f else None for r, f in zip(registers, full)], pa.binary()),
-                "keys": pa.array([k if f else None for k, f in zip(keys, full)], pa.list_(pa.int64()))})
+                "keys": pa.array([k if f else None for k, f in zip(keys, full)], pa.list_(pa.int64())),
+                "sig": pa.array([g if f else None for g, f in zip(signature, full)], pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, cls long, regs binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, cls long, regs binary, keys array<long>, sig array<long>")
 
 
 def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -184,14 +193,9 @@ def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(keep, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose full sets pass, told by their sorted shingle hashes.
-
-    The sets are made again from the texts of the classes' first documents, for
-    classes in pairs only, so that no set is stored for the others.
-    """
-    wanted = (pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-              .join(heads.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id")))
+def full_sets(classes: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """cls, members (sorted shingle hashes) of the given classes, made again from the texts of their first documents."""
+    wanted = classes.join(heads.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -199,8 +203,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id")
-    sets = materialized(texts.select("cls", "text").mapInArrow(build, "cls long, members binary"), "sets")
+    return materialized(texts.select("cls", "text").mapInArrow(build, "cls long, members binary"), "sets")
+
 
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose full sets pass."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passed = []
@@ -215,6 +222,52 @@ def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
+def unshared(sets: DataFrame) -> DataFrame:
+    """cls, alone: how many of its shingles no other class of ``sets`` has."""
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "members"):
+            parts = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column("members")]
+            yield pa.RecordBatch.from_pydict({
+                "cls": np.repeat(batch.column("cls").to_numpy(), [len(p) for p in parts]), "shingle": np.concatenate(parts)})
+
+    once = (sets.mapInArrow(members, "cls long, shingle long").distinct().groupBy("shingle")
+            .agg(F.min("cls").alias("cls"), F.count(F.lit(1)).alias("classes")).where("classes = 1"))
+    return once.groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def across(placed: DataFrame, tested: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links between classes (key, cls, n, sig, root) that share a bucket but not a component."""
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    split = (parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo <> hi").select("key", F.col("m.root").alias("main")))
+    open_ = materialized(placed.join(split, "key"), "open")
+
+    def close(x: dict[str, Column], y: dict[str, Column]) -> Column:
+        """Whether two classes of a bucket and of different components may be linked."""
+        differing = sum((F.bit_count(x["sig"][i].bitwiseXOR(y["sig"][i])) for i in range(SIGNATURE)), F.lit(0))
+        return ((x["key"] == y["key"]) & (x["root"] != y["root"]) & (differing <= DIFFERING)
+                & (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])))
+
+    x = {c: F.col(f"x.{c}") for c in placed.columns}
+    y = {c: F.col(f"y.{c}") for c in placed.columns}
+    left, right = open_.where("root <> main").alias("x"), open_.alias("y")
+    some = left.join(right, close(x, y), "left_semi").select("cls").unionByName(
+        right.join(left, close(x, y), "left_semi").select("cls")).distinct()
+    classes = materialized(some, "classes")
+    sets = full_sets(classes, docs, heads)
+    rest = materialized(open_.join(classes, "cls").join(unshared(sets), "cls", "left")
+                        .withColumn("shareable", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+                        .where(100 * F.col("shareable") >= PERCENT * F.col("n")), "open")
+    left, right = rest.where("root <> main").alias("x"), rest.alias("y")
+    overlap = F.least("x.shareable", "y.shareable")
+    enough = (100 + PERCENT) * overlap >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    pairs = (left.join(right, close(x, y) & enough & once)
+             .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+             .join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    return confirmed(materialized(plausible(pairs, heads), "pairs"), sets)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
@@ -224,34 +277,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialized(sketched(docs), "sketches")
     named = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL")
     heads = materialized(named.groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"), F.any_value("keys").alias("keys")), "classes")
-    bands = heads.select("cls", "n", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("key", "head")
+        F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "regs", "keys", "sig")]), "classes")
+    bands = heads.select("cls", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialized(bands.join(shared, "key"), "buckets")
 
-    # one pair per class: with the head it shares most buckets with
-    best = (members.where("cls <> head").groupBy("cls", "head").agg(F.count(F.lit(1)).alias("shared"))
+    # the most central class of a bucket is the one that meets most others in all its buckets
+    central = members.groupBy("cls").agg(F.sum("size").alias("meets"))
+    tops = members.join(central, "cls").groupBy("key").agg(F.max(F.struct("meets", "cls")).alias("m")).select("key", F.col("m.cls").alias("head"))
+    best = (members.join(tops, "key").where("cls <> head").groupBy("cls", "head").agg(F.count(F.lit(1)).alias("shared"))
             .groupBy("cls").agg(F.max(F.struct("shared", "head")).alias("m")))
-    stars = best.select(F.col("m.head").alias("a"), F.col("cls").alias("b"))
+    stars = materialized(plausible(best.select(F.col("m.head").alias("a"), F.col("cls").alias("b")), heads), "pairs")
     same_id = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("doc_id", "a")
     given = named.select("doc_id", F.col("cls").alias("b")).join(same_id, "doc_id").where("a <> b").select("a", "b").distinct()
-    first = materialized(confirmed(materialized(plausible(stars, heads), "pairs"), docs, heads).unionByName(given).distinct(), "links")
-    roots = materialized(components(first), "roots")
+    in_stars = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).distinct()
+    first = materialized(confirmed(stars, full_sets(in_stars, docs, heads)).unionByName(given).distinct(), "links")
+    roots = materialized(components(first), "roots").withColumnRenamed("v", "cls")
 
-    # what lies in one bucket but not in one component: every class outside the bucket's largest part against all others
-    placed = members.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    split = (parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("key", F.col("m.root").alias("main")))
-    open_ = materialized(placed.join(split, "key"), "open")
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                     & ((F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls")))
-                     & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")))
-              .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-              .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    second = confirmed(materialized(plausible(across, heads), "pairs"), docs, heads)
-    links = materialized(first.unionByName(second), "links")
+    placed = (members.select("key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+              .join(heads.select("cls", "n", "sig"), "cls"))
+    links = materialized(first.unionByName(across(placed, stars, docs, heads)), "links")
     final = components(links).withColumnRenamed("v", "cls")
     least = heads.select("cls", "rep").join(final, "cls").groupBy("root").agg(F.min("rep").alias("least"))
     names = final.join(least, "root").select("cls", "least")
