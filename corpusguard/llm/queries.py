@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, decontaminate, kneser_ney, language, neardup, packing, secrets, substrings
+from corpusguard.llm import common, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,6 +69,11 @@ def vocabulary(name="word_bpe_49k.json"):
         return f.read()
 
 
+@query
+def op8_fingerprints(spark, d):
+    return fingerprints.fingerprints(documents(spark, d))
+
+
 @query
 def op9_packing(spark, d):
     return packing.pack_documents(documents(spark, d), vocabulary())
