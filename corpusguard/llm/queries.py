@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings
+from corpusguard.llm import common, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,14 @@ def op1_decontamination(spark, d):
     return decontaminate.find_leaks(documents(spark, d), common.table(spark, d, "benchmark")).drop("h").distinct()
 
 
+@query
+def op3_toxicity(spark, d):
+    docs = documents(spark, d)
+    labels = common.table(spark, d, "labels").where(common.fold("doc_id", 3) != 1).select("doc_id", "toxic")
+    scores = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    return scores.withColumn("held_out", F.coalesce(common.fold("doc_id", 3) == 1, F.lit(False)))
+
+
 @query
 def op4_near_duplicates(spark, d):
     return neardup.near_duplicates(documents(spark, d))
