@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity
+from corpusguard.llm import common, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op1_decontamination(spark, d):
     return decontaminate.find_leaks(documents(spark, d), common.table(spark, d, "benchmark")).drop("h").distinct()
 
 
+@query
+def op2_url_filter(spark, d):
+    return urls.filter_urls(common.table(spark, d, "pages"))
+
+
 @query
 def op3_toxicity(spark, d):
     docs = documents(spark, d)
