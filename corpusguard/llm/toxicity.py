@@ -165,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entri
 
     sums = rows.mapInArrow(features, "entry string, ta long, tb long, ca long, cb long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("ta", "tb", "ca", "cb")])
     rate = (F.col("ta") + F.col("tb") + PRIOR * share) / (F.col("ta") + F.col("tb") + F.col("ca") + F.col("cb") + PRIOR)
-    weights = chosen(sums.where("ta >= 2 AND tb >= 2").orderBy(rate.desc(), F.length("entry").desc(), "entry").limit(entries).collect(), share, least)
+    weights = chosen(sums.where("ta >= 3 AND tb >= 3").orderBy(rate.desc(), F.length("entry").desc(), "entry").limit(entries).collect(), share, least)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(weights)
