@@ -5,45 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+from corpusguard.session import materialized
 
+#: Rows of one key that one task may take.
+HOT_ROWS = 1_000_000
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, most frequent first, at most MAX_HOT_KEYS; None if there are none.
 
-    Counts are combined on the map side, so even the hottest key costs one row
-    per task. The answer is bounded and read at once, which keeps the plan of
-    the join that asks for it free of copies of ``df``.
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and ``_salts``, the tasks that each is dealt to, rising with its rows.
+
+    Counts are combined on the map side, so even the hottest key costs one row per
+    task. There are at most rows / hot_rows such keys, a millionth of the rows.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    for c in on:
-        counts = counts.where(F.col(c).isNotNull())
-    rows = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*on).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(*on).schema).withColumn("_hot", F.lit(True)) if rows else None
+    return counts.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows_at_most: int | None = None,
-                hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``on``), spreading keys that are hot on the left.
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of ``left`` to ``right`` (unique on ``on``), spreading keys that are hot on the left.
 
-    Without hot keys this is the plain join. With them, the rows of a hot key are
-    dealt to ``salts`` tasks and its one row on the right is repeated for each;
-    all other rows join as before. The result is the plain join in every case.
-    Keys beyond MAX_HOT_KEYS are joined unsalted and left to adaptive execution.
-    ``rows_at_most`` is a proven bound on the rows of ``left``: with no more rows
-    than ``hot_rows`` no key can be hot and the search is skipped.
+    One plan for every size. ``left`` is written once, as it is read for the counts
+    and for the join. Rows with a null key match nothing and do not travel. The rows
+    of a hot key are dealt to as many tasks as its count asks for, and its one row on
+    the right is repeated for each; all other keys have one task.
     """
-    small = rows_at_most is not None and rows_at_most <= hot_rows
-    hot = None if small else hot_keys(left, on, hot_rows)
-    if hot is None:
-        return left.join(right, on, how)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]), F.lit(salts)).cast("int")
-    salted_left = (left.join(F.broadcast(hot), on, "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = (right.join(F.broadcast(hot), on, "left")
-                    .withColumn("_salt", F.explode(copies)).drop("_hot"))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    left = materialized(left, "lookup")
+    named = F.lit(True)
+    for c in on:
+        named = named & F.col(c).isNotNull()
+    hot = hot_keys(left.where(named), on, hot_rows)
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted_left = left.where(named).join(F.broadcast(hot), on, "left").withColumn("_salt", deal).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    joined = salted_left.join(salted_right, [*on, "_salt"], "left").drop("_salt")
+    return joined.unionByName(left.where(~named), allowMissingColumns=True)
 
 
 def number_rows(df: DataFrame, group: list[str], coarse: Column, order: list[Column], name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusguard.functions import text as T
 from corpusguard.functions.skew import lookup_join, number_rows
 from corpusguard.operators.structure import FILE, ROOT
-from corpusguard.session import bucketed, checkpointed, materialized
+from corpusguard.session import bucketed, checkpointed
 
 NODE_CAP, EDGE_CAP = 180, 320
 COLUMN_WIDTH, ROW_HEIGHT = 250, 105
@@ -49,11 +49,10 @@ def call_links(resolved_calls: DataFrame, functions: DataFrame) -> DataFrame:
         F.lit(1).alias("phase"), F.col("ord.line_no").alias("line"), F.col("ord.pos").alias("pos"))
 
 
-def file_links(resolved_file_calls: DataFrame, functions: DataFrame, analyzed: DataFrame,
-               rows_at_most: int | None = None) -> DataFrame:
+def file_links(resolved_file_calls: DataFrame, functions: DataFrame, analyzed: DataFrame) -> DataFrame:
     """HTTP edges; they count as resolved when the target file is analyzed."""
     done = analyzed.select("repo", T.forward_slashes(F.col("file")).alias("target"), F.lit(True).alias("_done")).distinct()
-    rows = lookup_join(with_caller(resolved_file_calls, functions), done, ["repo", "target"], rows_at_most=rows_at_most)
+    rows = lookup_join(with_caller(resolved_file_calls, functions), done, ["repo", "target"])
     hit = F.coalesce("_done", F.lit(False))
     shown = F.coalesce("target", "path")
     return rows.select(
@@ -125,18 +124,17 @@ def in_degrees(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
     return nodes_df.select("repo", "id").join(degree, ["repo", "id"], "left").fillna(0, ["in_degree"])
 
 
-def ranks(nodes_df: DataFrame, edges_df: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+def ranks(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
     """Hops from the nearest node without incoming edges; nodes never reached come last.
 
-    More than ``bucket_rows`` edges are bucketed by source once, so that a round shuffles its frontier only.
-    It joins the frontier with its out-edges, whose number one source file bounds,
-    removes duplicates before the shuffle and drops what is ranked. Rounds are
-    checkpointed on shared storage; the loop ends with an empty frontier.
+    The edges are bucketed by source once, so a round reads them in place. A round
+    joins the frontier with its out-edges, removes duplicates before the shuffle and
+    drops what is ranked, for which the ids ranked so far are shuffled as well. There
+    are as many rounds as the graph is deep. Rounds are checkpointed on shared
+    storage; the loop ends with an empty frontier.
     """
     ids = checkpointed(nodes_df.select("repo", "id"))
-    steps = materialized(edges_df.select("repo", "source", "target"), "edges")
-    if steps.count() > bucket_rows:
-        steps = bucketed(steps, "repo", "source")
+    steps = bucketed(edges_df.select("repo", "source", "target"), "repo", "source")
     targets = steps.select("repo", F.col("target").alias("id")).distinct()
     frontier = checkpointed(ids.join(targets, ["repo", "id"], "left_anti"))
     seen = frontier.withColumn("rank", F.lit(0))

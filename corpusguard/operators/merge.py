@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = ["version", "seq"]
+POSITION = "struct<version:bigint,seq:bigint>"
 
 
 def versioned(df: DataFrame, version: int) -> DataFrame:
@@ -16,12 +17,14 @@ def upsert(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows of several versions to one row per key.
 
     ``position`` is the place of the first appearance, ``version`` that of the
-    values. The aggregate combines before its shuffle.
+    values; rows that are the result of earlier upserts bring their position along.
+    The aggregate combines before its shuffle.
     """
-    values = [c for c in rows.columns if c not in key]
+    values = [c for c in rows.columns if c not in key and c != "position"]
     latest = F.max_by(F.struct(*values), F.struct(*ORDER))
-    return (rows.groupBy(*key).agg(latest.alias("_v"), F.min(F.struct(*ORDER)).alias("position"))
-            .select(*key, "_v.*", "position"))
+    own = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ORDER])
+    first = F.coalesce("position", own) if "position" in rows.columns else own
+    return rows.groupBy(*key).agg(latest.alias("_v"), F.min(first).alias("position")).select(*key, "_v.*", "position")
 
 
 def merge_metadata(previous: DataFrame, following: DataFrame) -> DataFrame:

@@ -143,8 +143,8 @@ def cache_text(payloads: DataFrame) -> Column:
     return F.concat(F.substring(url, F.lit(1), F.length(url) - 1), F.lit(',"compactPayload":'), F.col("payload"), F.lit("}"))
 
 
-def with_key(df: DataFrame, text: Column, name: str = "key", strong: bool = False) -> DataFrame:
-    """The short key has 32 bits; over large caches use ``strong``."""
+def with_key(df: DataFrame, text: Column, name: str = "key", strong: bool = True) -> DataFrame:
+    """A digest, or with ``strong`` off the short compatible key, whose 32 bits collide in large caches."""
     return df.withColumn(name, T.digest_key(text) if strong else T.content_key(text))
 
 

@@ -40,10 +40,10 @@ def import_keys(known: DataFrame) -> DataFrame:
             .groupBy("repo", "base").agg(F.min_by("_path", "pos").alias("target")))
 
 
-def resolve_imports(imports: DataFrame, known: DataFrame, rows_at_most: int | None = None) -> DataFrame:
+def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``target``: the known file an import refers to, or null."""
     based = imports.withColumn("base", import_base(F.col("file"), F.col("source")))
-    return lookup_join(based, import_keys(known), ["repo", "base"], rows_at_most=rows_at_most).drop("base")
+    return lookup_join(based, import_keys(known), ["repo", "base"]).drop("base")
 
 
 def first_bindings(resolved_imports: DataFrame) -> DataFrame:
@@ -63,24 +63,23 @@ def default_export_names(exports: DataFrame) -> DataFrame:
             .agg(F.min_by("name", F.struct("line_no", "pos")).alias("default_name")))
 
 
-def with_exported_name(bound: DataFrame, exports: DataFrame, rows_at_most: int | None = None) -> DataFrame:
+def with_exported_name(bound: DataFrame, exports: DataFrame) -> DataFrame:
     """Name under which a bound target exports: ``default`` goes through its default export."""
-    joined = lookup_join(bound, default_export_names(exports), ["repo", "target"], rows_at_most=rows_at_most)
+    joined = lookup_join(bound, default_export_names(exports), ["repo", "target"])
     return (joined.withColumn("exported_name", F.when(F.col("imported") == "default", F.col("default_name"))
                               .otherwise(F.col("imported"))).drop("default_name"))
 
 
-def resolve_bindings(resolved_imports: DataFrame, functions: DataFrame, exports: DataFrame,
-                     rows_at_most: int | None = None) -> DataFrame:
+def resolve_bindings(resolved_imports: DataFrame, functions: DataFrame, exports: DataFrame) -> DataFrame:
     """Per file and local name: target file, exported name, and whether that is a function there.
 
     This is done once per binding, not once per call; calls then only meet their
     own file's bindings, so a module everybody imports is no hot key for them.
     """
-    bound = with_exported_name(first_bindings(resolved_imports), exports, rows_at_most)
+    bound = with_exported_name(first_bindings(resolved_imports), exports)
     remote = functions.select("repo", F.col("file").alias("target"), F.col("name").alias("exported_name"),
                               F.lit(True).alias("is_remote")).distinct()
-    found = lookup_join(bound, remote, ["repo", "target", "exported_name"], rows_at_most=rows_at_most)
+    found = lookup_join(bound, remote, ["repo", "target", "exported_name"])
     return found.select(*FILE, "local", "target", "exported_name", F.coalesce("is_remote", F.lit(False)).alias("is_remote"))
 
 
@@ -122,7 +121,7 @@ def path_endings(known: DataFrame) -> DataFrame:
         .select("repo", "ending", F.when(F.col("_whole"), F.col("ending")).otherwise(F.col("_path")).alias("target")))
 
 
-def resolve_file_calls(file_calls: DataFrame, known: DataFrame, rows_at_most: int | None = None) -> DataFrame:
+def resolve_file_calls(file_calls: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``target``: the file with exactly this path, else the only file that ends with it."""
     asked = file_calls.withColumn("ending", request_path(F.col("file"), F.col("path")))
-    return lookup_join(asked, path_endings(known), ["repo", "ending"], rows_at_most=rows_at_most).drop("ending")
+    return lookup_join(asked, path_endings(known), ["repo", "ending"]).drop("ending")

@@ -22,10 +22,13 @@ class AnalysisResult:
     files: DataFrame
     findings: DataFrame
     events: DataFrame
+    materialize: bool = True
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return roles.profiles(self.files, self.events)
+        """Read by modules, repositories and payloads, so written once unless ``materialize`` is off."""
+        rows = roles.profiles(self.files, self.events)
+        return materialized(rows, "profiles") if self.materialize else rows
 
     @cached_property
     def metadata(self) -> DataFrame:
@@ -55,12 +58,18 @@ def analyze(corpus: DataFrame, rules: RuleSet | None = None, materialize: bool =
     findings, events = build_findings(corpus, rules), S.events(files)
     if materialize:
         findings, events = materialized(findings, "findings"), materialized(events, "events")
-    return AnalysisResult(A.input_counts(corpus), files, findings, events)
+    return AnalysisResult(A.input_counts(corpus), files, findings, events, materialize)
 
 
 def compact_payloads(result: AnalysisResult) -> DataFrame:
+    """The files are chosen by path first; only their details are put together."""
+    few = rank.first_files(result.files.select("repo", "file", "seq")).drop("rank")
+    files, events = (df.join(few, ["repo", "file", "seq"], "left_semi") for df in (result.files, result.events))
+    findings = result.findings.join(few.select("repo", "file"), ["repo", "file"], "left_semi")
+    if result.materialize:
+        events, findings = materialized(events, "events"), materialized(findings, "findings")
     return P.compact_payload(result.repos, result.hotspots, P.payload_modules(result.modules),
-                             P.payload_files(result.metadata, result.findings))
+                             P.payload_files(build_metadata(files, findings, events), findings))
 
 
 def analyze_text(spark: SparkSession, path: str, text: str, rules: RuleSet | None = None) -> AnalysisResult:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from corpusguard.operators import graph as G, resolve as R, structure as S
 from corpusguard.session import materialized
@@ -28,31 +27,22 @@ class CallFlow:
     def functions(self) -> DataFrame:
         return S.functions(self.events, "detail")
 
-    @cached_property
-    def bounds(self) -> Row:
-        """One cheap pass over the written lines bounds the rows of every lookup below."""
-        imported = F.coalesce("imported", "required")
-        return self.events.agg(
-            F.count(imported).alias("imports"),
-            F.coalesce(F.sum(F.size(imported["bindings"])), F.lit(0)).alias("bindings"),
-            F.count("file_call").alias("requests")).first()
-
     @cached_property
     def imports(self) -> DataFrame:
-        return R.resolve_imports(S.all_imports(self.events), self.known, self.bounds["imports"])
+        return R.resolve_imports(S.all_imports(self.events), self.known)
 
     @cached_property
     def calls(self) -> DataFrame:
-        bindings = R.resolve_bindings(self.imports, self.functions, S.exports(self.events, "detail"), self.bounds["bindings"])
+        bindings = R.resolve_bindings(self.imports, self.functions, S.exports(self.events, "detail"))
         return R.resolve_calls(S.call_edges(self.events, "detail"), self.functions, bindings)
 
     @cached_property
     def file_calls(self) -> DataFrame:
-        return R.resolve_file_calls(S.file_calls(self.events), self.known, self.bounds["requests"])
+        return R.resolve_file_calls(S.file_calls(self.events), self.known)
 
     @cached_property
     def links(self) -> DataFrame:
-        http = G.file_links(self.file_calls, self.functions, self.files, self.bounds["requests"])
+        http = G.file_links(self.file_calls, self.functions, self.files)
         return materialized(G.call_links(self.calls, self.functions).unionByName(http), "links")
 
     @cached_property

@@ -22,28 +22,20 @@ NOT_DECODABLE = "Unable to decode file content"
 NO_PASTE = "Paste source code before analyzing."
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal an input of fewer splits than cores to all of them; larger inputs stay as they are.
+def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A corpus table: repo, file, content, seq. The schema is given, never inferred.
 
-    Line work is bound by the processor, so a table in one row group would keep
-    one core busy. An input with enough splits is never shuffled here.
+    Contents are read where they lie and never dealt anew; spark.sql.files.maxPartitionBytes
+    sets how much of the table a task takes.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
-def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A corpus table: repo, file, content, seq. The schema is given, never inferred."""
-    return spread(spark.read.schema(CORPUS_SCHEMA).format(fmt).load(path), "repo", "file")
+    return spark.read.schema(CORPUS_SCHEMA).format(fmt).load(path)
 
 
 def read_tree(spark: SparkSession, root: str, repo: str, glob: str | None = None) -> DataFrame:
     """Files under ``root`` as a corpus, with paths relative to it.
 
-    ``seq`` follows the order of the splits; pass a corpus table instead where
-    the input order matters.
+    ``seq`` is a hash of the path, the same in every run whatever the splits are;
+    pass a corpus table instead where the input order matters.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -51,7 +43,7 @@ def read_tree(spark: SparkSession, root: str, repo: str, glob: str | None = None
     prefix = rf"^.*?\Q{root.rstrip('/')}\E/"
     return reader.load(root).select(
         F.lit(repo).alias("repo"), F.regexp_replace("path", prefix, "").alias("file"),
-        as_text(F.col("content")).alias("content"), F.monotonically_increasing_id().alias("seq"))
+        as_text(F.col("content")).alias("content"), F.expr("xxhash64(path) & 9223372036854775807").alias("seq"))
 
 
 def as_text(binary: Column) -> Column:
@@ -99,10 +91,11 @@ def check_requests(requests: DataFrame, need_path: bool = True) -> DataFrame:
 
 
 def check_insight_requests(requests: DataFrame) -> DataFrame:
-    """``analysis`` is JSON text and must be an object or an array."""
+    """``analysis`` must be the text of a JSON object or array."""
     body = F.col("analysis")
+    kind = F.schema_of_variant(F.try_parse_json(body))
     reason = (F.when(blank(F.col("url")), NO_SOURCE_URL)
-              .when(body.isNull() | ~body.rlike(r"^[\t-\r ]*[{\[]"), NO_ANALYSIS))
+              .when(kind.isNull() | ~kind.rlike(r"^(OBJECT|ARRAY)<"), NO_ANALYSIS))
     return requests.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 

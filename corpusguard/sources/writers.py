@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from corpusguard.operators import aggregate as A
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "repo",
                 mode: str = "errorifexists") -> None:
@@ -19,10 +21,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
 
 
 def write_results(result, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> list[str]:
-    """Findings, metadata, module and repository summaries under ``path``."""
+    """Findings, metadata, summaries, hotspots, the files of each module and the compact payloads under ``path``."""
+    from corpusguard.plans.analysis import compact_payloads
     root = path.rstrip("/")
-    tables = {"findings": result.findings, "metadata": result.metadata,
-              "modules": result.modules, "repos": result.repos}
+    tables = {"findings": result.findings, "metadata": result.metadata, "modules": result.modules, "repos": result.repos,
+              "hotspots": result.hotspots, "module_files": A.module_files(result.profiles), "payloads": compact_payloads(result)}
     for name, df in tables.items():
-        write_table(df, f"{root}/{name}", fmt, "repo" if name != "repos" else None, mode)
+        write_table(df, f"{root}/{name}", fmt, None if name in ("repos", "payloads") else "repo", mode)
     return [f"{root}/{name}" for name in tables]

@@ -1,12 +1,15 @@
 """Incremental runs: the same scan on a stream, merged into an append-only log of versions.
 
-A batch writes one folder per table and batch, and writes it again in full when
+A batch writes one folder per table, run and batch, and writes it again in full when
 it is retried, so a lost executor or driver changes nothing. Reading the log
-upserts by key; ``compact`` folds old versions into one.
+upserts by key; ``compact`` folds old versions into one folder beside the batches, with
+the first positions, and a run that continues a compacted log counts as a later epoch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -45,38 +48,61 @@ def latest_files(corpus_stream: DataFrame) -> DataFrame:
             .select("repo", "file", "_v.*", "first_seq", "last_seq"))
 
 
-def log_batches(corpus_stream: DataFrame, log: str, checkpoint: str, rules: RuleSet | None = None) -> DataStreamWriter:
-    """Append the findings and profiles of each batch to ``log``."""
+#: Batches of an epoch have versions from epoch * EPOCH on; a compacted log starts the next epoch.
+EPOCH = 1 << 32
+
+
+def log_batches(corpus_stream: DataFrame, log: str, checkpoint: str, rules: RuleSet | None = None, epoch: int = 0,
+                on_batch: Callable[[SparkSession, str], None] | None = None) -> DataStreamWriter:
+    """Append the findings and profiles of each batch to ``log``.
+
+    ``epoch`` is one more for each compaction that the log went through, so that new
+    batches neither replace its folder nor lose against its versions. ``on_batch``
+    is called with (spark, log) once a batch is written, for example to refresh a summary.
+    """
     rules = rules or RuleSet()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read by three writes
+        version = epoch * EPOCH + batch_id
         files = prepare.analyzable(batch, rules.extensions)
         parts = {"findings": build_findings(batch, rules),
                  "profiles": roles.profiles(files, S.events(files)).select(*PROFILE_COLUMNS),
                  "inputs": batch.select("repo", "file", "seq")}
         for name, df in parts.items():
-            merge.versioned(df, batch_id).write.mode("overwrite").parquet(f"{log}/{name}/batch={batch_id}")
-        batch.unpersist()
+            merge.versioned(df, version).write.mode("overwrite").parquet(f"{log}/{name}/batch={version}")
+        if on_batch is not None:
+            on_batch(batch.sparkSession, log)
     return (corpus_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True))
 
 
+BASE = "batch=-1"
+
+
 def read_log(spark: SparkSession, log: str, name: str) -> DataFrame:
-    return spark.read.option("basePath", f"{log}/{name}").parquet(f"{log}/{name}/batch=*").drop("batch")
+    """All versions of a table, ``position`` being the first place of what a compaction folded, else null."""
+    rows = spark.read.option("basePath", f"{log}/{name}").option("mergeSchema", "true").parquet(f"{log}/{name}/batch=*").drop("batch")
+    return rows if "position" in rows.columns else rows.withColumn("position", F.lit(None).cast(merge.POSITION))
+
+
+def _merged(spark: SparkSession, log: str, name: str, key: list[str]) -> DataFrame:
+    return merge.upsert(read_log(spark, log, name), key)
 
 
 def merged_findings(spark: SparkSession, log: str) -> DataFrame:
-    return merge.upsert(read_log(spark, log, "findings"), ["repo", "id"])
+    return _merged(spark, log, "findings", ["repo", "id"])
 
 
 def merged_profiles(spark: SparkSession, log: str) -> DataFrame:
-    return merge.upsert(read_log(spark, log, "profiles"), ["repo", "file"])
+    return _merged(spark, log, "profiles", ["repo", "file"])
 
 
 def compact(spark: SparkSession, log: str, name: str, key: list[str], target: str) -> None:
-    """Write the current state of one table of the log to ``target``, ready to start a new log from."""
-    merge.upsert(read_log(spark, log, name), key).drop("position").write.mode("overwrite").parquet(f"{target}/{name}/batch=0")
+    """Write the current state of one table of the log to ``target``, to be continued by runs of the next epoch.
+
+    It has a folder of its own, which no batch writes, and keeps versions and first positions.
+    """
+    _merged(spark, log, name, key).write.mode("overwrite").parquet(f"{target}/{name}/{BASE}")
 
 
 def summary(spark: SparkSession, log: str) -> DataFrame:

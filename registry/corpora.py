@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.sources.readers import spread
 
 NBSP = " "
 
@@ -219,7 +218,8 @@ app.delete(removeAll)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    """The given table has one row group, which one task would read; it is dealt to as many as the session's joins have."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
 
 
 def line_corpus_from(documents: DataFrame) -> DataFrame:

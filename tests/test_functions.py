@@ -47,12 +47,19 @@ def test_lookup_join_with_hot_keys_equals_the_plain_join(spark):
         F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "k string, v int")
     plain = left.join(right, "k", "left").select("id", "k", "v").collect()
-    salted = skew.lookup_join(left, right, ["k"], hot_rows=500, salts=8)
-    assert sorted(salted.select("id", "k", "v").collect(), key=str) == sorted(plain, key=str)
-    assert [r.k for r in skew.hot_keys(left, ["k"], 500).collect()] == ["hot"]
-    assert skew.hot_keys(left, ["k"], 5000) is None
-    spread = salted.where("k = 'hot'")
-    assert spread.count() == 1000
+    for hot_rows in (30, 300, 5000):
+        salted = skew.lookup_join(left, right, ["k"], hot_rows=hot_rows)
+        assert sorted(salted.select("id", "k", "v").collect(), key=str) == sorted(plain, key=str)
+    assert [tuple(r) for r in skew.hot_keys(left.where("k IS NOT NULL"), ["k"], 300).collect()] == [("hot", 4)]
+    assert skew.hot_keys(left, ["k"], 5000).isEmpty()
+
+
+def test_lookup_join_leaves_null_keys_where_they_are(spark):
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("k"))
+    joined = skew.lookup_join(left, spark.createDataFrame([("10", 1)], "k string, v int"), ["k"])
+    assert joined.count() == 20_000 and joined.where("v = 1").count() == 1
+    plan = joined._jdf.queryExecution().toString()
+    assert "isnotnull(k" in plan and "Union" in plan
 
 
 def test_number_rows_equals_row_number(spark):

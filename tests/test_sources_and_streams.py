@@ -29,7 +29,9 @@ def test_tree_and_tables(spark, corpus_of, tmp_path):
 def test_results_round_trip(spark, corpus_of, tmp_path):
     result = cg.analyze(corpus_of(("a.js", "eval(x)"), ("b.py", "exec(y)")))
     paths = cg.write_results(result, str(tmp_path / "out"))
-    assert [os.path.basename(p) for p in paths] == ["findings", "metadata", "modules", "repos"]
+    assert [os.path.basename(p) for p in paths] == ["findings", "metadata", "modules", "repos", "hotspots", "module_files", "payloads"]
+    assert spark.read.parquet(paths[4]).count() == 2 and spark.read.parquet(paths[5]).count() == 2
+    assert '"findingCount":2' in spark.read.parquet(paths[6]).first().payload
     back = spark.read.parquet(paths[0])
     assert sorted(r.id for r in back.collect()) == sorted(r.id for r in result.findings.collect())
     assert os.path.isdir(os.path.join(paths[0], "repo=r"))
@@ -86,8 +88,24 @@ def test_stream_in_batches_equals_batch(spark, corpus_of, tmp_path):
     assert profiles["a.js"].version == 1 and profiles["a.js"].position.version == 0 and profiles["a.js"].lines_of_code == 1
     total = inc.summary(spark, log).first()
     assert (total.file_count, total.scanned_file_count, total.finding_count) == (4, 3, len(ids))
-    inc.compact(spark, log, "findings", ["repo", "id"], str(tmp_path / "compacted"))
-    assert sorted(r.id for r in inc.merged_findings(spark, str(tmp_path / "compacted")).collect()) == ids
+    compacted = str(tmp_path / "compacted")
+    for name, key in (("findings", ["repo", "id"]), ("profiles", ["repo", "file"]), ("inputs", ["repo", "file"])):
+        inc.compact(spark, log, name, key, compacted)
+    was = {r.id: (r.version, r.position) for r in merged.collect()}
+    assert {r.id: (r.version, r.position) for r in inc.merged_findings(spark, compacted).collect()} == was
+
+    # a later run into the compacted log keeps what was there, its places, and wins where both have a file
+    later, source = spark.createDataFrame([("r", "a.js", "x\ny\nz", 3), ("r", "e.js", "eval(q)", 4)], readers.CORPUS_SCHEMA), str(tmp_path / "in2")
+    later.coalesce(1).write.parquet(source)
+    counts = []
+    inc.run(inc.log_batches(inc.read_corpus_stream(spark, source), compacted, str(tmp_path / "marks2"), epoch=1,
+                            on_batch=lambda s, path: counts.append(inc.summary(s, path).first().file_count)))
+    rows = {r.id: r for r in inc.merged_findings(spark, compacted).collect()}
+    assert set(was) < set(rows) and len(rows) == len(was) + 1
+    assert all(rows[i].position == p for i, (_, p) in was.items())
+    newest = {r.file: r for r in inc.merged_profiles(spark, compacted).collect()}
+    assert newest["a.js"].lines_of_code == 3 and newest["a.js"].version == inc.EPOCH and newest["a.js"].position.version == 0
+    assert counts == [5]
 
 
 def test_streaming_scan_and_state(spark, corpus_of, tmp_path):
