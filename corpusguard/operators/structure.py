@@ -1,9 +1,9 @@
 """Code structure of JavaScript and TypeScript files as relations.
 
-``line_facts`` reads each line once and keeps the few that carry structure, as
-extracted fields only. ``scoped`` adds the enclosing class and function with one
-window per file; it is the only shuffle, it never carries file contents, and the
-aggregates below reuse its partitioning by (repo, file, seq).
+``line_facts`` lays the statements of a file out by line, reads each line once and
+keeps the few that carry structure, as extracted fields only. ``scoped`` adds the
+enclosing class and function with windows per file and bracket depth; contents are
+never shuffled, and the aggregates below work by (repo, file, seq).
 
 Where two readings of the same file differ, ``variant`` picks one: "summary"
 feeds the roll-ups, "detail" feeds the call graph and the listings.
@@ -164,8 +164,8 @@ def line_facts(files: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     picked = (code_files(files)
-              .select(*FILE, F.posexplode_outer(T.split_lines(F.col("content"))).alias("_pos", "line"))
-              .where(line.rlike(L.STRUCTURAL)))
+              .select(*FILE, F.posexplode_outer(T.split_lines(L.statements(F.col("content")))).alias("_pos", "line"))
+              .where(line.rlike(L.STRUCTURAL)).withColumn("_plain", F.regexp_replace(line, L.QUOTED, "''")))
     return _stage_imports(picked).select(
         *FILE, (F.col("_pos") + 1).alias("line_no"),
         F.when(F.col("_clause").isNotNull(), _import_struct(line))
@@ -178,21 +178,51 @@ def line_facts(files: DataFrame) -> DataFrame:
         F.when(line.contains("("), L.called_names(line)).alias("calls"),
         F.when(line.contains("fetch"), L.file_endpoint(line)).alias("file_call"),
         F.when(line.contains("router.") | line.contains("app."), _route_struct(line)).alias("route"),
-        line.rlike(L.OPENS).alias("opens"), line.rlike(L.BODY_END).alias("ends"))
+        line.rlike(L.OPENS).alias("opens"), F.regexp_count("_plain", F.lit(r"\{")).alias("opened"), F.regexp_count("_plain", F.lit(r"\}")).alias("closed"),
+        F.regexp_count(F.regexp_extract("_plain", r"^[^{]*", 0), F.lit(r"\}")).alias("closes_first"))
 
 
-def scoped(facts: DataFrame) -> DataFrame:
-    """Add ``class_name`` and ``caller``: the last header above, until a body ends."""
+def _depths(facts: DataFrame) -> DataFrame:
+    """Bracket depth before and after each line, and the lowest within it; text that closes too much starts again at 0."""
     up_to_here = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    class_mark = (F.when(F.col("cls").isNotNull() & F.col("opens"), F.col("cls.name"))
-                  .when(F.col("ends"), F.lit("")))
-    with_class = facts.withColumn("class_name", T.or_null(F.last(class_mark, ignorenulls=True).over(up_to_here)))
+    lines = Window.partitionBy(*FILE).orderBy("line_no")
+    total = facts.withColumn("_sum", F.sum(F.col("opened") - F.col("closed")).over(up_to_here))
+    clear = total.withColumn("_after", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(up_to_here)))
+    known = clear.withColumn("_before", F.coalesce(F.lag("_after").over(lines), F.lit(0)))
+    return known.withColumn("_lowest", F.greatest(F.col("_before") - F.col("closes_first"), F.lit(0))).drop("_sum")
+
+
+def scoped(facts: DataFrame) -> DataFrame:
+    """Add ``class_name`` and ``caller``: the innermost class and function whose body a line is in.
+
+    A header that opens a body owns the depth it opens until a line falls below that
+    depth; then the one around it counts again. Each line has a row per depth around
+    it, so the owner of a depth is the last mark above, by one window per file and depth.
+    """
+    lines = _depths(facts)
+    kind = (F.when(F.col("fn").isNotNull(), F.struct(F.lit("function").alias("kind"), F.col("fn.name").alias("name")))
+            .when(F.col("method").isNotNull(), F.struct(F.lit("method").alias("kind"), F.col("method.name").alias("name")))
+            .when(F.col("cls").isNotNull(), F.struct(F.lit("class").alias("kind"), F.col("cls.name").alias("name"))))
+    header = F.when(F.col("opens"), kind)
+    nobody = F.struct(F.lit("").alias("kind"), F.lit("").alias("name"))
+    deep = lines.select(*FILE, "line_no", "_after", "_lowest", header.alias("_header"), F.explode(
+        F.when(F.greatest("_before", "_after") > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest("_before", "_after").cast("bigint")))).alias("_depth"))
+    mark = (F.when(F.col("_header").isNotNull() & (F.col("_depth") == F.col("_after")), F.col("_header"))
+            .when(F.col("_depth") > F.col("_lowest"), nobody))
+    above = Window.partitionBy(*FILE, "_depth").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    owners = (deep.withColumn("_owner", F.last(mark, ignorenulls=True).over(above))
+              .where((F.col("_depth") <= F.col("_lowest")) & (F.col("_owner.kind") != ""))
+              .groupBy(*FILE, "line_no").agg(F.array_sort(F.collect_list(F.struct("_depth", "_owner"))).alias("_around")))
+    around = F.coalesce("_around", F.array().cast(owners.schema["_around"].dataType))
+    classes_around = F.filter(around, lambda o: o["_owner"]["kind"] == "class")
+    innermost = F.try_element_at(around, F.lit(-1))["_owner"]
+    placed = (lines.join(owners, [*FILE, "line_no"], "left")
+              .withColumn("class_name", F.try_element_at(classes_around, F.lit(-1))["_owner"]["name"])
+              .withColumn("_inner", innermost).drop("_around", "_before", "_after", "_lowest"))
     own = F.coalesce(F.col("fn.name"), F.when(F.col("method").isNotNull(), method_name()))
-    scope_mark = (F.when(own.isNotNull() & F.col("opens"), own)
-                  .when(F.col("cls").isNotNull() & F.col("opens"), F.lit(""))
-                  .when(F.col("ends"), F.lit("")))
-    carried = T.or_null(F.last(scope_mark, ignorenulls=True).over(up_to_here))
-    return with_class.withColumn("caller", F.coalesce(own, carried, F.lit(ROOT)))
+    carried = F.when(F.col("_inner.kind") == "function", F.col("_inner.name")).when(
+        F.col("_inner.kind") == "method", F.concat_ws(".", F.col("class_name"), F.col("_inner.name")))
+    return placed.withColumn("caller", F.coalesce(own, carried, F.lit(ROOT))).drop("_inner")
 
 
 def method_name() -> Column:

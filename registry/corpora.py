@@ -197,13 +197,34 @@ const run = function named(cmd, cb = () => 1) {
 helper{m}()
 """),
     (10, "src/loginFlow{m}.tsx", """import sequelize from "sequelize"
-import bcrypt from 'bcrypt'
+import {
+  hash as digest, // the stored form
+  compare
+} from 'bcrypt'
 import reactExpress from 'react-express'
-export async function signup(user: User, password: string): Promise<void> {
-  const hash = await bcrypt.hash(password, 10)
-  return save(hash)
+/* phantom(1) is no call
+ * nor is ghost(2)
+ */
+export async function signup(
+  user: User,
+  password = salt(rounds(10, { deep: [1, 2] }))
+): Promise<void> {
+  const keep = (row) => {
+    return save(row)
+  }
+  const text = `for ${label(user)} not(this)
+    nor(that)`
+  return keep(digest(password), text)
 }
 function save(row) { return sequelize.insert(row) }
+const {
+  readFile,
+  writeFile: put
+} = require('fs')
+export {
+  save,
+  signup as enter
+}
 """),
     (11, "src/loop{m}.js", """import { ping } from './loop{m}'
 export function ping(x) {

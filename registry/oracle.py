@@ -29,12 +29,31 @@ def trim(x: str) -> str:
     return f"regexp_replace({x}, {q(f'^{W}+|{W}+' + chr(92) + 'z')}, '', 'g')"
 
 
+def plain(pattern: str) -> str:
+    """The pattern without possessive loops, which this dialect lacks and does not need."""
+    return pattern.replace("*+", "*").replace("++", "+")
+
+
 def hits(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, {q(pattern)})"
+    return f"regexp_matches({x}, {q(plain(pattern))})"
 
 
 def ext(x: str, pattern: str, group: int = 1) -> str:
-    return f"regexp_extract({x}, {q(pattern)}, {group})"
+    return f"regexp_extract({x}, {q(plain(pattern))}, {group})"
+
+
+BREAKS = f"regexp_replace(p, {q('[^' + chr(10) + ']+')}, '', 'g')"
+BODY = f"regexp_replace(p, {q(chr(92) + 'r?' + chr(92) + 'n' + chr(92) + 'z')}, '')"
+
+
+def statements(content: str) -> str:
+    """Comments and template texts out, headers of several lines on one."""
+    inside = f"regexp_replace(array_to_string(regexp_extract_all(p, {q(plain(L.EXPRESSION))}, 1), ' + '), {q(chr(92) + 's+')}, ' ', 'g')"
+    code = f"""array_to_string(list_transform(regexp_extract_all({content}, {q(plain(L.PIECE))}), lambda p: CASE WHEN starts_with(p, '//') THEN ''
+      WHEN starts_with(p, '/*') THEN ' ' || {BREAKS} WHEN starts_with(p, '`') AND contains(p, '${{') THEN '(' || {inside} || ')' || {BREAKS}
+      WHEN starts_with(p, '`') AND contains(p, chr(10)) THEN '``' || {BREAKS} ELSE p END), '')"""
+    return f"""array_to_string(list_transform(regexp_extract_all({code}, {q(plain(L.STATEMENT))}), lambda p: CASE WHEN contains({BODY}, chr(10))
+      THEN regexp_replace({BODY}, {q(chr(92) + 's*' + chr(92) + 'n' + chr(92) + 's*')}, ' ', 'g') || {BREAKS} ELSE p END), '')"""
 
 
 def in_list(values) -> str:
@@ -236,6 +255,9 @@ BIND = 'STRUCT(imported VARCHAR, "local" VARCHAR)[]'
 NO_TEXTS, NO_BINDINGS = "CAST([] AS VARCHAR[])", f"CAST([] AS {BIND})"
 
 
+QUOTED = plain(L.QUOTED)
+
+
 def items(x: str) -> str:
     return f"list_filter(list_transform(string_split({x}, ','), lambda p: {trim('p')}), lambda p: p <> '')"
 
@@ -247,10 +269,11 @@ def named(x: str) -> str:
 
 
 def params(x: str) -> str:
-    flat = x
-    for pattern, mark, times in ((r"\{[^{}]*\}", "chr(1)", 3), (r"\[[^\[\]]*\]", "chr(2)", 3), (r"\([^()]*\)", "''", 2), ("<[^<>]*>", "''", 1)):
-        for _ in range(times):
+    flat = f"regexp_replace({x}, {q(QUOTED)}, {q(chr(39) * 2)}, 'g')"
+    for _ in range(6):  # the innermost brackets of each kind, as deep as the corpora go
+        for pattern, mark in ((r"\{[^{}()\[\]]*\}", "chr(1)"), (r"\[[^{}()\[\]]*\]", "chr(2)"), (r"\([^{}()\[\]]*\)", "''")):
             flat = f"regexp_replace({flat}, {q(pattern)}, {mark}, 'g')"
+    flat = f"regexp_replace({flat}, {q('<[^<>]*>')}, '', 'g')"
     name = (f"CASE WHEN {hits('p', L.PARAM_NAME)} THEN {ext('p', L.PARAM_NAME)} WHEN {hits('p', L.PARAM_REST)} THEN '...' || {ext('p', L.PARAM_REST, 2)} "
             f"WHEN starts_with(p, chr(1)) AND NOT contains(p, '=') THEN '{{...}}' WHEN starts_with(p, chr(2)) AND NOT contains(p, '=') THEN '[...]' ELSE '' END")
     return f"list_filter(list_transform({items(flat)}, lambda p: {name}), lambda p: p <> '')"
@@ -260,13 +283,13 @@ FN_EXPORTED = f"({hits('line', L.DECLARATION)} AND {ext('line', L.DECLARATION, 1
 CLASS_NAME = f"CASE WHEN {hits('line', L.CLASS)} AND {ext('line', L.CLASS, 3)} NOT IN {in_list(L.NOT_A_NAME)} THEN {ext('line', L.CLASS, 3)} END"
 CLASS_EXPORTED = f"({CLASS_NAME} IS NOT NULL AND {ext('line', L.CLASS, 1)} <> '')"
 # the same without possessive loops and look-behind, which this dialect lacks
-QUOTED = L.QUOTED.replace("*+", "*")
 CALL = rf"({L.I}){W}*\("
 CALLED = (f"regexp_replace(regexp_replace(line, {q(QUOTED)}, '''''', 'g'), {q(L.LINE_COMMENT)}, '', 'g')")
 ENDPOINT = " || ".join(ext("line", L.FILE_CALL, g) for g in (1, 2, 3))
 
 CTE.update({
-    "js": f"js AS MATERIALIZED (SELECT * FROM lines WHERE file_type IN {in_list(JS)})",
+    "js": f"""js AS MATERIALIZED (SELECT {KEY}, file_type, unnest(generate_series(1, len(ls))) AS line_no, unnest(ls) AS line
+      FROM (SELECT *, string_split_regex({statements('content')}, {q(chr(92) + 'r?' + chr(92) + 'n')}) AS ls FROM files WHERE file_type IN {in_list(JS)}))""",
     "imports": f"""import_parts AS (SELECT *, nullif({ext('clause', L.CLAUSE_DEFAULT)}, '') AS d, nullif({ext('clause', L.CLAUSE_NAMESPACE)}, '') AS ns,
         {named(ext('clause', L.CLAUSE_NAMED))} AS names
       FROM (SELECT *, regexp_replace({trim(ext('line', L.IMPORT_FROM, 1))}, {q(L.CLAUSE_TYPE)}, '') AS clause,
@@ -300,15 +323,27 @@ CTE.update({
       UNION ALL SELECT {KEY}, line_no, 0, {ext('line', L.EXPORT_NAMESPACE)}, 'named', NULL, ['summary', 'detail'] FROM js WHERE {hits('line', L.EXPORT_NAMESPACE)}),
     exports AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE (vs), unnest(vs) AS variant FROM export_rows)
       QUALIFY variant = 'summary' OR row_number() OVER (PARTITION BY {KEY}, line_no, name, variant ORDER BY pos) = 1)""",
-    "scoped": f"""headers AS (SELECT *, {hits('line', L.OPENS)} AS opens, {hits('line', L.BODY_END)} AS ends, {CLASS_NAME} AS cls,
+    "scoped": f"""counted AS (SELECT *, regexp_replace(line, {q(QUOTED)}, '', 'g') AS bare FROM js),
+    summed AS (SELECT *, sum(len(bare) - len(replace(bare, '{{', '')) - len(bare) + len(replace(bare, '}}', ''))) OVER (PARTITION BY {KEY} ORDER BY line_no) AS level FROM counted),
+    lifted AS (SELECT *, level - least(0, min(level) OVER (PARTITION BY {KEY} ORDER BY line_no)) AS after FROM summed),
+    levels AS (SELECT *, greatest(0, coalesce(lag(after) OVER (PARTITION BY {KEY} ORDER BY line_no), 0)
+        - (len(string_split(bare, '{{')[1]) - len(replace(string_split(bare, '{{')[1], '}}', '')))) AS lowest FROM lifted),
+    headers AS MATERIALIZED (SELECT *, {hits('line', L.OPENS)} AS opens, {CLASS_NAME} AS cls,
         CASE WHEN {hits('line', L.DECLARATION)} THEN 'declaration' WHEN {hits('line', L.ARROW)} THEN 'arrow' WHEN {hits('line', L.FUNCTION_VALUE)} THEN 'value' END AS fn_kind,
-        CASE WHEN {hits('line', L.METHOD)} AND {ext('line', L.METHOD, 2)} NOT IN {in_list(L.NOT_A_METHOD)} THEN {ext('line', L.METHOD, 2)} END AS method FROM js),
-    named_headers AS (SELECT *, CASE fn_kind WHEN 'declaration' THEN {ext('line', L.DECLARATION, 4)} WHEN 'arrow' THEN {ext('line', L.ARROW, 2)}
-        WHEN 'value' THEN {ext('line', L.FUNCTION_VALUE, 2)} END AS fn,
-        nullif(last_value(CASE WHEN cls IS NOT NULL AND opens THEN cls WHEN ends THEN '' END IGNORE NULLS) OVER (PARTITION BY {KEY} ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS class_name FROM headers),
-    owned AS (SELECT *, coalesce(fn, CASE WHEN method IS NOT NULL THEN coalesce(class_name || '.', '') || method END) AS own FROM named_headers),
-    scoped AS MATERIALIZED (SELECT *, coalesce(own, nullif(last_value(CASE WHEN own IS NOT NULL AND opens THEN own WHEN cls IS NOT NULL AND opens THEN '' WHEN ends THEN '' END IGNORE NULLS)
-        OVER (PARTITION BY {KEY} ORDER BY line_no ROWS UNBOUNDED PRECEDING), ''), 'root') AS caller FROM owned)""",
+        CASE WHEN {hits('line', L.METHOD)} AND {ext('line', L.METHOD, 2)} NOT IN {in_list(L.NOT_A_METHOD)} THEN {ext('line', L.METHOD, 2)} END AS method FROM levels),
+    named_headers AS MATERIALIZED (SELECT *, CASE fn_kind WHEN 'declaration' THEN {ext('line', L.DECLARATION, 4)} WHEN 'arrow' THEN {ext('line', L.ARROW, 2)}
+        WHEN 'value' THEN {ext('line', L.FUNCTION_VALUE, 2)} END AS fn FROM headers),
+    bodies AS MATERIALIZED (SELECT h.repo, h.file, h.seq, h.line_no AS first, h.after AS level, coalesce(h.fn, h.method, h.cls) AS name,
+        CASE WHEN h.fn IS NOT NULL THEN 'f' WHEN h.method IS NOT NULL THEN 'm' ELSE 'c' END AS sort, min(e.line_no) AS past
+      FROM named_headers h LEFT JOIN levels e ON e.repo = h.repo AND e.file = h.file AND e.seq = h.seq AND e.line_no > h.line_no AND e.lowest < h.after
+      WHERE h.opens AND coalesce(h.fn, h.method, h.cls) IS NOT NULL GROUP BY ALL),
+    inside AS MATERIALIZED (SELECT l.repo, l.file, l.seq, l.line_no, arg_max(b.name, b.level) FILTER (b.sort = 'c') AS class_name,
+        arg_max(b.name, b.level) AS inner_name, arg_max(b.sort, b.level) AS inner_sort
+      FROM named_headers l JOIN bodies b ON b.repo = l.repo AND b.file = l.file AND b.seq = l.seq AND l.line_no > b.first AND (b.past IS NULL OR l.line_no < b.past)
+      GROUP BY ALL),
+    owned AS (SELECT n.*, i.class_name, i.inner_name, i.inner_sort, coalesce(n.fn, CASE WHEN n.method IS NOT NULL THEN coalesce(i.class_name || '.', '') || n.method END) AS own
+      FROM named_headers n LEFT JOIN inside i ON i.repo = n.repo AND i.file = n.file AND i.seq = n.seq AND i.line_no = n.line_no),
+    scoped AS MATERIALIZED (SELECT *, coalesce(own, CASE inner_sort WHEN 'f' THEN inner_name WHEN 'm' THEN coalesce(class_name || '.', '') || inner_name END, 'root') AS caller FROM owned)""",
     "functions": f"""function_rows AS MATERIALIZED (
       SELECT {KEY}, line_no, fn AS name, CASE fn_kind WHEN 'declaration' THEN {params(ext('line', L.DECLARATION, 5))}
           WHEN 'arrow' THEN {params(ext('line', L.ARROW, 4) + ' || ' + ext('line', L.ARROW, 6))} ELSE {params(ext('line', L.FUNCTION_VALUE, 4))} END AS params,

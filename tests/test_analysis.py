@@ -198,6 +198,88 @@ router.use(authenticate)
     assert [r.name for r in S.entry_points(facts).orderBy("line_no").collect()] == ["default", "authenticate"]
 
 
+def structure_of(corpus_of, text):
+    facts = S.line_facts(prepare.analyzable(corpus_of(("a.ts", text))))
+    events = S.scoped(facts)
+    return facts, events, sorted((r.caller, r.callee) for r in S.call_edges(events).collect())
+
+
+def test_statements_over_several_lines(corpus_of):
+    facts, events, edges = structure_of(corpus_of, """import {
+  one, // the first
+  two as second
+} from './numbers'
+export {
+  one,
+  second as last
+} from './numbers'
+const {
+  read,
+  write: put
+} = require('fs')
+export function many(
+  a = f(g(1)),
+  { b, c } = {},
+  ...rest
+) {
+  return put(a)
+}
+""")
+    assert [(r.line_no, r.source, list(r.specifiers)) for r in S.all_imports(facts).orderBy("line_no").collect()] == [
+        (1, "./numbers", ["one", "two"]), (9, "fs", ["read", "write"])]
+    assert [(r.line_no, r.name) for r in S.exports(facts).orderBy("line_no", "pos").collect()] == [(5, "one"), (5, "last"), (13, "many")]
+    assert [(r.name, r.line_no, list(r.params)) for r in S.functions(events).collect()] == [("many", 13, ["a", "...rest"])]
+    assert ("many", "put") in edges and ("root", "put") not in edges
+
+
+def test_long_headers_are_functions(corpus_of):
+    defaults = ", ".join(f"p{i} = d({i})" for i in range(300))
+    _, events, _ = structure_of(corpus_of, f"function wide({defaults}) {{\n  x()\n}}\n")
+    assert [(r.name, len(r.params)) for r in S.functions(events).collect()] == [("wide", 300)]
+
+
+def test_nested_functions_give_back_the_scope(corpus_of):
+    _, _, edges = structure_of(corpus_of, """function outer() {
+  const inner = () => {
+    first()
+  }
+  if (ready()) {
+    items.map((x) => {
+      third(x)
+    })
+  }
+  second()
+}
+class Box {
+  open(key) {
+    const turn = (k) => {
+      unlock(k)
+    }
+    lift()
+  }
+  shut() {
+    lock("}")
+  }
+}
+last()
+""")
+    assert edges == [("Box.open", "lift"), ("Box.shut", "lock"), ("inner", "first"), ("outer", "map"), ("outer", "ready"),
+                     ("outer", "second"), ("outer", "third"), ("root", "last"), ("turn", "unlock")]
+
+
+def test_comments_and_templates_are_no_code(corpus_of):
+    _, _, edges = structure_of(corpus_of, """/* phantom(1)
+ * calls ghost(x)
+ */
+// shade(2)
+const text = `it says boo(3) and ${told(4)}
+  more(5)`
+real('https://host/a(b)') // not(6)
+fetch(`/x/y.py`)
+""")
+    assert edges == [("root", "fetch"), ("root", "real"), ("root", "told")]
+
+
 def test_merge_is_idempotent_and_keeps_positions(spark):
     schema = "repo string, file string, seq bigint, v string, version bigint"
     old = spark.createDataFrame([("r", "a", 0, "1", 0), ("r", "b", 1, "1", 0)], schema)
