@@ -70,6 +70,12 @@ def gram_keys(parts: list[np.ndarray]) -> np.ndarray:
 BLANKS = [int(gram_keys([np.full(1, 32, np.uint32)] * n)[0]) for n in GRAMS]
 
 
+def batches_of(column: pa.Array) -> Iterator[list[str | None]]:
+    texts = column.to_pylist()
+    for i in range(0, len(texts), ROWS):
+        yield texts[i:i + ROWS]
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     vectors = np.sqrt(counts) * idf
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -112,7 +118,7 @@ def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_lan
     """Learn from all rows of ``docs`` (doc_id, text, lang) that have text and lang.
 
     Document frequencies are counted over every row. The centroids are fitted on at
-    most ``sample`` rows per language, those whose ids hash lowest. A centroid
+    most ``sample`` rows per language, of those whose ids hash lowest. A centroid
     accepts cosines from ``slack`` times the least cosine of any sampled text to its
     own centroid, so short texts of a known language, which are far from every
     centroid, stay. More than ``max_langs`` languages raise, as the column then
@@ -122,11 +128,14 @@ def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_lan
     seen, rows = document_frequencies(known)
     idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
     idf[BLANKS] = 0
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(max_langs + 1)
+    if sizes.count() > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    # twice the share that is needed goes to the ranking, so a language's task ranks few rows however many it has
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("rows").cast("double") < 2 * sample * (1 << 30)
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.select("doc_id", "lang").withColumn("place", F.row_number().over(lowest))
+    ids = (known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(share).withColumn("place", F.row_number().over(lowest))
            .where(F.col("place") <= sample).select("doc_id", "lang").distinct())
-    if ids.select("lang").distinct().limit(max_langs + 1).count() > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     picked = known.join(F.broadcast(ids), ["doc_id", "lang"])  # at most sample * max_langs ids
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
