@@ -9,12 +9,13 @@ that share a band are estimated from all registers by joint likelihood, with the
 exact set sizes, and what may be similar enough is confirmed on the full sets.
 
 Equal sets are one class. Only classes are compared. First each class is compared
-with the most central class of its buckets, one pair per class. What that leaves in
-different components is compared across components, unless it cannot be linked: a
-class is out when no other's signature in its bucket is close enough, or when so many
-of its shingles occur in no other class still open that its overlap with any of them
-is too small. So a group of thousands of near copies costs about one comparison per
-copy, and no link between components is left out.
+with the most central class of each of its buckets, then, as long as that finds links,
+with the most central class of the largest component in the bucket. What is left in
+different components is compared in all pairs across components, unless it cannot be
+linked: a class is out when no other's signature in its bucket is close enough, or
+when so many of its shingles occur in no other class still open that its overlap with
+any of them is too small. So a group of thousands of near copies costs a few
+comparisons per copy, and no link between components is left out.
 
 Nulls and edges: a null text is empty; an empty set is linked with nothing. A row
 without id cannot be named and is linked with nothing: its component is null and it
@@ -42,6 +43,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 PERCENT = 75
 #: A pair is dropped before the exact test only if its estimate is this many standard deviations too low.
 SIGMAS = 4.5
+#: Rounds of comparisons with heads before the pairs that are left.
+ROUNDS = 4
 #: Lowest bits of the registers: two classes at the threshold differ in an eighth of them.
 SIGNATURE = 4
 DIFFERING = int(REGISTERS * (1 - PERCENT / 100) / 2 + SIGMAS * (REGISTERS * (1 - PERCENT / 100) / 2 * (1 + PERCENT / 100) / 2) ** 0.5)
@@ -235,37 +238,65 @@ def unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def across(placed: DataFrame, tested: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Links between classes (key, cls, n, sig, root) that share a bucket but not a component."""
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    split = (parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("key", F.col("m.root").alias("main")))
-    open_ = materialized(placed.join(split, "key"), "open")
+def opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``buckets`` (key, cls, n, sig, meets) that hold several components, with root, main (the root of the largest part)
+    and head (the most central class of that part)."""
+    placed = buckets.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("meets", "cls", "n", "sig")).alias("top"))
+    split = (parts.groupBy("key").agg(F.max(F.struct("size", "top", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo <> hi").select("key", F.col("m.root").alias("main"), F.col("m.top").alias("head")))
+    return materialized(placed.join(split, "key"), "open")
 
-    def close(x: dict[str, Column], y: dict[str, Column]) -> Column:
-        """Whether two classes of a bucket and of different components may be linked."""
-        differing = sum((F.bit_count(x["sig"][i].bitwiseXOR(y["sig"][i])) for i in range(SIGNATURE)), F.lit(0))
-        return ((x["key"] == y["key"]) & (x["root"] != y["root"]) & (differing <= DIFFERING)
-                & (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])))
 
-    x = {c: F.col(f"x.{c}") for c in placed.columns}
-    y = {c: F.col(f"y.{c}") for c in placed.columns}
+def near(x: str, y: str) -> Column:
+    """Whether the sizes and signatures of two classes allow a link."""
+    differing = sum((F.bit_count(F.col(f"{x}.sig")[i].bitwiseXOR(F.col(f"{y}.sig")[i])) for i in range(SIGNATURE)), F.lit(0))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (differing <= DIFFERING) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+
+
+def apart() -> Column:
+    return (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def stars(open_: DataFrame) -> DataFrame:
+    """a, b: each class outside its bucket's main part with the head of that part, at most one pair per class and bucket."""
+    return open_.alias("x").where((F.col("root") != F.col("main")) & near("x", "head")).select(*ordered("x.cls", "head.cls")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def rest_of_links(buckets: DataFrame, links: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``links`` and those that connect further components: stars around other heads first, then whatever pairs are left."""
+    open_ = opened(buckets, components(links))
     left, right = open_.where("root <> main").alias("x"), open_.alias("y")
-    some = left.join(right, close(x, y), "left_semi").select("cls").unionByName(
-        right.join(left, close(x, y), "left_semi").select("cls")).distinct()
-    classes = materialized(some, "classes")
+    classes = materialized(left.join(right, apart(), "left_semi").select("cls").unionByName(
+        right.join(left, apart(), "left_semi").select("cls")).distinct(), "classes")
     sets = full_sets(classes, docs, heads)
-    rest = materialized(open_.join(classes, "cls").join(unshared(sets), "cls", "left")
-                        .withColumn("shareable", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    buckets = buckets.join(classes, "cls")
+    open_, tested = open_.join(classes, "cls"), None
+    for _ in range(ROUNDS):
+        pairs = stars(open_)
+        pairs = materialized(plausible(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), heads), "pairs")
+        found = materialized(confirmed(pairs, sets), "found")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if found.isEmpty():
+            break
+        links = materialized(links.unionByName(found), "links")
+        open_ = opened(buckets, components(links))
+    rest = materialized(open_.join(unshared(sets), "cls", "left").withColumn("shareable", F.col("n") - F.coalesce("alone", F.lit(0)))
                         .where(100 * F.col("shareable") >= PERCENT * F.col("n")), "open")
     left, right = rest.where("root <> main").alias("x"), rest.alias("y")
-    overlap = F.least("x.shareable", "y.shareable")
-    enough = (100 + PERCENT) * overlap >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    enough = (100 + PERCENT) * F.least("x.shareable", "y.shareable") >= PERCENT * (F.col("x.n") + F.col("y.n"))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    pairs = (left.join(right, close(x, y) & enough & once)
-             .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-             .join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    return confirmed(materialized(plausible(pairs, heads), "pairs"), sets)
+    pairs = left.join(right, apart() & enough & once).select(*ordered("x.cls", "y.cls")).distinct().join(tested, ["a", "b"], "left_anti")
+    return links.unionByName(confirmed(materialized(plausible(pairs, heads), "pairs"), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -280,23 +311,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "regs", "keys", "sig")]), "classes")
     bands = heads.select("cls", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialized(bands.join(shared, "key"), "buckets")
-
+    members = materialized(bands.join(shared, "key"), "members")
     # the most central class of a bucket is the one that meets most others in all its buckets
     central = members.groupBy("cls").agg(F.sum("size").alias("meets"))
-    tops = members.join(central, "cls").groupBy("key").agg(F.max(F.struct("meets", "cls")).alias("m")).select("key", F.col("m.cls").alias("head"))
-    best = (members.join(tops, "key").where("cls <> head").groupBy("cls", "head").agg(F.count(F.lit(1)).alias("shared"))
-            .groupBy("cls").agg(F.max(F.struct("shared", "head")).alias("m")))
-    stars = materialized(plausible(best.select(F.col("m.head").alias("a"), F.col("cls").alias("b")), heads), "pairs")
+    buckets = materialized(members.select("key", "cls").join(central, "cls").join(heads.select("cls", "n", "sig"), "cls"), "buckets")
+
     same_id = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("doc_id", "a")
     given = named.select("doc_id", F.col("cls").alias("b")).join(same_id, "doc_id").where("a <> b").select("a", "b").distinct()
-    in_stars = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).distinct()
-    first = materialized(confirmed(stars, full_sets(in_stars, docs, heads)).unionByName(given).distinct(), "links")
-    roots = materialized(components(first), "roots").withColumnRenamed("v", "cls")
+    alone = heads.select(F.col("cls").alias("v"), F.col("cls").alias("root")).limit(0)
+    pairs = materialized(plausible(stars(opened(buckets, alone)), heads), "pairs")
+    first = materialized(confirmed(pairs, full_sets(ends(pairs), docs, heads)).unionByName(given).distinct(), "links")
+    links = materialized(rest_of_links(buckets, first, docs, heads), "links")
 
-    placed = (members.select("key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-              .join(heads.select("cls", "n", "sig"), "cls"))
-    links = materialized(first.unionByName(across(placed, stars, docs, heads)), "links")
     final = components(links).withColumnRenamed("v", "cls")
     least = heads.select("cls", "rep").join(final, "cls").groupBy("root").agg(F.min("rep").alias("least"))
     names = final.join(least, "root").select("cls", "least")
