@@ -17,6 +17,9 @@ from corpusguard.rules import SEVERITY_WEIGHTS
 SEVERITIES = tuple(SEVERITY_WEIGHTS)
 MODULE_TITLES, MODULE_DEPS, MODULE_FRAMEWORKS = 5, 8, 8
 REPO_FRAMEWORKS, REPO_DEPS = 12, 20
+# Titles and captions of the overview
+OPENED, RISK, FINDINGS, MODULES = "Files opened", "Risk score", "Findings", "Modules"
+DISCOVERED, CRITICAL, HIGH = " discovered", " critical, ", " high"
 NO_FRAMEWORK_TEXT = "No framework signal yet"
 WEIGHTS_TEXT = "Critical 10, high 5, medium 2, low 1"
 
@@ -106,11 +109,11 @@ def overview(repos: DataFrame, module_counts: DataFrame) -> DataFrame:
     r = repos.join(module_counts, "repo", "left").fillna(0, ["module_count"])
     top = F.array_join(F.slice("frameworks", 1, 3), ", ")
     cards = F.array(
-        _card(1, "Files opened", "scanned_file_count", F.concat(F.col("file_count").cast("string"), F.lit(" discovered"))),
-        _card(2, "Risk score", "risk_score", F.lit(WEIGHTS_TEXT)),
-        _card(3, "Findings", "finding_count", F.concat(F.col("critical").cast("string"), F.lit(" critical, "),
-                                                      F.col("high").cast("string"), F.lit(" high"))),
-        _card(4, "Modules", "module_count", F.when(top == "", F.lit(NO_FRAMEWORK_TEXT)).otherwise(top)))
+        _card(1, OPENED, "scanned_file_count", F.concat(F.col("file_count").cast("string"), F.lit(DISCOVERED))),
+        _card(2, RISK, "risk_score", F.lit(WEIGHTS_TEXT)),
+        _card(3, FINDINGS, "finding_count", F.concat(F.col("critical").cast("string"), F.lit(CRITICAL),
+                                                     F.col("high").cast("string"), F.lit(HIGH))),
+        _card(4, MODULES, "module_count", F.when(top == "", F.lit(NO_FRAMEWORK_TEXT)).otherwise(top)))
     return r.select("repo", F.inline(cards))
 
 

@@ -423,10 +423,10 @@ class RuleSet:
         """Add the rows of a user rule table to ``base``.
 
         Needed columns: rule_id, title, severity, regex, extensions (array).
-        Optional: stem, stem_pattern, story (array of 3), scenario, why, impact, fix. The
-        table is a dimension, so its size is checked before it is read.
+        Optional: unless, stem, stem_pattern, story (array of 3), scenario, why, impact, fix.
+        The table is a dimension, so its size is checked before it is read.
         """
-        wanted = ("rule_id", "title", "severity", "regex", "extensions",
+        wanted = ("rule_id", "title", "severity", "regex", "extensions", "unless",
                   "stem", "stem_pattern", "story", "scenario", "why", "impact", "fix")
         have = [c for c in wanted if c in df.columns]
         rows = df.select(*have).orderBy("rule_id").limit(MAX_RULES + 1).collect()

@@ -87,6 +87,13 @@ def test_user_rules(spark, corpus_of):
     assert rows[0].scenario.endswith("creating potential impact.")
 
 
+def test_user_rules_keep_their_condition(spark):
+    given = next(r for r in RULES if r.unless)
+    table = spark.createDataFrame([(300, "Own", "LOW", given.regex, [".py"], given.unless)],
+                                  "rule_id int, title string, severity string, regex string, extensions array<string>, unless string")
+    assert register_rules(table).rules[-1].unless == given.unless
+
+
 def test_rule_sets_are_checked():
     with pytest.raises(ValueError):
         RuleSet(RULES + (RULES[0],))
