@@ -41,6 +41,8 @@ LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
 CHUNK = 16 << 20
+#: Bytes of surroundings that are sorted at once; each byte is the start of about one string.
+SORTED = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C55)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LOW40 = np.uint64((1 << 40) - 1)
@@ -372,7 +374,7 @@ def compared(found: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= CHUNK:
+            if size >= SORTED:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 gram = whole.column("gram").to_numpy()
                 cut = int(np.searchsorted(gram, gram[-1], side="left"))
