@@ -267,12 +267,16 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def extension(prefix: Prefixes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common start of the strings of LENGTH bytes at ``a`` and ``b``, by binary search over hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH, np.int64)
+    out = np.full(len(a), LENGTH, np.int64)
+    differ = np.flatnonzero(prefix.part(a, a + LENGTH) != prefix.part(b, b + LENGTH))
+    a, b = a[differ], b[differ]
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH - 1, np.int64)
     for _ in range(LENGTH.bit_length()):
         middle = (low + high + 1) // 2
         same = prefix.part(a, a + middle) == prefix.part(b, b + middle)
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-    return low
+    out[differ] = low
+    return out
 
 
 def suffix_order(data: np.ndarray, prefix: Prefixes, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -321,8 +325,24 @@ def suffix_order(data: np.ndarray, prefix: Prefixes, starts: np.ndarray, group:
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the LENGTH bytes from each start also start in a member of its group with a smaller id."""
+    """Whether the LENGTH bytes from each start also start in a member of its group with a smaller id.
+
+    A string whose hash no other in the group has is not sorted.
+    """
     prefix = Prefixes(data)
+    name = mix(prefix.part(starts, starts + LENGTH) + mix(group.astype(np.uint64)))
+    order = np.argsort(name, kind="stable")
+    again = np.zeros(len(name), bool)
+    again[1:] = name[order][1:] == name[order][:-1]
+    again[:-1] |= again[1:]
+    shared = np.sort(order[again])
+    out = np.zeros(len(starts), bool)
+    if len(shared):
+        out[shared] = _repeated(data, prefix, starts[shared], group[shared], ids[shared])
+    return out
+
+
+def _repeated(data: np.ndarray, prefix: Prefixes, starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     order = suffix_order(data, prefix, starts, group)
     at, of = starts[order], group
     same = np.zeros(len(at), bool)
