@@ -26,6 +26,7 @@ so what their texts link to is connected. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,14 @@ REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, 65534
 PERCENT = 75
 #: A pair is dropped before the exact test only if its estimate is this many standard deviations too low.
-SIGMAS = 4.5
+SIGMAS = 4.0
 #: Rounds of comparisons with heads before the pairs that are left.
-ROUNDS = 4
-#: Lowest bits of the registers: two classes at the threshold differ in an eighth of them.
-SIGNATURE = 4
-DIFFERING = int(REGISTERS * (1 - PERCENT / 100) / 2 + SIGMAS * (REGISTERS * (1 - PERCENT / 100) / 2 * (1 + PERCENT / 100) / 2) ** 0.5)
+ROUNDS = 2
+#: A signature has the lowest PLANES bits of every register, one plane after another in WORDS_PER_PLANE numbers.
+PLANES, WORDS_PER_PLANE = 3, 4
+#: Share of registers whose signatures differ at the threshold, and the number that rules a pair out.
+_APART = (1 - PERCENT / 100) * (1 - 0.5 ** PLANES)
+DIFFERING = int(REGISTERS * _APART + SIGMAS * (REGISTERS * _APART * (1 - _APART)) ** 0.5)
 SHINGLE = multipliers(WORDS, 7)
 BAND = multipliers(PER_BAND, 11)
 
@@ -164,9 +167,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 cls = mix(np.asarray([s.sum(dtype=np.uint64) ^ mix(s ^ GOLDEN).sum(dtype=np.uint64) * GOLDEN for s in sets], np.uint64)
                           + np.asarray([len(s) for s in sets], np.uint64)).astype(np.int64)
             full = [len(s) > 0 for s in sets]
-            bits = np.zeros((len(sets), SIGNATURE * 64), bool)
-            bits[:, :REGISTERS] = registers & 1
-            signature = np.packbits(bits, axis=1).view(np.int64)
+            bits = np.zeros((len(sets), PLANES, WORDS_PER_PLANE * 64), bool)
+            for plane in range(PLANES):
+                bits[:, plane, :REGISTERS] = registers >> plane & 1
+            signature = np.packbits(bits.reshape(len(sets), -1), axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "cls": pa.array([int(c) if f else None for c, f in zip(cls, full)], pa.int64()),
@@ -250,7 +254,10 @@ def opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near(x: str, y: str) -> Column:
     """Whether the sizes and signatures of two classes allow a link."""
-    differing = sum((F.bit_count(F.col(f"{x}.sig")[i].bitwiseXOR(F.col(f"{y}.sig")[i])) for i in range(SIGNATURE)), F.lit(0))
+    differing = F.lit(0)
+    for i in range(WORDS_PER_PLANE):
+        planes = [F.col(f"{x}.sig")[i + p * WORDS_PER_PLANE].bitwiseXOR(F.col(f"{y}.sig")[i + p * WORDS_PER_PLANE]) for p in range(PLANES)]
+        differing = differing + F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), planes))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return (differing <= DIFFERING) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
@@ -263,39 +270,46 @@ def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def stars(open_: DataFrame) -> DataFrame:
-    """a, b: each class outside its bucket's main part with the head of that part, at most one pair per class and bucket."""
-    return open_.alias("x").where((F.col("root") != F.col("main")) & near("x", "head")).select(*ordered("x.cls", "head.cls")).distinct()
+def stars(open_: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """a, b: each class outside its bucket's main part with that head of such a part with which it shares most buckets,
+    of those not ``tested``; one pair per class."""
+    met = (open_.alias("x").where((F.col("root") != F.col("main")) & near("x", "head"))
+           .groupBy("x.cls", F.col("head.cls").alias("other")).agg(F.count(F.lit(1)).alias("shared")).select(*ordered("cls", "other"), "cls", "other", "shared"))
+    fresh = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
+    best = fresh.groupBy("cls").agg(F.max(F.struct("shared", "other")).alias("m"))
+    return best.select(*ordered("cls", "m.other")).distinct()
 
 
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
-def rest_of_links(buckets: DataFrame, links: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """``links`` and those that connect further components: stars around other heads first, then whatever pairs are left."""
+def rest_of_links(buckets: DataFrame, links: DataFrame, given: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``links`` and those that connect further components: stars around other heads first, then whatever pairs are left.
+    ``given`` are the pairs compared so far."""
     open_ = opened(buckets, components(links))
     left, right = open_.where("root <> main").alias("x"), open_.alias("y")
     classes = materialized(left.join(right, apart(), "left_semi").select("cls").unionByName(
         right.join(left, apart(), "left_semi").select("cls")).distinct(), "classes")
     sets = full_sets(classes, docs, heads)
     buckets = buckets.join(classes, "cls")
-    open_, tested = open_.join(classes, "cls"), None
+    open_, tested = open_.join(classes, "cls"), given
     for _ in range(ROUNDS):
-        pairs = stars(open_)
-        pairs = materialized(plausible(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), heads), "pairs")
+        asked = materialized(stars(open_, tested), "asked")
+        pairs = materialized(plausible(asked, heads), "pairs")
         found = materialized(confirmed(pairs, sets), "found")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = tested.unionByName(asked)
         if found.isEmpty():
             break
         links = materialized(links.unionByName(found), "links")
         open_ = opened(buckets, components(links))
     rest = materialized(open_.join(unshared(sets), "cls", "left").withColumn("shareable", F.col("n") - F.coalesce("alone", F.lit(0)))
-                        .where(100 * F.col("shareable") >= PERCENT * F.col("n")), "open")
+                        .where(100 * F.col("shareable") >= PERCENT * F.col("n")).join(heads.select("cls", "keys"), "cls"), "open")
     left, right = rest.where("root <> main").alias("x"), rest.alias("y")
     enough = (100 + PERCENT) * F.least("x.shareable", "y.shareable") >= PERCENT * (F.col("x.n") + F.col("y.n"))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    pairs = left.join(right, apart() & enough & once).select(*ordered("x.cls", "y.cls")).distinct().join(tested, ["a", "b"], "left_anti")
+    here = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # a pair counts in one of its buckets
+    pairs = left.join(right, apart() & enough & once & here).select(*ordered("x.cls", "y.cls")).join(tested, ["a", "b"], "left_anti")
     return links.unionByName(confirmed(materialized(plausible(pairs, heads), "pairs"), sets))
 
 
@@ -319,9 +333,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("doc_id", "a")
     given = named.select("doc_id", F.col("cls").alias("b")).join(same_id, "doc_id").where("a <> b").select("a", "b").distinct()
     alone = heads.select(F.col("cls").alias("v"), F.col("cls").alias("root")).limit(0)
-    pairs = materialized(plausible(stars(opened(buckets, alone)), heads), "pairs")
+    asked = materialized(stars(opened(buckets, alone)), "asked")
+    pairs = materialized(plausible(asked, heads), "pairs")
     first = materialized(confirmed(pairs, full_sets(ends(pairs), docs, heads)).unionByName(given).distinct(), "links")
-    links = materialized(rest_of_links(buckets, first, docs, heads), "links")
+    links = materialized(rest_of_links(buckets, first, asked, docs, heads), "links")
 
     final = components(links).withColumnRenamed("v", "cls")
     least = heads.select("cls", "rep").join(final, "cls").groupBy("root").agg(F.min("rep").alias("least"))
