@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.session import shared_dir
+from corpusguard.session import materialized, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path), the rules of the registered query.
@@ -73,7 +73,7 @@ def fit_urls(featured: DataFrame, sample: int = 50_000, trees: int = 15, depth:
     """Trees from the rows of ``featured`` that a rule decides, at most ``sample`` of them, those whose URLs hash lowest."""
     labelled = (featured.where("decided IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(sample)
                 .withColumn("label", (F.col("decided.verdict") == "block").cast("double")).select("label", *FEATURES))
-    labelled = labelled.coalesce(4)  # the sample is bounded
+    labelled = materialized(labelled.coalesce(4), "labelled")  # bounded, and read once per round of the training
     kinds = labelled.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if kinds["lo"] is None or kinds["lo"] == kinds["hi"]:
         return None
