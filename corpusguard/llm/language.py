@@ -3,7 +3,8 @@
 Texts become vectors of hashed n-grams of folded bytes, weighted by TF-IDF and
 scaled to length one. Each language has several centroids, found by spherical
 k-means, and a text takes the language of the centroid with the largest cosine.
-A text too far from every centroid is rejected.
+A text farther from its centroid than nearly all sampled texts and pieces of texts of
+that centroid and about that length is rejected.
 
 Nulls and edges: a null text, an empty one or one without a letter is ``und`` with
 score 0 and is rejected. Rows whose language or text is null teach nothing, nor do
@@ -14,6 +15,7 @@ Repeated rows are predicted each. Other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusguard.llm.common import slices
+from corpusguard.session import materialized
 
 DIMS = 4096
 GRAMS = (1, 2, 3)
 ROWS = 64
+#: Length bands: binary logarithms of the number of n-grams, the last band without end.
+BANDS = 14
+#: So many cosines of a centroid in a band tell its floor; with fewer the language's do.
+MEMBERS = 50
 LETTER = re.compile(r"[^\W\d_]")
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -36,7 +43,7 @@ PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Weights per n-gram, unit centroids by row, and per centroid its language and least accepted cosine."""
+    """Weights per n-gram, unit centroids by row, and per centroid its language and least accepted cosine per length band."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -81,6 +88,24 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
+def bands(counts: np.ndarray) -> np.ndarray:
+    """Length band of each text, by its n-grams that have weight."""
+    held = counts.sum(axis=1) - counts[:, BLANKS].sum(axis=1)
+    return np.clip(np.log2(np.maximum(held, 1)).astype(np.int64), 0, BANDS - 1)
+
+
+def pieces(text: str) -> list[str]:
+    """The text and a piece of it per length band, each at a place and of a length that only the text decides."""
+    out, size = [text], 1
+    while size < len(text) and size < 1 << BANDS:
+        pick = zlib.crc32(text.encode(), size)
+        length = min(size + pick % size, len(text))
+        at = (pick >> 8) % (len(text) - length + 1)
+        out.append(text[at:at + length])
+        size *= 2
+    return [t for i, t in enumerate(out) if i == 0 or LETTER.search(t)]
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Texts that have each hashed n-gram, over all rows; the answer has DIMS numbers whatever the input."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +139,16 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_langs: int = 256, slack: float = 0.5) -> LanguageModel:
+def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_langs: int = 256, quantile: float = 0.01, slack: float = 0.8) -> LanguageModel:
     """Learn from all rows of ``docs`` (doc_id, text, lang) that have text and lang.
 
     Document frequencies are counted over every row. The centroids are fitted on at
     most ``sample`` rows per language, of those whose ids hash lowest. A centroid
-    accepts cosines from ``slack`` times the least cosine of any sampled text to its
-    own centroid, so short texts of a known language, which are far from every
-    centroid, stay. More than ``max_langs`` languages raise, as the column then
-    holds no languages.
+    accepts cosines from ``slack`` times the ``quantile`` of those that the sampled
+    texts nearest to it, and pieces of them, have in each length band, each text
+    compared with the centroid of the others; so short texts of a known language,
+    which are far from every centroid, stay, and single odd texts decide nothing.
+    More than ``max_langs`` languages raise, as the column then holds no languages.
     """
     known = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     seen, rows = document_frequencies(known)
@@ -136,7 +162,7 @@ def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_lan
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(share).withColumn("place", F.row_number().over(lowest))
            .where(F.col("place") <= sample).select("doc_id", "lang").distinct())
-    picked = known.join(F.broadcast(ids), ["doc_id", "lang"])  # at most sample * max_langs ids
+    picked = materialized(known.join(F.broadcast(ids), ["doc_id", "lang"]), "sample")  # at most sample * max_langs ids
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -150,18 +176,62 @@ def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_lan
         points = np.frombuffer(b"".join(sorted(group["v"])), np.float32).reshape(-1, DIMS)
         points = points[np.abs(points).sum(axis=1) > 0]
         if not len(points):
-            return pd.DataFrame({"lang": [], "v": [], "least": []})
+            return pd.DataFrame({"lang": [], "v": [], "mass": []})
         found = clustered(points, clusters)
-        cosines = points @ found.T
-        near = cosines.argmax(axis=1)
-        least = [float(cosines[near == c, c].min()) if (near == c).any() else 1.0 for c in range(len(found))]
-        return pd.DataFrame({"lang": key[0], "v": [c.astype(np.float32).tobytes() for c in found], "least": least})
+        near = (points @ found.T).argmax(axis=1)
+        mass = [float(np.linalg.norm(points[near == c].sum(axis=0))) for c in range(len(found))]
+        return pd.DataFrame({"lang": key[0], "v": [c.astype(np.float32).tobytes() for c in found], "mass": mass})
 
     model = (picked.mapInArrow(vectors, "lang string, v binary").groupBy("lang")
-             .applyInPandas(centres, "lang string, v binary, least double").collect())
+             .applyInPandas(centres, "lang string, v binary, mass double").collect())
     model = sorted(model, key=lambda r: (r["lang"], bytes(r["v"])))
     flat = np.frombuffer(b"".join(bytes(r["v"]) for r in model), np.float32).reshape(-1, DIMS)
-    return LanguageModel(idf, flat, tuple(r["lang"] for r in model), np.full(len(model), slack * min((r["least"] for r in model), default=0.0)))
+    langs = tuple(r["lang"] for r in model)
+    cosines = own_cosines(picked, idf, flat, langs, np.asarray([r["mass"] for r in model]))
+    return LanguageModel(idf, flat, langs, slack * floors_of(cosines, langs, quantile))
+
+
+def own_cosines(picked: DataFrame, idf: np.ndarray, centroids: np.ndarray, langs: tuple[str, ...], mass: np.ndarray) -> DataFrame:
+    """band, lang, centroid, cosine: of each sampled text and its pieces to the nearest centroid of its language.
+
+    ``mass`` is the length of the sum of a centroid's texts: the text itself is taken out of its centroid.
+    """
+    own = {lang: np.flatnonzero([x == lang for x in langs]) for lang in langs}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if lang not in own or not LETTER.search(text):
+                    continue
+                counts = term_counts(pieces(text))
+                unit = weighted(counts, idf)
+                cosines = unit @ centroids[own[lang]].T
+                c = cosines[0].argmax()
+                whole = mass[own[lang][c]]
+                rest = whole * whole - 2 * whole * cosines[0, c] + 1
+                cosines[:, c] = (whole * cosines[:, c] - unit @ unit[0]) / np.sqrt(rest) if rest > 1e-3 else -1
+                near = cosines.argmax(axis=1)
+                best = cosines[np.arange(len(near)), near]
+                out += [r for r in zip(bands(counts).tolist(), [lang] * len(near), own[lang][near].tolist(), best.tolist()) if r[3] > -1]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.string(), pa.int32(), pa.float64()])],
+                                             ["band", "lang", "centroid", "cosine"])
+
+    return picked.mapInArrow(compare, "band int, lang string, centroid int, cosine double")
+
+
+def floors_of(cosines: DataFrame, langs: tuple[str, ...], quantile: float) -> np.ndarray:
+    """Low quantile of the cosines by centroid and band: of the centroid, else of its language, else of all, else of the band below."""
+    told = {(r["band"], r["lang"], r["centroid"]): r["floor"] for r in
+            cosines.rollup("band", "lang", "centroid").agg(F.percentile("cosine", F.lit(quantile)).alias("floor"), F.count(F.lit(1)).alias("n"))
+            .where(F.col("band").isNotNull() & (F.col("lang").isNull() | (F.col("n") >= MEMBERS))).collect()}
+    floors = np.zeros((len(langs), BANDS))
+    for c, lang in enumerate(langs):
+        for b in range(BANDS):
+            below = floors[c, b - 1] if b else 0.0
+            floors[c, b] = next((told[k] for k in ((b, lang, c), (b, lang, None), (b, None, None)) if k in told), below)
+    return floors
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -175,13 +245,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ..
                     score += [0.0] * len(part)
                     out += [True] * len(part)
                     continue
-                cosines = weighted(term_counts(part), model.idf) @ model.centroids.T
+                counts = term_counts(part)
+                cosines = weighted(counts, model.idf) @ model.centroids.T
                 best = cosines.argmax(axis=1)
-                for text, b, row in zip(part, best, cosines):
+                for text, b, row, floor in zip(part, best, cosines, model.floors[best, bands(counts)]):
                     known = text is not None and LETTER.search(text) is not None
                     lang.append(model.langs[b] if known else "und")
                     score.append(min(1.0, max(0.0, float(row[b]))) if known else 0.0)
-                    out.append(not known or float(row[b]) < model.floors[b])
+                    out.append(not known or float(row[b]) < floor)
             done = pa.RecordBatch.from_pydict({
                 "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(out, pa.bool_())})
             names = ["doc_id", *keep]

@@ -41,3 +41,17 @@ def test_nothing_to_learn_and_empty_table(spark):
     model = L.fit_languages(docs)
     assert [(x.lang_pred, x.rejected) for x in L.predict_languages(docs, model).collect()] == [("und", True)]
     assert L.predict_languages(docs.limit(0), model).collect() == []
+
+
+def test_unlearned_languages_and_random_letters_are_rejected_and_short_clean_texts_stay(spark):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = lambda n: " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(n))
+    unlearned = lambda n: " ".join("".join(r.choices(["yksi", "puo", "llä", "jär", "hyv"], k=r.randint(1, 4))) for _ in range(n))
+    train = [(i, text(lang, r, r.choice([1, 3, 30, 100])), lang) for i, lang in enumerate(list(SYLLABLES) * 200)]
+    train += [(1000, "x", "aa"), (1001, noise(40), "bb"), (1002, "Жлъщюф ъщжы", "cc")]  # odd or mislabelled
+    model = L.fit_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    clean = [(i, text(lang, r, r.choice([1, 3, 30, 100]))) for i, lang in enumerate(list(SYLLABLES) * 100)]
+    odd = [(1000 + i, make(n)) for i, (make, n) in enumerate([(noise, 20), (noise, 200), (unlearned, 20), (unlearned, 200)] * 25)]
+    got = {x.doc_id: x.rejected for x in L.predict_languages(spark.createDataFrame(clean + odd, "doc_id long, text string"), model).collect()}
+    assert sum(got[i] for i, _ in clean) <= 12 and sum(got[i] for i, _ in odd) >= 98
