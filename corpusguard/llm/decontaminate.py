@@ -3,9 +3,11 @@
 Words become template tokens: numbers, units and names turn into typed
 placeholders, all else is folded to lower case. Windows of ``WINDOW`` template
 tokens are hashed and joined with those of the benchmark. The matched windows of a
-document and an item are aligned, and their slots checked: each value of the item
-must have become one and the same value in the document, as in a copy (all values
-equal) or a question asked anew with other numbers, names and units.
+document and an item are aligned, and their slots checked. Windows whose values all
+equal the item's count as copied. Windows with other values count if each value of
+the item has become the value that stands for it at most of its places, as in a
+question asked anew with other numbers, names and units; a value that became several
+ones equally often stands for none.
 
 Nulls and edges: null or empty texts and items have no windows. Items shorter than a
 window are one window of their own length; items without ``LITERALS`` words besides
@@ -17,6 +19,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +126,36 @@ def slots(tokens: np.ndarray, values: np.ndarray, at: int, size: int) -> list[in
     return values[inside][tokens[inside] <= NAME].astype(np.int64).tolist()
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per alignment the places of windows with the item's values, and of those whose other values are consistent."""
+    for batch in batches:
+        exact, changed = [], []
+        for places, values, size in zip(*(batch.column(c) for c in ("places", "values", "size"))):
+            at, votes = defaultdict(list), Counter()
+            for v in values.as_py():
+                at[v["spot"]].append((v["item"], v["doc"]))
+                votes[v["item"], v["doc"]] += 1
+            became, most = {}, Counter()
+            for (item, doc), n in votes.items():
+                if n >= most[item]:
+                    became[item] = doc if n > most[item] else None
+                    most[item] = n
+            equal, other = [], []
+            for p in places.as_py():
+                own = [v for s in range(p, p + size.as_py()) for v in at.get(s, ())]
+                if all(item == doc for item, doc in own):
+                    equal.append(p)
+                elif all(became[item] == doc for item, doc in own):
+                    other.append(p)
+            exact.append(equal)
+            changed.append(other)
+        names = ["doc_id", "h", "item_id", "n"]
+        places = [pa.array(c, pa.list_(pa.int64())) for c in (exact, changed)]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + places, [*names, "exact", "changed"])
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (windows of the item), size, key, place, slots."""
+    """item_id, n (windows of the item), size, key, place, slots, spots (places of the slots in the item)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusguard.llm.decontaminate import KNOWN as templates
         for batch in slices(batches):
@@ -133,12 +164,14 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 size = min(WINDOW, len(tokens))
                 keys, good = windows(tokens, size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
                 places = np.flatnonzero(good)
-                rows += [(item, len(places), size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size)) for p in places]
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["item_id", "n", "size", "key", "place", "slots"])
+                rows += [(item, len(places), size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size),
+                          (p + np.flatnonzero(tokens[p:p + size] <= NAME)).tolist()) for p in places]
+            columns = list(zip(*rows)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                             ["item_id", "n", "size", "key", "place", "slots", "spots"])
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, n long, size int, key long, place long, slots array<long>")
+    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, n long, size int, key long, place long, slots array<long>, spots array<long>")
 
 
 def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -182,13 +215,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = (docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
             .mapInArrow(probe, "doc_id long, h long, size int, key long, doc_place long, doc_slots array<long>"))
     pairs = hits.join(items, ["size", "key"])
-    changed = F.transform(F.arrays_zip("slots", "doc_slots"), lambda z: F.struct(z["slots"].alias("item"), z["doc_slots"].alias("doc")))
-    aligned = (pairs.groupBy("doc_id", "h", "item_id", "n", (F.col("doc_place") - F.col("place")).alias("shift"))
-               .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(changed))).alias("values")))
-    steady = F.size(F.array_distinct(F.transform("values", lambda v: v["item"]))) == F.size("values")
-    same = F.forall("values", lambda v: v["item"] == v["doc"])
-    found = (aligned.where(steady).groupBy("doc_id", "h", "item_id", "n")
-             .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"), F.every(same).alias("copy")))
+    values = F.transform(F.arrays_zip("spots", "slots", "doc_slots"), lambda z: F.struct(
+        z["spots"].alias("spot"), z["slots"].alias("item"), z["doc_slots"].alias("doc")))
+    aligned = (pairs.groupBy("doc_id", "h", "item_id", "n", "size", (F.col("doc_place") - F.col("place")).alias("shift"))
+               .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("values")))
+    found = (aligned.mapInArrow(counted, "doc_id long, h long, item_id long, n long, exact array<long>, changed array<long>")
+             .groupBy("doc_id", "h", "item_id", "n")
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.concat("exact", "changed"))))).cast("long").alias("matched"),
+                  F.every(F.size("changed") == 0).alias("copy")))
     needed = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * SHARE), F.lit(ENOUGH)))
     return found.where(F.col("matched") >= needed).select(
         "doc_id", "h", "item_id", F.when(F.col("copy"), "copy").otherwise("new values").alias("kind"), "matched", F.col("n").alias("of_windows"))

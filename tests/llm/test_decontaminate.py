@@ -56,3 +56,9 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     found = D.find_leaks(docs, items)
     assert sorted((x.doc_id or -1, x.item_id) for x in found.collect()) == [(-1, 1), (3, 1)]
     assert D.find_leaks(docs.limit(0), items).collect() == [] and D.find_leaks(docs, items.limit(0)).collect() == []
+
+
+def test_one_changed_occurrence_leaves_the_other_windows(spark):
+    item = ITEM.replace("10 km", "5 km").replace("3 hours", "5 hours") + " while the other people of the town wait for the boat that never comes to them"
+    got = leaks(spark, [(1, item.replace("5 hours", "9 hours")), (2, item.replace("5 km", "9 km"))], [(100, item)])
+    assert got == {(1, 100): "copy", (2, 100): "copy"}
