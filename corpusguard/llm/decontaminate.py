@@ -2,16 +2,17 @@
 
 Words become template tokens: numbers, units and names turn into typed
 placeholders, all else is folded to lower case. Windows of ``WINDOW`` template
-tokens are hashed and joined with those of the benchmark. The matched windows of a
-document and an item are aligned, and their slots checked. Windows whose values all
+tokens are hashed and joined with those of the benchmark. Items with windows of too
+few literal words are also searched word for word: windows of ``WINDOW`` words,
+numbers and signs as they stand. The matched windows of a document and an item are aligned, and their slots checked. Windows whose values all
 equal the item's count as copied. Windows with other values count if each value of
 the item has become the value that stands for it at most of its places, as in a
 question asked anew with other numbers, names and units; a value that became several
 ones equally often stands for none.
 
 Nulls and edges: null or empty texts and items have no windows. Items shorter than a
-window are one window of their own length; items without ``LITERALS`` words besides
-placeholders say too little and are not searched. Rows of equal id and text are one
+window are one window of their own length; items of fewer than ``LITERALS`` words,
+numbers and signs together say too little and are not searched. Rows of equal id and text are one
 document. Rows without id are told apart by their text. Empty tables give no leaks.
 Other columns are ignored.
 """
@@ -38,6 +39,8 @@ SHARE, ENOUGH = 0.5, 13
 FILTER_BITS = 23
 CACHED_WORDS = 500_000
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
+#: Forms of a text: by templates, and word for word.
+TEMPLATE, VERBATIM = range(2)
 ORDER = multipliers(WINDOW, 3)
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|~^_=+/\\-«»“”„‘’…–—¿¡"
 DIGIT_LETTER = re.compile(r"\d(?=[^\W\d_])")
@@ -52,12 +55,12 @@ UNITS = frozenset("""mm cm m km inch inches foot feet yard yards mile miles mg g
 
 class Templates(dict):
     """Numbers of known words; ``table`` has by number the template inside a sentence, the template at its start, the
-    value, and whether a sentence ends."""
+    value, whether a sentence ends, and the word as it stands: folded, numbers with their minus, signs that are no words too."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, int, bool]] = []  # of words that the table does not have yet
-        self.table = np.zeros((4, 0), np.uint64)
+        self.rows: list[tuple[int, int, int, bool, int]] = []  # of words that the table does not have yet
+        self.table = np.zeros((5, 0), np.uint64)
 
     def __missing__(self, chunk: str) -> int:
         word = chunk.strip(EDGES)
@@ -65,6 +68,8 @@ class Templates(dict):
         value = xxhash.xxh3_64_intdigest(low.encode())
         plain = value | 8
         ends = chunk.rstrip("\"')]»”").endswith((".", "!", "?"))
+        signed = "-" + low if word[:1].isdigit() and "-" + word in chunk else low or chunk
+        verbatim = xxhash.xxh3_64_intdigest(signed.encode()) | 8
         if not word:
             row = (0, 0, 0, ends)
         elif NUMERIC.fullmatch(word) or low in NUMBERS:
@@ -76,43 +81,48 @@ class Templates(dict):
         else:
             row = (plain, plain, value, ends)
         self[chunk] = number = self.table.shape[1] + len(self.rows)
-        self.rows.append(row)
+        self.rows.append((*row, verbatim))
         return number
 
-    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Template tokens and values of each text."""
+    def read(self, texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Tokens and values of each text in each form."""
         if len(self) > CACHED_WORDS:
             self.clear()
             self.rows, self.table = [], self.table[:, :0]
         split = [(DIGIT_LETTER.sub(r"\g<0> ", t) if t else "").split() for t in texts]
         places = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in split]
-        self.table = np.concatenate([self.table, np.asarray(self.rows, np.uint64).reshape(-1, 4).T], axis=1)
+        self.table = np.concatenate([self.table, np.asarray(self.rows, np.uint64).reshape(-1, 5).T], axis=1)
         self.rows = []
-        inside, start, value, ends = self.table
+        inside, start, value, ends, verbatim = self.table
         ends = ends > 0
         out = []
         for at in places:
             first = np.concatenate([[True], ends[at[:-1]]]) if len(at) else np.zeros(0, bool)
             token = np.where(first, start[at], inside[at]) if len(at) else np.zeros(0, np.uint64)
-            real = token != 0
-            token, values = token[real], value[at][real]
-            again = (token[1:] == token[:-1]) & (token[1:] <= NAME)
-            keep = np.concatenate([[True], ~again]) if len(token) else np.zeros(0, bool)
-            out.append((token[keep], values[keep]))
+            out.append([without_runs(token, value[at]), (verbatim[at], value[at])])
         return out
 
 
+def without_runs(token: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and values without signs, and with one placeholder for several equal ones in a row."""
+    real = token != 0
+    token, values = token[real], values[real]
+    again = (token[1:] == token[:-1]) & (token[1:] <= NAME)
+    keep = np.concatenate([[True], ~again]) if len(token) else np.zeros(0, bool)
+    return token[keep], values[keep]
+
+
 #: Kept by a worker from task to task.
 KNOWN = Templates()
 
 
-def windows(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` tokens, and whether it has enough words besides placeholders."""
+def windows(tokens: np.ndarray, size: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of ``size`` tokens of a form, and whether it has enough words besides placeholders."""
     n = len(tokens) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     with np.errstate(over="ignore"):
-        sums = np.full(n, np.uint64(size) * GOLDEN, np.uint64)
+        sums = np.full(n, np.uint64(size + (form << 8)) * GOLDEN, np.uint64)
         mixed = mix(tokens)
         for i in range(size):
             sums += mixed[i:i + n] * ORDER[i]
@@ -149,40 +159,45 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     other.append(p)
             exact.append(equal)
             changed.append(other)
-        names = ["doc_id", "h", "item_id", "n"]
+        names = ["doc_id", "h", "item_id", "form", "n"]
         places = [pa.array(c, pa.list_(pa.int64())) for c in (exact, changed)]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + places, [*names, "exact", "changed"])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (windows of the item), size, key, place, slots, spots (places of the slots in the item)."""
+    """item_id, form, n (windows of the item), size, key, place, slots, spots (places of the slots in the item)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusguard.llm.decontaminate import KNOWN as templates
         for batch in slices(batches):
             rows = []
-            for item, (tokens, values) in zip(batch.column("item_id").to_pylist(), templates.read(batch.column("text").to_pylist())):
-                size = min(WINDOW, len(tokens))
-                keys, good = windows(tokens, size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
-                places = np.flatnonzero(good)
-                rows += [(item, len(places), size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size),
-                          (p + np.flatnonzero(tokens[p:p + size] <= NAME)).tolist()) for p in places]
-            columns = list(zip(*rows)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            for item, forms in zip(batch.column("item_id").to_pylist(), templates.read(batch.column("text").to_pylist())):
+                whole = False
+                for form, (tokens, values) in enumerate(forms):
+                    size = min(WINDOW, len(tokens))
+                    if whole or not size:
+                        continue
+                    keys, good = windows(tokens, size, form)
+                    whole = form == TEMPLATE and bool(good.all())
+                    places = np.flatnonzero(good)
+                    rows += [(item, form, len(places), size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size),
+                              (p + np.flatnonzero(tokens[p:p + size] <= NAME)).tolist()) for p in places]
+            columns = list(zip(*rows)) or [()] * 8
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             ["item_id", "n", "size", "key", "place", "slots", "spots"])
+                                             ["item_id", "form", "n", "size", "key", "place", "slots", "spots"])
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, n long, size int, key long, place long, slots array<long>, spots array<long>")
+    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, form int, n long, size int, key long, place long, slots array<long>, spots array<long>")
 
 
-def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bit per value of the first FILTER_BITS bits of a key, 1 MB whatever the benchmark's size, and the window sizes."""
+def window_filter(items: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A bit per value of the first FILTER_BITS bits of a key, 1 MB whatever the benchmark's size, and the forms and window sizes."""
     place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     bits = items.groupBy((F.shiftright(place, 6)).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).collect()
     table = np.zeros(1 << FILTER_BITS - 6, np.int64)
     for row in bits:
         table[row["word"]] = row["bits"]
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    sizes = sorted((r["form"], r["size"]) for r in items.select("form", "size").distinct().collect())
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool), sizes
 
 
@@ -201,28 +216,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = np.unpackbits(shared.value).astype(bool)
         for batch in slices(batches):
             rows = []
-            for row, (tokens, values) in enumerate(templates.read(batch.column("text").to_pylist())):
-                for size in sizes:
-                    keys, good = windows(tokens, size)
+            for row, forms in enumerate(templates.read(batch.column("text").to_pylist())):
+                for form, size in sizes:
+                    tokens, values = forms[form]
+                    keys, good = windows(tokens, size, form)
                     for p in np.flatnonzero(good & known[keys >> np.uint64(64 - FILTER_BITS)]):
-                        rows.append((row, size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size)))
-            columns = list(zip(*rows)) or [()] * 5
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                        rows.append((row, form, size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size)))
+            columns = list(zip(*rows)) or [()] * 6
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(pa.array(columns[0], pa.int64())) for c in ("doc_id", "h")] + [pa.array(c, t) for c, t in zip(columns[1:], types)],
-                ["doc_id", "h", "size", "key", "doc_place", "doc_slots"])
+                ["doc_id", "h", "form", "size", "key", "doc_place", "doc_slots"])
 
     hits = (docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-            .mapInArrow(probe, "doc_id long, h long, size int, key long, doc_place long, doc_slots array<long>"))
-    pairs = hits.join(items, ["size", "key"])
+            .mapInArrow(probe, "doc_id long, h long, form int, size int, key long, doc_place long, doc_slots array<long>"))
+    pairs = hits.join(items, ["form", "size", "key"])
     values = F.transform(F.arrays_zip("spots", "slots", "doc_slots"), lambda z: F.struct(
         z["spots"].alias("spot"), z["slots"].alias("item"), z["doc_slots"].alias("doc")))
-    aligned = (pairs.groupBy("doc_id", "h", "item_id", "n", "size", (F.col("doc_place") - F.col("place")).alias("shift"))
+    aligned = (pairs.groupBy("doc_id", "h", "item_id", "form", "n", "size", (F.col("doc_place") - F.col("place")).alias("shift"))
                .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("values")))
-    found = (aligned.mapInArrow(counted, "doc_id long, h long, item_id long, n long, exact array<long>, changed array<long>")
-             .groupBy("doc_id", "h", "item_id", "n")
+    found = (aligned.mapInArrow(counted, "doc_id long, h long, item_id long, form int, n long, exact array<long>, changed array<long>")
+             .groupBy("doc_id", "h", "item_id", "form", "n")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.concat("exact", "changed"))))).cast("long").alias("matched"),
                   F.every(F.size("changed") == 0).alias("copy")))
     needed = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * SHARE), F.lit(ENOUGH)))
-    return found.where(F.col("matched") >= needed).select(
-        "doc_id", "h", "item_id", F.when(F.col("copy"), "copy").otherwise("new values").alias("kind"), "matched", F.col("n").alias("of_windows"))
+    kind = F.when(F.col("copy"), "copy").otherwise("new values").alias("kind")
+    # the first form that tells a leak names it
+    return (found.where(F.col("matched") >= needed).groupBy("doc_id", "h", "item_id")
+            .agg(F.min(F.struct("form", kind, "matched", F.col("n").alias("of_windows"))).alias("best"))
+            .select("doc_id", "h", "item_id", "best.kind", "best.matched", "best.of_windows"))

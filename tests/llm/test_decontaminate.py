@@ -62,3 +62,10 @@ def test_one_changed_occurrence_leaves_the_other_windows(spark):
     item = ITEM.replace("10 km", "5 km").replace("3 hours", "5 hours") + " while the other people of the town wait for the boat that never comes to them"
     got = leaks(spark, [(1, item.replace("5 hours", "9 hours")), (2, item.replace("5 km", "9 km"))], [(100, item)])
     assert got == {(1, 100): "copy", (2, 100): "copy"}
+
+
+def test_short_and_number_heavy_items_are_found_word_for_word(spark):
+    items = [(1, "Calculate 17 * 23 + 5 - 2"), (2, "What is 15% of 80?"), (3, "3 5 8 13 21 34 55 89 144 233")]
+    rows = [(i, f"Before. {t} And after.") for i, t in items]
+    rows += [(11, "Calculate 17 + 23 + 5 - 2"), (12, "What is 16% of 80?"), (13, "3 5 9 13 21 35 55 89 144 234"), (14, "Calculate 17 and go")]
+    assert leaks(spark, rows, items) == {(i, i): "copy" for i, _ in items}
