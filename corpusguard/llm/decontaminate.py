@@ -2,7 +2,8 @@
 
 Words become template tokens: numbers, units and names turn into typed
 placeholders, all else is folded to lower case. Windows of ``WINDOW`` template
-tokens are hashed and joined with those of the benchmark. Items with windows of too
+tokens are hashed and joined with those of the benchmark; a second time with names as
+folded words, which match in any case. Items with windows of too
 few literal words are also searched word for word: windows of ``WINDOW`` words,
 numbers and signs as they stand. The matched windows of a document and an item are aligned, and their slots checked. Windows whose values all
 equal the item's count as copied. Windows with other values count if each value of
@@ -39,8 +40,8 @@ SHARE, ENOUGH = 0.5, 13
 FILTER_BITS = 23
 CACHED_WORDS = 500_000
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
-#: Forms of a text: by templates, and word for word.
-TEMPLATE, VERBATIM = range(2)
+#: Forms of a text: by templates, by templates with names as words, and word for word.
+TEMPLATE, FOLDED, VERBATIM = range(3)
 ORDER = multipliers(WINDOW, 3)
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|~^_=+/\\-«»“”„‘’…–—¿¡"
 DIGIT_LETTER = re.compile(r"\d(?=[^\W\d_])")
@@ -99,7 +100,7 @@ class Templates(dict):
         for at in places:
             first = np.concatenate([[True], ends[at[:-1]]]) if len(at) else np.zeros(0, bool)
             token = np.where(first, start[at], inside[at]) if len(at) else np.zeros(0, np.uint64)
-            out.append([without_runs(token, value[at]), (verbatim[at], value[at])])
+            out.append([without_runs(token, value[at]), without_runs(start[at], value[at]), (verbatim[at], value[at])])
         return out
 
 
@@ -177,7 +178,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     if whole or not size:
                         continue
                     keys, good = windows(tokens, size, form)
-                    whole = form == TEMPLATE and bool(good.all())
+                    whole = form == FOLDED and bool(good.all())
                     places = np.flatnonzero(good)
                     rows += [(item, form, len(places), size, int(keys[p].astype(np.int64)), int(p), slots(tokens, values, p, size),
                               (p + np.flatnonzero(tokens[p:p + size] <= NAME)).tolist()) for p in places]

@@ -69,3 +69,11 @@ def test_short_and_number_heavy_items_are_found_word_for_word(spark):
     rows = [(i, f"Before. {t} And after.") for i, t in items]
     rows += [(11, "Calculate 17 + 23 + 5 - 2"), (12, "What is 16% of 80?"), (13, "3 5 9 13 21 35 55 89 144 234"), (14, "Calculate 17 and go")]
     assert leaks(spark, rows, items) == {(i, i): "copy" for i, _ in items}
+
+
+def test_items_full_of_names_are_found_in_any_case(spark):
+    item = ("Yesterday Anna met Bert near the Danube while Clara and Doris rode with Emil to Graz where Frida lost the Hammer of Ida "
+            "and Jonas told Karl about Linz before Maria saw Nora leave the Opera with Paul for Rome")
+    rows = [(1, item.lower()), (2, f"so it was. {item.upper()}"), (3, item.title()), (4, f"So: {item}"), (5, item.lower().replace("met", "saw").replace("lost", "found"))]
+    got = leaks(spark, rows, [(100, item), (101, item.lower().replace("yesterday", "today"))])
+    assert set(got) >= {(i, j) for i in (1, 2, 3, 4, 5) for j in (100, 101)} and {got[i, 100] for i in (1, 2)} == {"copy"}
