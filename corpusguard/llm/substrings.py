@@ -14,7 +14,9 @@ have equal anchors, and only anchors with equal grams need to be compared.
    anchor may start are sorted: a mergesort whose comparisons find the common
    extension by binary search over prefix polynomial hashes. Strings that are
    neighbours and agree over the whole length are compared byte by byte, should two
-   hashes have collided. The least id of each run stays.
+   hashes have collided. The least id of each run stays. Grams with more than ``HOT``
+   surroundings are not held whole: their strings are dealt by their own bytes, after
+   each slice of a task has settled its repetitions.
 4. The removed places of a document are joined with its text.
 
 Nulls and edges: a null text is empty. Texts shorter than ``LENGTH`` lose nothing. A
@@ -43,6 +45,8 @@ SPAN = LENGTH - GRAM + 1
 CHUNK = 16 << 20
 #: Bytes of surroundings that are sorted at once; each byte is the start of about one string.
 SORTED = 1 << 20
+#: More contexts of a gram than this are compared by their strings, wherever they are.
+HOT = 1000
 BASE = np.uint64(0x9E3779B97F4A7C55)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LOW40 = np.uint64((1 << 40) - 1)
@@ -409,6 +413,44 @@ def compared(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(sort, "doc_id long, lo long, hi long")
 
 
+def spread(found: DataFrame) -> DataFrame:
+    """doc_id, lo, hi as ``compared``, for grams of any number of contexts: strings meet by their bytes, not by gram."""
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes"):
+            rows, first = [], {}
+            for doc, start, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "bytes"))):
+                for i in range(len(body) - LENGTH + 1):
+                    string = body[i:i + LENGTH]
+                    rows.append((string, doc, start + i))
+                    first[string] = min(first.get(string, doc), doc)
+            out = []
+            for string, doc, lo in rows:
+                if doc == first[string]:
+                    out.append((string, doc, lo, lo + LENGTH))
+                elif out and out[-1][0] is None and out[-1][1] == doc and out[-1][2] <= lo <= out[-1][3]:
+                    out[-1] = (None, doc, out[-1][2], max(out[-1][3], lo + LENGTH))
+                else:
+                    out.append((None, doc, lo, lo + LENGTH))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary()] + [pa.int64()] * 3)],
+                                             ["string", "doc_id", "lo", "hi"])
+
+    strings = materialized(found.mapInArrow(expand, "string binary, doc_id long, lo long, hi long"), "strings")
+    unsettled = strings.where("string IS NOT NULL")
+    least = unsettled.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("last > least")
+    later = unsettled.join(least, "string").where("doc_id > least")
+    return strings.where("string IS NULL").select("doc_id", "lo", "hi").unionByName(later.select("doc_id", "lo", "hi"))
+
+
+def stretches_of(found: DataFrame) -> DataFrame:
+    """doc_id, lo, hi of all contexts: by gram, and by string where a gram has more than HOT of them."""
+    hot = materialized(found.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "hot")
+    if hot.isEmpty():
+        return compared(found)
+    hot = F.broadcast(hot)  # a HOT-th of the contexts at most, 8 bytes each
+    return compared(found.join(hot, "gram", "left_anti")).unionByName(spread(found.join(hot, "gram", "left_semi")))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of lo, hi): one row per document."""
     whole = docs.select("doc_id", "text")
@@ -419,7 +461,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     flags = materialized(flagged(named), "anchors")
     state, place = F.col("at") % 2, F.floor(F.col("at") / 2)
     unclear = materialized(contexts(named, flags.where(state == 0).select("doc_id", place.alias("place"))), "contexts")
-    stretches = materialized(compared(unclear), "stretches")
+    stretches = materialized(stretches_of(unclear), "stretches")
     settled = flags.where(state == 1).select("doc_id", (place - (SPAN - 1)).alias("lo"), (place + LENGTH).alias("hi"))
     covers = (settled.unionByName(stretches).groupBy("doc_id")
               .agg(F.collect_list(F.struct("lo", "hi")).alias("cover")))

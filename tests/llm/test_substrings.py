@@ -74,3 +74,20 @@ def test_suffix_order_sorts_within_groups():
     order = S.suffix_order(data, S.Prefixes(data), starts, group)
     strings = [(g, data[s:s + S.LENGTH].tobytes()) for g, s in zip(group, starts[order])]
     assert strings == sorted(strings) and sorted(order) == list(range(700))
+
+
+def test_grams_with_many_contexts_are_not_held_whole(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefgh ", k=60))
+    passage, tails = word() + word(), [word() for _ in range(25)]
+    rows = corpus() + [(1000 + i, word() + passage + r.choice(tails) + word()) for i in range(120)]
+    whole, met = S.compared, []
+
+    def watched(found):
+        met.append(max((x["count"] for x in found.groupBy("gram").count().collect()), default=0))
+        return whole(found)
+    monkeypatch.setattr(S, "compared", watched)
+    monkeypatch.setattr(S, "HOT", 10, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(docs).collect()}
+    assert got == brute(rows) and max(met) <= 10
