@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls
+from corpusguard.llm import common, conversations, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +135,84 @@ def op10_lm_scoring(spark, d):
     docs = documents(spark, d)
     scores = kneser_ney.score(docs, kneser_ney.train(docs.where(common.fold("doc_id", 10) != 0)))
     return scores.withColumn("held_out", F.coalesce(common.fold("doc_id", 10) == 0, F.lit(False)))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with the faults of the registered query, in ``copies``; a dropped one only makes its conversation known."""
+    blank = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn"))
+    fault = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    text = F.coalesce("text", blank)
+    gone = fault == 0
+    return turns.select(
+        "conv_id", F.when(~gone, F.col("turn")).alias("turn"),
+        F.when(gone, None).when(fault == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(gone, None).when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(gone, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
+
+
+@query
+def op12_conversation_repair(spark, d):
+    repaired = conversations.repair(damaged(common.table(spark, d, "conversations")))
+    told = conversations.transcripts(repaired).withColumnRenamed("conv_id", "c")
+    return repaired.conversations.join(told, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+
+
+def _repair_sql() -> str:
+    """The same repair as a recursion over the turns: per role state the least text of cost and audit."""
+    def least(*options: str) -> str:
+        return f"least({', '.join(options)})"
+
+    def step(state: str, cost: str, letter: str) -> str:
+        return f"lpad(CAST(CAST({state}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {state}[10:] || '{letter}'"
+
+    def inserted(source: str) -> str:
+        once = f"SELECT *, {least('u', step('e', '5', 'I'), step('s', '5', 'I'), step('a', '5', 'I'))} AS u1, {least('a', step('u', '5', 'I'))} AS a1 FROM {source}"
+        return (f"SELECT * REPLACE ({least('u1', step('a1', '5', 'I'))} AS u, {least('a1', step('u1', '5', 'I'))} AS a) FROM ({once})")
+
+    extra = "(5 * CAST(fault = 3 AS INT))"
+    stay = "fault IN (0, 3)"
+    to_user = [f"CASE WHEN {stay} THEN {step(x, extra + ' + CASE WHEN i0 = ' + chr(39) + 'u' + chr(39) + ' THEN 0 ELSE 1 END', '#')} END" for x in "esa"]
+    to_user = [x.replace("'#'", "CASE WHEN i0 = 'u' THEN 'K' ELSE 'R' END") for x in to_user]
+    to_ass = f"CASE WHEN {stay} THEN {step('u', extra + ' + CASE WHEN i0 = ' + chr(39) + 'a' + chr(39) + ' THEN 0 ELSE 1 END', '#')} END".replace(
+        "'#'", "CASE WHEN i0 = 'a' THEN 'K' ELSE 'R' END")
+    to_system = f"CASE WHEN {stay} AND i0 = 's' THEN {step('e', extra, 'K')} END"
+    return f"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, 8 * length(k)),
+      lambda j: CAST((ascii(k[CAST(j // 8 + 1 AS BIGINT)]) >> CAST(j % 8 AS INTEGER)) & 1 AS BIGINT))),
+    lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 20 AS f FROM src),
+hurt AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE f <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, role[1] AS i0,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+judged AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+    WHEN bare[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(i0) OVER (PARTITION BY conv_id ORDER BY n) || i0 AS pair FROM numbered),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, '000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT p.conv_id, j.n,
+    {step('e', '2', 'D')}, {least(step('s', '2', 'D'), to_system)}, {least(step('u', '2', 'D'), *to_user)}, {least(step('a', '2', 'D'), to_ass)}
+  FROM ({inserted('path')}) p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.n = p.n + 1),
+last AS (SELECT * FROM ({inserted('path')}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+best AS (SELECT conv_id, least(e, a) AS w FROM last),
+letters AS (SELECT conv_id, p, w[10:][p] AS letter, CAST(list_sum(list_transform(string_split(w[10:][1:p], ''), lambda x: CAST(x <> 'I' AS INT))) AS BIGINT) AS n
+  FROM (SELECT conv_id, w, unnest(range(1, length(w) - 8)) AS p FROM best)),
+stays AS (SELECT l.*, CASE WHEN letter = 'I' THEN '' ELSE j.text END AS text, j.role AS old,
+    row_number() OVER (PARTITION BY l.conv_id ORDER BY p) AS k, first_value(CAST(letter = 'K' AND j.i0 = 's' AS INT)) OVER (PARTITION BY l.conv_id ORDER BY p) AS sys
+  FROM letters l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.n = l.n WHERE letter <> 'D'),
+text AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN old WHEN (k - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS t
+  FROM stays GROUP BY conv_id),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(w[1:9] AS BIGINT) AS cost, w[10:] AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM best b LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN text t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+ORACLE["op12_conversation_repair"] = _repair_sql()
