@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, conversations, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls
+from corpusguard.llm import common, conversations, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -216,3 +216,39 @@ FROM best b LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id LEFT J
 
 
 ORACLE["op12_conversation_repair"] = _repair_sql()
+
+
+@query
+def op13_vector_codes(spark, d):
+    compressed = vector_codes.compress(common.table(spark, d, "embeddings"))
+    return vector_codes.with_label_errors(compressed.codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(compressed.digest()).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """The rounds one after another, every part compared with every entry."""
+    rounds, near = [], """SELECT v.id, v.p, v.x, arg_min(b.k, {'d': list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.x) + list_inner_product(b.x, b.x), 'k': b.k}) AS k,
+      min(list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.x) + list_inner_product(b.x, b.x)) AS d
+    FROM parts v JOIN book%d b ON v.p = b.p GROUP BY v.id, v.p, v.x"""
+    for r in range(vector_codes.ROUNDS):
+        rounds.append(f"""near{r} AS MATERIALIZED ({near % r}),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT p, k, list(floor(s / n) ORDER BY j) AS x FROM (SELECT p, k, j, sum(v) AS s, count(*) AS n FROM (
+      SELECT p, k, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM near{r}) GROUP BY p, k, j) GROUP BY p, k) m ON m.p = b.p AND m.k = b.k)""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT id, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+book0 AS (SELECT p, id - 1 AS k, x FROM parts WHERE id <= {vector_codes.ENTRIES}),
+{",".join(rounds)},
+near AS MATERIALIZED ({near % last}),
+coded AS (SELECT id, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near GROUP BY id),
+digest AS (SELECT sha256(string_agg(t, ',' ORDER BY p, k)) AS h FROM (
+    SELECT p, k, array_to_string(list_transform(x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',') AS t FROM book{last}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (id), digest
+"""
+
+
+ORACLE["op13_vector_codes"] = _codes_sql()
