@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import common, conversations, decontaminate, fingerprints, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls, vector_codes
+from corpusguard.llm import common, conversations, decontaminate, fingerprints, html_text, kneser_ney, language, neardup, packing, secrets, substrings, toxicity, urls, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -252,3 +252,8 @@ FROM kept JOIN coded USING (id), digest
 
 
 ORACLE["op13_vector_codes"] = _codes_sql()
+
+
+@query
+def op11_html_text(spark, d):
+    return html_text.extract(common.table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
