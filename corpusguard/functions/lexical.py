@@ -1,10 +1,9 @@
-"""Lexical patterns and column expressions for JavaScript and TypeScript lines.
+"""Lexical patterns and column expressions for JavaScript and TypeScript statements.
 
-``statements`` lays a text out first: comments and the text of templates go, and the
-headers that may run over several lines come to stand on their first one, with the
-lines after them left empty, so line numbers stay. The patterns then read one line
-each. They match four levels of parentheses and any number of them; loops that could
-backtrack are possessive.
+They read one row of ``layout`` each: ``line``, the statement, and ``head``, in which
+strings are empty and everything nested inside the first bracket level is a mark, so
+parameters and patterns of any depth are flat text. Loops that could backtrack are
+possessive.
 """
 
 from __future__ import annotations
@@ -13,27 +12,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusguard.functions import text as T
+from corpusguard.functions.layout import BRACES, BRACKETS
 from corpusguard.rules import W
 
 I = r"[A-Za-z_$][0-9A-Za-z_$]*"
 STRING = r"""(?:'([^']+)'|"([^"]+)")"""
 
-def nested(levels: int) -> str:
-    """Text with balanced parentheses, ``levels`` deep; as many as there are."""
-    inner = "[^()]*"
-    for _ in range(levels):
-        inner = rf"[^()]*(?:\({inner}\)[^()]*)*+"
-    return inner
-
-
-PARAMS = rf"\(({nested(4)})\)"
-TYPED = r"(?::[^=]*)?"
+PARAMS = r"\(([^()]*)\)"
+TYPED = r"(?::(?:[^=]|=>)*)?"
 # optional type parameters; two runs of white space never stand side by side in these patterns
 GENERIC = rf"(?:{W}*<[^>]*>)?"
-TAIL = rf"{W}*(?:;[^\n]*|//[^\n]*)?\z"
-
-# Lines without any of this carry no structure.
-STRUCTURAL = rf"^{W}*(?:import|export|abstract|class|const|let|var)(?:[^0-9A-Za-z_$]|\z)|[(){{}}]"
+TAIL = rf"{W}*(?:[;,][^\n]*)?\z"
 
 IMPORT_FROM = rf"^{W}*import({W}[^'\"]*|[{{*][^'\"]*)from{W}*{STRING}"
 IMPORT_ONLY = rf"^{W}*import{W}*{STRING}"
@@ -42,8 +31,8 @@ CLAUSE_NAMESPACE = rf"\*{W}*as{W}+({I})"
 CLAUSE_NAMED = r"\{([^}]*)\}"
 CLAUSE_TYPE = rf"^type{W}+"
 NAMED_ITEM = rf"^(?:type{W}+)?({I})(?:{W}+as{W}+({I}))?\z"
-PATTERN = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*+\}"
-REQUIRE = rf"^{W}*(?:export{W}+)?(?:const|let|var){W}+({I}|{PATTERN}){W}*{TYPED}={W}*require{W}*\({W}*{STRING}{W}*\){TAIL}"
+REQUIRE = rf"^{W}*(?:export{W}+)?(?:const|let|var){W}+({I}|\{{[^{{}}]*\}}){W}*{TYPED}={W}*require{W}*\({W}*''{W}*\){TAIL}"
+REQUIRED = rf"require{W}*\({W}*{STRING}"
 REQUIRE_ITEM = rf"^({I}){W}*(?::{W}*({I})\z|:|=|\z)"
 
 DECLARATION = rf"^{W}*(export{W}+)?(default{W}+)?(async{W}+)?function(?:{W}*\*{W}*|{W}+)({I}){GENERIC}{W}*{PARAMS}"
@@ -51,7 +40,6 @@ ARROW = rf"^{W}*(export{W}+)?(?:const|let|var){W}+({I}){W}*{TYPED}={W}*(?:(async
 FUNCTION_VALUE = rf"^{W}*(export{W}+)?(?:const|let|var){W}+({I}){W}*{TYPED}={W}*(async{W}+)?function(?:{W}*\*)?(?:{W}*{I})?{GENERIC}{W}*{PARAMS}"
 CLASS = rf"^{W}*(export{W}+)?(default{W}+)?(?:abstract{W}+)?class{W}+({I})(?:{W}*<[^>]*>)?(?:{W}+extends{W}+({I})(?:[^0-9A-Za-z_$.(]|\z))?"
 METHOD = rf"^{W}+((?:(?:static|async|get|set|public|private|protected|readonly|override){W}+)*)(?:\*{W}*)?({I}){GENERIC}{W}*{PARAMS}{W}*(?::[^{{]*)?\{{"
-OPENS = rf"\{{{W}*\z"
 
 EXPORT_VARIABLE = rf"^{W}*export{W}+(?:const|let|var){W}+({I})"
 EXPORT_LIST = rf"^{W}*export{W}*(?:type{W}+)?\{{([^}}]*)\}}"
@@ -62,23 +50,6 @@ EXPORT_DEFAULT_NAME = rf"^{W}*export{W}+default{W}+({I}){TAIL}"
 # Possessive loops and the look-behind keep long strings and long words linear and free of recursion.
 QUOTED = r"""'(?:[^'\\]|\\[^\n])*+'|"(?:[^"\\]|\\[^\n])*+"|`[^`]*+`"""
 
-LINE_COMMENT = r"//[^\n]*"
-
-# A text in pieces: strings, templates and comments whole, the rest in between.
-PIECE = r"""'(?:[^'\\\n]|\\[^\n])*+'|"(?:[^"\\\n]|\\[^\n])*+"|`(?:[^`\\]|\\(?s:.))*+`|/\*(?s:.)*?\*/|//[^\n]*+|[^'"`/]++|(?s:.)"""
-EXPRESSION = r"\$\{((?:[^{}`]|\{[^{}`]*\})*+)\}"
-SHORT_STRING = r"""(?:'[^'\n]*'|"[^"\n]*")"""
-MODIFIERS = r"[ \t]*(?:export\s+)?(?:default\s+)?"
-# Headers that may run over several lines, from the start of a line on.
-HEADERS = (
-    rf"[ \t]*import\s[0-9A-Za-z_$,*{{}} \t\r\n]*from\s*{SHORT_STRING}",
-    r"[ \t]*export\s*(?:type\s+)?\{[0-9A-Za-z_$, \t\r\n]*\}",
-    rf"{MODIFIERS}(?:const|let|var)\s+\{{[^'\"`;()]*?\}}\s*=\s*require\s*\(\s*{SHORT_STRING}\s*\)",
-    rf"{MODIFIERS}(?:async\s+)?function\s*\*?\s*(?:{I})?(?:\s*<[^<>]*>)?\s*\({nested(4)}\)",
-    rf"{MODIFIERS}(?:const|let|var)\s+{I}\s*(?::[^=\n]*)?=\s*(?:async\s*)?(?:function\s*\*?\s*(?:{I})?\s*)?\({nested(4)}\)",
-    rf"[ \t]+(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?{I}\s*\([^()'\"`;]*\)\s*(?::[^{{;\n]*)?\{{",
-)
-STATEMENT = rf"(?:{'|'.join(HEADERS)})[^\n]*\n?|[^\n]*\n|[^\n]+"
 NOT_CALLED = rf"(^|[^0-9A-Za-z_$])(?:function(?:{W}*\*)?|new{W})(?:{W}*[0-9A-Za-z_$.]+)?{W}*\("
 METHOD_HEAD = rf"^{W}+[^(]*\("
 CALL = rf"(?<![0-9A-Za-z_$])({I}+){W}*\("
@@ -96,30 +67,6 @@ NOT_A_METHOD = ("if", "for", "while", "switch", "catch", "function", "return", "
 NOT_A_NAME = ("function", "class", "async", "new", "null", "true", "false", "this", "extends")
 SOURCE_ENDING = r"(?i)\.(?:js|jsx|ts|tsx|py|php|c|cpp|h|hpp|java|cs)(?:[?#]|\z)"
 
-BRACES, BRACKETS = "\x01", "\x02"
-
-
-def statements(content: Column) -> Column:
-    """The text with comments and template texts out and headers of several lines on one; as many lines as before."""
-    def lines(piece: Column) -> Column:
-        return F.regexp_replace(piece, r"[^\n]+", "")
-
-    def masked(piece: Column) -> Column:
-        inside = F.array_join(F.regexp_extract_all(piece, F.lit(EXPRESSION), F.lit(1)), " + ")
-        return (F.when(piece.startswith("//"), F.lit(""))
-                .when(piece.startswith("/*"), F.concat(F.lit(" "), lines(piece)))
-                .when(piece.startswith("`") & piece.contains("${"), F.concat(F.lit("("), F.regexp_replace(inside, r"\s+", " "), F.lit(")"), lines(piece)))
-                .when(piece.startswith("`") & piece.contains("\n"), F.concat(F.lit("``"), lines(piece)))
-                .otherwise(piece))
-
-    def on_one_line(statement: Column) -> Column:
-        body = F.regexp_replace(statement, r"\r?\n\z", "")
-        return F.when(body.contains("\n"), F.concat(F.regexp_replace(body, r"\s*\n\s*", " "), lines(statement))).otherwise(statement)
-
-    code = F.array_join(F.transform(F.regexp_extract_all(content, F.lit(PIECE), F.lit(0)), masked), "")
-    return F.array_join(F.transform(F.regexp_extract_all(code, F.lit(STATEMENT), F.lit(0)), on_one_line), "")
-
-
 def either(line: Column, pattern: str, *groups: int) -> Column:
     """The one alternative group that matched."""
     return T.or_null(F.concat(*[F.regexp_extract(line, pattern, g) for g in groups]))
@@ -135,31 +82,19 @@ def items(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def _flat(text: Column) -> Column:
-    """Strings emptied and each outermost bracket as one mark, in one pass over the characters whatever the depth."""
-    def step(acc: Column, c: Column) -> Column:
-        depth = acc["depth"] + F.when(c.isin("{", "[", "("), 1).when(c.isin("}", "]", ")"), -1).otherwise(0)
-        mark = F.when(c == "{", F.lit(BRACES)).when(c == "[", F.lit(BRACKETS)).when(c.isin("(", ")", "}", "]"), F.lit("")).otherwise(c)
-        return F.struct(depth.alias("depth"), F.when(acc["depth"] > 0, acc["out"]).otherwise(F.concat(acc["out"], mark)).alias("out"))
-
-    chars = F.split(F.regexp_replace(text, QUOTED, "''"), "")
-    out = F.aggregate(chars, F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda acc: acc["out"])
-    return F.regexp_replace(out, r"<[^<>]*>", "")
-
-
 PARAM_NAME = rf"^({I})(?:{W}*\?)?{W}*(?:[:=][^\n]*)?\z"
 PARAM_REST = rf"^(\.\.\.){W}*({I})"
 
 
 def params(text: Column) -> Column:
-    """Parameter names: defaults stripped, rest as ``...x``, patterns as ``{...}`` / ``[...]``."""
+    """Names in a flat list of parameters: defaults stripped, rest as ``...x``, patterns as ``{...}`` / ``[...]``."""
     def name(p: Column) -> Column:
         return (F.when(p.rlike(PARAM_NAME), F.regexp_extract(p, PARAM_NAME, 1))
                 .when(p.rlike(PARAM_REST), F.concat(F.lit("..."), F.regexp_extract(p, PARAM_REST, 2)))
                 .when(p.startswith(BRACES) & ~p.contains("="), F.lit("{...}"))
                 .when(p.startswith(BRACKETS) & ~p.contains("="), F.lit("[...]"))
                 .otherwise(F.lit("")))
-    return F.filter(F.transform(items(_flat(text)), name), lambda p: p != "")
+    return F.filter(F.transform(items(text), name), lambda p: p != "")
 
 
 def import_clause(line: Column) -> Column:
@@ -174,17 +109,18 @@ def named_pairs(list_text: Column, pattern: str = NAMED_ITEM) -> Column:
         T.or_null(F.regexp_extract(p, pattern, 2)).alias("second")))
 
 
-def called_names(line: Column) -> Column:
-    """Names in call position, in text order: the last name of a member chain."""
-    code = F.regexp_replace(F.regexp_replace(line, QUOTED, "''"), LINE_COMMENT, "")
-    code = F.when(is_method_header(line), F.regexp_replace(code, METHOD_HEAD, ";(")).otherwise(code)
+def called_names(line: Column, method: Column | None = None) -> Column:
+    """Names in call position, in text order: the last name of a member chain. The name of a ``method`` header is none."""
+    code = F.regexp_replace(line, QUOTED, "''")
+    if method is not None:
+        code = F.when(method, F.regexp_replace(code, METHOD_HEAD, ";(")).otherwise(code)
     code = F.regexp_replace(code, NOT_CALLED, "$1;(")
     names = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
     return F.filter(names, lambda n: ~n.isin(*NOT_A_CALL))
 
 
-def is_method_header(line: Column) -> Column:
-    return line.rlike(METHOD) & ~F.regexp_extract(line, METHOD, 2).isin(*NOT_A_METHOD)
+def is_method_header(head: Column) -> Column:
+    return head.rlike(METHOD) & ~F.regexp_extract(head, METHOD, 2).isin(*NOT_A_METHOD)
 
 
 def file_endpoint(line: Column) -> Column:

@@ -59,11 +59,11 @@ def modules(profiles: DataFrame, findings: DataFrame, events: DataFrame) -> Data
         F.coalesce(F.sum("risk_score"), F.lit(0)).alias("risk_score"), F.min("seq").alias("first_seq")))
     titles = findings.groupBy("repo", "file", "title").agg(F.min(F.struct("line", "rule_ord")).alias("_o"))
     titles = of_file.join(titles, ["repo", "file"]).select(*key, "title", "seq", "_o")
-    deps = of_file.join(S.dependencies(events), S.FILE).select(*key, "dependency", "seq", "line_no")
+    deps = of_file.join(S.dependencies(events), S.FILE).select(*key, "dependency", "seq", "place")
     frameworks = hint_order(events).join(of_file, S.FILE).select(*key, "framework", "seq", "ord")
     lists = {
         "top_findings": first_distinct(titles, key, "title", ["seq", "_o"], MODULE_TITLES, "top_findings"),
-        "dependencies": first_distinct(deps, key, "dependency", ["seq", "line_no"], MODULE_DEPS, "dependencies"),
+        "dependencies": first_distinct(deps, key, "dependency", ["seq", "place"], MODULE_DEPS, "dependencies"),
         "frameworks": first_distinct(frameworks, key, "framework", ["seq", "ord"], MODULE_FRAMEWORKS, "frameworks"),
     }
     return _with_lists(counted, key, lists)
@@ -75,7 +75,7 @@ def module_files(profiles: DataFrame) -> DataFrame:
 
 
 def hint_order(events: DataFrame) -> DataFrame:
-    return (S.framework_signals(events).groupBy(*S.FILE, "framework").agg(F.min(F.struct("line_no", "pos")).alias("ord")))
+    return (S.framework_signals(events).groupBy(*S.FILE, "framework").agg(F.min(F.struct("place", "pos")).alias("ord")))
 
 
 def _with_lists(base: DataFrame, key: list[str], lists: dict[str, DataFrame]) -> DataFrame:
@@ -96,7 +96,7 @@ def repo_totals(input_counts: DataFrame, profiles: DataFrame, findings: DataFram
     frameworks = hint_order(events)
     return _with_lists(totals, key, {
         "frameworks": first_distinct(frameworks, key, "framework", ["seq", "ord"], REPO_FRAMEWORKS, "frameworks"),
-        "dependencies": first_distinct(deps, key, "dependency", ["seq", "line_no"], REPO_DEPS, "dependencies"),
+        "dependencies": first_distinct(deps, key, "dependency", ["seq", "place"], REPO_DEPS, "dependencies"),
     })
 
 

@@ -46,7 +46,7 @@ def call_links(resolved_calls: DataFrame, functions: DataFrame) -> DataFrame:
         *FILE, "source", "from_module", target.alias("target"), F.col("target_name").alias("name"),
         owner.alias("file_path"), F.when(F.col("resolved"), F.lit("function")).otherwise(F.lit("external")).alias("kind"),
         F.lit(None).cast("string").alias("label"), "resolved",
-        F.lit(1).alias("phase"), F.col("ord.line_no").alias("line"), F.col("ord.pos").alias("pos"))
+        F.lit(1).alias("phase"), F.col("ord.place").alias("line"), F.col("ord.pos").alias("pos"))
 
 
 def file_links(resolved_file_calls: DataFrame, functions: DataFrame, analyzed: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def file_links(resolved_file_calls: DataFrame, functions: DataFrame, analyzed: D
         .otherwise(F.concat(F.lit("external:"), F.col("file"), F.lit(":"), F.col("path"))).alias("target"),
         T.base_name(shown).alias("name"), shown.alias("file_path"),
         F.when(hit, F.lit("file")).otherwise(F.lit("external")).alias("kind"), F.lit("HTTP").alias("label"),
-        hit.alias("resolved"), F.lit(2).alias("phase"), F.col("line_no").alias("line"), F.lit(0).alias("pos"))
+        hit.alias("resolved"), F.lit(2).alias("phase"), F.col("place").alias("line"), F.lit(0).alias("pos"))
 
 
 def nodes(functions: DataFrame, links: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def nodes(functions: DataFrame, links: DataFrame) -> DataFrame:
                         F.col("pos").cast("int").alias("pos"), F.lit(sub).alias("sub"))
     of_functions = functions.select(
         "repo", function_id(F.col("file"), F.col("name")).alias("id"), "name", F.col("file").alias("file_path"),
-        F.lit("function").alias("kind"), place(0, F.col("line_no"), F.lit(0), 0).alias("node_ord"))
+        F.lit("function").alias("kind"), place(0, F.col("place"), F.lit(0), 0).alias("node_ord"))
     of_modules = links.where("from_module").select(
         "repo", F.col("source").alias("id"), F.lit("module").alias("name"), F.col("file").alias("file_path"),
         F.lit("function").alias("kind"), ordered(0).alias("node_ord"))

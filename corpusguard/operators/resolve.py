@@ -49,10 +49,10 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
 def first_bindings(resolved_imports: DataFrame) -> DataFrame:
     """Per file and local name: the first binding whose import resolves."""
     rows = (resolved_imports.where(F.col("target").isNotNull())
-            .select(*FILE, "line_no", "target", F.posexplode("bindings").alias("pos", "_b"))
-            .select(*FILE, "line_no", "pos", "target", "_b.imported", "_b.local"))
+            .select(*FILE, "place", "target", F.posexplode("bindings").alias("pos", "_b"))
+            .select(*FILE, "place", "pos", "target", "_b.imported", "_b.local"))
     return (rows.groupBy(*FILE, "local")
-            .agg(F.min_by(F.struct("imported", "target"), F.struct("line_no", "pos")).alias("_f"))
+            .agg(F.min_by(F.struct("imported", "target"), F.struct("place", "pos")).alias("_f"))
             .select(*FILE, "local", "_f.imported", "_f.target"))
 
 
@@ -60,7 +60,7 @@ def default_export_names(exports: DataFrame) -> DataFrame:
     """First default export of each file, keyed by its forward-slash path."""
     return (exports.where(F.col("type") == "default")
             .groupBy("repo", T.forward_slashes(F.col("file")).alias("target"))
-            .agg(F.min_by("name", F.struct("line_no", "pos")).alias("default_name")))
+            .agg(F.min_by("name", F.struct("place", "pos")).alias("default_name")))
 
 
 def with_exported_name(bound: DataFrame, exports: DataFrame) -> DataFrame:

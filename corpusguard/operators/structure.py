@@ -1,9 +1,9 @@
 """Code structure of JavaScript and TypeScript files as relations.
 
-``line_facts`` lays the statements of a file out by line, reads each line once and
-keeps the few that carry structure, as extracted fields only. ``scoped`` adds the
-enclosing class and function with windows per file and bracket depth; contents are
-never shuffled, and the aggregates below work by (repo, file, seq).
+``line_facts`` lays a file out in rows of one statement each, in the stage that scans
+it, and keeps extracted fields only. ``scoped`` adds the enclosing class and function
+by a sweep over the rows of each file, which are shuffled once; contents are never
+shuffled, and the aggregates below work by (repo, file, seq).
 
 Where two readings of the same file differ, ``variant`` picks one: "summary"
 feeds the roll-ups, "detail" feeds the call graph and the listings.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusguard.functions import lexical as L
+from corpusguard.functions import layout, lexical as L
 from corpusguard.functions import text as T
 from corpusguard.rules import FRAMEWORKS, JS, REPEAT_FACTOR, ROUTE_FRAMEWORK
 
@@ -68,17 +68,16 @@ def _side_effect_struct(line: Column) -> Column:
         F.array().cast(BINDING).alias("bindings"))
 
 
-def _require_struct(line: Column) -> Column:
-    target = F.regexp_extract(line, L.REQUIRE, 1)
+def _require_struct(line: Column, head: Column) -> Column:
+    target = F.regexp_extract(head, L.REQUIRE, 1)
     whole = ~target.startswith("{")
     # a property without a new name is bound under its own; one with a default is not bound
-    inner = F.regexp_replace(F.regexp_replace(target, r"^\{|\}\z", ""), r"\{[^{}]*\}", L.BRACES)
-    keys = F.filter(L.items(inner), lambda p: p.rlike(L.REQUIRE_ITEM))
+    keys = F.filter(L.items(F.regexp_replace(target, r"^\{|\}\z", "")), lambda p: p.rlike(L.REQUIRE_ITEM))
     pairs = F.transform(keys, lambda p: F.struct(
         F.regexp_extract(p, L.REQUIRE_ITEM, 1).alias("imported"),
         F.when(p.rlike(rf"^{L.I}\z"), p).otherwise(T.first_group(p, L.REQUIRE_ITEM, 2)).alias("local")))
     return F.struct(
-        L.either(line, L.REQUIRE, 2, 3).alias("source"),
+        L.either(line, L.REQUIRED, 1, 2).alias("source"),
         F.when(whole, target).alias("alias"), F.lit("require").alias("type"),
         F.when(whole, F.array(target)).otherwise(F.transform(pairs, lambda p: p["imported"])).alias("specifiers"),
         F.when(whole, F.array(F.struct(F.lit("default").alias("imported"), target.alias("local"))))
@@ -91,12 +90,12 @@ def _export(name: Column, kind: str, alias: Column | None = None, variants=VARIA
                     F.array(*[F.lit(v) for v in variants]).alias("variants"))
 
 
-def _export_items(line: Column) -> Column:
-    """What one line exports; ``variants`` says which readings list it."""
-    exported_fn = line.rlike(L.DECLARATION) & L.present(line, L.DECLARATION, 1)
-    exported_class = line.rlike(L.CLASS) & L.present(line, L.CLASS, 1) & ~F.regexp_extract(line, L.CLASS, 3).isin(*L.NOT_A_NAME)
-    fn_default, class_default = L.present(line, L.DECLARATION, 2), L.present(line, L.CLASS, 2)
-    fn_name, class_name = F.regexp_extract(line, L.DECLARATION, 4), F.regexp_extract(line, L.CLASS, 3)
+def _export_items(line: Column, head: Column) -> Column:
+    """What one statement exports; ``variants`` says which readings list it."""
+    exported_fn = head.rlike(L.DECLARATION) & L.present(head, L.DECLARATION, 1)
+    exported_class = head.rlike(L.CLASS) & L.present(head, L.CLASS, 1) & ~F.regexp_extract(head, L.CLASS, 3).isin(*L.NOT_A_NAME)
+    fn_default, class_default = L.present(head, L.DECLARATION, 2), L.present(head, L.CLASS, 2)
+    fn_name, class_name = F.regexp_extract(head, L.DECLARATION, 4), F.regexp_extract(head, L.CLASS, 3)
     default_name = T.first_group(line, L.EXPORT_DEFAULT_NAME)
     listed = F.transform(L.named_pairs(F.regexp_extract(line, L.EXPORT_LIST, 1)), lambda p: F.struct(
         F.coalesce(p["second"], p["first"]).alias("name"), F.lit("named").alias("type"),
@@ -155,74 +154,68 @@ def _route_struct(line: Column) -> Column:
         F.when(~handler.isin(*L.NOT_A_NAME), handler).alias("handler")))
 
 
+ROW = "repo string, file string, seq bigint, line_no int, place int, level int, shut boolean, opens boolean, line string, head string"
+
+
 def line_facts(files: DataFrame) -> DataFrame:
-    """Structure-bearing lines of code files: one narrow pass, extracted fields only.
+    """Structure-bearing statements of code files: one narrow pass, extracted fields only.
 
-    Lines are picked with one cheap pattern. The picked rows are not filtered on
-    the extracted fields again: Spark would push such a filter below the
-    projection and extract everything twice.
+    The rows are not filtered on the extracted fields: Spark would push such a filter
+    below the projection and extract everything twice.
     """
-    line = F.col("line")
-    picked = (code_files(files)
-              .select(*FILE, F.posexplode_outer(T.split_lines(L.statements(F.col("content")))).alias("_pos", "line"))
-              .where(line.rlike(L.STRUCTURAL)).withColumn("_plain", F.regexp_replace(line, L.QUOTED, "''")))
-    return _stage_imports(picked).select(
-        *FILE, (F.col("_pos") + 1).alias("line_no"),
+    line, head = F.col("line"), F.col("head")
+    rows = code_files(files).select(*FILE, "content").mapInArrow(layout.lay_out, ROW)
+    staged = _stage_imports(rows.withColumn("_method", F.when(head.contains("(") & F.col("opens"), L.is_method_header(head)).otherwise(F.lit(False))))
+    return staged.select(
+        *FILE, "line_no", "place", "level", "shut", "opens",
         F.when(F.col("_clause").isNotNull(), _import_struct(line))
         .when(line.contains("import") & line.rlike(L.IMPORT_ONLY), _side_effect_struct(line)).alias("imported"),
-        F.when(line.contains("require") & line.rlike(L.REQUIRE), _require_struct(line)).alias("required"),
-        F.when(line.contains("export"), _export_items(line)).alias("exports"),
-        F.when(line.contains("function") | line.contains("=>"), _function_struct(line)).alias("fn"),
-        F.when(line.contains("class"), _class_struct(line)).alias("cls"),
-        F.when(line.contains("(") & line.contains("{"), _method_struct(line)).alias("method"),
-        F.when(line.contains("("), L.called_names(line)).alias("calls"),
+        F.when(head.contains("require") & head.rlike(L.REQUIRE), _require_struct(line, head)).alias("required"),
+        F.when(line.contains("export"), _export_items(line, head)).alias("exports"),
+        F.when(head.contains("function") | head.contains("=>"), _function_struct(head)).alias("fn"),
+        F.when(head.contains("class"), _class_struct(head)).alias("cls"),
+        F.when(F.col("_method"), _method_struct(head)).alias("method"),
+        F.when(line.contains("("), L.called_names(line, F.col("_method"))).alias("calls"),
         F.when(line.contains("fetch"), L.file_endpoint(line)).alias("file_call"),
-        F.when(line.contains("router.") | line.contains("app."), _route_struct(line)).alias("route"),
-        line.rlike(L.OPENS).alias("opens"), F.regexp_count("_plain", F.lit(r"\{")).alias("opened"), F.regexp_count("_plain", F.lit(r"\}")).alias("closed"),
-        F.regexp_count(F.regexp_extract("_plain", r"^[^{]*", 0), F.lit(r"\}")).alias("closes_first"))
+        F.when(line.contains("router.") | line.contains("app."), _route_struct(line)).alias("route"))
+
 
+def _sweep(rows: DataFrame, opened: Column, name: Column, out: str) -> DataFrame:
+    """Add ``out``, the ``name`` of the innermost open scope at each row, in one sweep over the rows of a file.
 
-def _depths(facts: DataFrame) -> DataFrame:
-    """Bracket depth before and after each line, and the lowest within it; text that closes too much starts again at 0."""
-    up_to_here = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = Window.partitionBy(*FILE).orderBy("line_no")
-    total = facts.withColumn("_sum", F.sum(F.col("opened") - F.col("closed")).over(up_to_here))
-    clear = total.withColumn("_after", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(up_to_here)))
-    known = clear.withColumn("_before", F.coalesce(F.lag("_after").over(lines), F.lit(0)))
-    return known.withColumn("_lowest", F.greatest(F.col("_before") - F.col("closes_first"), F.lit(0))).drop("_sum")
+    A row with ``opened`` opens a scope behind it, and the row that shuts the same body
+    closes it. Bodies of one level alternate between both, so a shutting row's opener is
+    the last one of its level. The scopes open at a row are counted by a running sum,
+    and the innermost is the last that raised the count to what it is: whatever opened
+    after it, inside it, raised it further. Each row is sorted twice, whatever the depth.
+    """
+    body = F.col("level") + 1
+    by_level = Window.partitionBy(*FILE, "_body").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    by_place = Window.partitionBy(*FILE).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    by_count = Window.partitionBy(*FILE, "_at").orderBy("place", "_opens").rowsBetween(Window.unboundedPreceding, -1)
+    # other rows than those that open or shut take no part in their level's turn
+    turned = rows.withColumn("_body", F.when(F.col("opens") | F.col("shut"), body).otherwise(-1 - F.col("place")))
+    turned = turned.withColumn("_last", F.last(F.when(F.col("opens"), opened), ignorenulls=True).over(by_level))
+    closes = (F.col("shut") & F.coalesce("_last", F.lit(False))).cast("int")
+    counted = (turned.withColumn("_open", (F.col("opens") & opened).cast("int"))
+               .withColumn("_count", F.sum(F.col("_open") - closes).over(by_place) - F.col("_open")))
+    marks = F.array(F.struct(F.lit(False).alias("opens"), F.col("_count").alias("at")),
+                    F.struct(F.lit(True).alias("opens"), (F.col("_count") + 1).alias("at")))
+    both = (counted.withColumn("_mark", F.explode(F.slice(marks, F.lit(1), F.col("_open") + 1)))
+            .withColumn("_opens", F.col("_mark.opens")).withColumn("_at", F.col("_mark.at")))
+    inside = F.when(F.col("_at") > 0, F.last(F.when(F.col("_opens"), name), ignorenulls=True).over(by_count))
+    return both.withColumn(out, inside).where(~F.col("_opens")).drop("_body", "_last", "_open", "_count", "_mark", "_opens", "_at")
 
 
 def scoped(facts: DataFrame) -> DataFrame:
-    """Add ``class_name`` and ``caller``: the innermost class and function whose body a line is in.
-
-    A header that opens a body owns the depth it opens until a line falls below that
-    depth; then the one around it counts again. Each line has a row per depth around
-    it, so the owner of a depth is the last mark above, by one window per file and depth.
-    """
-    lines = _depths(facts)
-    kind = (F.when(F.col("fn").isNotNull(), F.struct(F.lit("function").alias("kind"), F.col("fn.name").alias("name")))
-            .when(F.col("method").isNotNull(), F.struct(F.lit("method").alias("kind"), F.col("method.name").alias("name")))
-            .when(F.col("cls").isNotNull(), F.struct(F.lit("class").alias("kind"), F.col("cls.name").alias("name"))))
-    header = F.when(F.col("opens"), kind)
-    nobody = F.struct(F.lit("").alias("kind"), F.lit("").alias("name"))
-    deep = lines.select(*FILE, "line_no", "_after", "_lowest", header.alias("_header"), F.explode(
-        F.when(F.greatest("_before", "_after") > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest("_before", "_after").cast("bigint")))).alias("_depth"))
-    mark = (F.when(F.col("_header").isNotNull() & (F.col("_depth") == F.col("_after")), F.col("_header"))
-            .when(F.col("_depth") > F.col("_lowest"), nobody))
-    above = Window.partitionBy(*FILE, "_depth").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    owners = (deep.withColumn("_owner", F.last(mark, ignorenulls=True).over(above))
-              .where((F.col("_depth") <= F.col("_lowest")) & (F.col("_owner.kind") != ""))
-              .groupBy(*FILE, "line_no").agg(F.array_sort(F.collect_list(F.struct("_depth", "_owner"))).alias("_around")))
-    around = F.coalesce("_around", F.array().cast(owners.schema["_around"].dataType))
-    classes_around = F.filter(around, lambda o: o["_owner"]["kind"] == "class")
-    innermost = F.try_element_at(around, F.lit(-1))["_owner"]
-    placed = (lines.join(owners, [*FILE, "line_no"], "left")
-              .withColumn("class_name", F.try_element_at(classes_around, F.lit(-1))["_owner"]["name"])
-              .withColumn("_inner", innermost).drop("_around", "_before", "_after", "_lowest"))
-    own = F.coalesce(F.col("fn.name"), F.when(F.col("method").isNotNull(), method_name()))
-    carried = F.when(F.col("_inner.kind") == "function", F.col("_inner.name")).when(
-        F.col("_inner.kind") == "method", F.concat_ws(".", F.col("class_name"), F.col("_inner.name")))
-    return placed.withColumn("caller", F.coalesce(own, carried, F.lit(ROOT))).drop("_inner")
+    """Add ``class_name`` and ``caller``: the innermost class and function whose body a row is in."""
+    is_function, is_method, is_class = F.col("fn").isNotNull(), F.col("method").isNotNull(), F.col("cls").isNotNull()
+    classes_around = _sweep(facts, is_class & ~is_function & ~is_method, F.col("cls.name"), "class_name")
+    own = F.coalesce(F.col("fn.name"), F.when(is_method, method_name()))
+    named = classes_around.withColumn("_own", own)
+    inner = _sweep(named, F.col("_own").isNotNull() | is_class, F.coalesce("_own", F.lit("")), "_inner")
+    carried = F.when(F.col("_inner") != "", F.col("_inner"))
+    return inner.withColumn("caller", F.coalesce("_own", carried, F.lit(ROOT))).drop("_inner", "_own")
 
 
 def method_name() -> Column:
@@ -245,28 +238,28 @@ def requires(facts: DataFrame) -> DataFrame:
 
 
 def _import_rows(facts: DataFrame, column: str) -> DataFrame:
-    return facts.where(F.col(column).isNotNull()).select(*FILE, "line_no", f"{column}.*")
+    return facts.where(F.col(column).isNotNull()).select(*FILE, "line_no", "place", f"{column}.*")
 
 
 def all_imports(facts: DataFrame) -> DataFrame:
     return (facts.withColumn("_imp", F.coalesce("imported", "required")).where(F.col("_imp").isNotNull())
-            .select(*FILE, "line_no", "_imp.*"))
+            .select(*FILE, "line_no", "place", "_imp.*"))
 
 
 def bindings(imports_df: DataFrame) -> DataFrame:
-    return (imports_df.select(*FILE, "line_no", "source", F.posexplode("bindings").alias("pos", "_b"))
-            .select(*FILE, "line_no", "source", "pos", "_b.imported", "_b.local"))
+    return (imports_df.select(*FILE, "line_no", "place", "source", F.posexplode("bindings").alias("pos", "_b"))
+            .select(*FILE, "line_no", "place", "source", "pos", "_b.imported", "_b.local"))
 
 
 def exports(facts: DataFrame, variant: str = "summary") -> DataFrame:
     rows = (facts.where(F.col("exports").isNotNull())
-            .select(*FILE, "line_no", F.posexplode("exports").alias("pos", "_e"))
+            .select(*FILE, "line_no", "place", F.posexplode("exports").alias("pos", "_e"))
             .where(F.array_contains("_e.variants", variant))
-            .select(*FILE, "line_no", "pos", "_e.name", "_e.type", "_e.alias"))
+            .select(*FILE, "line_no", "place", "pos", "_e.name", "_e.type", "_e.alias"))
     if variant == "summary":
         return rows
-    first = rows.groupBy(*FILE, "line_no", "name").agg(F.min_by(F.struct("pos", "type", "alias"), "pos").alias("_e"))
-    return first.select(*FILE, "line_no", "_e.pos", "name", "_e.type", "_e.alias")
+    first = rows.groupBy(*FILE, "line_no", "name").agg(F.min_by(F.struct("place", "pos", "type", "alias"), F.struct("place", "pos")).alias("_e"))
+    return first.select(*FILE, "line_no", "_e.place", "_e.pos", "name", "_e.type", "_e.alias")
 
 
 def default_exports(facts: DataFrame, variant: str = "summary") -> DataFrame:
@@ -280,7 +273,7 @@ def function_rows(events_df: DataFrame, variant: str = "summary") -> DataFrame:
     def pick(of_function: Column, of_method: Column) -> Column:
         return F.when(is_fn, of_function).otherwise(of_method)
     return events_df.where(is_fn | _lists_method(variant)).select(
-        *FILE, "line_no", pick(F.col("fn.name"), method_name()).alias("name"),
+        *FILE, "line_no", "place", pick(F.col("fn.name"), method_name()).alias("name"),
         pick(F.col("fn.params"), F.col("method.params")).alias("params"),
         pick(F.col(f"fn.exported_{variant}"), F.lit(False)).alias("exported"),
         pick(F.col("fn.is_async"), F.col("method.is_async")).alias("is_async"),
@@ -306,14 +299,14 @@ def _ordered(value: Column, order: Column) -> Column:
 
 def merge_functions(rows: DataFrame, variant: str = "summary") -> DataFrame:
     """Same-name functions of a file become one; the first line wins."""
-    first = F.min_by(F.struct("params", "is_async", "is_arrow", "type"), "line_no")
+    first = F.min_by(F.struct("params", "is_async", "is_arrow", "type"), "place")
     merged = rows.groupBy(*FILE, "name").agg(
-        F.min("line_no").alias("line_no"), first.alias("_f"), F.bool_or("exported").alias("exported"),
+        F.min("line_no").alias("line_no"), F.min("place").alias("place"), first.alias("_f"), F.bool_or("exported").alias("exported"),
         F.bool_or("is_async").alias("_any_async"),
-        F.array_distinct(F.flatten(_ordered(F.col("params"), F.col("line_no")))).alias("_all_params"))
+        F.array_distinct(F.flatten(_ordered(F.col("params"), F.col("place")))).alias("_all_params"))
     union = variant == "detail"
     return merged.select(
-        *FILE, "name", "line_no", (F.col("_all_params") if union else F.col("_f.params")).alias("params"), "exported",
+        *FILE, "name", "line_no", "place", (F.col("_all_params") if union else F.col("_f.params")).alias("params"), "exported",
         (F.col("_any_async") if union else F.col("_f.is_async")).alias("is_async"), "_f.is_arrow", "_f.type")
 
 
@@ -326,13 +319,13 @@ def classes(events_df: DataFrame, variant: str = "summary") -> DataFrame:
     is_class = F.col("cls").isNotNull()
     is_method = _lists_method("summary")
     members = events_df.where(is_class | is_method).select(
-        *FILE, "line_no", F.coalesce("cls.name", "class_name").alias("name"), F.col("cls.extends").alias("extends"),
+        *FILE, "line_no", "place", F.coalesce("cls.name", "class_name").alias("name"), F.col("cls.extends").alias("extends"),
         F.coalesce(f"cls.exported_{variant}", F.lit(False)).alias("exported"),
-        F.when(is_class, F.col("line_no")).alias("_header"), F.when(~is_class, F.col("method.name")).alias("method"))
+        F.when(is_class, F.struct("place", "line_no")).alias("_header"), F.when(~is_class, F.col("method.name")).alias("method"))
     return members.groupBy(*FILE, "name").agg(
-        F.min("_header").alias("line_no"), F.min_by("extends", "_header").alias("extends"),
+        F.min("_header.line_no").alias("line_no"), F.min("_header.place").alias("place"), F.min_by("extends", "_header").alias("extends"),
         F.bool_or("exported").alias("exported"),
-        F.array_distinct(F.array_compact(_ordered(F.col("method"), F.col("line_no")))).alias("methods"))
+        F.array_distinct(F.array_compact(_ordered(F.col("method"), F.col("place")))).alias("methods"))
 
 
 def call_rows(events_df: DataFrame, variant: str = "summary") -> DataFrame:
@@ -340,21 +333,21 @@ def call_rows(events_df: DataFrame, variant: str = "summary") -> DataFrame:
     kept = F.col("calls")
     if variant == "detail":
         kept = F.when(F.col("file_call").isNotNull(), F.filter("calls", lambda c: c != "fetch")).otherwise(kept)
-    return (calls.select(*FILE, "line_no", "caller", F.posexplode(kept).alias("pos", "callee"))
+    return (calls.select(*FILE, "line_no", "place", "caller", F.posexplode(kept).alias("pos", "callee"))
             .where(F.col("caller") != F.col("callee")))
 
 
 def call_edges(events_df: DataFrame, variant: str = "summary") -> DataFrame:
     """Distinct (caller, callee), with the place they were first seen."""
     return (call_rows(events_df, variant).groupBy(*FILE, "caller", "callee")
-            .agg(F.min(F.struct("line_no", "pos")).alias("ord")).withColumn("type", F.lit("call")))
+            .agg(F.min(F.struct("line_no", "place", "pos")).alias("ord")).withColumn("type", F.lit("call")))
 
 
 def file_calls(events_df: DataFrame) -> DataFrame:
     """Distinct (caller, path) of fetches whose literal path ends like a source file."""
     return (events_df.where(F.col("file_call").isNotNull())
             .groupBy(*FILE, "caller", F.col("file_call").alias("path"))
-            .agg(F.min("line_no").alias("line_no")).withColumn("type", F.lit("http")))
+            .agg(F.min("line_no").alias("line_no"), F.min("place").alias("place")).withColumn("type", F.lit("http")))
 
 
 def routes(facts: DataFrame) -> DataFrame:
@@ -372,8 +365,8 @@ def entry_names(variant: str = "summary") -> Column:
 def entry_points(facts: DataFrame, variant: str = "summary") -> DataFrame:
     """Distinct entry points with the line first seen."""
     return (facts.where(F.col("exports").isNotNull() | F.col("route").isNotNull())
-            .select(*FILE, "line_no", F.explode(entry_names(variant)).alias("name"))
-            .groupBy(*FILE, "name").agg(F.min("line_no").alias("line_no")))
+            .select(*FILE, "line_no", "place", F.explode(entry_names(variant)).alias("name"))
+            .groupBy(*FILE, "name").agg(F.min("line_no").alias("line_no"), F.min("place").alias("place")))
 
 
 def backfill_calls(functions_df: DataFrame, edges: DataFrame) -> DataFrame:
@@ -392,7 +385,7 @@ def dependencies(facts: DataFrame) -> DataFrame:
     """Distinct names of relative and absolute imports."""
     local = all_imports(facts).where(F.col("source").startswith(".") | F.col("source").startswith("/"))
     return (local.groupBy(*FILE, dependency_name(F.col("source")).alias("dependency"))
-            .agg(F.min("line_no").alias("line_no")))
+            .agg(F.min("line_no").alias("line_no"), F.min("place").alias("place")))
 
 
 def signal_array(variant: str = "summary") -> Column:
@@ -418,14 +411,14 @@ def signal_array(variant: str = "summary") -> Column:
 
 def framework_signals(facts: DataFrame, variant: str = "summary") -> DataFrame:
     """One row per signal."""
-    return (facts.select(*FILE, "line_no", F.explode(signal_array(variant)).alias("_s"))
-            .select(*FILE, "line_no", "_s.*"))
+    return (facts.select(*FILE, "line_no", "place", F.explode(signal_array(variant)).alias("_s"))
+            .select(*FILE, "line_no", "place", "_s.*"))
 
 
 def framework_hints(signals: DataFrame, variant: str = "summary") -> DataFrame:
     """Confidence per framework: the first signal counts in full, repeats in part, at most 1."""
-    order = F.struct("line_no", "pos")
-    reasons = _ordered(F.col("reason"), F.struct("line_no", "pos"))
+    order = F.struct("place", "pos")
+    reasons = _ordered(F.col("reason"), order)
     first = F.min_by("weight", order)
     return signals.groupBy(*FILE, "framework").agg(
         F.min(order).alias("ord"),

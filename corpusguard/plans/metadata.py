@@ -36,22 +36,22 @@ def build_metadata(files: DataFrame, findings: DataFrame, events: DataFrame | No
     functions = S.backfill_calls(S.functions(events, variant), edges)
     hints = S.framework_hints(S.framework_signals(events, variant), variant)
     parts = {
-        "imports": _nested(S.all_imports(events), F.struct("line_no"),
+        "imports": _nested(S.all_imports(events), F.struct("place"),
                            ["source", "alias", "type", F.col("line_no").alias("line"), "specifiers", "bindings"], "imports"),
-        "exports": _nested(S.exports(events, variant), F.struct("line_no", "pos"),
+        "exports": _nested(S.exports(events, variant), F.struct("place", "pos"),
                            ["name", F.col("line_no").alias("line"), "type", "alias"], "exports"),
-        "functions": _nested(functions, F.struct("line_no"),
+        "functions": _nested(functions, F.struct("place"),
                              ["name", F.col("line_no").alias("line"), "params", "exported", "calls", "is_async",
                               "is_arrow", "type"], "functions"),
-        "classes": _nested(S.classes(events, variant), F.struct("line_no"),
+        "classes": _nested(S.classes(events, variant), F.struct("place"),
                            ["name", F.col("line_no").alias("line"), "extends", "exported", "methods"], "classes"),
         "call_graph": _nested(edges, F.col("ord"), ["caller", "callee", "type"], "call_graph"),
         "framework_hints": _nested(hints, F.col("ord"), ["framework", "confidence", "reason"], "framework_hints"),
-        "_entries": _nested(S.entry_points(events, variant), F.struct("line_no"), ["name"], "_entries"),
-        "_deps": _nested(S.dependencies(events), F.struct("line_no"), ["dependency"], "_deps"),
+        "_entries": _nested(S.entry_points(events, variant), F.struct("place"), ["name"], "_entries"),
+        "_deps": _nested(S.dependencies(events), F.struct("place"), ["dependency"], "_deps"),
     }
     if variant == "detail":
-        parts["file_calls"] = _nested(S.file_calls(events), F.struct("line_no"), ["caller", "path", "type"], "file_calls")
+        parts["file_calls"] = _nested(S.file_calls(events), F.struct("place"), ["caller", "path", "type"], "file_calls")
     out = roles.profiles(files, events, variant)
     for name, part in parts.items():
         kind = part.schema[name].dataType

@@ -77,7 +77,7 @@ EXPECTED = {
 DIRECTORIES = ["src", "src/auth", "api/routes", "services/core", "data/repository", "ui/widgets", "lib",
                "node_modules/pkg", "Vendor/x", "src\\win"]
 
-# Module templates: doc_id mod 12, path, text. {n} is the document, {m} the first of its dozen.
+# Module templates: slot, path, text. A document's slot is its id modulo their number; {n} is the document, {m} the first of its run.
 MODULES = [
     (0, "src/app{m}.ts", """import express, { Router as makeRouter } from 'express'
 import * as path from "path"
@@ -234,8 +234,99 @@ export function pong(x) {
   return ping(x)
 }
 app.delete(removeAll)
+"""),
+    (12, "worked/bundle{m}.js", """import { helper{m} as help } from './util{m}'; const a = 1; function after(x) { one(x); function inner() { two() } inner() } export const q = 1, r = () => three(), s = function (y) { return four(y) };
+class Box extends Base { constructor(a = make(deep(1))) { super(a); this.fill(a) } async *each({ b, c: { d } }, [e], ...f) { yield g(h(i(j(b)))) } static of(cb = () => { cbInner() }) { return new Box(cb()) } }
+const { u: { v: { w } }, z: k } = require('deep'), other = require("./other{m}");
+app.get('/x', (req, res) => { send(req); later() }); fetch('/api/svc{m}.py'); export { after as later, Box };
+"""),
+    (13, "worked/deep{m}.ts", """import base,
+  * as all
+  from "./base{m}"
+export const first = 1,
+  second = (
+    a: number,
+    cb: (e: Error) => void = () => { quiet() },
+  ): Promise<Map<string, number>> => {
+    return call(cb(nest(a)))
+  },
+  third = wait
+@Service({ scope: pick(1) })
+export class Tower<T extends Map<string, T>>
+  extends mix(Base, Other)
+{
+  constructor(
+    @Inject(TOKEN) items: T[],
+    { size = 1, at: [x, y] }: Shape = shape(),
+    ...rest: string[]
+  ) {
+    super()
+    const add = async (n, { deep: { deeper } } = {}) =>
+      lift(n)
+        .then(store)
+    add(text(`a ${pick(`b ${inner(1)}`)} c`))
+  }
+  get height(): { value: number } {
+    if (/["'({]/.test(this.name)) { return tall({ value: low() }) }
+    return first
+  }
+}
+export default async function(
+  req,
+  res = reply(
+    { ok: true }
+  ),
+) {
+  res.send(all(req)); function late() { tidy() } late()
+}
 """),
 ]
+#: Rows of the files under worked/, found by reading them: the slot, the line, and the statement's place on it.
+WORKED = {
+    # kind, source, alias, type, specifiers, (imported, local) pairs
+    "imports": [
+        (12, 1, 0, "import", "./util{m}", "help", "named", ["helper{m}"], [("helper{m}", "help")]),
+        (12, 3, 0, "require", "deep", None, "require", ["u", "z"], [("z", "k")]),
+        (12, 3, 1, "require", "./other{m}", "other", "require", ["other"], [("default", "other")]),
+        (13, 1, 0, "import", "./base{m}", "all", "namespace", ["base", "*"], [("default", "base"), ("*", "all")]),
+    ],
+    # name, type, alias, the readings that list it
+    "exports": [
+        (12, 1, 8, "q", "named", None, ["detail"]), (12, 1, 9, "r", "named", None, ["detail"]), (12, 1, 10, "s", "named", None, ["detail"]),
+        (12, 4, 5, "later", "named", "after", ["summary", "detail"]), (12, 4, 6, "Box", "named", "Box", ["summary", "detail"]),
+        (13, 4, 0, "first", "named", None, ["detail"]), (13, 5, 0, "second", "named", None, ["detail"]), (13, 11, 0, "third", "named", None, ["detail"]),
+        (13, 13, 0, "Tower", "named", None, ["summary", "detail"]), (13, 32, 0, "default", "default", None, ["summary"]),
+    ],
+    # name, parameters, exported in the detail reading, async, arrow, type by reading
+    "functions": [
+        (12, 1, 2, "after", ["x"], False, False, False, ("function", "function")), (12, 1, 4, "inner", [], False, False, False, ("function", "function")),
+        (12, 1, 9, "r", [], True, False, True, ("arrow", "arrow")), (12, 1, 10, "s", ["y"], True, False, False, ("function", "arrow")),
+        (12, 2, 1, "Box.constructor", ["a"], False, False, False, ("method", "method")),
+        (12, 2, 4, "Box.each", ["{...}", "[...]", "...f"], False, True, False, ("method", "method")),
+        (12, 2, 7, "Box.of", ["cb"], False, False, False, ("method", "method")),
+        (13, 5, 0, "second", ["a", "cb"], True, False, True, ("arrow", "arrow")),
+        (13, 16, 0, "Tower.constructor", ["items", "...rest"], False, False, False, ("method", "method")),
+        (13, 22, 0, "add", ["n"], False, True, True, ("arrow", "arrow")), (13, 27, 0, "Tower.height", [], False, False, False, ("method", "method")),
+        (13, 38, 1, "late", [], False, False, False, ("function", "function")),
+    ],
+    # name, superclass, exported, methods
+    "classes": [(12, 2, 0, "Box", "Base", False, ["constructor", "each", "of"]), (13, 13, 0, "Tower", None, True, ["constructor", "height"])],
+    # caller, names called in one statement, the path of a request
+    "calls": [
+        (12, 1, 3, "after", ["one"], ""), (12, 1, 5, "inner", ["two"], ""), (12, 1, 7, "after", ["inner"], ""), (12, 1, 9, "r", ["three"], ""),
+        (12, 1, 11, "s", ["four"], ""), (12, 2, 1, "Box.constructor", ["make", "deep"], ""), (12, 2, 2, "Box.constructor", ["fill"], ""),
+        (12, 2, 5, "Box.each", ["g", "h", "i", "j"], ""), (12, 2, 7, "Box.of", ["cbInner"], ""), (12, 2, 8, "Box.of", ["cb"], ""),
+        (12, 3, 0, "root", ["require"], ""), (12, 4, 0, "root", ["get"], ""), (12, 4, 1, "root", ["send", "later"], ""),
+        (12, 4, 2, "root", ["fetch"], "/api/svc{m}.py"),
+        (13, 5, 0, "second", ["quiet"], ""), (13, 9, 0, "second", ["call", "cb", "nest"], ""), (13, 12, 0, "root", ["Service", "pick"], ""),
+        (13, 13, 0, "root", ["mix"], ""), (13, 16, 0, "Tower.constructor", ["Inject", "shape"], ""), (13, 22, 0, "add", ["lift", "then"], ""),
+        (13, 25, 0, "Tower.constructor", ["add", "text", "pick", "inner"], ""), (13, 28, 0, "Tower.height", ["test", "tall", "low"], ""),
+        (13, 32, 0, "root", ["reply"], ""), (13, 38, 0, "root", ["send", "all"], ""), (13, 38, 2, "late", ["tidy"], ""), (13, 38, 4, "root", ["late"], ""),
+    ],
+    # method, handler
+    "routes": [(12, 4, 0, "get", None)],
+}
+SLOTS = len(MODULES)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,12 +367,13 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame(pa.table({
         "slot": pa.array([t[0] for t in MODULES], pa.int64()), "path": [t[1] for t in MODULES], "body": [t[2] for t in MODULES]}))
     d = F.col("doc_id")
-    docs = (_documents(spark, sf_dir).select("doc_id", "text").withColumn("slot", F.pmod(d, F.lit(12)))
-            .withColumn("m", (d - F.pmod(d, F.lit(12))).cast("string")))
+    docs = (_documents(spark, sf_dir).select("doc_id", "text").withColumn("slot", F.pmod(d, F.lit(SLOTS)))
+            .withColumn("m", (d - F.pmod(d, F.lit(SLOTS))).cast("string")))
     fill = lambda c: F.replace(F.replace(c, F.lit("{m}"), F.col("m")), F.lit("{n}"), d.cast("string"))
     return docs.join(F.broadcast(templates), "slot").select(
         F.concat(F.lit("repo"), (F.floor(d / 60) % 5).cast("string")).alias("repo"), fill(F.col("path")).alias("file"),
-        F.concat(fill(F.col("body")), F.col("text"), F.lit("\n")).alias("content"), d.alias("seq"))
+        F.concat(fill(F.col("body")), F.when(F.col("path").startswith("worked/"), "").otherwise(F.concat(F.col("text"), F.lit("\n")))).alias("content"),
+        d.alias("seq"))
 
 
 # --- the same corpora for the SQL check -------------------------------------
@@ -317,6 +409,7 @@ def code_corpus_sql() -> str:
     return f"""
 templates(slot, path, body) AS (VALUES {rows}),
 corpus AS MATERIALIZED (SELECT 'repo' || ((doc_id // 60) % 5) AS repo,
-  replace(replace(path, '{{m}}', CAST(doc_id - doc_id % 12 AS VARCHAR)), '{{n}}', CAST(doc_id AS VARCHAR)) AS file,
-  replace(replace(body, '{{m}}', CAST(doc_id - doc_id % 12 AS VARCHAR)), '{{n}}', CAST(doc_id AS VARCHAR)) || text || chr(10) AS content,
-  doc_id AS seq FROM documents JOIN templates ON slot = doc_id % 12)"""
+  replace(replace(path, '{{m}}', CAST(doc_id - doc_id % {SLOTS} AS VARCHAR)), '{{n}}', CAST(doc_id AS VARCHAR)) AS file,
+  replace(replace(body, '{{m}}', CAST(doc_id - doc_id % {SLOTS} AS VARCHAR)), '{{n}}', CAST(doc_id AS VARCHAR))
+    || CASE WHEN starts_with(path, 'worked/') THEN '' ELSE text || chr(10) END AS content,
+  doc_id AS seq FROM documents JOIN templates ON slot = doc_id % {SLOTS})"""

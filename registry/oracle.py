@@ -7,7 +7,6 @@ relational is written here on its own.
 
 from __future__ import annotations
 
-from corpusguard.functions import lexical as L
 from corpusguard.operators import aggregate as A, payload as P
 from corpusguard.operators.graph import COLUMN_WIDTH, EDGE_CAP, NODE_CAP, ROW_HEIGHT
 from corpusguard.operators.resolve import IMPORT_SUFFIXES
@@ -18,8 +17,8 @@ from corpusguard.rules import (
     W, RuleSet, SCENARIOS,
 )
 from corpusguard.sources import readers
-from registry import probes
-from registry.corpora import code_corpus_sql, line_corpus_sql, q
+from registry import line_patterns as L, probes
+from registry.corpora import SLOTS, WORKED, code_corpus_sql, line_corpus_sql, q
 
 ORACLE: dict[str, str] = {}
 KEY = "repo, file, seq"
@@ -279,6 +278,33 @@ def params(x: str) -> str:
     return f"list_filter(list_transform({items(flat)}, lambda p: {name}), lambda p: p <> '')"
 
 
+def value(x) -> str:
+    """A worked-out value as SQL; texts name their run."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x)
+    if isinstance(x, (list, tuple)):
+        return "[" + ", ".join(value(v) for v in x) + "]"
+    return str(x) if isinstance(x, int) else q(x)
+
+
+def worked(kind: str, *columns: str) -> str:
+    """The rows of the files that were read by hand, joined to each such file; a statement's place is a part of its line."""
+    def cell(x) -> str:
+        if isinstance(x, list) and x and isinstance(x[0], tuple):
+            return "[" + ", ".join(f"{{'imported': {value(i)}, 'local': {value(b)}}}" for i, b in x) + "]"
+        return value(x)
+    rows = ", ".join("(" + ", ".join(cell(x) for x in row) + ")" for row in WORKED[kind])
+    return (f"(SELECT f.repo, f.file, f.seq, CAST(f.seq - f.seq % {SLOTS} AS VARCHAR) AS m, w.line + w.sub / 1000.0 AS line_no, w.* EXCLUDE (slot, line, sub) "
+            f"FROM files f JOIN (VALUES {rows}) w(slot, line, sub, {', '.join(columns)}) ON f.file LIKE 'worked/%' AND w.slot = f.seq % {SLOTS})")
+
+
+def of_run(x: str) -> str:
+    return f"replace({x}, '{{m}}', m)"
+
+
+LINE_NO = "CAST(floor(line_no) AS BIGINT)"
 FN_EXPORTED = f"({hits('line', L.DECLARATION)} AND {ext('line', L.DECLARATION, 1)} <> '')"
 CLASS_NAME = f"CASE WHEN {hits('line', L.CLASS)} AND {ext('line', L.CLASS, 3)} NOT IN {in_list(L.NOT_A_NAME)} THEN {ext('line', L.CLASS, 3)} END"
 CLASS_EXPORTED = f"({CLASS_NAME} IS NOT NULL AND {ext('line', L.CLASS, 1)} <> '')"
@@ -289,7 +315,7 @@ ENDPOINT = " || ".join(ext("line", L.FILE_CALL, g) for g in (1, 2, 3))
 
 CTE.update({
     "js": f"""js AS MATERIALIZED (SELECT {KEY}, file_type, unnest(generate_series(1, len(ls))) AS line_no, unnest(ls) AS line
-      FROM (SELECT *, string_split_regex({statements('content')}, {q(chr(92) + 'r?' + chr(92) + 'n')}) AS ls FROM files WHERE file_type IN {in_list(JS)}))""",
+      FROM (SELECT *, string_split_regex({statements('content')}, {q(chr(92) + 'r?' + chr(92) + 'n')}) AS ls FROM files WHERE file_type IN {in_list(JS)} AND file NOT LIKE 'worked/%'))""",
     "imports": f"""import_parts AS (SELECT *, nullif({ext('clause', L.CLAUSE_DEFAULT)}, '') AS d, nullif({ext('clause', L.CLAUSE_NAMESPACE)}, '') AS ns,
         {named(ext('clause', L.CLAUSE_NAMED))} AS names
       FROM (SELECT *, regexp_replace({trim(ext('line', L.IMPORT_FROM, 1))}, {q(L.CLAUSE_TYPE)}, '') AS clause,
@@ -309,7 +335,10 @@ CTE.update({
         CASE WHEN is_pattern THEN list_transform(props, lambda p: {ext('p', L.REQUIRE_ITEM)}) ELSE [target] END,
         CASE WHEN is_pattern THEN list_filter(list_transform(props, lambda p: {{'imported': {ext('p', L.REQUIRE_ITEM)}, 'local':
           CASE WHEN NOT contains(p, ':') AND NOT contains(p, '=') THEN {ext('p', L.REQUIRE_ITEM)} ELSE nullif({ext('p', L.REQUIRE_ITEM, 2)}, '') END}}), lambda b: b."local" IS NOT NULL)
-        ELSE [{{'imported': 'default', 'local': target}}] END FROM require_parts)""",
+        ELSE [{{'imported': 'default', 'local': target}}] END FROM require_parts
+      UNION ALL SELECT {KEY}, line_no, kind, {of_run('source')}, {of_run('alias')}, type, list_transform(specifiers, lambda x: {of_run('x')}),
+        CAST(list_transform(bindings, lambda b: {{'imported': {of_run('b.imported')}, 'local': b."local"}}) AS {BIND})
+        FROM {worked('imports', 'kind', 'source', 'alias', 'type', 'specifiers', 'bindings')})""",
     "exports": f"""export_rows AS (
       SELECT {KEY}, line_no, 0 AS pos, {ext('line', L.DECLARATION, 4)} AS name, CASE WHEN {ext('line', L.DECLARATION, 2)} <> '' THEN 'default' ELSE 'named' END AS type,
         CAST(NULL AS VARCHAR) AS alias, ['summary', 'detail'] AS vs FROM js WHERE {FN_EXPORTED}
@@ -320,7 +349,8 @@ CTE.update({
       UNION ALL SELECT {KEY}, line_no, 0, {ext('line', L.EXPORT_VARIABLE)}, 'named', NULL, ['detail'] FROM js WHERE {hits('line', L.EXPORT_VARIABLE)}
       UNION ALL SELECT {KEY}, line_no, i - 1, n[i]."local", 'named', n[i].imported, ['summary', 'detail'] FROM (SELECT *, unnest(generate_series(1, len(n))) AS i
           FROM (SELECT *, {named(ext('line', L.EXPORT_LIST))} AS n FROM js WHERE {hits('line', L.EXPORT_LIST)}))
-      UNION ALL SELECT {KEY}, line_no, 0, {ext('line', L.EXPORT_NAMESPACE)}, 'named', NULL, ['summary', 'detail'] FROM js WHERE {hits('line', L.EXPORT_NAMESPACE)}),
+      UNION ALL SELECT {KEY}, line_no, 0, {ext('line', L.EXPORT_NAMESPACE)}, 'named', NULL, ['summary', 'detail'] FROM js WHERE {hits('line', L.EXPORT_NAMESPACE)}
+      UNION ALL SELECT {KEY}, line_no, 0, name, type, alias, vs FROM {worked('exports', 'name', 'type', 'alias', 'vs')}),
     exports AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE (vs), unnest(vs) AS variant FROM export_rows)
       QUALIFY variant = 'summary' OR row_number() OVER (PARTITION BY {KEY}, line_no, name, variant ORDER BY pos) = 1)""",
     "scoped": f"""counted AS (SELECT *, regexp_replace(line, {q(QUOTED)}, '', 'g') AS bare FROM js),
@@ -354,7 +384,10 @@ CTE.update({
         CASE WHEN fn_kind = 'arrow' OR (fn_kind = 'value' AND variant = 'detail' AND {ext('line', L.FUNCTION_VALUE, 1)} <> '') THEN 'arrow' ELSE 'function' END AS type, variant
         FROM scoped, (VALUES ('summary'), ('detail')) v(variant) WHERE fn IS NOT NULL
       UNION ALL SELECT {KEY}, line_no, own, {params(ext('line', L.METHOD, 3))}, false, contains({ext('line', L.METHOD, 1)}, 'async'), false, 'method', variant
-        FROM scoped, (VALUES ('summary'), ('detail')) v(variant) WHERE fn IS NULL AND method IS NOT NULL AND (variant = 'detail' OR class_name IS NOT NULL)),
+        FROM scoped, (VALUES ('summary'), ('detail')) v(variant) WHERE fn IS NULL AND method IS NOT NULL AND (variant = 'detail' OR class_name IS NOT NULL)
+      UNION ALL SELECT {KEY}, line_no, name, CAST(params AS VARCHAR[]), variant = 'detail' AND exported, is_async, is_arrow,
+        types[CASE variant WHEN 'summary' THEN 1 ELSE 2 END], variant
+        FROM {worked('functions', 'name', 'params', 'exported', 'is_async', 'is_arrow', 'types')}, (VALUES ('summary'), ('detail')) v(variant)),
     functions AS MATERIALIZED (SELECT {KEY}, variant, name, min(line_no) AS line_no, bool_or(exported) AS exported,
         CASE WHEN variant = 'detail' THEN bool_or(is_async) ELSE arg_min(is_async, line_no) END AS is_async, arg_min(is_arrow, line_no) AS is_arrow, arg_min(type, line_no) AS type,
         CASE WHEN variant = 'detail' THEN list_distinct_ordered(list(params ORDER BY line_no)) ELSE arg_min(params, line_no) END AS params
@@ -362,17 +395,20 @@ CTE.update({
     "classes": f"""class_rows AS (SELECT {KEY}, cls AS name, line_no, nullif({ext('line', L.CLASS, 4)}, '') AS super, {ext('line', L.CLASS, 1)} <> '' AS exported FROM scoped WHERE cls IS NOT NULL),
     class_methods AS (SELECT {KEY}, class_name AS name, method, min(line_no) AS line_no FROM scoped WHERE method IS NOT NULL AND fn IS NULL AND class_name IS NOT NULL GROUP BY ALL),
     classes AS (SELECT c.*, (SELECT list(m.method ORDER BY m.line_no) FROM class_methods m WHERE m.repo = c.repo AND m.file = c.file AND m.seq = c.seq AND m.name = c.name) AS methods
-      FROM (SELECT {KEY}, name, min(line_no) AS line_no, arg_min(coalesce(super, ''), line_no) AS extends, bool_or(exported) AS exported FROM class_rows GROUP BY {KEY}, name) c)""",
+      FROM (SELECT {KEY}, name, min(line_no) AS line_no, arg_min(coalesce(super, ''), line_no) AS extends, bool_or(exported) AS exported FROM class_rows GROUP BY {KEY}, name) c
+      UNION ALL SELECT {KEY}, name, line_no, coalesce(super, ''), exported, methods FROM {worked('classes', 'name', 'super', 'exported', 'methods')})""",
     "edges": f"""call_lists AS (SELECT {KEY}, line_no, caller, {ENDPOINT} AS endpoint,
         list_filter(regexp_extract_all(regexp_replace(CASE WHEN method IS NOT NULL THEN regexp_replace({CALLED}, {q(L.METHOD_HEAD)}, ';(') ELSE {CALLED} END,
-          {q(L.NOT_CALLED)}, {q(chr(92) + '1;(')}, 'g'), {q(CALL)}, 1), lambda n: n NOT IN {in_list(L.NOT_A_CALL)}) AS names FROM scoped),
+          {q(L.NOT_CALLED)}, {q(chr(92) + '1;(')}, 'g'), {q(CALL)}, 1), lambda n: n NOT IN {in_list(L.NOT_A_CALL)}) AS names FROM scoped
+      UNION ALL SELECT {KEY}, line_no, caller, {of_run('endpoint')}, names FROM {worked('calls', 'caller', 'names', 'endpoint')}),
     edges AS MATERIALIZED (SELECT {KEY}, variant, caller, callee, min({{'l': line_no, 'p': pos}}) AS ord FROM (
         SELECT {KEY}, line_no, variant, caller, unnest(names) AS callee, unnest(generate_series(0, len(names) - 1)) AS pos,
           variant = 'detail' AND {hits('endpoint', L.SOURCE_ENDING)} AS is_request FROM call_lists, (VALUES ('summary'), ('detail')) v(variant) WHERE len(names) > 0)
       WHERE caller <> callee AND NOT (is_request AND callee = 'fetch') GROUP BY {KEY}, variant, caller, callee),
     file_calls AS MATERIALIZED (SELECT {KEY}, caller, endpoint AS path, min(line_no) AS line_no FROM call_lists WHERE {hits('endpoint', L.SOURCE_ENDING)} GROUP BY {KEY}, caller, endpoint)""",
     "routes": f"""routes AS (SELECT {KEY}, line_no, method, CASE WHEN h NOT IN {in_list(L.NOT_A_NAME)} THEN h END AS handler FROM (SELECT *, {ext('line', L.ROUTE)} AS method,
-      nullif(coalesce(nullif({ext('line', L.ROUTE_SECOND)}, ''), {ext('line', L.ROUTE_ONLY)}), '') AS h FROM js WHERE {hits('line', L.ROUTE)}))""",
+      nullif(coalesce(nullif({ext('line', L.ROUTE_SECOND)}, ''), {ext('line', L.ROUTE_ONLY)}), '') AS h FROM js WHERE {hits('line', L.ROUTE)})
+      UNION ALL SELECT {KEY}, line_no, method, handler FROM {worked('routes', 'method', 'handler')})""",
     "deps": f"""deps AS (SELECT {KEY}, regexp_replace(regexp_replace(regexp_replace(source, '(?i)[.][tj]sx?$', ''), '^[.]/', ''), '^/', '') AS dependency, min(line_no) AS line_no
       FROM imports WHERE source LIKE '.%' OR source LIKE '/%' GROUP BY ALL)""",
     "signals": f"""frameworks(pos, word, framework, weight) AS (VALUES {", ".join(f"({i}, {q(w)}, {q(f)}, {x})" for i, (w, f, x) in enumerate(FRAMEWORKS))}),
@@ -425,30 +461,30 @@ CTE["functions"] = CTE["functions"].replace(
 JSC = CODE + ["js"]
 SCOPED = JSC + ["scoped"]
 PROFILE = ["imports", "exports", "scoped", "functions", "classes", "routes", "signals", "hints", "entries", "profiles"]
-IMPORT_COLUMNS = f"repo, file, line_no, source, alias, type, {joined('specifiers')} AS specifiers"
+IMPORT_COLUMNS = f"repo, file, {LINE_NO} AS line_no, source, alias, type, {joined('specifiers')} AS specifiers"
 
 add("ext_imports", JSC + ["imports"], f"SELECT {IMPORT_COLUMNS} FROM imports WHERE kind = 'import'")
 add("ext_requires", JSC + ["imports"], f"SELECT {IMPORT_COLUMNS} FROM imports WHERE kind = 'require'")
-add("ext_bindings", JSC + ["imports"], """SELECT repo, file, line_no, pos, source, b.imported AS imported, b."local" AS "local"
+add("ext_bindings", JSC + ["imports"], f"""SELECT repo, file, {LINE_NO} AS line_no, pos, source, b.imported AS imported, b."local" AS "local"
   FROM (SELECT *, unnest(bindings) AS b, unnest(generate_series(0, len(bindings) - 1)) AS pos FROM imports WHERE len(bindings) > 0)""")
-add("ext_exports", JSC + ["exports"], "SELECT variant, repo, file, line_no, name, type, alias FROM exports WHERE type = 'named'")
-add("ext_default_export", JSC + ["exports"], "SELECT variant, repo, file, line_no, name, type, alias FROM exports WHERE type = 'default'")
-FN_COLUMNS = f"variant, repo, file, line_no, name, {joined('params')} AS params, exported, is_async, is_arrow, type"
+add("ext_exports", JSC + ["exports"], f"SELECT variant, repo, file, {LINE_NO} AS line_no, name, type, alias FROM exports WHERE type = 'named'")
+add("ext_default_export", JSC + ["exports"], f"SELECT variant, repo, file, {LINE_NO} AS line_no, name, type, alias FROM exports WHERE type = 'default'")
+FN_COLUMNS = f"variant, repo, file, {LINE_NO} AS line_no, name, {joined('params')} AS params, exported, is_async, is_arrow, type"
 add("ext_functions", SCOPED + ["functions"], f"SELECT {FN_COLUMNS} FROM function_rows WHERE type <> 'method'")
-add("ext_methods", SCOPED + ["functions"], f"SELECT variant, repo, file, line_no, name, {joined('params')} AS params, is_async FROM function_rows WHERE type = 'method'")
-add("ext_classes", SCOPED + ["classes"], f"SELECT repo, file, line_no, name, nullif(extends, '') AS extends, exported, {joined('methods')} AS methods FROM classes")
-add("ext_params", SCOPED + ["functions"], """SELECT repo, file, line_no, name, unnest(generate_series(0, len(params) - 1)) AS pos, unnest(params) AS param
+add("ext_methods", SCOPED + ["functions"], f"SELECT variant, repo, file, {LINE_NO} AS line_no, name, {joined('params')} AS params, is_async FROM function_rows WHERE type = 'method'")
+add("ext_classes", SCOPED + ["classes"], f"SELECT repo, file, {LINE_NO} AS line_no, name, nullif(extends, '') AS extends, exported, {joined('methods')} AS methods FROM classes")
+add("ext_params", SCOPED + ["functions"], f"""SELECT repo, file, {LINE_NO} AS line_no, name, unnest(generate_series(0, len(params) - 1)) AS pos, unnest(params) AS param
   FROM function_rows WHERE variant = 'detail' AND len(params) > 0""")
-add("ext_calls", SCOPED + ["edges"], "SELECT repo, file, caller, callee, ord.l AS line_no, ord.p AS pos FROM edges WHERE variant = 'summary'")
-add("ext_file_calls", SCOPED + ["edges"], "SELECT repo, file, caller, path, line_no, 'http' AS type FROM file_calls")
-add("ext_routes", JSC + ["routes"], "SELECT repo, file, line_no, method, handler FROM routes")
+add("ext_calls", SCOPED + ["edges"], "SELECT repo, file, caller, callee, CAST(floor(ord.l) AS BIGINT) AS line_no, ord.p AS pos FROM edges WHERE variant = 'summary'")
+add("ext_file_calls", SCOPED + ["edges"], f"SELECT repo, file, caller, path, {LINE_NO} AS line_no, 'http' AS type FROM file_calls")
+add("ext_routes", JSC + ["routes"], f"SELECT repo, file, {LINE_NO} AS line_no, method, handler FROM routes")
 add("ext_merge_symbols", SCOPED + ["functions"], f"SELECT {FN_COLUMNS} FROM functions")
 add("ext_backfill_calls", SCOPED + ["functions", "edges"], f"""SELECT f.repo, f.file, f.name, {joined('list(e.callee ORDER BY e.ord) FILTER (e.callee IS NOT NULL)')} AS calls
   FROM functions f LEFT JOIN edges e ON e.repo = f.repo AND e.file = f.file AND e.seq = f.seq AND e.variant = 'summary' AND e.caller = f.name
   WHERE f.variant = 'summary' GROUP BY f.repo, f.file, f.seq, f.name""")
-add("ext_deps", JSC + ["imports", "deps"], "SELECT repo, file, dependency, line_no FROM deps")
+add("ext_deps", JSC + ["imports", "deps"], f"SELECT repo, file, dependency, {LINE_NO} AS line_no FROM deps")
 add("ext_frameworks", JSC + ["imports", "routes", "signals"],
-    "SELECT variant, repo, file, line_no, framework, round(CAST(weight AS DOUBLE), 6) AS weight, reason FROM signals")
+    f"SELECT variant, repo, file, {LINE_NO} AS line_no, framework, round(CAST(weight AS DOUBLE), 6) AS weight, reason FROM signals")
 add("ext_hint_score", JSC + ["imports", "routes", "signals", "hints"], f"""SELECT repo, file, framework, round(confidence, 6) AS confidence,
   {joined("list_reduce(list_transform(reasons, lambda x: [x]), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[]))")} AS reason FROM hints WHERE variant = 'summary'""")
 add("ext_responsibilities", JSC + PROFILE, f"SELECT variant, repo, file, {joined('responsibilities')} AS responsibilities FROM profiles")
@@ -515,7 +551,7 @@ CTE["requests"] = f"""asked AS (SELECT *, {fold("CASE WHEN bare LIKE '/%' THEN b
   requests AS MATERIALIZED (SELECT a.*, coalesce(p.path, s.path) AS target FROM asked a LEFT JOIN (SELECT DISTINCT repo, path FROM paths) p ON p.repo = a.repo AND p.path = a.candidate
     LEFT JOIN single s ON s.repo = a.repo AND s.ending = a.candidate)"""
 JOINS = ["imports", "exports", "scoped", "functions", "edges", "known", "targets", "bound", "calls", "requests"]
-add("jn_import_path", JSC + ["imports", "known", "targets"], "SELECT repo, file, line_no, source, target FROM targets")
+add("jn_import_path", JSC + ["imports", "known", "targets"], f"SELECT repo, file, {LINE_NO} AS line_no, source, target FROM targets")
 add("jn_binding", JSC + JOINS, "SELECT repo, file, caller, callee, is_local, target_file, target_name, resolved FROM calls")
 add("jn_default_export", JSC + JOINS, """SELECT b.repo, b.file, b.bound_name AS "local", b.target, d.name AS exported_name FROM bound b
   LEFT JOIN default_names d ON d.repo = b.repo AND d.path = b.target WHERE b.imported = 'default'""")
@@ -658,12 +694,12 @@ add("pay_prompt_repo", [], "SELECT page_id, " + filled(
 add("pay_prompt_finding", LINE + FIND, "SELECT repo, id, md5(" + filled(
     P.FINDING_PROMPT, title="title", file="file", line="line", code="code", snippet="context") + ") AS prompt_md5 FROM findings")
 D = "x.variant = 'detail'"
-FN_TEXT = "name || '() · line ' || line_no || CASE WHEN is_async THEN ' · async' ELSE '' END"
+FN_TEXT = "name || '() · line ' || CAST(floor(line_no) AS BIGINT) || CASE WHEN is_async THEN ' · async' ELSE '' END"
 CLASS_TEXT = "name || CASE WHEN extends <> '' THEN ' extends ' || extends ELSE '' END || ' · ' || coalesce(len(methods), 0) || ' methods'"
 BIND_TEXT = "CASE WHEN len(bindings) = 0 THEN 'side effect' ELSE array_to_string(list_transform(bindings, lambda b: b.imported || ' as ' || b.\"local\"), ', ') END"
 add("pay_listing", JSC + PROFILE, f"""SELECT f.repo, f.file,
   {joined(per_file(f"list({FN_TEXT} ORDER BY line_no)", 'functions', D))} AS functions,
-  {joined(per_file("list(name || ' · ' || type || ' · line ' || line_no ORDER BY line_no, pos)", 'exports', D))} AS exports,
+  {joined(per_file("list(name || ' · ' || type || ' · line ' || CAST(floor(line_no) AS BIGINT) ORDER BY line_no, pos)", 'exports', D))} AS exports,
   {joined(per_file(f"list({CLASS_TEXT} ORDER BY line_no)", 'classes'))} AS classes,
   {joined(per_file("list(framework || ' · ' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '% confidence' ORDER BY ord)", 'hints', D))} AS frameworks,
   {joined(per_file(f"list(source || ' → ' || {BIND_TEXT} ORDER BY line_no)", 'imports'))} AS imports

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusguard.functions import lexical as L, skew, text as T
+from corpusguard.functions.layout import statements
 
 
 def test_content_key_is_the_utf16_hash(spark):
@@ -38,7 +39,8 @@ def test_trim_and_blank(spark):
 def test_params(spark):
     cases = {"a, b = 2, ...rest": ["a", "b", "...rest"], "{ a, b: { c } }, [x, y]": ["{...}", "[...]"], "{ a } = {}": [],
              "user: Map<string, User>, cb?: (e: E) => void": ["user", "cb"], "": [], "opts = { a: [1, 2] }": ["opts"]}
-    rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", L.params(F.col("p")).alias("n")).collect()
+    heads = [(k, statements(f"function f({k}) {{")[0].head) for k in cases]
+    rows = spark.createDataFrame(heads, "p string, head string").select("p", L.params(F.regexp_extract("head", L.PARAMS, 1)).alias("n")).collect()
     assert {r.p: list(r.n) for r in rows} == cases
 
 
