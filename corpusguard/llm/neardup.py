@@ -11,11 +11,11 @@ exact set sizes, and what may be similar enough is confirmed on the full sets.
 Equal sets are one class. Only classes are compared. First each class is compared
 with the most central class of each of its buckets, then, as long as that finds links,
 with the most central class of the largest component in the bucket. What is left in
-different components is compared in all pairs across components, unless it cannot be
-linked: a class is out when no other's signature in its bucket is close enough, or
-when so many of its shingles occur in no other class still open that its overlap with
-any of them is too small. So a group of thousands of near copies costs a few
-comparisons per copy, and no link between components is left out.
+different components is compared unless it cannot be linked: signatures in a bucket
+are too far apart, or the shingles that many classes hold and the rarer ones that
+both classes hold are together too few (``by_rarity``). So a group of thousands of
+near copies costs a few comparisons per copy, and no link between components is left
+out.
 
 Nulls and edges: a null text is empty; an empty set is linked with nothing. A row
 without id cannot be named and is linked with nothing: its component is null and it
@@ -46,6 +46,8 @@ PERCENT = 75
 SIGMAS = 4.0
 #: Rounds of comparisons with heads before the pairs that are left.
 ROUNDS = 2
+#: A shingle that at most so many open classes hold is rare.
+RARE = 64
 #: A signature has the lowest PLANES bits of every register, one plane after another in WORDS_PER_PLANE numbers.
 PLANES, WORDS_PER_PLANE = 3, 4
 #: Share of registers whose signatures differ at the threshold, and the number that rules a pair out.
@@ -229,17 +231,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
-def unshared(sets: DataFrame) -> DataFrame:
-    """cls, alone: how many of its shingles no other class of ``sets`` has."""
+def shingles_of(sets: DataFrame) -> DataFrame:
+    """cls, shingle: the members of each class."""
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "members"):
             parts = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column("members")]
             yield pa.RecordBatch.from_pydict({
                 "cls": np.repeat(batch.column("cls").to_numpy(), [len(p) for p in parts]), "shingle": np.concatenate(parts)})
 
-    once = (sets.mapInArrow(members, "cls long, shingle long").distinct().groupBy("shingle")
-            .agg(F.min("cls").alias("cls"), F.count(F.lit(1)).alias("classes")).where("classes = 1"))
-    return once.groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
+    return sets.mapInArrow(members, "cls long, shingle long")
+
+
+def needed(n: Column, m: Column) -> Column:
+    """The least overlap that links two sets of these sizes."""
+    return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+
+
+def by_rarity(classes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``classes`` (cls, n, root): cls, common, how many of its shingles more than RARE classes hold; and the pairs
+    a, b of different components whose common shingles alone are too few for a link but not with the rare ones that both hold.
+
+    Two classes overlap in the rarer shingles that both hold and in at most as many common
+    ones as the poorer of them has, which is an exact bound. Members of a family of copies
+    that are not linked differ from it in shingles that few or none share, so hardly any
+    pair of them passes. A rare shingle meets at most RARE others, so the rows made grow
+    with the shingles and not with their square.
+    """
+    open_sets = sets.join(classes.select("cls"), "cls", "left_semi")
+    members = materialized(shingles_of(open_sets).distinct(), "shingles")
+    held = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    common = members.join(held.where(F.col("holders") > RARE), "shingle", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("common"))
+    known = materialized(classes.select("cls", "n", "root").join(common, "cls", "left").withColumn("common", F.coalesce("common", F.lit(0))), "common")
+    rare = materialized(members.join(held.where(F.col("holders") <= RARE), "shingle", "left_semi").join(known, "cls"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+    sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    least, need = F.least("x.common", "y.common"), needed(F.col("x.n"), F.col("y.n"))
+    pairs = (x.join(y, meet & sizes & (least < need)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), (need - least).alias("missing"))
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("missing").alias("missing")).where("both >= missing"))
+    return known.select("cls", "common"), pairs.select("a", "b")
 
 
 def opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -303,13 +333,15 @@ def rest_of_links(buckets: DataFrame, links: DataFrame, given: DataFrame, docs:
             break
         links = materialized(links.unionByName(found), "links")
         open_ = opened(buckets, components(links))
-    rest = materialized(open_.join(unshared(sets), "cls", "left").withColumn("shareable", F.col("n") - F.coalesce("alone", F.lit(0)))
-                        .where(100 * F.col("shareable") >= PERCENT * F.col("n")).join(heads.select("cls", "keys"), "cls"), "open")
+    rooted = open_.groupBy("cls").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    common, by_rare = by_rarity(rooted, sets)
+    rest = materialized(open_.join(common, "cls").join(heads.select("cls", "keys"), "cls"), "open")
     left, right = rest.where("root <> main").alias("x"), rest.alias("y")
-    enough = (100 + PERCENT) * F.least("x.shareable", "y.shareable") >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    enough = F.least("x.common", "y.common") >= needed(F.col("x.n"), F.col("y.n"))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
     here = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # a pair counts in one of its buckets
-    pairs = left.join(right, apart() & enough & once & here).select(*ordered("x.cls", "y.cls")).join(tested, ["a", "b"], "left_anti")
+    by_common = left.join(right, apart() & enough & once & here).select(*ordered("x.cls", "y.cls"))
+    pairs = by_common.unionByName(by_rare).join(tested, ["a", "b"], "left_anti")
     return links.unionByName(confirmed(materialized(plausible(pairs, heads), "pairs"), sets))
 
 
