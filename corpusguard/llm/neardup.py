@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.llm.common import GOLDEN, joined_bytes, mix, multipliers, slices, word_hashes
 from corpusguard.llm.components import components
-from corpusguard.session import materialized
+from corpusguard.session import discard, materialized
 
 WORDS = 5
 BANDS, PER_BAND = 40, 5
@@ -332,7 +332,8 @@ def rest_of_links(buckets: DataFrame, links: DataFrame, given: DataFrame, docs:
         if found.isEmpty():
             break
         links = materialized(links.unionByName(found), "links")
-        open_ = opened(buckets, components(links))
+        superseded, open_ = open_, opened(buckets, components(links))
+        discard(superseded)
     rooted = open_.groupBy("cls").agg(F.first("n").alias("n"), F.first("root").alias("root"))
     common, by_rare = by_rarity(rooted, sets)
     rest = materialized(open_.join(common, "cls").join(heads.select("cls", "keys"), "cls"), "open")
@@ -351,24 +352,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Bands of five registers, forty of them, miss a pair at the threshold with a
     probability of 2e-5 and a more similar one far less often.
     """
-    rows = materialized(sketched(docs), "sketches")
-    named = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL")
-    heads = materialized(named.groupBy("cls").agg(
+    sketches = materialized(sketched(docs), "sketches")
+    heads = materialized(sketches.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "regs", "keys", "sig")]), "classes")
+    rows = materialized(sketches.select("doc_id", "n", "cls"), "rows")
+    discard(sketches)
+    named = rows.where("doc_id IS NOT NULL AND cls IS NOT NULL")
     bands = heads.select("cls", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialized(bands.join(shared, "key"), "members")
     # the most central class of a bucket is the one that meets most others in all its buckets
     central = members.groupBy("cls").agg(F.sum("size").alias("meets"))
     buckets = materialized(members.select("key", "cls").join(central, "cls").join(heads.select("cls", "n", "sig"), "cls"), "buckets")
+    discard(members)
 
     same_id = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("doc_id", "a")
     given = named.select("doc_id", F.col("cls").alias("b")).join(same_id, "doc_id").where("a <> b").select("a", "b").distinct()
     alone = heads.select(F.col("cls").alias("v"), F.col("cls").alias("root")).limit(0)
     asked = materialized(stars(opened(buckets, alone)), "asked")
     pairs = materialized(plausible(asked, heads), "pairs")
-    first = materialized(confirmed(pairs, full_sets(ends(pairs), docs, heads)).unionByName(given).distinct(), "links")
+    sets = full_sets(ends(pairs), docs, heads)
+    first = materialized(confirmed(pairs, sets).unionByName(given).distinct(), "links")
+    discard(sets, pairs)
     links = materialized(rest_of_links(buckets, first, asked, docs, heads), "links")
+    discard(buckets)
 
     final = components(links).withColumnRenamed("v", "cls")
     least = heads.select("cls", "rep").join(final, "cls").groupBy("root").agg(F.min("rep").alias("least"))
