@@ -20,6 +20,7 @@ window is spread over as many windows as it needs.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,8 +37,8 @@ from corpusguard.llm.common import slices
 WINDOW = 4096
 END_ID = 2
 SENTENCE_COST, INSIDE_COST = 8.0, 24.0
-#: Inside sentences longer than this, a cut is offered every so many ids.
-STRIDE = 32
+#: Only inside sentences longer than this, a cut is offered every so many ids.
+STRIDE = 64
 BLOCK = 1 << 17
 CACHED_WORDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,39 +48,65 @@ PERIOD = re.compile(r"[.!?](</w>)?$")
 
 
 class WordIds(dict):
-    """Ids of words as little-endian bytes. White space always ends a token, so a text's ids are those of its words."""
+    """Ids of words as little-endian bytes. White space must end a token, so that a text's ids are those of its words."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        for apart, together in ((["a", "b"], "a b"), (["a.", "'s", "7"], "a. \n 's  7")):
+            if sum((self.ids(w) for w in apart), []) != self.ids(together):
+                raise ValueError("a tokenizer is needed whose tokens end at white space")
+        # upper case is folded here too if the tokenizer does so itself
+        self.folds = self.ids("A B. É") == self.ids("a b. é")
+        self.special = [t["content"].lower() for t in json.loads(vocabulary).get("added_tokens", [])]
         names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.ends_sentence = np.zeros(max(names.values(), default=0) + 1, bool)
         self.ends_sentence[[i for name, i in names.items() if PERIOD.search(name)]] = True
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def words(self, text: str) -> list[str]:
         """Pieces between blanks. Texts of Latin letters are folded first, and stops set apart from the word before
-        them, both of which the tokenizer does itself; fewer words are then distinct."""
+        them, both of which the tokenizer does itself; fewer words are then distinct. The tokenizer looks for its
+        special tokens before it folds, so texts that have one in any case are left as they are."""
         text = text.replace("\n", " ")
-        if text.isascii() or not BEYOND_LATIN.search(text):
-            text = STOPS.sub(r" \g<0>", text.lower())
+        if self.folds and (text.isascii() or not BEYOND_LATIN.search(text)):
+            folded = text.lower()
+            if not any(t in folded for t in self.special):
+                return STOPS.sub(r" \g<0>", folded).split(" ")
         return text.split(" ")
 
     def learn(self, texts: list[list[str]]) -> None:
         """Tokenize the words not known yet, many in one call; a full store is emptied first."""
         if len(self) > CACHED_WORDS:
             self.clear()
-        new = list({w for words in texts for w in words if w not in self})
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
+        new = [w for w in set().union(*texts) if w not in self]
+        # of letters alone each word is one piece, so the tokens that end a word part them; one letter becomes two in lower case
+        letters = [w for w in new if w.isalpha() and "\u0130" not in w]
+        for i in range(0, len(letters), 4096):
+            self._learn_letters(letters[i:i + 4096])
+        others = [w for w in new if w not in self]
+        for i in range(0, len(others), 4096):
+            part = others[i:i + 4096]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in part])
-            ids = np.asarray(found.ids, "<u4")
             places = np.searchsorted(ends, [o[0] for o in found.offsets], side="right")
-            bounds = np.searchsorted(places, np.arange(len(part) + 1))
-            for w, lo, hi in zip(part, bounds[:-1], bounds[1:]):
-                self[w] = ids[lo:hi].tobytes()
+            self._keep(part, np.asarray(found.ids, "<u4"), np.searchsorted(places, np.arange(len(part) + 1)))
+
+    def _learn_letters(self, part: list[str]) -> None:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        bounds = np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])
+        if len(bounds) == len(part) + 1 and bounds[-1] == len(ids):
+            self._keep(part, ids, bounds)
+
+    def _keep(self, part: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        data, at = ids.tobytes(), (4 * bounds).tolist()
+        self.update(zip(part, [data[a:b] for a, b in zip(at, at[1:])]))
 
     def document(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id, and the places after each sentence."""

@@ -15,7 +15,7 @@ def vocabulary():
 
 
 TEXTS = [None, "", " ", "Hello, World! It's 3.5 km; isn't it?", "a\n\nb\tc\r\nd e f", "ÀÉÎ straße İstanbul ΣΟΦΟΣ ẞ", "é H̱ x",
-         "<|endoftext|> a<|startoftext|>b", "word!!? (x). \"q\".", "日本語 текст 123٣", "''s 's't", "end.", "long " * 9000, "x" * 3000 + ". " + "y. " * 5000,
+         "<|endoftext|> a<|startoftext|>b", "a <|ENDOFTEXT|> b", "A<|StartOfText|>B <|endoftext|>", "İstanbul I ı ﬁne ǅ K", "word!!? (x). \"q\".", "日本語 текст 123٣", "''s 's't", "end.", "long " * 9000, "x" * 3000 + ". " + "y. " * 5000,
          "\x1c\x85​ a", "№5 ½ ² ..,.. !"]
 
 
@@ -71,3 +71,21 @@ def test_cut_places_leave_no_gap_and_empty_table(spark, vocabulary):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     assert P.pack_documents(docs.limit(0), vocabulary).collect() == []
     assert sorted((x.doc_id or -1, x.length) for x in P.pack_documents(docs.coalesce(1), vocabulary).collect()) == [(-1, 2), (1, 2), (1, 2)]
+
+
+def test_words_at_random_have_the_tokenizers_ids(vocabulary):
+    import random
+    words, r = P.WordIds(vocabulary), random.Random(6)
+    letters = "aAbzZ éÉßİıΣςЖж日本ǅﬁ٣9'’s.,!?-_<|>\n\t\u0301\u00a0$%"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += [t + r.choice(["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>"]) + t for t in texts[:200]]
+    parts = [words.words(t) for t in texts]
+    words.learn(parts)
+    for t, p in zip(texts, parts):
+        assert words.document(p)[0][:-1].tolist() == words.ids(t), t
+
+
+def test_tokenizers_across_white_space_are_refused():
+    import public_tokenizers
+    with pytest.raises(ValueError):
+        P.WordIds(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
