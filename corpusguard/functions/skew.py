@@ -42,22 +42,26 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int
     return joined.unionByName(left.where(~named), allowMissingColumns=True)
 
 
-def number_rows(df: DataFrame, group: list[str], coarse: Column, order: list[Column], name: str) -> DataFrame:
-    """0-based position of each row within ``group``, without one task per group.
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """0-based position of each row within ``group``, in the order of the columns ``order``, by a distributed prefix sum.
 
-    ``coarse`` must be a non-decreasing function of the sort order. Rows are
-    numbered inside (group, coarse) and shifted by the row counts of the earlier
-    buckets, which are aggregated first and therefore small.
+    Rows are dealt by ranges of (group, order) with sampled bounds, so a group of any size is spread over as many ranges as
+    it needs, and each task sorts its own. A range's rows carry their place in it; a range and group has one row of counts,
+    and the sum of a group's counts in earlier ranges shifts its rows. So no window runs over more rows than there are ranges.
+    Only rows equal in all these columns must share a range.
     """
-    bucketed = df.withColumn("_bucket", coarse)
-    sizes = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return (bucketed.withColumn("_row", F.row_number().over(inside) - 1)
-            .join(offsets, [*group, "_bucket"])
-            .withColumn(name, (F.col("_row") + F.col("_offset")).cast("bigint"))
-            .drop("_bucket", "_row", "_offset"))
+    keys = [*group, *order]
+    # ids grow by one within a task, and are written with the rows, so that they stay as they are
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = materialized(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    counts = ranged.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", *group, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("l._range") == F.col("r._range")
+    for c in group:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    numbered = ranged.alias("l").join(starts.alias("r"), same).select("l.*", F.col("r._shift").alias("_shift"))
+    return numbered.withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint")).drop("_range", "_at", "_shift")
 
 
 def first_distinct(df: DataFrame, group: list[str], value: str, order: list[str], limit: int,

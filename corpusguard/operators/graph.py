@@ -13,7 +13,6 @@ from corpusguard.session import bucketed, checkpointed
 NODE_CAP, EDGE_CAP = 180, 320
 COLUMN_WIDTH, ROW_HEIGHT = 250, 105
 MODULE = "<module>"
-BUCKET = 65536
 COMPACT_EVERY = 16
 
 
@@ -159,7 +158,6 @@ def ranks(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
 def layout(nodes_df: DataFrame, ranks_df: DataFrame) -> DataFrame:
     """Grid position: a column per rank, rows in node order."""
     placed = nodes_df.join(ranks_df, ["repo", "id"])
-    coarse = F.struct(F.col("node_ord.phase").alias("p"), F.floor(F.col("node_ord.seq") / BUCKET).alias("b"))
-    rows = number_rows(placed, ["repo", "rank"], coarse, [F.col("node_ord"), F.col("id")], "row")
+    rows = number_rows(placed, ["repo", "rank"], ["node_ord", "id"], "row")
     return rows.select("repo", "id", "rank", "row", (F.col("rank") * COLUMN_WIDTH).cast("bigint").alias("x"),
                        (F.col("row") * ROW_HEIGHT).cast("bigint").alias("y"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusguard.functions import text as T
 from corpusguard.operators import rank
 from corpusguard.operators.aggregate import SEVERITIES
+from corpusguard.session import materialized
 
 # ---------------------------------------------------------------------------
 # Prompt texts
@@ -152,6 +153,71 @@ def cache_misses(payloads: DataFrame, cache: DataFrame, key: str = "key") -> Dat
     return payloads.join(cache.select(key).distinct(), key, "left_anti")
 
 
+#: Bits of one part of a key sketch, bits kept per cached key, and the bits that each key sets.
+PART_BITS, BITS_PER_KEY, PROBES = 1 << 15, 12, 3
+#: A sketch of more bytes is not sent to all tasks.
+SKETCH_BYTES = 64 << 20
+
+
+def _probes(key: str, parts: int) -> list[Column]:
+    """Where the bits of a key stand, as (part, bit): all in one part, so that one row of the sketch answers for a key."""
+    h = F.xxhash64(key, F.lit(0))
+    part = F.pmod(h, F.lit(parts))
+    return [F.struct(part.cast("int").alias("part"), F.pmod(F.xxhash64(key, F.lit(i + 1)), F.lit(PART_BITS)).cast("int").alias("bit"))
+            for i in range(PROBES)]
+
+
+def key_sketch(cache: DataFrame, key: str = "key") -> DataFrame | None:
+    """A Bloom filter of the cached keys as rows (part, bits), or None if it would exceed SKETCH_BYTES.
+
+    The size follows the number of keys: 12 bits each leave about one miss in two hundred undecided.
+    """
+    keys = cache.select(key).where(F.col(key).isNotNull())
+    parts = max(1, -(-keys.count() * BITS_PER_KEY // PART_BITS))
+    if parts * PART_BITS // 8 > SKETCH_BYTES:
+        return None
+    set_bits = keys.select(F.explode(F.array(*_probes(key, parts))).alias("p")).select("p.*")
+    bits = F.bitmap_construct_agg(F.col("bit").cast("bigint")).alias("bits")
+    return set_bits.groupBy("part").agg(bits).select("part", "bits", F.lit(parts).alias("parts"))
+
+
+def _possible(payloads: DataFrame, sketch: DataFrame, key: str) -> DataFrame:
+    """``payloads`` with ``_maybe``: false only if the key is certainly not cached."""
+    first = sketch.select("parts").head()
+    if first is None:
+        return payloads.withColumn("_maybe", F.lit(False))
+    probes = _probes(key, first["parts"])
+    found = payloads.withColumn("_part", probes[0]["part"]).join(
+        F.broadcast(sketch.select(F.col("part").alias("_part"), "bits")), "_part", "left")
+
+    def is_set(bit: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, F.pmod(bit, F.lit(8)))
+
+    held = F.lit(True)
+    for p in probes:
+        held = held & (is_set(p["bit"]) == 1)
+    return found.withColumn("_maybe", F.coalesce(held, F.lit(False))).drop("_part", "bits")
+
+
+def reuse(payloads: DataFrame, cache: DataFrame, key: str = "key", result: str = "result", order: str = "stored_at") -> DataFrame:
+    """All of ``payloads`` with ``hit`` and, for hits, the stored ``result``; misses, with a null result, are what has to be made.
+
+    Of several results of one key the one stored last counts (``order``, ties by the greater result). Keys that a sketch of
+    the cache rules out stay where they are; only the others are joined. A cache whose sketch would be too large to send is
+    joined with all payloads, with the same rows. Null keys never hit.
+    """
+    stored = cache.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(result, F.struct(order, result)).alias(result))
+    stored = materialized(stored.withColumn("hit", F.lit(True)), "cache")
+    sketch = key_sketch(stored, key)
+    if sketch is None:
+        return payloads.join(stored, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    told = materialized(_possible(payloads, materialized(sketch, "sketch"), key), "payloads")
+    maybe = told.where("_maybe").drop("_maybe").join(stored, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    kind = stored.schema[result].dataType
+    return maybe.unionByName(told.where("NOT _maybe").drop("_maybe").withColumn(result, F.lit(None).cast(kind)).withColumn("hit", F.lit(False)))
+
+
 def listing(metadata: DataFrame) -> DataFrame:
     """Display strings of the detail variant."""
     text = lambda c: c.cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import types as Ty
 
 from corpusguard.functions import text as T
 from corpusguard.operators.prepare import DEFAULT_PASTE_PATH
+from corpusguard.rules import ALLOWED_EXTENSIONS
 
 CORPUS_SCHEMA = Ty.StructType([
     Ty.StructField("repo", Ty.StringType()), Ty.StructField("file", Ty.StringType()),
@@ -31,9 +32,12 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return spark.read.schema(CORPUS_SCHEMA).format(fmt).load(path)
 
 
-def read_tree(spark: SparkSession, root: str, repo: str, glob: str | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, repo: str, glob: str | None = None, analyzable_only: bool = False) -> DataFrame:
     """Files under ``root`` as a corpus, with paths relative to it.
 
+    With ``analyzable_only`` files with other extensions or in ignored folders are left out while the scan is planned: the
+    test is on the listed paths alone, which prunes files before tasks are packed by bytes, so their contents are never read.
+
     ``seq`` is a hash of the path, the same in every run whatever the splits are;
     pass a corpus table instead where the input order matters.
     """
@@ -41,7 +45,12 @@ def read_tree(spark: SparkSession, root: str, repo: str, glob: str | None = None
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     prefix = rf"^.*?\Q{root.rstrip('/')}\E/"
-    return reader.load(root).select(
+    files = reader.load(root)
+    if analyzable_only:
+        # listed paths are spelled as URLs; neither the extensions nor the folders have signs that look different there
+        below = F.regexp_replace("_metadata.file_path", prefix, "")
+        files = files.where(T.has_allowed_extension(below, ALLOWED_EXTENSIONS) & ~T.in_ignored_directory(below))
+    return files.select(
         F.lit(repo).alias("repo"), F.regexp_replace("path", prefix, "").alias("file"),
         as_text(F.col("content")).alias("content"), F.expr("xxhash64(path) & 9223372036854775807").alias("seq"))
 

@@ -678,7 +678,8 @@ add("pay_compact", ROLLUP + ["payload_files", "file_risk"], f"""SELECT repo, 're
   UNION ALL SELECT repo, 'file|' || file || '|' || risk || '|' || loc || '|' || {joined('items', ',')} FROM payload_files""")
 add("pay_key", [], """SELECT doc_id, length(text) || ':' || list_reduce(list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT)),
     lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, CAST(0 AS BIGINT)) AS key FROM documents""")
-add("pay_cache", LINE + FIND, "SELECT repo, seq, id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM findings c WHERE c.code = f.code AND c.seq % 2 = 0)")
+add("pay_cache", LINE + FIND, """SELECT f.repo, f.seq, f.id, c.result IS NOT NULL AS hit, c.result FROM findings f
+  LEFT JOIN (SELECT code, arg_max(repo || '/' || id, {'s': seq, 'r': repo || '/' || id}) AS result FROM findings WHERE seq % 2 = 0 GROUP BY code) c ON c.code = f.code""")
 
 
 def filled(template: str, **values: str) -> str:

@@ -296,10 +296,32 @@ def test_cache_misses_and_keys(spark):
     keyed = P.with_key(payloads, P.cache_text(payloads))
     text = payloads.select(P.cache_text(payloads).alias("t")).first().t
     assert text == '{"repoUrl":"u","devMode":false,"compactPayload":{}}'
-    misses = P.cache_misses(keyed, keyed.where("url = 'u' and mode = 'repo'"))
+    cached = keyed.where("url = 'u' and mode = 'repo'")
+    misses = P.cache_misses(keyed, cached)
     assert sorted((r.url, r.mode) for r in misses.collect()) == [("u", "dev"), ("w", "repo")]
 
 
 def test_paste_mode(spark):
     result = cg.analyze_text(spark, "pasted-file.js", "eval(a)\n")
     assert result.findings.count() == 1 and result.repos.first().file_count == 1
+
+
+def test_cached_results_come_back(spark, monkeypatch):
+    payloads = spark.createDataFrame([(f"k{i}", i) for i in range(4000)] + [("k1", 9001), (None, 9002)], "key string, n int")
+    cache = spark.createDataFrame([(f"k{i}", f"old{i}", 1) for i in range(0, 1500, 3)] + [(f"k{i}", f"new{i}", 2) for i in range(0, 30, 3)]
+                                  + [("k3", "newer", 2), (None, "none", 9)], "key string, result string, stored_at int")
+    want = {(r["key"], r.n): r.result for r in payloads.join(cache.where("false"), "key", "left").collect()}
+    for i in range(0, 1500, 3):
+        want[f"k{i}", i] = "newer" if i == 3 else f"new{i}" if i < 30 else f"old{i}"
+
+    def rows(df):
+        found = df.select("key", "n", "hit", "result").collect()
+        assert all(r.hit == (r.result is not None) for r in found) and len(found) == payloads.count()
+        return {(r["key"], r.n): r.result for r in found}
+    assert rows(P.reuse(payloads, cache)) == want
+    told = P._possible(payloads, P.key_sketch(cache.dropna().dropDuplicates(["key"])), "key")
+    assert told.where("_maybe").count() < 500 + 100 and told.where("NOT _maybe").join(cache, "key", "left_semi").isEmpty()
+    monkeypatch.setattr(P, "SKETCH_BYTES", 0)  # too large to send: the plain way, the same rows
+    assert rows(P.reuse(payloads, cache)) == want
+    monkeypatch.undo()
+    assert not P.reuse(payloads, cache.limit(0)).where("hit").count() and P.reuse(payloads.limit(0), cache).count() == 0

@@ -67,11 +67,30 @@ def test_lookup_join_leaves_null_keys_where_they_are(spark):
 def test_number_rows_equals_row_number(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"), F.floor(F.rand(3) * 10000).alias("o"))
     df = spark.createDataFrame(df.collect(), df.schema)
-    got = skew.number_rows(df, ["g"], F.floor(F.col("o") / 500), [F.col("o"), F.col("id")], "n")
+    got = skew.number_rows(df, ["g"], ["o", "id"], "n")
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")) - 1)
     assert got.join(want, ["id", "g", "o"]).where("n <> w").count() == 0 and got.count() == 5000
 
 
+def test_number_rows_spreads_one_group(spark):
+    """Nearly all rows in one group with sparse order keys, null groups and equal rows; windows see a row per range at most."""
+    rows = [("hot", i * 7919 % 100_003 * 10_000_019, i) for i in range(20_000)] + [(None, 1, 1)] * 3 + [("b", None, 5), ("b", 2, None)]
+    df = spark.createDataFrame(rows, "g string, o bigint, id int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = skew.number_rows(df, ["g"], ["o", "id"], "n")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_group = {}
+    for r in got.collect():
+        by_group.setdefault(r.g, []).append(((r.o is not None, r.o or 0, r.id is not None, r.id or 0), r.n))
+    assert {g: len(v) for g, v in by_group.items()} == {"hot": 20_000, None: 3, "b": 2}
+    for found in by_group.values():
+        assert [n for _, n in sorted(found)] == list(range(len(found)))
+    ranges = spark.read.parquet(*[f for f in got.inputFiles()]).groupBy("_range").count().collect()
+    assert len(ranges) > 4 and max(r["count"] for r in ranges) < 10_000
+    empty = skew.number_rows(df.limit(0), ["g"], ["o", "id"], "n")
+    assert empty.columns == ["g", "o", "id", "n"] and empty.collect() == []
+
+
 def test_first_distinct(spark):
     rows = [("a", 5, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 3, ""), ("a", 4, None), ("a", 9, "z"), ("b", 1, "q")]
     df = spark.createDataFrame(rows, "g string, o int, v string")

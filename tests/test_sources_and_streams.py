@@ -26,6 +26,22 @@ def test_tree_and_tables(spark, corpus_of, tmp_path):
     assert cg.read_corpus(spark, table).count() == 2
 
 
+def test_ignored_files_of_a_tree_are_never_read(spark, tmp_path):
+    root = tmp_path / "tree"
+    kept = {"src/a.js": "eval(x)\n", "src/Build.d/ü b.py": "exec(y)\n", "lib/c.TS": "t\n"}
+    others = ["node_modules/pkg/d.js", "src/dist/e.js", "Vendor/f.php", "docs/g.md", "src/h.min", "big.bin"]
+    for name in (*kept, *others):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(kept.get(name, "x" * 1000), encoding="utf-8")
+    tree = cg.read_tree(spark, str(root), "r", analyzable_only=True)
+    everything = cg.read_tree(spark, str(root), "r")
+    for name in others:  # they were listed; reading one now would fail
+        (root / name).unlink()
+    assert {r.file: r.content for r in tree.collect()} == kept
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+        everything.collect()
+
+
 def test_results_round_trip(spark, corpus_of, tmp_path):
     result = cg.analyze(corpus_of(("a.js", "eval(x)"), ("b.py", "exec(y)")))
     paths = cg.write_results(result, str(tmp_path / "out"))
