@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with all columns but ``keep`` under names of their place, so that none clashes with an operator's own."""
+    return df.toDF(*[c if c in keep else f"_column{i}" for i, c in enumerate(df.columns)])
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, mod n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -14,7 +14,6 @@ Repeated rows are predicted each. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ ROWS = 64
 BANDS = 14
 #: So many cosines of a centroid in a band tell its floor; with fewer the language's do.
 MEMBERS = 50
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[[i for i in range(128) if not chr(i).isalpha()]] = 32
 PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))

@@ -14,8 +14,8 @@ each role decide whether a complement is in reach, so it takes one pass whatever
 the number of parts.
 
 Nulls and edges: a null text is empty; a document without spans has counts of 0 and
-empty strings. Rows with the same id and text, null ids included, are one document;
-rows with the same id and other texts are reported each. Other columns are ignored.
+empty strings. Every row is reported; those with the same id and text, null ids
+included, are read once. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusguard.llm import common
+
 #: Kind, role, pattern, and the pattern that a match must contain.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
 KINDS = (
@@ -47,7 +49,7 @@ def _places(text: Column, pattern: str, must: str) -> Column:
 
 
 def parts(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, h, kind (place in KINDS, -1 for the document itself), start, stop, reported.
+    """doc_id, h, kind (place in KINDS, -1 for the document itself), start, stop, reported, rows (equal rows of the document).
 
     One exchange: everything after it works within a document's own rows.
     """
@@ -59,10 +61,11 @@ def parts(docs: DataFrame, reach: int = REACH) -> DataFrame:
     rows = (found.select("doc_id", "h", F.explode(F.array(*per_kind)).alias("k"))
             .select("doc_id", "h", "k.kind", F.posexplode("k.places").alias("i", "p"))
             .select("doc_id", "h", "kind", "i", F.col("p.gap").alias("gap"), F.col("p.m.len").alias("len"), F.col("p.m.ok").alias("ok"))
-            .where("len IS NOT NULL").repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "kind", "i"]))
+            .where("len IS NOT NULL").repartition("doc_id", "h").groupBy("doc_id", "h", "kind", "i")
+            .agg(*[F.first(c).alias(c) for c in ("gap", "len", "ok")], F.count(F.lit(1)).alias("rows")))
     up_to = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = (rows.withColumn("stop", F.sum(F.col("gap") + F.col("len")).over(up_to)).where("ok OR kind = -1")
-              .select("doc_id", "h", "kind", (F.col("stop") - F.col("len")).alias("start"), "stop"))
+              .select("doc_id", "h", "kind", (F.col("stop") - F.col("len")).alias("start"), "stop", "rows"))
     before = Window.partitionBy("doc_id", "h").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("doc_id", "h").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
     kind, start, stop = F.col("kind"), F.col("start"), F.col("stop")
@@ -78,15 +81,15 @@ def parts(docs: DataFrame, reach: int = REACH) -> DataFrame:
         within(roles["secret"], reach + 1))
     base = kind.between(0, BASE - 1)
     reported = F.when(kind < 0, False).when(base, True).otherwise(complement & ~within(base, 0))
-    return placed.select("doc_id", "h", "kind", "start", "stop", reported.alias("reported"))
+    return placed.select("doc_id", "h", "kind", "start", "stop", reported.alias("reported"), "rows")
 
 
 def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Per document: doc_id, h (hash of its text), counts per base kind, and its spans as an array (start, kind, stop)."""
+    """Per document: doc_id, h (hash of its text), rows, counts per base kind, and its spans as an array (start, kind, stop)."""
     all_parts = parts(docs, reach)
     spans = F.array_sort(F.collect_list(F.when(F.col("reported"), F.struct("start", "kind", "stop"))))
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)]
-    return all_parts.groupBy("doc_id", "h").agg(*counts, spans.alias("spans"))
+    return all_parts.groupBy("doc_id", "h").agg(F.max("rows").alias("rows"), *counts, spans.alias("spans"))
 
 
 def described(spans: Column) -> Column:
@@ -96,14 +99,15 @@ def described(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = secret_spans(docs, reach)
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; one row per row of ``docs``."""
+    found = secret_spans(docs, reach).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     base = described(F.filter("spans", lambda s: s["kind"] < BASE))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every reported span replaced by MASK and n_chars counted anew; all rows and columns stay."""
+    columns, docs = docs.columns, common.renamed(docs, "doc_id", "text", "n_chars")
     reported = parts(docs, reach).where("reported")
     order = Window.partitionBy("doc_id", "h").orderBy("start", "stop")
     reach_so_far = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -121,4 +125,4 @@ def mask_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     out = both.withColumn("text", masked)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*columns)

@@ -33,26 +33,31 @@ from pyspark.sql import functions as F
 from corpusguard.llm.common import slices
 
 #: Look-alikes and the letter each stands for; l, 1 and | are read as i throughout.
-LOOKALIKES = dict(zip("аеорсхуіѕјкмтвнԁɡοανρτυικεβ", "aeopcxyisjkmtbhdgoavptuikeb"))
+LOOKALIKES = dict(zip("аеорсхуіѕјкмтвнԁɡοανρτυικεβᴉıɪᴀʙᴄᴅᴇɢʜᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢ", "aeopcxyisjkmtbhdgoavptuikebiiiabcdeghjkimnoprtuvwyz"))
 SUBSTITUTES = {"0": "o", "1": "i", "l": "i", "|": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g"}
 INVISIBLE = "­​‌‍⁠﻿"
 STEMS = (4, 5, 6, 7, 8)
 PRIOR = 4.0
 
 
-def _table() -> dict[int, str | None]:
-    """One folded character per character: ASCII, letters with accents, full-width forms, look-alikes."""
-    table: dict[int, str | None] = {}
-    for code in [*range(0x00, 0x530), *range(0x1E00, 0x2000), *range(0xFF00, 0xFF5F), *range(0x2000, 0x2070), *range(0x3000, 0x3040)]:
-        base = unicodedata.normalize("NFKD", chr(code))[:1].lower()
-        base = SUBSTITUTES.get(base, LOOKALIKES.get(base, base))
-        table[code] = base if base.isalpha() else " "
-    table.update({code: None for code in range(0x300, 0x370)})
-    table.update({ord(c): None for c in INVISIBLE})
-    return table
+class _Folds(dict):
+    """One folded character per character, of any script, worked out when it first occurs: without accents, width and
+    typographic form, look-alikes and digits as the letters they stand for; marks and invisible signs go, and what is no
+    letter is a blank."""
 
+    def __missing__(self, code: int) -> str | None:
+        char = chr(code)
+        if char in INVISIBLE or unicodedata.category(char).startswith("M"):
+            fold = None
+        else:
+            base = unicodedata.normalize("NFKD", char)[:1].lower()[:1]
+            base = SUBSTITUTES.get(base, LOOKALIKES.get(base, base))
+            fold = base if base.isalpha() else " "
+        self[code] = fold
+        return fold
 
-FOLDS = _table()
+
+FOLDS = _Folds()
 
 
 def folded(text: str | None) -> str:

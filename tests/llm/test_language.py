@@ -55,3 +55,12 @@ def test_unlearned_languages_and_random_letters_are_rejected_and_short_clean_tex
     odd = [(1000 + i, make(n)) for i, (make, n) in enumerate([(noise, 20), (noise, 200), (unlearned, 20), (unlearned, 200)] * 25)]
     got = {x.doc_id: x.rejected for x in L.predict_languages(spark.createDataFrame(clean + odd, "doc_id long, text string"), model).collect()}
     assert sum(got[i] for i, _ in clean) <= 12 and sum(got[i] for i, _ in odd) >= 98
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(30)] + [(40 + i, f"el gato y la casa {i}", "es") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_languages(docs)
+    odd = spark.createDataFrame([(1, "²½①"), (2, "12 _ ٣"), (3, "\u0301"), (4, "the"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in L.predict_languages(odd, model).collect()}
+    assert got[4] == "en" and {got[k] for k in (1, 2, 3, 5)} == {"und"}

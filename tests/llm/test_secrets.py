@@ -49,7 +49,7 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     rows = [(None, KEY, "a"), (None, KEY, "b"), (5, KEY, "c"), (5, KEY, "c"), (5, "none", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string").withColumn("kind", docs_column("x")).withColumn("start", docs_column("y"))
     got = sorted((r.doc_id or -1, r.n_access) for r in S.scan_secrets(docs).collect())
-    assert got == [(-1, 1), (5, 0), (5, 1)]
+    assert got == [(-1, 1), (-1, 1), (5, 0), (5, 1), (5, 1)]
 
 
 def docs_column(value):
@@ -66,3 +66,9 @@ def test_masking_keeps_rows_and_cuts_spans(spark, documents):
     text = f"a token={KEY} b {HEX30}"
     got = {r.doc_id: (r.text, r.n_chars) for r in S.mask_secrets(documents([(1, text), (2, "clean"), (3, None)])).collect()}
     assert got == {1: (f"a {S.MASK} b {S.MASK}", len(f"a {S.MASK} b {S.MASK}")), 2: ("clean", 5), 3: (None, None)}
+
+
+def test_masking_leaves_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(5, f"a {KEY}", 7, "x", 9), (6, "plain", 8, "y", 5)], "doc_id long, text string, _own long, _cuts string, n_chars long")
+    got = sorted(map(tuple, S.mask_secrets(docs).collect()))
+    assert got == [(5, f"a {S.MASK}", 7, "x", 2 + len(S.MASK)), (6, "plain", 8, "y", 5)] and S.mask_secrets(docs).columns == docs.columns

@@ -64,3 +64,10 @@ def test_no_labels_one_kind_and_empty_tables(spark):
     one = X.fit_toxicity(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
     assert all(r.score > 0.99 for r in X.score_toxicity(docs, one).collect())
     assert X.score_toxicity(docs.limit(0), one).collect() == []
+
+
+def test_folding_of_any_script():
+    from corpusguard.llm import toxicity
+    for text in ("𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "ᴉdiot", "😀idiot😀", "IDIOT،", "i\u0301d\u200bi0t", "ｉｄｉｏｔ", "1d10t"):
+        assert toxicity.folded(text).split()[0] == "idiot", text
+    assert toxicity.folded("日本 текст ² ،") == f" 日本 {toxicity.folded('текст').strip()} "
