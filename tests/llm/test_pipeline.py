@@ -22,6 +22,7 @@ def tables(spark, tmp_path_factory):
              (103, prose(32) + " token = abcdef123456 " + prose(33)), (104, None), (105, "12345 !!"), (None, prose(34)), (106, prose(35)), (106, prose(35))]
     docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows],
                                  "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("x"))
+    docs = docs.withColumn("_own", F.lit(7)).withColumn("_place", F.lit("p")).withColumn("key", F.lit(1))
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
