@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Words become template tokens: numbers, units and names turn into typed
+Words, and single characters of scripts without blanks, become template tokens: numbers, units and names turn into typed
 placeholders, all else is folded to lower case. Windows of ``WINDOW`` template
 tokens are hashed and joined with those of the benchmark; a second time with names as
 folded words, which match in any case. Items with windows of too
@@ -45,6 +45,8 @@ TEMPLATE, FOLDED, VERBATIM = range(3)
 ORDER = multipliers(WINDOW, 3)
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|~^_=+/\\-«»“”„‘’…–—¿¡"
 DIGIT_LETTER = re.compile(r"\d(?=[^\W\d_])")
+#: Thai, Lao, Burmese, Khmer, kana, and Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/]*")
 #: Number words and units.
 NUMBERS = frozenset("""zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
@@ -54,6 +56,11 @@ UNITS = frozenset("""mm cm m km inch inches foot feet yard yards mile miles mg g
     cent cents percent degree degrees meter meters metre metres kilometer kilometers gram grams kilogram kilograms km/h mph""".split())
 
 
+def apart(text: str) -> str:
+    """``text`` with each character of a script that writes no blanks between words as a word of its own."""
+    return text if text.isascii() or not UNSPACED.search(text) else UNSPACED.sub(r" \g<0> ", text)
+
+
 class Templates(dict):
     """Numbers of known words; ``table`` has by number the template inside a sentence, the template at its start, the
     value, whether a sentence ends, and the word as it stands: folded, numbers with their minus, signs that are no words too."""
@@ -90,7 +97,7 @@ class Templates(dict):
         if len(self) > CACHED_WORDS:
             self.clear()
             self.rows, self.table = [], self.table[:, :0]
-        split = [(DIGIT_LETTER.sub(r"\g<0> ", t) if t else "").split() for t in texts]
+        split = [(DIGIT_LETTER.sub(r"\g<0> ", apart(t)) if t else "").split() for t in texts]
         places = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in split]
         self.table = np.concatenate([self.table, np.asarray(self.rows, np.uint64).reshape(-1, 5).T], axis=1)
         self.rows = []
@@ -105,12 +112,19 @@ class Templates(dict):
 
 
 def without_runs(token: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and values without signs, and with one placeholder for several equal ones in a row."""
+    """Tokens and values without signs, and with one placeholder for several equal ones in a row, whose value is that of
+    them all in their order."""
     real = token != 0
     token, values = token[real], values[real]
     again = (token[1:] == token[:-1]) & (token[1:] <= NAME)
-    keep = np.concatenate([[True], ~again]) if len(token) else np.zeros(0, bool)
-    return token[keep], values[keep]
+    if not again.any():
+        return token, values
+    starts = np.flatnonzero(np.concatenate([[True], ~again]))
+    lengths = np.diff(np.append(starts, len(token)))
+    place = np.arange(len(token)) - np.repeat(starts, lengths)
+    with np.errstate(over="ignore"):
+        together = np.add.reduceat(mix(values + (place + 1).astype(np.uint64) * GOLDEN), starts)
+    return token[starts], np.where(lengths == 1, values[starts], together)
 
 
 #: Kept by a worker from task to task.

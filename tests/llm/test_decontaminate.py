@@ -77,3 +77,60 @@ def test_items_full_of_names_are_found_in_any_case(spark):
     rows = [(1, item.lower()), (2, f"so it was. {item.upper()}"), (3, item.title()), (4, f"So: {item}"), (5, item.lower().replace("met", "saw").replace("lost", "found"))]
     got = leaks(spark, rows, [(100, item), (101, item.lower().replace("yesterday", "today"))])
     assert set(got) >= {(i, j) for i in (1, 2, 3, 4, 5) for j in (100, 101)} and {got[i, 100] for i in (1, 2)} == {"copy"}
+
+
+def test_runs_of_slots_count_with_all_their_values(spark):
+    items = [(1, "Put the numbers 3 4 9 in rising order and then tell us which one is the middle of them"),
+             (2, "Yesterday the letter of Alice Smith came to the house of Alice Smith near the old mill by the river")]
+    rows = [(1, items[0][1].replace("3 4 9", "3 7 1")), (2, items[0][1]), (3, items[1][1].replace("Smith", "Jones")), (4, items[1][1]),
+            (5, items[1][1].replace("Alice Smith came", "Alice Jones came"))]
+    assert leaks(spark, rows, items) == {(1, 1): "new values", (2, 1): "copy", (3, 2): "new values", (4, 2): "copy", (5, 2): "copy"}
+
+
+def test_slots_are_consistent_by_brute_force(spark):
+    """Numbers, units and names at random, in items of one window per slot place; a plain reading of the rule tells what leaks."""
+    r = random.Random(9)
+    kinds = {"N": ["3", "17", "250"], "U": ["km", "hours", "kg"], "P": ["Anna", "Bert", "Clara"]}
+    words = [f"v{c}x" for c in "abcdefghijklmnopqrst"]
+    shapes = []
+    for _ in range(6):
+        shape = r.sample(words, 14)
+        for k in sorted(r.sample(range(1, 14), 4), reverse=True):
+            shape.insert(k, r.choice("NUP"))
+        shapes.append([x for k, x in enumerate(shape) if not (x in kinds and k and shape[k - 1] in kinds)])
+
+    def fill(shape):
+        return [r.choice(kinds[x]) if x in kinds else x for x in shape]
+
+    def leaking(shape, item, doc):
+        pairs = [(a, b) for x, a, b in zip(shape, item, doc) if x in kinds]
+        became = {}
+        for a in {a for a, _ in pairs}:
+            counts = sorted(((sum(p == (a, b) for p in pairs), b) for b in {b for q, b in pairs if q == a}), reverse=True)
+            became[a] = counts[0][1] if len(counts) == 1 or counts[0][0] > counts[1][0] else None
+        n = len(shape) - D.WINDOW + 1
+        good = exact = 0
+        for p in range(n):
+            own = [(a, b) for x, a, b in list(zip(shape, item, doc))[p:p + D.WINDOW] if x in kinds]
+            same = all(a == b for a, b in own)
+            exact += same
+            good += same or all(became[a] == b for a, b in own)
+        return ("copy" if good == exact else "new values") if good >= max(1, min(-(-n // 2), D.ENOUGH)) else None
+    items, rows, want = [], [], {}
+    for j, shape in enumerate(shapes):
+        item = fill(shape)
+        items.append((j, " ".join(item)))
+        for _ in range(8):
+            doc = fill(shape)
+            rows.append((len(rows), "zz " + " ".join(doc)))
+            kind = leaking(shape, item, doc)
+            if kind:
+                want[len(rows) - 1, j] = kind
+    assert leaks(spark, rows, items) == want and len(want) > 5
+
+
+def test_items_in_scripts_without_blanks(spark):
+    item = "请计算一列火车以每小时十公里的速度行驶三个小时之后离开城市的距离是多少并说明理由吧"
+    thai = "รถไฟออกจากสถานีด้วยความเร็วคงที่และถึงเมืองถัดไปหลังจากนั้น"
+    rows = [(1, item), (2, f"前言。{item}结束"), (3, "请计算一列火车"), (4, f"a {thai} b"), (5, "今天天气很好我们去公园散步吧")]
+    assert leaks(spark, rows, [(1, item), (2, thai)]) == {(1, 1): "copy", (2, 1): "copy", (4, 2): "copy"}
