@@ -9,7 +9,7 @@ that share a band are estimated from all registers by joint likelihood, with the
 exact set sizes, and what may be similar enough is confirmed on the full sets.
 
 Equal sets are one class. Only classes are compared. First each class is compared
-with the most central class of each of its buckets, then, as long as that finds links,
+with the most central class of each of its buckets, then
 with the most central class of the largest component in the bucket. What is left in
 different components is compared unless it cannot be linked: signatures in a bucket
 are too far apart, or the shingles that many classes hold and the rarer ones that
@@ -44,8 +44,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 PERCENT = 75
 #: A pair is dropped before the exact test only if its estimate is this many standard deviations too low.
 SIGMAS = 4.0
-#: Rounds of comparisons with heads before the pairs that are left.
-ROUNDS = 2
+#: Rounds of comparisons with the heads of the largest components before the pairs that are left.
+ROUNDS = 1
 #: A shingle that at most so many open classes hold is rare.
 RARE = 64
 #: A signature has the lowest PLANES bits of every register, one plane after another in WORDS_PER_PLANE numbers.
