@@ -621,6 +621,11 @@ add("rnk_payload_caps", ROLLUP + ["payload_files"], f"""SELECT repo, file, rank,
 add("rnk_listing", ["line_corpus"], "SELECT * FROM (SELECT repo, file, seq, row_number() OVER (PARTITION BY repo ORDER BY seq, file) AS rank FROM corpus) WHERE rank <= 80")
 add("rnk_selected_first", LINE, "SELECT repo, file, seq FROM files ORDER BY file <> 'src/f1.ts', repo, seq")
 
+add("snk_tables", ROLLUP + ["file_risk"], """SELECT 'findings' AS "table", repo, count(*) AS n FROM findings GROUP BY repo
+  UNION ALL SELECT 'metadata', repo, count(*) FROM summary GROUP BY repo UNION ALL SELECT 'module_files', repo, count(*) FROM summary GROUP BY repo
+  UNION ALL SELECT 'modules', repo, count(*) FROM modules GROUP BY repo UNION ALL SELECT 'hotspots', repo, least(5, count(*)) FROM file_risk GROUP BY repo
+  UNION ALL SELECT 'repos', repo, 1 FROM repos UNION ALL SELECT 'payloads', repo, 1 FROM repos""")
+
 # --- merge --------------------------------------------------------------------------------------------
 add("set_known_files", ["code_corpus", "files"], "SELECT repo, file FROM corpus WHERE seq % 3 = 0 UNION SELECT repo, file FROM files")
 add("set_merge_metadata", LINE, f"""SELECT repo, file, CASE WHEN seq % 4 <> 0 AND seq % 3 = 0 THEN 1 ELSE count(*) FILTER ({hits('line', NOT_BLANK)}) END AS loc,
@@ -661,11 +666,11 @@ CTE["walk"] = f"""walk(repo, id, depth) AS (SELECT repo, id, 0 FROM nodes n WHER
 over_both("gr_rank", GRAPH + ["walk"], "SELECT repo, id, rank FROM ranks", recursive=True)
 LINE_GRAPH = LINE + ["js"] + GRAPH
 add("gr_layout", LINE_GRAPH + ["walk"], f"""SELECT repo, id, rank * {COLUMN_WIDTH} AS x, (row_number() OVER (PARTITION BY repo, rank ORDER BY node_ord, id) - 1) * {ROW_HEIGHT} AS y FROM ranks""", recursive=True)
-add("agg_graph", LINE_GRAPH, """SELECT n.repo, coalesce(f.n, 0) AS total_functions, n.n AS node_count, coalesce(e.n, 0) AS edge_count, n.entry_nodes, n.max_in_degree
+over_both("agg_graph", GRAPH, """SELECT n.repo, coalesce(f.n, 0) AS total_functions, n.n AS node_count, coalesce(e.n, 0) AS edge_count, n.entry_nodes, n.max_in_degree
   FROM (SELECT repo, count(*) AS n, count(*) FILTER (d = 0) AS entry_nodes, max(d) AS max_in_degree FROM (SELECT n.repo, n.id, count(e.source) AS d FROM nodes n
       LEFT JOIN graph_edges e ON e.repo = n.repo AND e.target = n.id GROUP BY n.repo, n.id) GROUP BY repo) n
   LEFT JOIN (SELECT repo, count(*) AS n FROM graph_edges GROUP BY repo) e USING (repo) LEFT JOIN (SELECT repo, count(*) AS n FROM detail_functions GROUP BY repo) f USING (repo)""")
-add("gr_caps", LINE_GRAPH, f"""SELECT repo, count(DISTINCT n.id) > {NODE_CAP} OR count(DISTINCT e.eid) > {EDGE_CAP} AS truncated, least(count(DISTINCT n.id), {NODE_CAP}) AS nodes,
+over_both("gr_caps", GRAPH, f"""SELECT repo, count(DISTINCT n.id) > {NODE_CAP} OR count(DISTINCT e.eid) > {EDGE_CAP} AS truncated, least(count(DISTINCT n.id), {NODE_CAP}) AS nodes,
     least(count(DISTINCT e.eid) FILTER (e.inside), {EDGE_CAP}) AS edges
   FROM (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY node_ord, id) AS r FROM nodes) n LEFT JOIN (SELECT g.repo, g.source || '->' || g.target AS eid, s.r <= {NODE_CAP} AND t.r <= {NODE_CAP} AS inside
     FROM graph_edges g JOIN (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY node_ord, id) AS r FROM nodes) s ON s.repo = g.repo AND s.id = g.source

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,15 @@ def snk_results(spark, d):
     return back.select("repo", "id", *big("seq", "line"), "severity")
 
 
+@query
+def snk_tables(spark, d):
+    """All result tables of the code corpus, written, read back and counted."""
+    paths = writers.write_results(code_result(spark, d), scratch_path(spark, "results"))
+    counted = [spark.read.parquet(p).groupBy("repo").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(p.rsplit("/", 1)[1]).alias("table"), "repo", "n") for p in paths]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # --- filters and projections -------------------------------------------------
 
 @query
@@ -600,9 +610,8 @@ def agg_titles(spark, d):
 
 @query
 def agg_graph(spark, d):
-    g = line_flow(spark, d)
-    return G.totals(g.functions, g.nodes, g.edges).select(
-        "repo", *big("total_functions", "node_count", "edge_count", "entry_nodes", "max_in_degree"))
+    return both_flows(spark, d, lambda g: G.totals(g.functions, g.nodes, g.edges)).select(
+        "corpus", "repo", *big("total_functions", "node_count", "edge_count", "entry_nodes", "max_in_degree"))
 
 
 # --- ranks -----------------------------------------------------------------------
@@ -716,11 +725,12 @@ def gr_file_edges(spark, d):
 
 @query
 def gr_caps(spark, d):
-    g = line_flow(spark, d)
-    nodes, edges, flag = G.cap(g.nodes, g.edges)
-    counts = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("nodes")).join(
-        edges.groupBy("repo").agg(F.count(F.lit(1)).alias("edges")), "repo", "left").fillna(0)
-    return flag.join(counts, "repo")
+    def capped(g):
+        nodes, edges, flag = G.cap(g.nodes, g.edges)
+        counts = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("nodes")).join(
+            edges.groupBy("repo").agg(F.count(F.lit(1)).alias("edges")), "repo", "left").fillna(0)
+        return flag.join(counts, "repo")
+    return both_flows(spark, d, capped)
 
 
 @query
