@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ SENTENCE_COST, INSIDE_COST = 8.0, 24.0
 #: Only inside sentences longer than this, a cut is offered every so many ids.
 STRIDE = 64
 BLOCK = 1 << 17
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
 STOPS = re.compile(r"[.,;:!?](?<=[^\W_].)[.,;:!?]*(?= |$)")
@@ -52,9 +53,16 @@ class WordIds(dict):
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        # the same model for words of letters in lower case, which need no folding and no other cuts than at blanks
+        self.plain = Tokenizer.from_str(vocabulary)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        sample = "the quick brown fuchs überquert añadir l été straße один 日本 abcdefghijklmnopqrstuvwxyz"
+        if self.ids(sample) != self.plain.encode(sample, add_special_tokens=False).ids:
+            self.plain = self.tokenizer
         for apart, together in ((["a", "b"], "a b"), (["a.", "'s", "7"], "a. \n 's  7")):
             if sum((self.ids(w) for w in apart), []) != self.ids(together):
                 raise ValueError("a tokenizer is needed whose tokens end at white space")
@@ -86,8 +94,8 @@ class WordIds(dict):
         if len(self) > CACHED_WORDS:
             self.clear()
         new = [w for w in set().union(*texts) if w not in self]
-        # of letters alone each word is one piece, so the tokens that end a word part them; one letter becomes two in lower case
-        letters = [w for w in new if w.isalpha() and "\u0130" not in w]
+        # of small letters alone each word is one piece, so the tokens that end a word part them
+        letters = [w for w in new if w.isalpha() and w == w.lower()]
         for i in range(0, len(letters), 4096):
             self._learn_letters(letters[i:i + 4096])
         others = [w for w in new if w not in self]
@@ -99,7 +107,9 @@ class WordIds(dict):
             self._keep(part, np.asarray(found.ids, "<u4"), np.searchsorted(places, np.arange(len(part) + 1)))
 
     def _learn_letters(self, part: list[str]) -> None:
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        text = " ".join(part)
+        tokenizer = self.plain if unicodedata.is_normalized("NFC", text) else self.tokenizer
+        ids = np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         bounds = np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])
         if len(bounds) == len(part) + 1 and bounds[-1] == len(ids):
             self._keep(part, ids, bounds)
