@@ -201,9 +201,9 @@ class _Layout:
         self.joined[first:last + 1] = bytes((mark,)) * max(0, last + 1 - first)
 
     def _whole_at(self, i: int, around: list[int]) -> bool:
-        """Whether token ``i`` does not end a row. A value is cut inside what holds bodies, a header never."""
+        """Whether token ``i`` does not end a row. A value is cut inside braces of its own that hold bodies, a header never."""
         mark = self.joined[i]
-        return mark == HEADER or mark == VALUE and not (around and self.split[around[-1]])
+        return mark == HEADER or mark == VALUE and not (around and self.split[around[-1]] and self.joined[around[-1]] == VALUE)
 
     def _after_type(self, i: int) -> int:
         """If a type annotation ends before token ``i``, the token before its colon, else -1; also a word that names the body."""

@@ -24,6 +24,11 @@ def test_headers_values_and_lists_stay_whole():
     assert lines_of("const {\n  a: { b }\n} = require(\n  'm'\n)")[0][2].startswith("const { a: { b } } = require(")
 
 
+def test_values_inside_bodies_stay_whole():
+    assert [x[2] for x in lines_of("class T {\n  m() {\n    const f = a =>\n      g(a)\n        .h()\n    k()\n  }\n}")] == [
+        "class T {", "m() {", "const f = a => g(a) .h()", "k()", "}", "}"]
+
+
 def test_bodies_inside_values_are_cut():
     assert [x[2] for x in lines_of("const f = xs => xs.map(x => {\n  a(\n    x)\n  function g() {\n    b()\n  }\n})\nconst o = () => ({\n  n: 1,\n  m() {\n    c()\n  },\n})")] == [
         "const f = xs => xs.map(x => {", "a(", "x)", "function g() {", "b()", "}", "})", "const o = () => ({", "m() {", "c()", "},", "})"]
