@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusguard.functions import text as T
 from corpusguard.rules import (
     DEFAULT_SOURCE, DEFAULT_STORY_HEAD, ENTRY_LADDER, FUNCTION_HEADER, MEDIUM_TITLE_PARTS, MEDIUM_TITLES,
-    SEVERITY_WEIGHTS, SINK, SOURCE_STEMS, SOURCES, RuleSet,
+    SEVERITY_WEIGHTS, SINK, SOURCE_STEMS, SOURCE_WORDS, SOURCES, RuleSet,
 )
 
 
@@ -16,12 +16,13 @@ def source_label(context: Column, matched: Column) -> Column:
     """First pattern in list order, on the context, then on the reported text.
 
     The reported text is part of the context, so contexts without any stem skip all patterns.
+    A pattern runs only where its own word is found, and none runs behind the first that hits.
     """
     stem = F.lit(False)
     for word in SOURCE_STEMS:
         stem = stem | context.contains(word)
-    found = F.array(*[F.regexp_extract(c, p, 1) for c in (context, matched) for p in SOURCES])
-    return F.when(stem, F.get(F.array_except(found, F.array(F.lit(""))), F.lit(0)))
+    found = [F.when(c.contains(word), T.first_group(c, p)) for c in (context, matched) for p, word in zip(SOURCES, SOURCE_WORDS)]
+    return F.when(stem, F.coalesce(*found))
 
 
 def entry_point(source: Column) -> Column:

@@ -118,3 +118,29 @@ def test_stem_words_may_hold_quotes(spark, corpus_of):
     rule = Rule(200, "Quoted", "LOW", r"(it's \\ here)", (".js",), stem="it's \\ h")
     rows = build_findings(corpus_of(("a.js", "x it's \\ here\ny"), ("b.js", "its here")), RuleSet((rule,))).collect()
     assert [(r.file, r.line, r.title) for r in rows] == [("a.js", 1, "Quoted")]
+
+
+def test_sources_run_behind_their_own_words_and_probes_are_dealt(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from corpusguard.operators.enrich import source_label
+    from corpusguard.rules import SOURCE_WORDS, SOURCES
+    from registry import probes
+    hits = ["req.body.a", "req.query.b", "req.params.c", "process.env.D", "request.args['e']", "request.args.get('e')", "request.form[f]",
+            "request.json", "$_GET['g']", "$_COOKIE[h]", "Request.Query[i]", "Request.Params[j]", "request.getParameter(k)"]
+    odd = ["", "req.body.", "prereq.body.x", "request.argsx", "$_X[1]", "Request.Other[1]", "req.bodyx request.json[0]", None]
+    texts = hits + odd + [a + " " + b for a in hits for b in hits[::-1]]
+    assert len(SOURCE_WORDS) == len(SOURCES)
+    for text in hits:
+        assert all(word in text for word, p in zip(SOURCE_WORDS, SOURCES) if re.search(p, text))
+    rows = [(i, t, texts[-i]) for i, t in enumerate(texts)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, c string, m string").select("i", source_label(F.col("c"), F.col("m")).alias("s")).collect()}
+    for i, c, m in rows:
+        found = [x[1] for t in (c, m) for x in (re.search(p, t or "") for p in SOURCES) if x]
+        stem = c is not None and any(w in c for w in ("req.", "process.env.", "request.", "$_", "Request."))
+        assert got[i] == (found[0] if stem and found else None), (c, m)
+    # one row group, which one task would read: its rows are dealt by key
+    plan = probes.probes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
