@@ -2,6 +2,7 @@
 
 import time
 
+from corpusguard.functions import layout
 from corpusguard.functions.layout import statements
 from corpusguard.operators import prepare, structure as S
 
@@ -117,3 +118,19 @@ const { a: { b: { c } }, d: e } = require('m'), x = require("n")
     assert [(r.name, r.line_no) for r in S.exports(facts, "detail").orderBy("place").collect()] == [("q", 1), ("r", 1)]
     assert [(r.source, list(r.specifiers), [tuple(b) for b in r.bindings]) for r in S.requires(facts).orderBy("place").collect()] == [
         ("m", ["a", "d"], [("d", "e")]), ("n", ["x"], [("default", "x")])]
+
+
+def test_prose_is_few_tokens_and_changes_no_row():
+    words = "alpha beta, gamma delta and of. Epsilon é zeta 12 for with this as is in - it ".split()
+    prose = " ".join(words[(i * i + i // 7) % len(words)] for i in range(400))
+    code = "const a = 1, b = (x) =>\n  {0}\nclass A {{\n m(a) {{ {0} }}\n}}\nimport {{ x }} from 'y'\nf(`t ${{ g({0}) }}`)\n"
+    few = layout._Text(f"{prose}\n{prose}, new\nfoo(1)\n{prose}\n{prose}\n{prose}\n")
+    assert len(few.kind) < 80 and "".join(few.text).startswith(prose)
+    texts = [prose, code.format(prose), code.format("y") + (prose + "\n") * 9, f"const x = {{ k() {{ }},\n{prose},\n z }}\n{prose}",
+             f"let q,\n{prose}\n{prose}\n = 2\nimport\n{prose}\n{prose}\n{prose}", f"function\n{prose}\n{prose}\n{prose}\n(a) {{ }}",
+             f"`open ${{ {prose}\n\n{prose}\n{prose}", f"const f = () =>\n\n{prose}.\n{prose}\n{prose}\n"]
+    for text in texts:
+        plain = list(layout._Layout(text, prose=False).rows())
+        got = layout.statements(text)
+        assert [r._replace(place=0) for r in got] == [r._replace(place=0) for r in plain]
+        assert [r.place for r in got] == sorted(r.place for r in got)
