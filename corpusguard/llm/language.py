@@ -3,7 +3,7 @@
 Texts become vectors of hashed n-grams of folded bytes, weighted by TF-IDF and
 scaled to length one. Each language has several centroids, found by spherical
 k-means, and a text takes the language of the centroid with the largest cosine.
-A text farther from its centroid than nearly all sampled texts and pieces of texts of
+A text farther from its centroid than nearly all texts learned from and their pieces, of
 that centroid and about that length is rejected.
 
 Nulls and edges: a null text, an empty one or one without a letter is ``und`` with
@@ -22,15 +22,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.llm.common import slices
-from corpusguard.session import materialized
 
 DIMS = 4096
 GRAMS = (1, 2, 3)
 ROWS = 64
+#: Vectors are summed in whole numbers of this part of one, up to 2^33 of them.
+ONE = float(1 << 30)
+#: The rounds end when all centres keep at least this cosine.
+STILL = 1 - 1e-4
+#: Cosines are counted in steps of this part of one, downwards, so the counts of a band and centroid are bounded.
+STEPS = 1 << 12
 #: Length bands: binary logarithms of the number of n-grams, the last band without end.
 BANDS = 14
 #: So many cosines of a centroid in a band tell its floor; with fewer the language's do.
@@ -124,75 +129,125 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return seen[1:], int(seen[0])
 
 
-def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centre is the mean, the others the points farthest from those chosen."""
-    mean = vectors.mean(axis=0)
-    centres = (mean / max(np.linalg.norm(mean), 1e-12))[None]
-    while len(centres) < min(k, len(vectors)):
-        centres = np.vstack([centres, vectors[np.argmin((vectors @ centres.T).max(axis=1))]])
-    for _ in range(rounds):
-        near = np.argmax(vectors @ centres.T, axis=1)
-        for c in range(len(centres)):
-            if (near == c).any():
-                total = vectors[near == c].sum(axis=0)
-                centres[c] = total / max(np.linalg.norm(total), 1e-12)
-    return centres
+def vectors_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[str, np.ndarray, list[int]]]:
+    """lang, unit vectors of texts with weight, and numbers that tell their texts apart, some rows at a time."""
+    for batch in slices(batches):
+        langs, at = np.asarray(batch.column("lang").to_pylist(), object), 0
+        for texts in batches_of(batch.column("text")):
+            unit = weighted(term_counts(texts), idf)
+            held = np.abs(unit).sum(axis=1) > 0
+            named = langs[at:at + len(texts)]
+            at += len(texts)
+            for lang in dict.fromkeys(named):
+                rows = np.flatnonzero(held & (named == lang))
+                if len(rows):
+                    yield lang, unit[rows], [zlib.crc32(texts[i].encode()) for i in rows]
 
 
-def fit_languages(docs: DataFrame, clusters: int = 3, sample: int = 400, max_langs: int = 256, quantile: float = 0.01, slack: float = 0.8) -> LanguageModel:
+def summed(docs: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Per language and centre, the sum of the vectors nearest to it, over all rows of ``docs``.
+
+    Each task sends one row per language and centre. Components are added as whole numbers of 2^-30, so that the sums are
+    the same in whatever order they are added.
+    """
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for lang, unit, _ in vectors_of(batches, idf):
+            own = centres.get(lang)
+            near = np.zeros(len(unit), np.int64) if own is None else (unit @ own.T).argmax(axis=1)
+            total = sums.setdefault(lang, np.zeros((1 if own is None else len(own), DIMS), np.int64))
+            whole = np.rint(unit * np.float32(ONE)).astype(np.int64)
+            for c in np.unique(near):
+                total[c] += whole[near == c].sum(axis=0)
+        for lang, total in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(total), "c": list(range(len(total))), "v": [t.tobytes() for t in total]})
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(DIMS, np.int64)
+        for v in group["v"]:
+            total += np.frombuffer(v, np.int64)
+        return pd.DataFrame({"lang": [key[0]], "c": [key[1]], "v": [total.tobytes()]})
+
+    parts = docs.select("lang", "text").mapInArrow(add, "lang string, c long, v binary")
+    rows = parts.groupBy("lang", "c").applyInPandas(merge, "lang string, c long, v binary").collect()
+    out: dict[str, np.ndarray] = {}
+    for r in rows:
+        own = centres.get(r["lang"])
+        total = out.setdefault(r["lang"], np.zeros((1 if own is None else len(own), DIMS)))
+        total[r["c"]] = np.frombuffer(bytes(r["v"]), np.int64) / ONE
+    return out
+
+
+def farthest(docs: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Per language, the vector farthest from all its centres, over all rows; of equal ones that of the least checksum."""
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple] = {}
+        for lang, unit, marks in vectors_of(batches, idf):
+            near = (unit @ centres[lang].T).max(axis=1)
+            for i in np.flatnonzero(near == near.min()):
+                found = (round(float(near[i]), 5), marks[i], unit[i].tobytes())
+                best[lang] = min(best.get(lang, found), found)
+        if best:
+            yield pa.RecordBatch.from_pydict({"lang": list(best), "cosine": [b[0] for b in best.values()],
+                                              "mark": [b[1] for b in best.values()], "v": [b[2] for b in best.values()]})
+
+    rows = docs.select("lang", "text").mapInArrow(least, "lang string, cosine double, mark long, v binary")
+    first = rows.groupBy("lang").agg(F.min(F.struct("cosine", "mark", "v")).alias("b")).collect()
+    return {r["lang"]: np.frombuffer(bytes(r["b"]["v"]), np.float32) for r in first}
+
+
+def unit_rows(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def clustered(docs: DataFrame, idf: np.ndarray, clusters: int, rounds: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Centres and the lengths of their texts' sums per language, by spherical k-means over all rows of ``docs``.
+
+    The first centre of a language is its mean, the others the texts farthest from those chosen. The rounds end when no
+    centre moves further than ``STILL``. A round sends one vector per task, language and centre.
+    """
+    centres = {lang: unit_rows(total) for lang, total in summed(docs, idf, {}).items()}
+    for _ in range(clusters - 1 if centres else 0):
+        for lang, v in farthest(docs, idf, centres).items():
+            if (centres[lang] @ v).max() < 1 - 1e-5:
+                centres[lang] = np.vstack([centres[lang], v])
+    sums: dict[str, np.ndarray] = {}
+    for _ in range(rounds if centres else 0):
+        sums = summed(docs, idf, centres)
+        # a centre that is nearest to no text stays
+        moved = {lang: np.where(np.abs(total).sum(axis=1, keepdims=True) > 0, unit_rows(total), centres[lang]) for lang, total in sums.items()}
+        still = all((moved[lang] * centres[lang]).sum(axis=1).min() >= STILL for lang in moved)
+        centres = moved
+        if still:
+            break
+    return centres, {lang: np.linalg.norm(total, axis=1) for lang, total in sums.items()}
+
+
+def fit_languages(docs: DataFrame, clusters: int = 3, rounds: int = 12, max_langs: int = 256, quantile: float = 0.01, slack: float = 0.8) -> LanguageModel:
     """Learn from all rows of ``docs`` (doc_id, text, lang) that have text and lang.
 
-    Document frequencies are counted over every row. The centroids are fitted on at
-    most ``sample`` rows per language, of those whose ids hash lowest. A centroid
-    accepts cosines from ``slack`` times the ``quantile`` of those that the sampled
-    texts nearest to it, and pieces of them, have in each length band, each text
-    compared with the centroid of the others; so short texts of a known language,
-    which are far from every centroid, stay, and single odd texts decide nothing.
-    More than ``max_langs`` languages raise, as the column then holds no languages.
+    Document frequencies, centroids and floors are taken over every row, each in passes that
+    send sums or counts of fixed size. A centroid accepts cosines from ``slack`` times the
+    ``quantile`` of those that the texts nearest to it, and pieces of them, have in each
+    length band, each text compared with the centroid of the others; so short texts of a
+    known language, which are far from every centroid, stay, and single odd texts decide
+    nothing. More than ``max_langs`` languages raise, as the column then holds no languages.
     """
-    known = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    known = docs.select("text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     seen, rows = document_frequencies(known)
     idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
     idf[BLANKS] = 0
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(max_langs + 1)
-    if sizes.count() > max_langs:
+    if known.select("lang").distinct().limit(max_langs + 1).count() > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    # twice the share that is needed goes to the ranking, so a language's task ranks few rows however many it has
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("rows").cast("double") < 2 * sample * (1 << 30)
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(share).withColumn("place", F.row_number().over(lowest))
-           .where(F.col("place") <= sample).select("doc_id", "lang").distinct())
-    picked = materialized(known.join(F.broadcast(ids), ["doc_id", "lang"]), "sample")  # at most sample * max_langs ids
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            langs, at = batch.column("lang").to_pylist(), 0
-            for texts in batches_of(batch.column("text")):
-                unit = weighted(term_counts(texts), idf)
-                yield pa.RecordBatch.from_pydict({"lang": langs[at:at + len(texts)], "v": [v.tobytes() for v in unit]})
-                at += len(texts)
-
-    def centres(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(sorted(group["v"])), np.float32).reshape(-1, DIMS)
-        points = points[np.abs(points).sum(axis=1) > 0]
-        if not len(points):
-            return pd.DataFrame({"lang": [], "v": [], "mass": []})
-        found = clustered(points, clusters)
-        near = (points @ found.T).argmax(axis=1)
-        mass = [float(np.linalg.norm(points[near == c].sum(axis=0))) for c in range(len(found))]
-        return pd.DataFrame({"lang": key[0], "v": [c.astype(np.float32).tobytes() for c in found], "mass": mass})
-
-    model = (picked.mapInArrow(vectors, "lang string, v binary").groupBy("lang")
-             .applyInPandas(centres, "lang string, v binary, mass double").collect())
-    model = sorted(model, key=lambda r: (r["lang"], bytes(r["v"])))
-    flat = np.frombuffer(b"".join(bytes(r["v"]) for r in model), np.float32).reshape(-1, DIMS)
-    langs = tuple(r["lang"] for r in model)
-    cosines = own_cosines(picked, idf, flat, langs, np.asarray([r["mass"] for r in model]))
+    centres, mass = clustered(known, idf, clusters, rounds)
+    langs = tuple(lang for lang in sorted(centres) for _ in centres[lang])
+    flat = np.vstack([np.zeros((0, DIMS), np.float32)] + [centres[lang] for lang in sorted(centres)])
+    cosines = own_cosines(known, idf, flat, langs, np.concatenate([np.zeros(0)] + [mass[lang] for lang in sorted(centres)]))
     return LanguageModel(idf, flat, langs, slack * floors_of(cosines, langs, quantile))
 
 
-def own_cosines(picked: DataFrame, idf: np.ndarray, centroids: np.ndarray, langs: tuple[str, ...], mass: np.ndarray) -> DataFrame:
-    """band, lang, centroid, cosine: of each sampled text and its pieces to the nearest centroid of its language.
+def own_cosines(docs: DataFrame, idf: np.ndarray, centroids: np.ndarray, langs: tuple[str, ...], mass: np.ndarray) -> DataFrame:
+    """band, lang, centroid, cosine: of each text and its pieces to the nearest centroid of its language.
 
     ``mass`` is the length of the sum of a centroid's texts: the text itself is taken out of its centroid.
     """
@@ -218,13 +273,15 @@ def own_cosines(picked: DataFrame, idf: np.ndarray, centroids: np.ndarray, langs
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.string(), pa.int32(), pa.float64()])],
                                              ["band", "lang", "centroid", "cosine"])
 
-    return picked.mapInArrow(compare, "band int, lang string, centroid int, cosine double")
+    return docs.select("lang", "text").mapInArrow(compare, "band int, lang string, centroid int, cosine double")
 
 
 def floors_of(cosines: DataFrame, langs: tuple[str, ...], quantile: float) -> np.ndarray:
     """Low quantile of the cosines by centroid and band: of the centroid, else of its language, else of all, else of the band below."""
+    counted = (cosines.groupBy("band", "lang", "centroid", (F.floor(F.col("cosine") * STEPS) / STEPS).alias("cosine"))
+               .agg(F.count(F.lit(1)).alias("rows")))
     told = {(r["band"], r["lang"], r["centroid"]): r["floor"] for r in
-            cosines.rollup("band", "lang", "centroid").agg(F.percentile("cosine", F.lit(quantile)).alias("floor"), F.count(F.lit(1)).alias("n"))
+            counted.rollup("band", "lang", "centroid").agg(F.percentile("cosine", F.lit(quantile), F.col("rows")).alias("floor"), F.sum("rows").alias("n"))
             .where(F.col("band").isNotNull() & (F.col("lang").isNull() | (F.col("n") >= MEMBERS))).collect()}
     floors = np.zeros((len(langs), BANDS))
     for c, lang in enumerate(langs):

@@ -64,3 +64,17 @@ def test_texts_without_letters_are_undetermined(spark):
     odd = spark.createDataFrame([(1, "²½①"), (2, "12 _ ٣"), (3, "\u0301"), (4, "the"), (5, None)], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in L.predict_languages(odd, model).collect()}
     assert got[4] == "en" and {got[k] for k in (1, 2, 3, 5)} == {"und"}
+
+
+def test_every_row_teaches(spark):
+    from pyspark.sql import functions as F
+    r = random.Random(5)
+    order = [x.id for x in spark.range(900).orderBy(F.xxhash64("id")).collect()]
+    late = set(order[-60:])  # ids that hash highest, whose texts are of another kind
+    rows = [(i, " ".join(r.choices(["quorv", "xylt", "wumb", "jazk"], k=30)) if i in late else text("aa", r), "aa") for i in range(900)]
+    model = L.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    again = L.fit_languages(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5))
+    assert model.langs == again.langs and np.allclose(model.centroids, again.centroids, atol=1e-5)
+    odd = spark.createDataFrame([(i, " ".join(r.choices(["quorv", "xylt", "wumb", "jazk"], k=30))) for i in range(40)], "doc_id long, text string")
+    got = L.predict_languages(odd, model).collect()
+    assert min(x.score for x in got) > 0.8 and sum(x.rejected for x in got) <= 4
