@@ -134,3 +134,27 @@ def test_prose_is_few_tokens_and_changes_no_row():
         got = layout.statements(text)
         assert [r._replace(place=0) for r in got] == [r._replace(place=0) for r in plain]
         assert [r.place for r in got] == sorted(r.place for r in got)
+
+
+def test_scopes_are_told_without_shuffle_or_sort(corpus_of):
+    text = ("class A extends B {\n  async\u00a0m(a) {\n    f()\n    const g = (x) => {\n      h()\n    }\n    class C { n() { i() } }\n    j()\n  }\n  k = l()\n}\n"
+            "const o = function named(p) {\n  q()\n  if (r) { s() } else { t() }\n}\nu()\n")
+    facts = S.line_facts(prepare.analyzable(corpus_of(("a.ts", text), ("b.ts", "v()\n}\nfunction w() { x() }"))))
+    events = S.scoped(facts)
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    got = {c: (r.class_name, r.caller) for r in events.collect() for c in r.calls or []}
+    assert got == {
+        "f": ("A", "A.m"), "h": ("A", "g"), "i": ("C", "C.n"), "j": ("A", "A.m"), "l": ("A", "root"), "q": (None, "o"), "s": (None, "o"),
+        "t": (None, "o"), "u": (None, "root"), "v": (None, "root"), "x": (None, "w")}
+
+
+def test_plain_lines_are_the_same_tokens():
+    code = "\t const a = 'x/y`z', é = \"it's\" ;f( g ) => [1 .2]\u2003b\r\n  don't say 'so\n@D.e({ k: v })<T>\n// c 'd\n  x = /'[/]/g.test(y) // z\n`t ${u}\n` w\n"
+    plain, at_once = layout.PLAIN, layout._Text(code * 2, prose=False)
+    try:
+        layout.PLAIN = type("None", (), {"findall": staticmethod(lambda *_: ["/"])})
+        slow = layout._Text(code * 2, prose=False)
+    finally:
+        layout.PLAIN = plain
+    assert (at_once.kind, at_once.text, at_once.line, at_once.inner) == (slow.kind, slow.text, slow.line, slow.inner)
