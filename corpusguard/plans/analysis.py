@@ -16,23 +16,40 @@ from corpusguard.session import materialized
 
 @dataclass(frozen=True)
 class AnalysisResult:
-    """Findings and structure lines of a corpus, and the summaries over them, planned on first use."""
+    """Findings and structure lines of a corpus, and the summaries over them, planned on first use.
 
-    input_counts: DataFrame
+    The findings, the structure lines and the profiles, which several summaries read, are
+    written once to shared storage when first asked for, unless ``materialize`` is off.
+    """
+
+    corpus: DataFrame
     files: DataFrame
-    findings: DataFrame
-    events: DataFrame
+    rules: RuleSet
     materialize: bool = True
 
+    def _once(self, rows: DataFrame, label: str) -> DataFrame:
+        return materialized(rows, label) if self.materialize else rows
+
+    @cached_property
+    def input_counts(self) -> DataFrame:
+        return A.input_counts(self.corpus)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self._once(build_findings(self.corpus, self.rules), "findings")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._once(S.events(self.files), "events")
+
     @cached_property
     def profiles(self) -> DataFrame:
-        """Read by modules, repositories and payloads, so written once unless ``materialize`` is off."""
-        rows = roles.profiles(self.files, self.events)
-        return materialized(rows, "profiles") if self.materialize else rows
+        """Read by metadata, modules, repositories and payloads."""
+        return self._once(roles.profiles(self.files, self.events), "profiles")
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return build_metadata(self.files, self.findings, self.events)
+        return build_metadata(self.files, self.findings, self.events, profiles=self.profiles)
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -40,7 +57,9 @@ class AnalysisResult:
 
     @cached_property
     def repos(self) -> DataFrame:
-        return A.repo_totals(self.input_counts, self.profiles, self.findings, self.events)
+        # only counts the files: roles are not told for that
+        counted = self.__dict__.get("profiles", self.files)
+        return A.repo_totals(self.input_counts, counted, self.findings, self.events)
 
     @cached_property
     def hotspots(self) -> DataFrame:
@@ -48,28 +67,35 @@ class AnalysisResult:
 
 
 def analyze(corpus: DataFrame, rules: RuleSet | None = None, materialize: bool = True) -> AnalysisResult:
-    """Analyze a corpus of (repo, file, content, seq).
-
-    The findings and the structure lines, which all summaries read, are written
-    once to shared storage unless ``materialize`` is off.
-    """
+    """Analyze a corpus of (repo, file, content, seq)."""
     rules = rules or RuleSet()
-    files = prepare.analyzable(corpus, rules.extensions)
-    findings, events = build_findings(corpus, rules), S.events(files)
-    if materialize:
-        findings, events = materialized(findings, "findings"), materialized(events, "events")
-    return AnalysisResult(A.input_counts(corpus), files, findings, events, materialize)
+    return AnalysisResult(corpus, prepare.analyzable(corpus, rules.extensions), rules, materialize)
 
 
-def compact_payloads(result: AnalysisResult) -> DataFrame:
-    """The files are chosen by path first; only their details are put together."""
+def first_details(result: AnalysisResult) -> tuple[DataFrame, DataFrame]:
+    """Metadata of the first files of each repository, and the findings in them.
+
+    The files are chosen by path first; only their details are put together. What the result has
+    already written is read, else only the chosen files are scanned.
+    """
     few = rank.first_files(result.files.select("repo", "file", "seq")).drop("rank")
-    files, events = (df.join(few, ["repo", "file", "seq"], "left_semi") for df in (result.files, result.events))
-    findings = result.findings.join(few.select("repo", "file"), ["repo", "file"], "left_semi")
+    if result.materialize:
+        few = materialized(few, "few")      # so small a table is sent to the files, which stay where they are
+    paths = few.select("repo", "file").distinct()
+    known = result.__dict__
+    files = result.files.join(few, S.FILE, "left_semi")
+    events = known["events"].join(few, S.FILE, "left_semi") if "events" in known else S.events(files)
+    findings = (known["findings"].join(paths, ["repo", "file"], "left_semi") if "findings" in known
+                else build_findings(result.corpus.join(paths, ["repo", "file"], "left_semi"), result.rules))
     if result.materialize:
         events, findings = materialized(events, "events"), materialized(findings, "findings")
-    return P.compact_payload(result.repos, result.hotspots, P.payload_modules(result.modules),
-                             P.payload_files(build_metadata(files, findings, events), findings))
+    profiles = known["profiles"].join(few, S.FILE, "left_semi") if "profiles" in known else None
+    return build_metadata(files, findings, events, profiles=profiles), findings
+
+
+def compact_payloads(result: AnalysisResult) -> DataFrame:
+    modules, repos = P.payload_modules(result.modules), result.repos
+    return P.compact_payload(repos, result.hotspots, modules, P.payload_files(*first_details(result)))
 
 
 def analyze_text(spark: SparkSession, path: str, text: str, rules: RuleSet | None = None) -> AnalysisResult:

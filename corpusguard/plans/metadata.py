@@ -26,10 +26,11 @@ def titles_per_file(findings: DataFrame) -> DataFrame:
 
 
 def build_metadata(files: DataFrame, findings: DataFrame, events: DataFrame | None = None,
-                   variant: str = "summary") -> DataFrame:
+                   variant: str = "summary", profiles: DataFrame | None = None) -> DataFrame:
     """``files`` are analyzable files. Every join is by file key; contents are never shuffled.
 
-    ``events`` is read by nine branches, so pass a materialized one or let it be written here.
+    ``events`` is read by nine branches, so pass a materialized one or let it be written here. ``profiles`` of the
+    same files and variant spare another scan of the contents.
     """
     events = materialized(S.events(files), "events") if events is None else events
     edges = S.call_edges(events, variant)
@@ -52,7 +53,7 @@ def build_metadata(files: DataFrame, findings: DataFrame, events: DataFrame | No
     }
     if variant == "detail":
         parts["file_calls"] = _nested(S.file_calls(events), F.struct("place"), ["caller", "path", "type"], "file_calls")
-    out = roles.profiles(files, events, variant)
+    out = roles.profiles(files, events, variant) if profiles is None else profiles
     for name, part in parts.items():
         kind = part.schema[name].dataType
         out = out.join(part, FILE, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))

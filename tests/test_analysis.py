@@ -325,3 +325,18 @@ def test_cached_results_come_back(spark, monkeypatch):
     assert rows(P.reuse(payloads, cache)) == want
     monkeypatch.undo()
     assert not P.reuse(payloads, cache.limit(0)).where("hit").count() and P.reuse(payloads.limit(0), cache).count() == 0
+
+
+def test_only_what_is_asked_for_is_scanned(corpus_of):
+    from corpusguard.operators import payload as P
+    from corpusguard.plans.analysis import first_details
+    result = cg.analyze(corpus_of(*FILES))
+    assert result.repos.first().scanned_file_count == 3
+    assert "profiles" not in result.__dict__
+    result = cg.analyze(corpus_of(*FILES))
+    assert result.profiles.count() == 3 and "findings" not in result.__dict__
+    # the first files alone, and their findings, give the same rows as the details of all files
+    few = P.payload_files(*first_details(result)).drop("rank").collect()
+    assert not {"metadata", "findings"} & result.__dict__.keys()
+    every = P.payload_files(result.metadata, result.findings).drop("rank").collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, every)) and len(few) == 3
