@@ -78,17 +78,15 @@ def first_details(result: AnalysisResult) -> tuple[DataFrame, DataFrame]:
     The files are chosen by path first; only their details are put together. What the result has
     already written is read, else only the chosen files are scanned.
     """
-    few = rank.first_files(result.files.select("repo", "file", "seq")).drop("rank")
-    if result.materialize:
-        few = materialized(few, "few")      # so small a table is sent to the files, which stay where they are
-    paths = few.select("repo", "file").distinct()
     known = result.__dict__
-    files = result.files.join(few, S.FILE, "left_semi")
-    events = known["events"].join(few, S.FILE, "left_semi") if "events" in known else S.events(files)
-    findings = (known["findings"].join(paths, ["repo", "file"], "left_semi") if "findings" in known
-                else build_findings(result.corpus.join(paths, ["repo", "file"], "left_semi"), result.rules))
-    if result.materialize:
-        events, findings = materialized(events, "events"), materialized(findings, "findings")
+    few = result._once(rank.first_files(result.files.select("repo", "file", "seq")).drop("rank"), "few")
+    paths = few.select("repo", "file").distinct()
+    # written, as tests on contents would go before the join and so run on every file
+    chosen = result._once(result.corpus.join(paths, ["repo", "file"], "left_semi"), "chosen")
+    files = prepare.analyzable(chosen, result.rules.extensions).join(few, S.FILE, "left_semi")
+    events = result._once(known["events"].join(few, S.FILE, "left_semi") if "events" in known else S.events(files), "events")
+    findings = result._once(known["findings"].join(paths, ["repo", "file"], "left_semi") if "findings" in known
+                            else build_findings(chosen, result.rules), "findings")
     profiles = known["profiles"].join(few, S.FILE, "left_semi") if "profiles" in known else None
     return build_metadata(files, findings, events, profiles=profiles), findings
 

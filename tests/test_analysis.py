@@ -340,3 +340,11 @@ def test_only_what_is_asked_for_is_scanned(corpus_of):
     assert not {"metadata", "findings"} & result.__dict__.keys()
     every = P.payload_files(result.metadata, result.findings).drop("rank").collect()
     assert sorted(map(repr, few)) == sorted(map(repr, every)) and len(few) == 3
+
+
+def test_ranks_of_modules_need_no_lists(corpus_of):
+    from corpusguard.operators import rank
+    result = cg.analyze(corpus_of(*FILES))
+    columns = ["repo", "rank", "module_purpose", "risk_score", "finding_count"]
+    ranked = rank.modules_in_order(A.module_counts(result.profiles, result.findings)).select(*columns).collect()
+    assert sorted(ranked) == sorted(result.modules.select(*columns).collect()) and len(ranked) == 3
