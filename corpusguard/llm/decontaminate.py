@@ -21,8 +21,10 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,11 @@ LITERALS = 4
 #: An item leaks with half of its windows, or with this many, about twenty words.
 SHARE, ENOUGH = 0.5, 13
 FILTER_BITS = 23
-CACHED_WORDS = 500_000
+#: Words a worker keeps, about 200 bytes each with their keys, and the bytes of text that it takes up at a time.
+CACHED_WORDS, TAKEN = 200_000, 1 << 18
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
+#: Kinds of words without a placeholder, and the bit that tells the end of a sentence.
+SIGN, PLAIN, ENDS = 0, 4, 8
 #: Forms of a text: by templates, by templates with names as words, and word for word.
 TEMPLATE, FOLDED, VERBATIM = range(3)
 ORDER = multipliers(WINDOW, 3)
@@ -62,53 +67,56 @@ def apart(text: str) -> str:
 
 
 class Templates(dict):
-    """Numbers of known words; ``table`` has by number the template inside a sentence, the template at its start, the
-    value, whether a sentence ends, and the word as it stands: folded, numbers with their minus, signs that are no words too."""
+    """Numbers of known words. By number there are the value, the word as it stands (folded, numbers with their minus, signs
+    that are no words too), and the kind of its template, with ENDS if a sentence ends: a few bytes a word."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, int, bool, int]] = []  # of words that the table does not have yet
-        self.table = np.zeros((5, 0), np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.value, self.verbatim, self.kind = array("Q"), array("Q"), bytearray()
 
     def __missing__(self, chunk: str) -> int:
         word = chunk.strip(EDGES)
         low = word.lower()
         value = xxhash.xxh3_64_intdigest(low.encode())
-        plain = value | 8
-        ends = chunk.rstrip("\"')]»”").endswith((".", "!", "?"))
-        signed = "-" + low if word[:1].isdigit() and "-" + word in chunk else low or chunk
-        verbatim = xxhash.xxh3_64_intdigest(signed.encode()) | 8
         if not word:
-            row = (0, 0, 0, ends)
-        elif NUMERIC.fullmatch(word) or low in NUMBERS:
-            row = (int(NUMBER), int(NUMBER), value, ends)
+            kind = SIGN
+        elif (word[0] in "+-" or word[0].isdecimal()) and NUMERIC.fullmatch(word) or low in NUMBERS:
+            kind = int(NUMBER)
         elif low in UNITS:
-            row = (int(UNIT), int(UNIT), value, ends)
+            kind = int(UNIT)
         elif len(word) > 1 and word[0].isupper() and word[1:].islower():
-            row = (int(NAME), plain, value, ends)
+            kind = int(NAME)
         else:
-            row = (plain, plain, value, ends)
-        self[chunk] = number = self.table.shape[1] + len(self.rows)
-        self.rows.append((*row, verbatim))
+            kind = PLAIN
+        signed = "-" + low if word[:1].isdigit() and "-" + word in chunk else low or chunk
+        self.verbatim.append((value if signed == low else xxhash.xxh3_64_intdigest(signed.encode())) | 8)
+        self.value.append(value if word else 0)
+        self.kind.append(kind | ENDS if chunk.rstrip("\"')]»”").endswith((".", "!", "?")) else kind)
+        self[chunk] = number = len(self.kind) - 1
         return number
 
     def read(self, texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
         """Tokens and values of each text in each form."""
         if len(self) > CACHED_WORDS:
-            self.clear()
-            self.rows, self.table = [], self.table[:, :0]
-        split = [(DIGIT_LETTER.sub(r"\g<0> ", apart(t)) if t else "").split() for t in texts]
-        places = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in split]
-        self.table = np.concatenate([self.table, np.asarray(self.rows, np.uint64).reshape(-1, 5).T], axis=1)
-        self.rows = []
-        inside, start, value, ends, verbatim = self.table
-        ends = ends > 0
-        out = []
-        for at in places:
-            first = np.concatenate([[True], ends[at[:-1]]]) if len(at) else np.zeros(0, bool)
-            token = np.where(first, start[at], inside[at]) if len(at) else np.zeros(0, np.uint64)
-            out.append([without_runs(token, value[at]), without_runs(start[at], value[at]), (verbatim[at], value[at])])
-        return out
+            self.forget()
+        split = [DIGIT_LETTER.sub(r"\g<0> ", apart(t)).split() if t else () for t in texts]
+        starts = [0, *accumulate(map(len, split))]
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, starts[-1])
+        # copies by place: the growing arrays themselves are not held
+        value, verbatim = np.frombuffer(self.value, np.uint64)[at], np.frombuffer(self.verbatim, np.uint64)[at]
+        kind = np.frombuffer(self.kind, np.uint8)[at]
+        first = np.concatenate([[True], kind[:-1] >= ENDS])[:len(at)]
+        first[[s for s in starts if s < len(at)]] = True
+        kind &= ENDS - 1
+        plain = value | np.uint64(8)
+        start = np.where(kind >= NAME, plain, kind)
+        inside = np.where((kind == PLAIN) | (kind == NAME) & first, plain, kind)
+        return [[without_runs(inside[s:e], value[s:e]), without_runs(start[s:e], value[s:e]), (verbatim[s:e], value[s:e])]
+                for s, e in zip(starts, starts[1:])]
 
 
 def without_runs(token: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +191,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, form, n (windows of the item), size, key, place, slots, spots (places of the slots in the item)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusguard.llm.decontaminate import KNOWN as templates
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TAKEN):
             rows = []
             for item, forms in zip(batch.column("item_id").to_pylist(), templates.read(batch.column("text").to_pylist())):
                 whole = False
@@ -229,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusguard.llm.decontaminate import KNOWN as templates
         known = np.unpackbits(shared.value).astype(bool)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TAKEN):
             rows = []
             for row, forms in enumerate(templates.read(batch.column("text").to_pylist())):
                 for form, size in sizes:

@@ -134,3 +134,15 @@ def test_items_in_scripts_without_blanks(spark):
     thai = "รถไฟออกจากสถานีด้วยความเร็วคงที่และถึงเมืองถัดไปหลังจากนั้น"
     rows = [(1, item), (2, f"前言。{item}结束"), (3, "请计算一列火车"), (4, f"a {thai} b"), (5, "今天天气很好我们去公园散步吧")]
     assert leaks(spark, rows, [(1, item), (2, thai)]) == {(1, 1): "copy", (2, 1): "copy", (4, 2): "copy"}
+
+
+def test_known_words_take_few_bytes():
+    import tracemalloc
+    templates = D.Templates()
+    pieces = [[" ".join(f"word{i}x" for i in range(a, a + 10_000))] for a in range(0, 400_000, 10_000)]
+    tracemalloc.start()
+    for piece in pieces:
+        templates.read(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
