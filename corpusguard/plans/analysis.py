@@ -42,24 +42,31 @@ class AnalysisResult:
     def events(self) -> DataFrame:
         return self._once(S.events(self.files), "events")
 
+    @cached_property
+    def signals(self) -> DataFrame:
+        """What the summaries read of the structure lines: the lines themselves if they were asked for before, else a cheaper scan."""
+        known = self.__dict__
+        return known["events"] if "events" in known else self._once(S.signal_facts(self.files), "signals")
+
     @cached_property
     def profiles(self) -> DataFrame:
         """Read by metadata, modules, repositories and payloads."""
-        return self._once(roles.profiles(self.files, self.events), "profiles")
+        return self._once(roles.profiles(self.files, self.signals), "profiles")
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return build_metadata(self.files, self.findings, self.events, profiles=self.profiles)
+        events = self.events    # before the profiles, which then read them too
+        return build_metadata(self.files, self.findings, events, profiles=self.profiles)
 
     @cached_property
     def modules(self) -> DataFrame:
-        return rank.modules_in_order(A.modules(self.profiles, self.findings, self.events))
+        return rank.modules_in_order(A.modules(self.profiles, self.findings, self.signals))
 
     @cached_property
     def repos(self) -> DataFrame:
         # only counts the files: roles are not told for that
         counted = self.__dict__.get("profiles", self.files)
-        return A.repo_totals(self.input_counts, counted, self.findings, self.events)
+        return A.repo_totals(self.input_counts, counted, self.findings, self.signals)
 
     @cached_property
     def hotspots(self) -> DataFrame:

@@ -66,7 +66,7 @@ def log_batches(corpus_stream: DataFrame, log: str, checkpoint: str, rules: Rule
         version = epoch * EPOCH + batch_id
         files = prepare.analyzable(batch, rules.extensions)
         parts = {"findings": build_findings(batch, rules),
-                 "profiles": roles.profiles(files, S.events(files)).select(*PROFILE_COLUMNS),
+                 "profiles": roles.profiles(files, S.signal_facts(files)).select(*PROFILE_COLUMNS),
                  "inputs": batch.select("repo", "file", "seq")}
         for name, df in parts.items():
             merge.versioned(df, version).write.mode("overwrite").parquet(f"{log}/{name}/batch={version}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpusguard as cg
-from corpusguard.operators import aggregate as A, graph as G, merge as M, payload as P, prepare, resolve as R, structure as S
+from corpusguard.operators import aggregate as A, graph as G, merge as M, payload as P, prepare, resolve as R, roles, structure as S
 from corpusguard.plans.analysis import compact_payloads
 
 UNITS = """export const celsius = (f) => (f - 32) / 1.8
@@ -348,3 +348,25 @@ def test_ranks_of_modules_need_no_lists(corpus_of):
     columns = ["repo", "rank", "module_purpose", "risk_score", "finding_count"]
     ranked = rank.modules_in_order(A.module_counts(result.profiles, result.findings)).select(*columns).collect()
     assert sorted(ranked) == sorted(result.modules.select(*columns).collect()) and len(ranked) == 3
+
+
+def test_roles_and_frameworks_of_both_variants_take_one_scan(spark, corpus_of):
+    from registry.corpora import MODULES
+    files = prepare.analyzable(corpus_of(*[(p.replace("{m}", "0"), t.replace("{m}", "0")) for _, p, t in MODULES], ("a.ts", "x")))
+    lean, full = S.signal_facts(files), S.events(files)
+    both, signals = roles.profiles_by_variant(files, lean), S.framework_signals_by_variant(lean)
+    for df in (both, signals):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert "params" not in lean.schema.simpleString() and "calls" not in lean.columns
+    for v in S.VARIANTS:
+        for got, want in ((both, roles.profiles(files, full, v)), (signals, S.framework_signals(full, v))):
+            rows = got.where(F.col("variant") == v).select(*want.columns).collect()
+            assert sorted(rows, key=str) == sorted(want.collect(), key=str) and rows
+
+
+def test_summaries_need_no_calls_or_parameters(corpus_of, monkeypatch):
+    def never(*args):
+        raise AssertionError("the full structure was read")
+    monkeypatch.setattr(S, "events", never)
+    r = cg.analyze(corpus_of(("src/login.ts", "import e from 'express'\nexport function f(a) { g(a) }\n")))
+    assert [x.frameworks for x in r.repos.collect()] == [["Express"]] and r.modules.count() == r.profiles.count() == 1
