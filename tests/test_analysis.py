@@ -370,3 +370,62 @@ def test_summaries_need_no_calls_or_parameters(corpus_of, monkeypatch):
     monkeypatch.setattr(S, "events", never)
     r = cg.analyze(corpus_of(("src/login.ts", "import e from 'express'\nexport function f(a) { g(a) }\n")))
     assert [x.frameworks for x in r.repos.collect()] == [["Express"]] and r.modules.count() == r.profiles.count() == 1
+
+
+def _modules(corpus_of):
+    from registry.corpora import MODULES
+    twice = ("src/twice.ts", "class A { m() { f() } }\nfunction g(a) { h(); b() }\nasync function g(b, c) { b(); h(); k() }\n"
+             "export class A extends B { m() { f() } n() {} }\nexport const q = 1; export { g as q, q as r }\nfetch('x.js'); fetch('x.js')\n")
+    return corpus_of(*[(p.replace("{m}", "0"), t.replace("{m}", "0")) for _, p, t in MODULES], twice, ("a.ts", ""), ("b.py", "import jwt\n"),
+                     ("c.ts", "export class T {}\nT()\n"))
+
+
+def test_metadata_takes_one_scan_and_one_shuffle(spark, corpus_of):
+    from corpusguard.plans.metadata import build_metadata
+    files, none = prepare.analyzable(_modules(corpus_of)), cg.build_findings(corpus_of(("none.txt", "")))
+    for v in S.VARIANTS:
+        alone = build_metadata(files, none, variant=v)
+        text = alone._jdf.queryExecution().executedPlan().toString()
+        assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning(repo#") <= 4
+        given = build_metadata(files, none, S.events(files), v, roles.profiles(files, S.events(files), v))
+        assert sorted(alone.collect(), key=str) == sorted(given.select(alone.columns).collect(), key=str) and alone.count() == files.count()
+
+
+def test_lists_of_a_file_are_its_relations(spark, corpus_of):
+    from corpusguard.plans.metadata import build_metadata
+    corpus = _modules(corpus_of)
+    files, events = prepare.analyzable(corpus), S.events(prepare.analyzable(corpus))
+    for v in S.VARIANTS:
+        rows = build_metadata(files, cg.build_findings(corpus), variant=v).collect()
+        edges = S.call_edges(events, v)
+
+        def flat(df, *columns):
+            return sorted((str([r.file, *[r[c] for c in columns]]) for r in df.collect()))
+
+        def listed(name, *fields):
+            return sorted(str([r.file, *[e[f] for f in fields]]) for r in rows for e in r[name])
+        fields = ["name", "params", "exported", "calls", "is_async", "is_arrow", "type"]
+        assert listed("functions", "line", *fields) == flat(S.backfill_calls(S.functions(events, v), edges), "line_no", *fields)
+        fields = ["name", "extends", "exported", "methods"]
+        assert listed("classes", "line", *fields) == flat(S.classes(events, v), "line_no", *fields)
+        assert listed("call_graph", "caller", "callee", "type") == flat(edges, "caller", "callee", "type")
+        assert listed("exports", "line", "name", "type", "alias") == flat(S.exports(events, v), "line_no", "name", "type", "alias")
+        fields = ["source", "alias", "type", "specifiers", "bindings"]
+        assert listed("imports", "line", *fields) == flat(S.all_imports(events), "line_no", *fields)
+        assert listed("framework_hints", "framework", "confidence", "reason") == flat(
+            S.framework_hints(S.framework_signals(events, v), v), "framework", "confidence", "reason")
+        assert sorted(str([r.file, n]) for r in rows for n in r.entry_points) == flat(S.entry_points(events, v), "name")
+        assert sorted(str([r.file, n]) for r in rows for n in r.dependencies) == flat(S.dependencies(events), "dependency")
+        if v == "detail":
+            assert listed("file_calls", "caller", "path", "type") == flat(S.file_calls(events), "caller", "path", "type")
+        twice = next(r for r in rows if r.file == "src/twice.ts")
+        assert [(f.name, list(f.calls)) for f in twice.functions if f.name == "g"] == [("g", ["h", "b", "k"])]
+        assert [(c.name, c.extends, c.exported, list(c.methods)) for c in twice.classes] == [("A", None, True, ["m", "n"])]
+
+
+def test_names_of_a_large_file_are_merged_in_linear_time(spark, corpus_of):
+    from corpusguard.plans.metadata import nested
+    text = "".join(f"function f{i % 9000}(a{i}) {{ f{(i * 7) % 9000}(a) }}\n" for i in range(18000))
+    row = nested(S.events(prepare.analyzable(corpus_of(("big.js", text))))).first()
+    assert len(row.functions) == 9000 and [len(f.calls) for f in row.functions[:3]] == [0, 1, 1]
+    assert len(row.call_graph) == 9000 - sum((i * 7) % 9000 == i for i in range(9000))
