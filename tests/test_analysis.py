@@ -423,6 +423,19 @@ def test_lists_of_a_file_are_its_relations(spark, corpus_of):
         assert [(c.name, c.extends, c.exported, list(c.methods)) for c in twice.classes] == [("A", None, True, ["m", "n"])]
 
 
+def test_listing_needs_neither_roles_nor_calls(spark, corpus_of):
+    from corpusguard.operators import payload as P
+    from corpusguard.plans.metadata import build_listed, build_metadata
+    corpus = _modules(corpus_of)
+    files = prepare.analyzable(corpus)
+    lean = build_listed(files)
+    assert "calls:array" in lean.schema.simpleString() and "call_graph" not in lean.columns
+    plan = lean._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+    whole = P.listing(build_metadata(files, cg.build_findings(corpus), variant="detail"))
+    assert sorted(P.listing(lean).collect(), key=str) == sorted(whole.collect(), key=str) and whole.count() == files.count()
+
+
 def test_names_of_a_large_file_are_merged_in_linear_time(spark, corpus_of):
     from corpusguard.plans.metadata import nested
     text = "".join(f"function f{i % 9000}(a{i}) {{ f{(i * 7) % 9000}(a) }}\n" for i in range(18000))
