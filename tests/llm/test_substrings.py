@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 
@@ -91,3 +93,77 @@ def test_grams_with_many_contexts_are_not_held_whole(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(docs).collect()}
     assert got == brute(rows) and max(met) <= 10
+
+
+def results(docs):
+    return {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(docs).collect()}
+
+
+def test_contexts_that_meet_many_others_take_few_rows_and_no_table_outlives_its_readers(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda n=60: "".join(r.choices("abcdefgh ", k=n))
+    passage = word() + word()
+    # a passage that goes on differently in each document, and long runs of one word in a document
+    rows = [(i, word(80) + passage + word(80)) for i in range(150)] + [(200 + i, word(20) + "the " * 300 + word(20)) for i in range(8)]
+    written, real = [], S.materialized
+
+    def noted(df, label="table", *a, **k):
+        out = real(df, label, *a, **k)
+        written.append((label, out.count(), out._scratch))
+        return out
+    monkeypatch.setattr(S, "materialized", noted)
+    monkeypatch.setattr(S, "HOT", 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert results(docs) == brute(rows)
+    contexts = next(n for label, n, _ in written if label == "contexts")
+    assert contexts < 1000 and max(n for label, n, _ in written if label not in ("anchors", "contexts", "stretches")) <= 6 * contexts
+    folder = spark._jvm.org.apache.hadoop.fs.Path(written[0][2]).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    left = {label for label, _, path in written if folder.exists(spark._jvm.org.apache.hadoop.fs.Path(path))}
+    assert left == {"anchors", "stretches"}
+
+
+def test_surroundings_are_the_strings_of_an_anchor():
+    r = np.random.default_rng(3)
+    for letters in (1, 2, 3, 26):
+        texts = [bytes(r.integers(97, 97 + letters, n).astype(np.uint8)) for n in (0, 49, 50, 51, 200, 50, 400, 30, 90)]
+        texts += [b"ab" * 60 + texts[4] + b"ab" * 60, texts[4]]
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        least = S.least_grams(S.gram_hashes(data))
+        at, grams, text, lo, hi = S.anchors(data, ends)
+        begin = np.concatenate([[0], ends])
+        got, want = set(), set()
+        for p, g, t, a, b in zip(at, grams, text, lo, hi):
+            got |= {(s, p) for s in range(a, b - S.LENGTH + 1)}
+            want |= {(s, p) for s in range(max(begin[t], p - S.SPAN + 1), min(p, ends[t] - S.LENGTH) + 1) if least[s] == g}
+        assert got == want
+        assert {s for s, _ in got} == {s for t, n in enumerate(ends) for s in range(begin[t], n - S.LENGTH + 1)}
+
+
+def test_pack_keeps_what_it_is_given():
+    r = np.random.default_rng(4)
+    ids = np.sort(r.choice(np.asarray([-2**62, -5, 0, 1, 70_000, 2**40, 2**62]), 300))
+    places = np.concatenate([np.sort(r.integers(0, 2**31 - 1, n)) for n in np.unique(ids, return_counts=True)[1]])
+    given = (ids, places, r.integers(0, 1 << 40, 300).astype(np.uint64), r.integers(0, 1 << 48, 300).astype(np.uint64),
+             *(r.integers(0, 1 << 16, 300).astype(np.uint16) for _ in range(2)), *(r.integers(0, 35, 300).astype(np.uint8) for _ in range(2)))
+    for got, want in zip(S.unpack(S.pack(*given)), given, strict=True):
+        assert (got == want).all()
+
+
+def test_stretches_that_touch_are_one():
+    ids, lo, hi = S.merged(np.asarray([2, 1, 2, 2, 1, 1]), np.asarray([5, 0, 0, 90, 40, 60]), np.asarray([80, 50, 9, 95, 45, 70]))
+    assert list(zip(ids, lo, hi)) == [(1, 0, 50), (1, 60, 70), (2, 0, 80), (2, 90, 95)]
+    assert [len(x) for x in S.merged(*(np.zeros(0, np.int64),) * 3)] == [0, 0, 0]
+
+
+def test_shuffle_files_of_a_freed_table_go_when_it_is_written(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in blocks for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, was = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = S.materialized(spark.range(1000).repartition(3, "id"), "numbers", freed=True)
+    ends = time.time() + 30
+    while files() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
