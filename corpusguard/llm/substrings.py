@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import GOLDEN, mix, slices, tasks
+from corpusguard.llm.common import GOLDEN, SLICE_BYTES, mix, slices, tasks
 from corpusguard.session import discard, materialized
 
 LENGTH = 50
@@ -224,11 +224,18 @@ def flagged(docs: DataFrame) -> DataFrame:
             if done.any():
                 spread = -1 - ids[done] % parts
                 yield rows(spread, [None] * len(spread), ids[done], coded(places[done], sides[2][done], sides[3][done], 1))
-            left_over = ~done
             part = ((grams >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            for p in np.unique(part[left_over]):
-                w = left_over & (part == p)
-                yield rows([p], [pack(ids[w], places[w], grams[w] & LOW40, around[w], *(c[w] for c in sides))], [None], [None])
+            left_over = np.flatnonzero(~done)
+            left_over = left_over[np.argsort(part[left_over], kind="stable")]
+            packed, held_bytes = [], 0
+            for w in np.split(left_over, np.flatnonzero(np.diff(part[left_over])) + 1):
+                packed.append((part[w[0]], pack(ids[w], places[w], grams[w] & LOW40, around[w], *(c[w] for c in sides))))
+                held_bytes += len(packed[-1][1])
+                if held_bytes >= SLICE_BYTES:
+                    yield rows(*zip(*packed), *([None] * len(packed),) * 2)
+                    packed, held_bytes = [], 0
+            if packed:
+                yield rows(*zip(*packed), *([None] * len(packed),) * 2)
 
         for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
